@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sstable, token_counts
+from . import chat, simhash_dedup, sstable, token_counts
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.encode_to_shards(docs, tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(
@@ -60,6 +64,7 @@ def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
         "op4_token_counts": op4_token_counts,
+        "op8_simhash_dedup": op8_simhash_dedup,
         "op10_chat_format": op10_chat_format,
     }
 
