@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash_dedup, sstable, token_counts
+from . import chat, language_id, simhash_dedup, sstable, token_counts
 from .common import table
 
 
@@ -25,6 +25,17 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.encode_to_shards(docs, tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """The model that op3 and the pipeline use: learned from the documents that are not held out."""
+    return language_id.fit(docs.where(~language_id.held_out()), tokenizer("piece_bpe_32k.model"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
@@ -63,6 +74,7 @@ FROM e GROUP BY conv_id
 def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
+        "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op10_chat_format": op10_chat_format,
