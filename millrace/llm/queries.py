@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, simhash_dedup, sstable, substring_dedup, token_counts
+from . import chat, flac, language_id, simhash_dedup, sstable, substring_dedup, token_counts
 from .common import table
 
 
@@ -25,6 +25,13 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.encode_to_shards(docs, tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    stored = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), flac.text_to_flac(text).alias("media"))
+    return stored.select("doc_id", "n_bytes", flac.media_features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")
+
+
 def language_model(docs: DataFrame) -> language_id.Model:
     """The model that op3 and the pipeline use: learned from the documents that are not held out."""
     return language_id.fit(docs.where(~language_id.held_out()), tokenizer("piece_bpe_32k.model"))
@@ -79,6 +86,7 @@ FROM e GROUP BY conv_id
 def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
+        "op2_flac_media": op2_flac_media,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op7_substring_dedup": op7_substring_dedup,
