@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, flac, language_id, simhash_dedup, sstable, substring_dedup, token_counts
+from . import chat, decontaminate, flac, language_id, simhash_dedup, sstable, substring_dedup, token_counts
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeats(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -89,6 +93,7 @@ def queries() -> dict:
         "op2_flac_media": op2_flac_media,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
+        "op5_decontamination": op5_decontamination,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op10_chat_format": op10_chat_format,
