@@ -1,16 +1,67 @@
-"""A corpus pipeline over documents: STAGES, and run() that applies them in order."""
+"""A corpus pipeline over documents: STAGES, and run() that applies them in order.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of
+documents. A stage is judged on what the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, language_id, mixing, simhash_dedup, sstable
+from millrace.llm.common import free_name, table, written
+from millrace.llm.queries import language_model, tokenizer
+
+#: A document whose language is less probable than this among the learned ones is rejected.
+LEAST_SCORE = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without letters ("und") or without a probable language go."""
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    judged = language_id.predict(docs, language_model(docs), lang_pred=lang, score=score)
+    kept = (F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)
+    return judged.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash_dedup.keep_first(docs, radius=4)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage like a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics have their target weights."""
+    return mixing.sample(docs)
+
+
+def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32, read back from the token shards of the documents."""
+    return sstable.read_shards(sstable.encode_to_shards(docs, tokenizer("byte_bpe_50k.json"), end_id=0))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", keep_known_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID output", write_token_shards),
+]
 
+#: SQL has neither the language model nor XXH64, so the pipeline is tested stage by stage instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages applied to documents, each one's result written to the shared folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
     return docs

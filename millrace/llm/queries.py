@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, flac, language_id, simhash_dedup, sstable, substring_dedup, token_counts
+from . import chat, decontaminate, flac, language_id, mixing, simhash_dedup, sstable, substring_dedup, token_counts
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op9_source_mixing": op9_source_mixing,
         "op10_chat_format": op10_chat_format,
     }
 
