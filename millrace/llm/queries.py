@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, flac, language_id, mixing, simhash_dedup, sstable, substring_dedup, token_counts
+from . import chat, decontaminate, flac, language_id, mixing, secret_scan, simhash_dedup, sstable, substring_dedup, token_counts
 from .common import table
 
 
@@ -47,6 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeats(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -98,6 +103,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_decontamination": op5_decontamination,
+        "op6_secret_scan": op6_secret_scan,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_source_mixing": op9_source_mixing,
