@@ -16,9 +16,7 @@ with the sign bit flipped; a big-endian counter that tells rows with the same id
 
 from __future__ import annotations
 
-import array
 import bisect
-import functools
 import io
 import struct
 import uuid
@@ -31,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, byte_batches, fresh_dir, safe_chunks, written
+from .common import byte_batches, fresh_dir, written
+from .encoding import json_encoder
 
 BLOCK_BYTES = 64 << 10
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 BITS_PER_KEY = 10
 PROBES = 7
 MAGIC = b"MRSST001"
@@ -214,35 +213,14 @@ def _opened(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or ":" in uri.split("/")[0] else f"file://{uri}")
 
 
-@functools.cache
-def _encoder(path: str) -> tuple[ChunkMemo, int]:
-    import tokenizers
-
-    model = tokenizers.Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    width, code = (2, "H") if model.get_vocab_size() <= 1 << 16 else (4, "I")
-
-    def many(chunks: list[str]) -> Iterator[bytes]:
-        return (array.array(code, e.ids).tobytes() for e in model.encode_batch_fast(chunks, add_special_tokens=False))
-
-    return ChunkMemo(many), width
-
-
 def _encoded(batch: pa.RecordBatch, path: str, end_id: int | None) -> Iterator[tuple[int | None, bytes]]:
-    memo, width = _encoder(path)
-    end = b"" if end_id is None else end_id.to_bytes(width, "little")
+    encoder = json_encoder(path)
+    end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
     ids, column = batch.column(0).to_pylist(), batch.column(1)
     for a, b in byte_batches([len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.large_binary())], BATCH_BYTES):
-        chunks: list[str] = []
-        ends = []
-        for text in column.slice(a, b - a).to_pylist():
-            if text:
-                chunks += safe_chunks(text)
-            ends.append(len(chunks))
-        values = memo.values(chunks)
-        for k, i, j in zip(range(a, b), [0, *ends], ends):
-            yield ids[k], b"".join(values[i:j]) + end
+        data, edges = encoder.encode(column.slice(a, b - a))
+        for k, i, j in zip(range(a, b), edges.tolist(), edges[1:].tolist()):
+            yield ids[k], bytes(data[i:j]) + end
 
 
 MANIFEST = "shard long, path string, entries long, tokens long, bytes long, first_key binary, last_key binary"
@@ -274,7 +252,7 @@ def write_shards(df: DataFrame, path: str, directory: str, identifier: str = "do
                     system.create_dir(base, recursive=True)
                     name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
                     stream = system.open_output_stream(f"{base}/{name}")
-                    writer = ShardWriter(stream, _encoder(path)[1], block_bytes)
+                    writer = ShardWriter(stream, json_encoder(path).width, block_bytes)
                 copies = copies + 1 if key == last else 0
                 last = key
                 writer.add(make_key(key, copies), value)

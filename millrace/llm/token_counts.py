@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, byte_batches, free_name, safe_chunks
+from .common import byte_batches, free_name, safe_chunks
+from .encoding import ChunkMemo, json_encoder
 
 BATCH_BYTES = 1 << 20
 
@@ -22,29 +24,20 @@ def _piece_memo(path: str) -> ChunkMemo:
     return ChunkMemo(lambda chunks: map(len, model.encode([c[1:] for c in chunks], num_threads=1)))
 
 
-@functools.cache
-def _json_memo(path: str) -> ChunkMemo:
-    import tokenizers
-
-    model = tokenizers.Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return ChunkMemo(lambda chunks: (len(e) for e in model.encode_batch_fast(chunks, add_special_tokens=False)))
-
-
 def _lengths(texts: list[str], path: str) -> list[int]:
     """Token counts of a batch of texts, each text cut at its safe boundaries."""
-    piece = path.endswith(".model")
-    memo = (_piece_memo if piece else _json_memo)(path)
+    if not path.endswith(".model"):
+        encoder = json_encoder(path)
+        return (np.diff(encoder.encode(pa.array(texts, pa.large_string()))[1]) // encoder.width).tolist()
     chunks: list[str] = []
     ends = []
     for text in texts:
         if text:
             first, *rest = safe_chunks(text)
-            chunks.append(" " + first if piece else first)
+            chunks.append(" " + first)
             chunks += rest
         ends.append(len(chunks))
-    counts = memo.values(chunks)
+    counts = _piece_memo(path).values(chunks)
     return [sum(counts[a:b]) for a, b in zip([0, *ends], ends)]
 
 
