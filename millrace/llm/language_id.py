@@ -9,13 +9,13 @@ expectation maximisation over the distinct words of the labelled texts and their
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +26,9 @@ ROUNDS = 3
 SMOOTHING = 0.05
 #: Words of more letters than this are scored, but not learned from.
 LONGEST_LEARNED = 30
-MEMO_WORDS = 200_000
-BATCH_BYTES = 1 << 20
-#: A word is a run of letters; one of over 10,000 letters is several words.
-_WORD = re.compile(r"[^\W\d_]{1,10000}")
+LONGEST_SCORED = 10_000
+MEMO_CELLS = 2_000_000
+BATCH_BYTES = 4 << 20
 
 
 @functools.cache
@@ -51,78 +50,111 @@ def _longest(path: str) -> int:
     return max(map(len, pieces(path)))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _prefixes(words: list[str]) -> np.ndarray:
+    """Rolling hashes of all prefixes of words of one length, as (letters + 1, words)."""
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).T.astype(np.uint64) * _MIX
+    out = np.zeros((len(letters) + 1, len(words)), np.uint64)
+    for j, row in enumerate(letters):
+        out[j + 1] = out[j] * np.uint64(_BASE) + (row ^ row >> np.uint64(31))
+    return out
+
+
+@functools.cache
+def _hashed(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces' hashes in order, and their numbers."""
+    known = pieces(path)
+    names, hashes = list(known), np.zeros(len(known), np.uint64)
+    for own in _by_length(names):
+        hashes[own] = _prefixes([names[k] for k in own])[-1]
+    order = np.argsort(hashes)
+    return hashes[order], np.fromiter(known.values(), np.int32, len(known))[order]
+
+
 def lattice(words: list[str], path: str) -> np.ndarray:
-    """ids[w, j, k]: the piece of word w that ends before letter j + 1 and has k + 1 letters, -1 if none.
+    """ids[j, k, w]: the piece of word w that ends before letter j + 1 and has k + 1 letters, -1 if none.
 
-    All words have the same number of letters; U+2581 stands before each.
+    All words have the same number of letters; U+2581 stands before each. Substrings are looked up
+    by 64-bit rolling hashes.
     """
-    vocabulary, most, n = pieces(path), _longest(path), len(words[0]) + 1
-    get = vocabulary.get
-    flat: list[int] = []
-    for word in words:
-        word = "▁" + word
-        for j in range(1, n + 1):
-            low = max(0, j - most)
-            line = [get(word[i:j], -1) for i in range(j - 1, low - 1, -1)]
-            if line[0] < 0:
-                line[0] = 0
-            flat += line + [-1] * (most - len(line))
-    return np.array(flat, np.int32).reshape(len(words), n, most)
-
-
-def forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha, scale): alpha[j] sums all segmentations of the first j letters, times exp(-scale).
-
-    p[..., id] are the probabilities, p[..., -1] is 0 (no such piece). Leading axes of p go through,
-    then words. Small values are scaled up on the way, so long words do not underflow.
+    hashes, numbers = _hashed(path)
+    most = _longest(path)
+    prefix = _prefixes(["▁" + w for w in words])
+    n = len(prefix) - 1
+    ids = np.full((n, most, len(words)), -1, np.int32)
+    power = 1
+    for k in range(min(n, most)):
+        power = power * _BASE & 0xFFFFFFFFFFFFFFFF
+        part = prefix[k + 1 :] - prefix[: n - k] * np.uint64(power)
+        place = np.searchsorted(hashes, part).clip(max=len(hashes) - 1)
+        ids[k:, k] = np.where(hashes[place] == part, numbers[place], -1)
+    np.maximum(ids[:, 0], 0, out=ids[:, 0])
+    return ids
+
+
+def forward(probable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, scale) of probable[j, k, ...], the probability of the piece of k + 1 letters that ends at j.
+
+    alpha[most + j] sums all segmentations of the first j letters, times exp(-scale); the rows before
+    are zeros. Small values are scaled up on the way, so long words do not underflow.
     """
-    w, n, most = ids.shape
-    alpha = np.zeros((n + 1, *p.shape[:-1], w))
-    scale = np.zeros((*p.shape[:-1], w))
-    alpha[0] = 1
-    for j in range(1, n + 1):
-        for k in range(min(j, most)):
-            alpha[j] += alpha[j - 1 - k] * p[..., ids[:, j - 1, k]]
-        if j % 16 == 0:
-            small = alpha[j] < 1e-60
+    n, most = probable.shape[:2]
+    alpha = np.zeros((most + n + 1, *probable.shape[2:]))
+    scale = np.zeros(probable.shape[2:])
+    alpha[most] = 1
+    for j in range(n):
+        alpha[most + j + 1] = (alpha[j + 1 : most + j + 1][::-1] * probable[j]).sum(0)
+        if j % 16 == 15:
+            small = alpha[most + j + 1] < 1e-60
             if small.any():
-                factor = np.where(small, 1 / np.maximum(alpha[j], 1e-250), 1.0)
-                alpha[max(0, j - most) : j + 1] *= factor
+                factor = np.where(small, 1 / np.maximum(alpha[most + j + 1], 1e-250), 1.0)
+                alpha[j + 1 : most + j + 2] *= factor
                 scale -= np.log(factor)
     return alpha, scale
 
 
-def log_scores(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
-    """log of each word's probability in each language, as (words, languages)."""
-    out = np.zeros((len(words), len(p)))
+def _by_length(words: list[str]) -> Iterator[list[int]]:
+    """Places of words of equal length, so many at a time that their lattices stay small."""
     by: dict[int, list[int]] = {}
     for k, word in enumerate(words):
         by.setdefault(len(word), []).append(k)
     for n, own in by.items():
-        step = max(1, (1 << 18) // (n + 1))
+        step = max(1, (1 << 15) // (n + 1))
         for at in range(0, len(own), step):
-            some = own[at : at + step]
-            alpha, scale = forward(lattice([words[k] for k in some], path), p)
-            out[some] = (np.log(alpha[-1]) + scale).T
+            yield own[at : at + step]
+
+
+def log_scores(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
+    """log of each word's probability in each language, as (words, languages)."""
+    out = np.zeros((len(words), len(p)))
+    for some in _by_length(words):
+        ids = lattice([words[k] for k in some], path)
+        alpha, scale = forward(p.T[ids].transpose(0, 1, 3, 2))
+        out[some] = (np.log(alpha[-1]) + scale).T
     return out
 
 
-def expected(words: list[str], weights: np.ndarray, path: str, p: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words of one length in one language, by forward and backward sums."""
-    ids = lattice(words, path)
-    w, n, most = ids.shape
-    alpha, _ = forward(ids, p)
-    beta = np.zeros((n + 1, w))
-    beta[n] = weights / alpha[n]
-    counts = np.zeros(len(p))
-    for j in range(n, 0, -1):
-        for k in range(min(j, most)):
-            here = ids[:, j - 1, k]
-            got = p[here] * beta[j]
-            beta[j - 1 - k] += got
-            counts += np.bincount(np.where(here < 0, len(p) - 1, here), weights=got * alpha[j - 1 - k], minlength=len(p))
-    counts[-1] = 0
-    return counts
+def expected(words: list[str], langs: np.ndarray, weights: np.ndarray, path: str, p: np.ndarray) -> np.ndarray:
+    """Expected piece counts per language, by forward and backward sums over each word's segmentations."""
+    total = np.zeros(p.size)
+    for some in _by_length(words):
+        ids = lattice([words[k] for k in some], path)
+        n, most, _ = ids.shape
+        places = langs[some] * p.shape[1] + np.where(ids < 0, p.shape[1] - 1, ids)
+        probable = p.ravel()[places]
+        alpha, _ = forward(probable)
+        beta = np.zeros_like(alpha)
+        beta[-1] = weights[some] / alpha[-1]
+        got = np.empty_like(probable)
+        for j in range(n - 1, -1, -1):
+            reach = probable[j] * beta[most + j + 1]
+            got[j] = reach * alpha[j + 1 : most + j + 1][::-1]
+            beta[j + 1 : most + j + 1][::-1] += reach
+        total += np.bincount(places.ravel(), got.ravel(), p.size)
+    return total.reshape(p.shape)
 
 
 @dataclass(frozen=True)
@@ -159,15 +191,9 @@ def fit(df: DataFrame, path: str, text: str = "text", label: str = "lang", round
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(languages), size + 1))
             for batch in batches:
-                by: dict[tuple[int, int], list[int]] = {}
-                langs, words, n = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-                for k, (lang, word) in enumerate(zip(langs, words)):
-                    by.setdefault((at[lang], len(word)), []).append(k)
-                for (lang, length), own in by.items():
-                    step = max(1, (1 << 17) // (length + 1))
-                    for a in range(0, len(own), step):
-                        some = own[a : a + step]
-                        total[lang] += expected([words[k] for k in some], n[some].astype(float), path, table[lang])
+                langs = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
+                total += expected(batch.column(1).to_pylist(), langs, batch.column(2).to_numpy().astype(float), path, table)
+            total[:, -1] = 0
             lang, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[lang, piece])], ["lang", "piece", "weight"])
 
@@ -184,48 +210,60 @@ def fit(df: DataFrame, path: str, text: str = "text", label: str = "lang", round
     return Model(languages, path, p)
 
 
+def word_scores(words: list[str], model: Model) -> np.ndarray:
+    """log_scores(), with a word of over LONGEST_SCORED letters as several words."""
+    if max(map(len, words)) <= LONGEST_SCORED:
+        return log_scores(words, model.path, model.p)
+    parts = [[w[k : k + LONGEST_SCORED] for k in range(0, len(w), LONGEST_SCORED)] for w in words]
+    flat = log_scores([x for own in parts for x in own], model.path, model.p)
+    return np.add.reduceat(flat, np.cumsum([0, *map(len, parts)])[:-1])
+
+
 class _Scorer:
-    """Scores of words, remembered for one worker; at most MEMO_WORDS of them."""
+    """Scores of words, remembered for one worker in Arrow and NumPy; row 0 is the empty word's.
+
+    When over MEMO_CELLS numbers are held, the words of the batch at hand stay.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.place = model, {}
-        self.table = np.zeros((MEMO_WORDS, len(model.languages)))
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The log scores of at most MEMO_WORDS words, a row each."""
-        get = self.place.get
-        places = [get(w, -1) for w in words]
-        if -1 in places:
-            new = list(dict.fromkeys(w for w, k in zip(words, places) if k < 0))
-            if len(self.place) + len(new) > MEMO_WORDS:
-                self.place.clear()
-                new = list(dict.fromkeys(words))
-            start = len(self.place)
-            self.table[start : start + len(new)] = log_scores(new, self.model.path, self.model.p)
-            self.place.update(zip(new, range(start, start + len(new))))
-            places = [self.place[w] for w in words]
-        return self.table[places]
+        self.model, self.known = model, pa.array([""], pa.large_string())
+        self.table = np.zeros((1, len(model.languages)))
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, for each word the place of its own among them)."""
+        coded = words.dictionary_encode()
+        place = pc.index_in(coded.dictionary, self.known)
+        missing = coded.dictionary.filter(pc.is_null(place))
+        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(missing))
+        if len(missing):
+            self.known = pa.concat_arrays([self.known, missing])
+            self.table = np.concatenate([self.table, word_scores(missing.to_pylist(), self.model)])
+        table, index = self.table, at[coded.indices.to_numpy()]
+        if self.table.size > MEMO_CELLS:
+            kept = np.unique(np.r_[0, at])
+            short = pc.less_equal(pc.utf8_length(self.known), LONGEST_LEARNED).to_numpy(zero_copy_only=False)
+            kept = kept[short[kept]]
+            self.known, self.table = self.known.take(pa.array(kept)), self.table[kept]
+        return table, index
 
 
 _scorers: dict[int, _Scorer] = {}
 
 
-def _predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+def _judged(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the best language or -1, its share) of each text of a batch."""
     if model.name not in _scorers:
         _scorers.clear()
         _scorers[model.name] = _Scorer(model)
-    scorer, out = _scorers[model.name], []
-    for text in texts:
-        words = _WORD.findall(text.lower()) if text else []
-        if not model.languages or not any(any(map(str.isalpha, w)) for w in words):
-            out.append((UNKNOWN, 0.0))
-            continue
-        total = np.zeros(len(model.languages))
-        for at in range(0, len(words), MEMO_WORDS // 2):
-            total += scorer.rows(words[at : at + MEMO_WORDS // 2]).sum(0)
-        best = int(total.argmax())
-        out.append((model.languages[best], float(1 / np.exp(total - total[best]).sum())))
-    return out
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), r"\P{L}+")
+    edges = parts.offsets.to_numpy()[:-1]
+    table, index = _scorers[model.name].lookup(parts.flatten())
+    total = np.add.reduceat(table[index], edges)
+    some = np.add.reduceat((index > 0).astype(np.int64), edges) > 0
+    best = total.argmax(1)
+    share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    return np.where(some, best, -1), np.where(some, share, 0.0)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -236,13 +274,18 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
     judged one by one; other columns stay, but for those with the two new names.
     """
 
+    names = pa.array([*model.languages, UNKNOWN])
+
     @F.arrow_udf("struct<l string, s double>")
     def judge(column: pa.Array) -> pa.Array:
         sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.large_binary())]
-        out: list[tuple[str, float]] = []
+        best, share = [np.zeros(0, np.int64)], [np.zeros(0)]
         for a, b in byte_batches(sizes, BATCH_BYTES):
-            out += _predict(column.slice(a, b - a).to_pylist(), model)
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], ["l", "s"])
+            some = _judged(column.slice(a, b - a), model) if model.languages else (np.full(b - a, -1), np.zeros(b - a))
+            best.append(some[0])
+            share.append(some[1])
+        chosen = np.concatenate(best)
+        return pa.StructArray.from_arrays([names.take(pa.array(np.where(chosen < 0, len(names) - 1, chosen))), pa.array(np.concatenate(share))], ["l", "s"])
 
     held = free_name(df, "judged")
     kept = [c for c in df.columns if c.lower() not in (lang_pred.lower(), score.lower())]
