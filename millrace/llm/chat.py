@@ -54,7 +54,7 @@ def fold(events: DataFrame) -> DataFrame:
 
     An edit or a regeneration of a turn drops what later turns had before it (that branch was
     abandoned). A turn's text is what its last message, edit or regenerate and the deltas after it
-    say, in the order of seq; its role is the last one named there. Events that repeat exactly count
+    say, in the order of seq; its role is the last one that any of its events names. Events that repeat exactly count
     once. A null text is empty, a null role stays null if no event names one, null conv_id is one
     conversation, null seq or turn counts as before all others. No events give no messages; other
     columns are not read.
@@ -72,10 +72,11 @@ def fold(events: DataFrame) -> DataFrame:
     e = e.where(F.col("cut").isNull() | (F.col("seq") > F.col("cut")))
     turn = Window.partitionBy("conv_id", "turn")
     e = e.withColumn("start", F.max(F.when(F.col("kind").isin(*STARTS), F.col("seq"))).over(turn))
+    e = e.withColumn("role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).over(turn))
     e = e.where(F.col("start").isNull() | (F.col("seq") >= F.col("start")))
     parts = F.sort_array(F.collect_set(F.struct("seq", "kind", "text")))
     return e.groupBy("conv_id", "turn").agg(
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
+        F.first("role").alias("role"),
         F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"),
     )
 

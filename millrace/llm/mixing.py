@@ -188,8 +188,9 @@ def sample(docs: DataFrame, identifier: str = "doc_id", text: str = "text", sour
     told = docs.withColumn(held, describe(F.col(text)))
     margins = docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), describe(F.col(text)).alias("d")).select("source", "lang", "d.topic", "d.n_tokens")
     cells, few = calibrate(count_cells(margins), **options)
-    cells = cells.select(F.struct("source", "lang", "topic").alias("cell"), "probability")
+    own, chance = free_name(told, "cell"), free_name(told, "chance")
+    cells = cells.select(F.struct("source", "lang", "topic").alias(own), F.col("probability").alias(chance))
     cell = F.struct(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(f"{held}.topic").alias("topic"))
-    joined = told.join(F.broadcast(cells) if few else cells, cell == F.col("cell"))
-    drawn = (draw(F.col(identifier).cast("long"), F.xxhash64(text), seed=seed) < F.col("probability")) & (F.col(f"{held}.n_tokens") > 0)
-    return joined.where(drawn).select(*[docs[c] for c in docs.columns])
+    joined = told.join(F.broadcast(cells) if few else cells, cell.eqNullSafe(F.col(own)))
+    drawn = (draw(F.col(identifier).cast("long"), F.xxhash64(text), seed=seed) < F.col(chance)) & (F.col(f"{held}.n_tokens") > 0)
+    return joined.where(drawn).select(*[F.col(f"`{c}`") for c in docs.columns])
