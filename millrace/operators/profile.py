@@ -49,20 +49,32 @@ def value_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode(cells).alias("cell")).groupBy("cell.column_name", "cell.value").agg(F.count("*").alias("n"))
 
 
-def counts(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """column_name, total_count, null_count, null_percentage, distinct_count and uniqueness_ratio."""
+def facts(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """column_name, total_count, null_count, null_percentage, distinct_count, uniqueness_ratio and suspected_type_mismatch.
+
+    A text column of which every value reads as a number is suspected to be mistyped.
+    """
     values = value_counts(df) if values is None else values
-    nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-    distinct = F.count_if(F.col("value").isNotNull())
+    judged = [f.name for f in df.schema.fields if not is_exempt(type_name(f.dataType)) and not isinstance(f.dataType, T.NumericType)]
+    known_value = F.col("value").isNotNull()
+    nulls = F.coalesce(F.sum(F.when(~known_value, F.col("n"))), F.lit(0))
+    distinct = F.count_if(known_value)
+    text = F.col("column_name").isin(judged)
     return values.groupBy("column_name").agg(
         F.sum("n").alias("total_count"),
         nulls.alias("null_count"),
         F.round(nulls * 100 / F.sum("n"), 2).alias("null_percentage"),
         distinct.alias("distinct_count"),
         F.round(distinct / F.sum("n"), 4).alias("uniqueness_ratio"),
+        (text & (distinct > 0) & (F.count_if(text & known_value & ~F.col("value").rlike(NUMBER_TEXT)) == 0)).alias("suspected_type_mismatch"),
     )
 
 
+def counts(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """The counts and ratios of facts()."""
+    return facts(df, values).drop("suspected_type_mismatch")
+
+
 def top_values(df: DataFrame, values: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """column_name, place, value and n of the most frequent values that are not null; ties by value."""
     values = value_counts(df) if values is None else values
@@ -95,12 +107,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def mistyped(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """column_name and suspected_type_mismatch: text columns of which every value reads as a number."""
-    values = value_counts(df) if values is None else values
-    judged = [f.name for f in df.schema.fields if not is_exempt(type_name(f.dataType)) and not isinstance(f.dataType, T.NumericType)]
-    bad = F.count_if(F.col("value").isNotNull() & ~F.col("value").rlike(NUMBER_TEXT))
-    some = F.count_if(F.col("value").isNotNull())
-    return values.groupBy("column_name").agg((F.col("column_name").isin(judged) & (bad == 0) & (some > 0)).alias("suspected_type_mismatch"))
+    """column_name and suspected_type_mismatch of facts()."""
+    return facts(df, values).select("column_name", "suspected_type_mismatch")
 
 
 def profile(df: DataFrame, name: str) -> DataFrame:
@@ -109,7 +117,7 @@ def profile(df: DataFrame, name: str) -> DataFrame:
     tops = top_values(df, values).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("place", "value", "n"))).alias("t"))
     tops = tops.select("column_name", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top_values"))
     types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, type_name(f.dataType))])
-    out = counts(df, values).join(mistyped(df, values), "column_name").join(tops, "column_name", "left")
+    out = facts(df, values).join(tops, "column_name", "left")
     stats = numbers(df)
     if stats is not None:
         out = out.join(F.broadcast(stats), "column_name", "left")
@@ -120,8 +128,6 @@ def profile_all(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(column profiles without statistics, table profiles) of several tables: the input of quality."""
     columns, rows = [], []
     for name, df in tables.items():
-        values = value_counts(df)
-        one = counts(df, values).join(mistyped(df, values), "column_name")
-        columns.append(one.select(F.lit(name).alias("table_name"), "*"))
+        columns.append(facts(df).select(F.lit(name).alias("table_name"), "*"))
         rows.append(duplicate_rows(df).select(F.lit(name).alias("table_name"), "*"))
     return reduce(DataFrame.unionByName, columns), reduce(DataFrame.unionByName, rows)
