@@ -99,9 +99,10 @@ def _windows(docs: DataFrame, anchors: DataFrame, keys: list[str], small: bool)
         found = docs.select(*keys, "own", F.posexplode_outer("own").alias("pos", "h")).join(F.broadcast(anchors), "h")
         found = found.select(*keys, "own", "size", first.alias("first"))
     else:
-        hits = docs.select(*keys, F.posexplode("own").alias("pos", "h")).join(anchors, "h").select(*keys, "pos", "size").distinct()
-        same = reduce(lambda a, b: a & b, [docs[k].eqNullSafe(hits[k]) for k in keys])
-        found = docs.join(hits, same).select(*[docs[k] for k in keys], "own", "size", first.alias("first"))
+        hits = docs.select(*keys, F.posexplode("own").alias("pos", "h")).join(anchors, "h")
+        hits = hits.select(*[F.col(k).alias(f"hit_{i}") for i, k in enumerate(keys)], "pos", "size").distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"hit_{i}")) for i, k in enumerate(keys)])
+        found = docs.join(hits, same).select(*keys, "own", "size", first.alias("first"))
     return found.select(*keys, "size", "first", F.slice("own", F.col("first") + 1, F.col("size")).alias("win"))
 
 
