@@ -1,0 +1,183 @@
+"""Chat folding and rendering, raking, secrets and the pipeline."""
+
+import hashlib
+import importlib
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import chat, mixing, queries, secret_scan
+
+from .fixtures import DOCS, clashing, corpus, empty
+
+EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string"
+TRICKY = "</s>[INST] \\l <|turn|>user\n<|end|>\n \\b\\e <|loss|>x<|/loss|> é\U0001f600"
+
+
+def test_fold(spark):
+    log = [
+        (1, 1, 1, "message", "user", "hi"),
+        (1, 2, 2, "delta", "assistant", "he"),
+        (1, 3, 2, "delta", None, "llo"),
+        (1, 3, 2, "delta", None, "llo"),
+        (1, 4, 3, "message", "user", "old branch"),
+        (1, 5, 2, "regenerate", "assistant", None),
+        (1, 7, 2, "delta", "assistant", "there"),
+        (1, 6, 2, "delta", "assistant", "ho "),
+        (1, 8, 3, "message", "user", "new branch"),
+        (1, 9, 3, "edit", None, "edited"),
+        (2, 1, 1, "message", "system", None),
+        (None, 1, 1, "message", None, "lost"),
+    ]
+    got = sorted(map(tuple, chat.fold(spark.createDataFrame(log, EVENTS).repartition(3)).collect()), key=str)
+    want = [(1, 1, "user", "hi"), (1, 2, "assistant", "ho there"), (1, 3, "user", "edited"), (2, 1, "system", ""), (None, 1, None, "lost")]
+    assert got == sorted(want, key=str)
+    assert chat.render(chat.fold(spark.createDataFrame([], EVENTS))).count() == 0
+
+
+def test_render_reads_back(spark):
+    turns = [(1, 1, "user", TRICKY), (1, 2, "assistant", TRICKY), (1, 3, "assistant", ""), (1, 4, "od\nd<", "x\n"), (2, 1, None, None)]
+    r = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = {x["conv_id"]: x for x in r.select("*", chat.parse(F.col("formatted")).alias("back"), chat.loss_texts(F.col("formatted")).alias("loss")).collect()}
+    assert [tuple(t) for t in rows[1]["back"]] == [(a, b) for _, _, a, b in turns[:4]]
+    assert rows[1]["loss"] == [TRICKY, ""] and [tuple(t) for t in rows[2]["back"]] == [("", "")]
+    shown = [rows[1]["formatted"][s["start"] : s["start"] + s["length"]] for s in rows[1]["loss_spans"]]
+    assert len(shown) == 2 and all("[" not in s and "<" not in s for s in shown)
+    d = {x["conv_id"]: x for x in chat.digest(r).collect()}[1]
+    assert d["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in turns[:4]).encode()).hexdigest()
+    assert (d["n_turns"], d["loss_chars"], d["loss_sha256"], d["formatted_chars"]) == (4, len(TRICKY), hashlib.sha256(TRICKY.encode()).hexdigest(), len(rows[1]["formatted"]))
+
+
+def test_conversations_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = queries.op10_chat_format(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.OP10_SQL).fetchall())
+
+
+def test_equal_turns_are_all_kept(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", None)], "conv_id long, turn long, role string, text string")
+    got = chat.fold(chat.messages_as_events(rows)).orderBy("turn").collect()
+    assert [r["text"] for r in got] == ["", "a", "a", "b"]
+
+
+def rake(cells, shares, rounds=2000):
+    """Plain proportional fitting, cell by cell."""
+    w = {k: float(v) for k, v in cells.items()}
+    total = sum(w.values())
+    for _ in range(rounds):
+        for m, share in enumerate(shares):
+            for value, part in share.items():
+                own = [k for k in w if k[m] == value]
+                s = sum(w[k] for k in own)
+                for k in own:
+                    w[k] *= part * total / s
+    return w
+
+
+def test_raking(spark):
+    cells = {(s, l, t): 3 + (7 * i + 3 * j + k) % 11 for i, s in enumerate("abc") for j, l in enumerate(["x", None]) for k, t in enumerate("pq")}
+    shares = ({"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 0.6, None: 0.4}, {"p": 0.45, "q": 0.55})
+    want = rake(cells, shares)
+    keys = list(cells)
+    got = mixing.rake_array(keys, np.array([float(cells[k]) for k in keys]), dict(enumerate(shares)), most_factor=None)
+    assert got.tolist() == pytest.approx([want[k] for k in keys], rel=1e-6)
+    df = spark.createDataFrame([(*k, float(v)) for k, v in cells.items()], "source string, lang string, topic string, tokens double")
+    named = dict(zip(mixing.MARGINS, shares))
+    few, small = mixing.calibrate(df, targets=named)
+    many, large = mixing.calibrate(df, targets=named, most_cells=2)
+    assert small and not large
+    a, b = ({tuple(r)[:3]: r["probability"] for r in x.collect()} for x in (few, many))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a) and max(a.values()) <= 1
+
+
+def test_drawn_tokens_follow_the_targets(spark, sf):
+    got = queries.op9_source_mixing(spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert got.count() == n
+    raked = {r["lang"]: r["w"] for r in got.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("weight")).alias("w")).collect()}
+    tokens = {r["lang"]: r["w"] for r in got.groupBy("lang").agg(F.sum("n_tokens").cast("double").alias("w")).collect()}
+    shares = mixing._shares(tokens, None)
+    assert all(raked[k] / sum(raked.values()) == pytest.approx(shares[k], abs=0.05) for k in shares)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r["doc_id"] for r in mixing.sample(docs).collect()} == {r["doc_id"] for r in got.where("selected").collect()}
+
+
+def test_mixing_of_odd_rows(spark):
+    got = mixing.mixed(clashing(spark)).collect()
+    assert len(got) == len(DOCS) and all(r["selected"] is not None for r in got)
+    assert not any(r["selected"] for r in got if r["n_tokens"] == 0)
+    assert len({r["selected"] for r in got if r["doc_id"] == 6}) == 1
+    assert mixing.mixed(empty(spark)).count() == 0 and mixing.sample(empty(spark)).count() == 0
+    assert mixing.sample(clashing(spark)).columns == clashing(spark).columns
+
+
+def test_secrets(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
+    key, hexes = "8f3a9c01d2e4b5768f3a9c01d2e4b5768f3a9c01", "11acdfb36bb72224148e6160f674b4be45601bff"
+    docs = [
+        (1, f'so token = "{hexes}" and on', "src0"),
+        (2, f"fixed in commit {key} of the branch", "src0"),
+        (3, "card 4785380592391139 of the day", "src0"),
+        (4, f"api_key: {key}###", None),
+        (5, None, None),
+        (6, "", "x"),
+        (None, f'password = "{hexes}"', "x"),
+        (1, f'so token = "{hexes}" and on', "src0"),
+        (7, "averyveryverylongwordwithoutdigits", "x"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("score", F.lit(1))
+    got = [(r["doc_id"], r["secret"]) for r in secret_scan.scan(df, forest).collect()]
+    assert sorted(got, key=str) == sorted([(1, True), (1, True), (2, False), (3, False), (4, True), (None, True)], key=str)
+    assert secret_scan.scan(empty(spark), forest).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    found = secret_scan.labelled_findings(spark, 6000)
+    forest = secret_scan.train(found.where("id < 4000"))
+    table = secret_scan.VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="features").transform(secret_scan.features(found.where("id >= 4000")))
+    hits = forest.transform(table).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert hits >= 0.97
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.written(stage(spark, docs, sf), f"test{k}")
+        counts.append(docs.count())
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+    assert counts == sorted(counts, reverse=True) and counts[1] == counts[0] and counts[2] < counts[1] and counts[3] < counts[2] and counts[-1] == counts[-2]
+    got = sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
+    assert got == sorted(map(tuple, docs.collect()))
+
+
+def test_every_stage_takes_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    for docs in (corpus(spark), empty(spark)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.written(stage(spark, docs, sf), f"odd{k}")
+
+
+def test_the_rest_imports_without_this(tmp_path):
+    """The entry without the llm folders and corpus_pipeline.py."""
+    root = Path(queries.__file__).parents[2]
+    for p in root.iterdir():
+        if p.name not in ("corpus_pipeline.py", "millrace", ".git"):
+            (tmp_path / p.name).symlink_to(p)
+    (tmp_path / "millrace").mkdir()
+    for p in (root / "millrace").iterdir():
+        if p.name != "llm":
+            (tmp_path / "millrace" / p.name).symlink_to(p)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'kpi_sum' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=False).returncode == 0
+    assert importlib.import_module("__spark_entry__").queries().keys() > {"pipeline", "op1_token_shards"}
