@@ -198,6 +198,43 @@ def rewards_having(spark, sf):
     return out.where("s > 100000 AND n_orders > 1").select("c_custkey", "n_orders", F.round(F.col("s").cast("decimal(38,6)"), 2).cast("double").alias("amount"))
 
 
+@query(
+    "WITH owed AS (SELECT o_custkey, sum(o_totalprice) AS fees FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01' GROUP BY 1), "
+    "late AS (SELECT o_custkey, sum(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) - 90) AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate <= TIMESTAMP '1997-01-01' AND date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) > 90 GROUP BY 1) "
+    "SELECT c_custkey, round(coalesce(fees, 0) + coalesce(days, 0) - c_acctbal, 2) AS balance FROM customer LEFT JOIN owed ON owed.o_custkey = c_custkey LEFT JOIN late ON late.o_custkey = c_custkey"
+)
+def customer_balances(spark, sf):
+    """What all customers owe at a date: fees, a unit for each overdue day, less what they paid; three aggregates, joined."""
+    t = frames(spark, sf, ("customer", "orders", "lineitem"))
+    orders = t["orders"].where(F.col("o_orderdate") <= F.lit("1997-01-01").cast("timestamp_ntz"))
+    owed = orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("fees"))
+    days = F.date_diff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")) - 90
+    late = orders.join(t["lineitem"], F.col("l_orderkey") == F.col("o_orderkey")).where(days > 0).groupBy(F.col("o_custkey").alias("late_custkey")).agg(F.sum(days).alias("days"))
+    joined = t["customer"].join(owed, F.col("o_custkey") == F.col("c_custkey"), "left").join(late, F.col("late_custkey") == F.col("c_custkey"), "left")
+    balance = F.coalesce("fees", F.lit(0.0)) + F.coalesce("days", F.lit(0)) - F.col("c_acctbal")
+    return joined.select("c_custkey", F.round(balance.cast("decimal(38,6)"), 2).cast("double").alias("balance"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 40 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1998-11-01')")
+def parts_in_stock(spark, sf):
+    """Parts that nothing open holds: an anti-join on the open lines."""
+    t = frames(spark, sf, ("part", "lineitem"))
+    held = t["lineitem"].where(F.col("l_shipdate") >= F.lit("1998-11-01").cast("timestamp_ntz"))
+    return t["part"].where("p_size > 40").join(held, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey", "p_name")
+
+
+@query(
+    "SELECT n_name, string_agg(c_mktsegment || ': ' || names, '; ' ORDER BY c_mktsegment) AS info FROM (SELECT n_name, c_mktsegment, string_agg(c_name, ', ' ORDER BY c_name) AS names FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 GROUP BY 1, 2) GROUP BY 1"
+)
+def nested_lists(spark, sf):
+    """A list per nation of lists per segment: the inner one is aggregated first, then joined into the outer."""
+    t = frames(spark, sf, ("customer", "nation"))
+    rich = t["customer"].where("c_acctbal > 9000").join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    inner = rich.groupBy("n_name", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ", ").alias("names"))
+    lines = F.array_sort(F.collect_list(F.struct("c_mktsegment", "names")))
+    return inner.groupBy("n_name").agg(F.array_join(F.transform(lines, lambda x: F.concat(x["c_mktsegment"], F.lit(": "), x["names"])), "; ").alias("info"))
+
+
 # Profiles
 
 
