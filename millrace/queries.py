@@ -215,11 +215,11 @@ def customer_balances(spark, sf):
     return joined.select("c_custkey", F.round(balance.cast("decimal(38,6)"), 2).cast("double").alias("balance"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_size > 40 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1998-11-01')")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 40 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '2001-06-01')")
 def parts_in_stock(spark, sf):
     """Parts that nothing open holds: an anti-join on the open lines."""
     t = frames(spark, sf, ("part", "lineitem"))
-    held = t["lineitem"].where(F.col("l_shipdate") >= F.lit("1998-11-01").cast("timestamp_ntz"))
+    held = t["lineitem"].where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
     return t["part"].where("p_size > 40").join(held, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey", "p_name")
 
 
