@@ -23,7 +23,8 @@ from .common import byte_batches
 
 BLOCK = 1024
 RATE = 8000
-BATCH_BYTES = 4 << 20
+#: A batch is held in some 25 arrays of 8 bytes a sample.
+BATCH_BYTES = 1 << 20
 SEEK_FRAMES = 16
 #: Block sizes by their code in a frame header (fixed values of the format).
 SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
