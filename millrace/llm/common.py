@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Hashable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,24 @@ def byte_batches(sizes: list[int], most: int) -> Iterable[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_memo: dict[Hashable, object] = {}
+
+
+def worker_memo(key: Hashable, make: Callable[[], object]):
+    """What this Python worker remembers under key, made where it is not at hand.
+
+    Spark hands a worker from stage to stage, so a worker holds one operator's memo at a time: one
+    made for another key goes first.
+    """
+    if key not in _memo:
+        _memo.clear()
+        give_back()
+        _memo[key] = make()
+    return _memo[key]
+
+
+def give_back() -> None:
+    """Returns what Arrow has freed to the system, which its pool would keep for later batches."""
+    pa.default_memory_pool().release_unused()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import array
-import functools
 import json
 import re
 from collections.abc import Callable, Iterable
@@ -13,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import safe_chunks
+from .common import safe_chunks, worker_memo
 
 
 class ChunkMemo:
@@ -169,6 +168,5 @@ class JsonEncoder:
         return memoryview(row.buffers()[2] or b""), ends[edges]
 
 
-@functools.cache
 def json_encoder(path: str) -> JsonEncoder:
-    return JsonEncoder(path)
+    return worker_memo(("json", path), lambda: JsonEncoder(path))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, free_name, written
+from .common import byte_batches, free_name, give_back, worker_memo, written
 
 UNKNOWN = "und"
 ROUNDS = 3
@@ -248,17 +248,12 @@ class _Scorer:
         return table, index
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def _judged(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(place of the best language or -1, its share) of each text of a batch."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = _Scorer(model)
+    scorer = worker_memo(("words", model.name), lambda: _Scorer(model))
     parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), r"\P{L}+")
     edges = parts.offsets.to_numpy()[:-1]
-    table, index = _scorers[model.name].lookup(parts.flatten())
+    table, index = scorer.lookup(parts.flatten())
     total = np.add.reduceat(table[index], edges)
     some = np.add.reduceat((index > 0).astype(np.int64), edges) > 0
     best = total.argmax(1)
@@ -285,6 +280,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_pred: str = "l
             best.append(some[0])
             share.append(some[1])
         chosen = np.concatenate(best)
+        give_back()
         return pa.StructArray.from_arrays([names.take(pa.array(np.where(chosen < 0, len(names) - 1, chosen))), pa.array(np.concatenate(share))], ["l", "s"])
 
     held = free_name(df, "judged")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, fresh_dir, written
+from .common import byte_batches, fresh_dir, give_back, written
 from .encoding import json_encoder
 
 BLOCK_BYTES = 64 << 10
@@ -221,6 +221,8 @@ def _encoded(batch: pa.RecordBatch, path: str, end_id: int | None) -> Iterator[t
         data, edges = encoder.encode(column.slice(a, b - a))
         for k, i, j in zip(range(a, b), edges.tolist(), edges[1:].tolist()):
             yield ids[k], bytes(data[i:j]) + end
+    data = None
+    give_back()
 
 
 MANIFEST = "shard long, path string, entries long, tokens long, bytes long, first_key binary, last_key binary"

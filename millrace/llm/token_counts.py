@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, free_name, safe_chunks
+from .common import byte_batches, free_name, safe_chunks, worker_memo
 from .encoding import ChunkMemo, json_encoder
 
 BATCH_BYTES = 1 << 20
 
 
-@functools.cache
-def _piece_memo(path: str) -> ChunkMemo:
+def _made(path: str) -> ChunkMemo:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -24,6 +22,10 @@ def _piece_memo(path: str) -> ChunkMemo:
     return ChunkMemo(lambda chunks: map(len, model.encode([c[1:] for c in chunks], num_threads=1)))
 
 
+def _piece_memo(path: str) -> ChunkMemo:
+    return worker_memo(("pieces", path), lambda: _made(path))
+
+
 def _lengths(texts: list[str], path: str) -> list[int]:
     """Token counts of a batch of texts, each text cut at its safe boundaries."""
     if not path.endswith(".model"):
