@@ -26,8 +26,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_dedup.keep_first(docs, radius=4)
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8."""
+    return simhash_dedup.keep_first_similar(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,15 +13,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import byte_batches, free_name, written
 
 SHINGLE = 4
 RADIUS = 4
 BATCH_BYTES = 1 << 20
+#: The pipeline's stage links texts by the Jaccard similarity of their five-word shingles.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Shingles of at least COMMON_IN of about SAMPLE_TEXTS texts come last in prefixes (the MOST_COMMON of them).
+SAMPLE_TEXTS, COMMON_IN, MOST_COMMON = 50_000, 20, 100_000
+_SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "fp")], StructField("prefix", ArrayType(LongType()))])
 _SPACE = bytes(range(9, 14)) + b" "
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SQUEEZE = bytes(32 if b in _SPACE else _LOWER[b] for b in range(256))
@@ -241,3 +247,146 @@ def keep_first(df: DataFrame, identifier: str = "doc_id", text: str = "text", ra
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tag").alias(tag))
     return tagged.join(kept, tag, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of one text (UTF-8), words as in fingerprint_of(); none without a word."""
+    import xxhash
+
+    found = (text or b"").translate(_SQUEEZE).split()
+    digest = xxhash.xxh64_intdigest
+    if len(found) < size:
+        return np.array([digest(b" ".join(found), 42)] if found else [], np.uint64)
+    hashes = np.fromiter(map(digest, found), np.uint64, len(found))
+    count = len(found) - size + 1
+    out = np.zeros(count, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count]
+    out ^= out >> np.uint64(33)
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    return np.unique(out ^ (out >> np.uint64(33)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        total += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _lists(of: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, of)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of).view(np.int64) if of else np.zeros(0, np.int64)))
+
+
+def shingle_sets(text: Column, size: int) -> Column:
+    """shingle_set() of each whole text, as an array of longs."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def sets(column: pa.Array) -> pa.Array:
+        return _lists([shingle_set(x.as_py(), size) for x in column.cast(pa.large_binary())])
+
+    return sets(text)
+
+
+def _signed(text: Column, size: int, similarity: float, common: dict[int, int]) -> Column:
+    """node (a hash of the set of shingles), size, fp and prefix of each text.
+
+    prefix has the set's first shingles in one order for all texts, rare before common: so many that
+    two sets of that Jaccard similarity share one of them at least.
+    """
+    names = np.array(sorted(common), np.uint64)
+    ranks = np.array([common[k] for k in sorted(common)], np.int64)
+
+    @F.arrow_udf(_SIGNED)
+    def signed(column: pa.Array) -> pa.Array:
+        import xxhash
+
+        nodes, sizes, fps, prefixes = [], [], [], []
+        for x in column.cast(pa.large_binary()):
+            own = shingle_set(x.as_py(), size)
+            rank = np.zeros(len(own), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                rank = np.where(names[at] == own, ranks[at], 0)
+            most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+            nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+            sizes.append(len(own))
+            fps.append(_majority(own))
+            prefixes.append(own[np.lexsort((own, rank))[:most]])
+        longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, sizes, fps)]
+        return pa.StructArray.from_arrays([*longs, _lists(prefixes)], ["node", "size", "fp", "prefix"])
+
+    return signed(text)
+
+
+def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
+    """Shingles of many texts and their counts, from a sample of bounded size; they only order the prefixes."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = some.select(F.explode(shingle_sets(F.col("text"), size)).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_IN)
+    return {r["h"] & ((1 << 64) - 1): r["count"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()}
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have at least that Jaccard similarity."""
+    pairs = written(pairs.distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    tags = nodes.join(asked, "node", "left_semi").select("node", "tag")
+    sets = written(texts.join(tags, "tag").select("node", shingle_sets(F.col("text"), size).alias("own")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between nodes that connect all that are linked by at least that similarity; each is verified.
+
+    The first candidates are those of the deletion variants and, of each shared prefix shingle, its
+    least node with every other. Groups of near copies are components then, and only nodes of
+    different components that share a prefix shingle are left to compare.
+    """
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    near = links(firsts.select("fp"), radius)
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = Window.partitionBy("key")
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.select("*", F.count("*").over(own).alias("n"), F.min(F.struct("node", "size", "pos")).over(own).alias("lead"))
+    shared = written(rows.where("n > 1"), "shared")
+
+    def possible(x: str, y: str) -> Column:
+        """Whether two sets, of which this is the first shingle that they share, can be so similar."""
+        left = F.least(*[F.col(f"{v}.size") - F.col(f"{v}.pos") for v in (x, y)])
+        return left * (1 + similarity) >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
+
+    led = shared.select("lead", F.struct("node", "size", "pos").alias("m")).where("m.node <> lead.node").where(possible("lead", "m"))
+    first = written(_similar(near.unionByName(led.select(F.col("lead.node").alias("a"), F.col("m.node").alias("b"))), nodes, texts, size, similarity), "similar")
+    roots = components(first)
+    named = shared.where("n > 2").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), F.struct("node", "size", "pos").alias("m"))
+    groups = written(named.groupBy("key", "root").agg(F.collect_list("m").alias("ms")), "groups")
+    pairs = groups.select("key", F.col("root").alias("r"), F.col("ms").alias("xs")).join(groups, "key").where("r < root")
+    pairs = pairs.select(F.explode("xs").alias("x"), "ms").select("x", F.explode("ms").alias("y")).where(possible("x", "y"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return first.unionByName(_similar(pairs, nodes, texts, size, similarity))
+
+
+def keep_first_similar(df: DataFrame, identifier: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """df without near-duplicates by similarity: of each component the row that keep_first() would keep stays.
+
+    Rows are linked if the sets of their texts' shingles of size words have at least that Jaccard
+    similarity; a text of fewer words is one shingle, and texts without a word are alike. No linked
+    pair is lost: deletion variants of fingerprints find close copies, prefixes of the sets all others.
+    """
+    tag = free_name(df, "row_tag")
+    tagged = written(df.withColumn(tag, F.monotonically_increasing_id()), "tagged")
+    texts = tagged.select(F.col(tag).alias("tag"), F.col(identifier).alias("id"), F.col(text).alias("text"))
+    signed = texts.select("tag", "id", _signed(F.col("text"), size, similarity, _common_shingles(texts, size)).alias("d"))
+    signed = written(signed.select("tag", "id", "d.*"), "signed")
+    firsts = written(signed.groupBy("node").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "tag")).alias("first")), "firsts")
+    nodes = written(signed.drop("id").join(firsts.select(F.col("first.tag").alias("tag")), "tag", "left_semi"), "nodes")
+    roots = components(similar_links(nodes, texts.drop("id"), size, similarity))
+    named = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tag").alias(tag))
+    return tagged.join(kept, tag, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -202,3 +202,40 @@ def test_simhash_in_sql_equals_plain_counting(spark):
     for a, r in zip(arrays, got):
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in a) > len(a))
         assert r["f"] & (1 << 64) - 1 == want
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Every pair of similarity 0.8 or more is linked, close or at the limit, and no other."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(6, 200)))]
+        texts.append(base)
+        for _ in range(int(rng.integers(0, 5))):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(1, 2 + len(copy) // 25))):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(copy)
+    passage = [f"p{x}" for x in range(40)]
+    texts += [passage + [f"q{k}_{x}" for x in range(60)] for k in range(30)]
+    texts += [passage + [f"r{k}_{x}" for x in range(2)] for k in range(30)] + [["one", "two"], ["One", "two"], ["one"], [], []]
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] | sets[b])
+            if not both or len(sets[a] & sets[b]) / both >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+                fps = [simhash_dedup._majority(simhash_dedup.shingle_set(" ".join(texts[k]).encode(), 5)) for k in (a, b)]
+                far += (fps[0] ^ fps[1]).bit_count() > 4
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in simhash_dedup.keep_first_similar(df).collect()}
+    assert far > 20 and kept == {k for k in root if find(k) == k}
