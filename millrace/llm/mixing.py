@@ -2,7 +2,8 @@
 
 Documents are counted into cells of (source, language, topic). Raking scales the cells' tokens until
 the sums over each of the three agree with target shares; a cell's factor, times one constant, is the
-probability with which each of its documents is drawn, so the drawn tokens have the target shares.
+expected number of copies of each of its documents: whole copies and one more by a draw for the rest.
+So the drawn tokens have the target shares, those of rare cells too.
 """
 
 from __future__ import annotations
@@ -24,11 +25,9 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = 0.5
 TOPICS = 8
 TOPIC_LETTERS = 6
-ROUNDS = 100
+#: Most rounds of raking in an array, and as a table; fewer where no weight moves by over TOLERANCE of all tokens.
+ROUNDS, TABLE_ROUNDS = 5000, 100
 TOLERANCE = 1e-9
-#: Factors are trimmed to this (None: not), as is usual in raking, so that a tiny cell does not decide
-#: how many documents may be drawn at all. Where trimming binds, that cell stays below its target.
-MOST_FACTOR = 3.0
 #: So many cells are raked in one array and joined by broadcast; more are raked as a table.
 MOST_CELLS = 100_000
 
@@ -58,8 +57,9 @@ def describe(text: Column) -> Column:
 
 
 def count_cells(df: DataFrame, margins: tuple[str, ...] = MARGINS, tokens: str = "n_tokens") -> DataFrame:
-    """The margins and the sum of tokens of each cell; a null value is a value of its own."""
-    return df.groupBy(*margins).agg(F.sum(F.coalesce(tokens, F.lit(0))).cast("double").alias("tokens")).where("tokens > 0")
+    """The margins, the sum of tokens and the documents with tokens of each cell; a null value is a value of its own."""
+    sums = F.sum(F.coalesce(tokens, F.lit(0))).cast("double").alias("tokens"), F.count_if(F.col(tokens) > 0).cast("double").alias("docs")
+    return df.groupBy(*margins).agg(*sums).where("tokens > 0")
 
 
 def _shares(sums: dict, wanted: dict | None) -> dict:
@@ -70,8 +70,11 @@ def _shares(sums: dict, wanted: dict | None) -> dict:
     return {k: v / total for k, v in raw.items()}
 
 
-def rake_array(keys: list[tuple], tokens: np.ndarray, targets: dict[int, dict] | None = None, rounds: int = ROUNDS, most_factor: float | None = MOST_FACTOR) -> np.ndarray:
-    """Raked weights of cells, of the same sum as tokens. targets has shares by a margin's place."""
+def rake_array(keys: list[tuple], tokens: np.ndarray, targets: dict[int, dict] | None = None, rounds: int = ROUNDS, most_factor: float | None = None) -> np.ndarray:
+    """Raked weights of cells, of the same sum as tokens. targets has shares by a margin's place.
+
+    Only a caller's most_factor trims factors; a trimmed cell stays below its target, as reached() shows.
+    """
     total, weight = tokens.sum(), tokens.astype(float).copy()
     margins = []
     for m in range(len(keys[0])):
@@ -93,7 +96,7 @@ def rake_array(keys: list[tuple], tokens: np.ndarray, targets: dict[int, dict] |
     return weight
 
 
-def rake_table(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, rounds: int = ROUNDS, most_factor: float | None = MOST_FACTOR) -> DataFrame:
+def rake_table(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, rounds: int = TABLE_ROUNDS, most_factor: float | None = None) -> DataFrame:
     """cells with weight, raked by one aggregation and one join a margin; each round is written to the shared folder."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -123,14 +126,17 @@ def rake_table(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, di
     return current
 
 
-def calibrate(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dict[str, dict] | None = None, share: float | None = None, most_cells: int = MOST_CELLS, most_factor: float | None = MOST_FACTOR) -> tuple[DataFrame, bool]:
-    """The cells with weight (their raking factor) and probability; whether they are few enough to broadcast.
+def calibrate(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dict[str, dict] | None = None, share: float | None = None, most_cells: int = MOST_CELLS, most_factor: float | None = None) -> tuple[DataFrame, bool]:
+    """The cells with tokens, weight (their raking factor), expected (copies of each document) and probability (of
+    at least one); whether they are few enough to broadcast.
 
     targets has, for each margin named there, shares by value (a value not named gets none); other
-    margins get tempered shares. Probabilities are the factors times one constant: the largest with
-    which none exceeds 1, or less if share (of all tokens, expected) asks for less.
+    margins get tempered shares. Copies are the factors times share, the drawn tokens as a share of all. Without
+    share these are as many tokens as there are, or fewer so that no more documents are drawn than there are
+    (three deviations of the draw below that); for that, cells have docs as count_cells() gives them.
     """
     spark = cells.sparkSession
+    cells = cells if "docs" in cells.columns else cells.withColumn("docs", F.lit(0.0))
     some = cells.limit(most_cells + 1).collect()
     few = len(some) <= most_cells
     kinds = ", ".join(f"`{m}` {dict(cells.dtypes)[m]}" for m in margins)
@@ -140,15 +146,34 @@ def calibrate(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dic
         tokens = np.array([r["tokens"] for r in some])
         by = {k: targets[m] for k, m in enumerate(margins) if targets and m in targets}
         weight = rake_array(keys, tokens, by, most_factor=most_factor) if keys else tokens
-        rows = [(*k, float(t), float(w)) for k, t, w in zip(keys, tokens, weight)]
-        raked = spark.createDataFrame(rows, f"{kinds}, tokens double, weight double")
-        top = max((w / t for *_, t, w in rows), default=1.0)
+        rows = [(*k, r["docs"], float(t), float(w)) for k, r, t, w in zip(keys, some, tokens, weight)]
+        raked = spark.createDataFrame(rows, f"{kinds}, docs double, tokens double, weight double")
     else:
         raked = rake_table(cells, margins, targets, most_factor=most_factor)
-        top = raked.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0]
-    constant = min(1 / top, share if share is not None else 1 / top)
     factor = F.col("weight") / F.col("tokens")
-    return raked.select(*margins, factor.alias("weight"), F.least(F.lit(1.0), factor * constant).alias("probability")), few
+    if share is None:
+        given, drawn = (v or 0.0 for v in raked.agg(F.sum("docs"), F.sum(F.col("docs") * factor)).first())
+        share = min(1.0, max(given - 1.5 * given**0.5, given / 2) / drawn) if drawn else 1.0
+    expected = factor * share
+    return raked.select(*margins, "tokens", factor.alias("weight"), expected.alias("expected"), F.least(F.lit(1.0), expected).alias("probability")), few
+
+
+def reached(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dict[str, dict] | None = None) -> DataFrame:
+    """margin, value, target and reached share of every value of every margin of calibrate()'s cells.
+
+    They differ where targets contradict each other or a value's cells, or factors were trimmed.
+    """
+    out = []
+    for m in margins:
+        sums = cells.groupBy(F.col(m).alias("v")).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("w"))
+        if targets and m in targets:
+            named = cells.sparkSession.createDataFrame(list(targets[m].items()), f"k {dict(cells.dtypes)[m]}, raw double")
+            sums = sums.join(named, F.col("v").eqNullSafe(F.col("k")), "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+        else:
+            sums = sums.withColumn("raw", F.pow("t", F.lit(TEMPER)))
+        whole = sums.agg(F.sum("raw").alias("raws"), F.sum("w").alias("ws"))
+        out.append(sums.crossJoin(whole).select(F.lit(m).alias("margin"), F.col("v").cast("string").alias("value"), (F.col("raw") / F.col("raws")).alias("target"), (F.col("w") / F.col("ws")).alias("reached")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def draw(*of: Column, seed: int = 0) -> Column:
@@ -156,21 +181,28 @@ def draw(*of: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def drawn_copies(expected: Column, *identity: Column, seed: int = 0) -> Column:
+    """How many copies of a document are drawn: expected's whole part, and one more with the rest as probability."""
+    whole = F.floor(expected)
+    return whole.cast("int") + (draw(*identity, seed=seed) < expected - whole).cast("int")
+
+
 def with_probability(df: DataFrame, cells: DataFrame, few: bool, identity: list[str], margins: tuple[str, ...] = MARGINS, seed: int = 0) -> DataFrame:
-    """df with weight, probability and selected; a document without tokens has 0, 0 and false.
+    """df with weight, probability, copies and selected (copies > 0); a document without tokens has 0, 0, 0 and false.
 
     The draw depends on the identity columns, so equal rows are drawn alike and a job that runs
     again draws the same documents.
     """
-    renamed = cells.select(*[F.col(m).alias(f"cell_{k}") for k, m in enumerate(margins)], "weight", "probability")
+    renamed = cells.select(*[F.col(m).alias(f"cell_{k}") for k, m in enumerate(margins)], "weight", "probability", "expected")
     on = reduce(lambda a, b: a & b, [df[m].eqNullSafe(renamed[f"cell_{k}"]) for k, m in enumerate(margins)])
     joined = df.join(F.broadcast(renamed) if few else renamed, on, "left").drop(*[f"cell_{k}" for k in range(len(margins))])
     filled = joined.withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("probability", F.coalesce("probability", F.lit(0.0)))
-    return filled.withColumn("selected", draw(*identity, seed=seed) < F.col("probability"))
+    filled = filled.withColumn("copies", drawn_copies(F.coalesce("expected", F.lit(0.0)), *map(F.col, identity), seed=seed)).drop("expected")
+    return filled.withColumn("selected", F.col("copies") > 0)
 
 
 def mixed(docs: DataFrame, identifier: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 0, **options) -> DataFrame:
-    """Every row of docs with topic, n_tokens, weight, probability and selected, and identifier, source and lang.
+    """Every row of docs with topic, n_tokens, weight, probability, copies and selected, and identifier, source and lang.
 
     Null source or lang is a value of its own; a null or blank text has no tokens and is not drawn;
     repeated rows are drawn alike; an empty table gives no rows. No text is in the result.
@@ -179,18 +211,20 @@ def mixed(docs: DataFrame, identifier: str = "doc_id", text: str = "text", sourc
     told = written(told.select(F.col(identifier).alias("id"), F.col(source).alias("source"), F.col(lang).alias("lang"), "d.topic", "d.n_tokens", "text_hash"), "told")
     cells, few = calibrate(count_cells(told), **options)
     out = with_probability(told, cells, few, ["id", "text_hash"], seed=seed)
-    return out.select(F.col("id").alias(identifier), F.col("source").alias(source), F.col("lang").alias(lang), "topic", "n_tokens", "weight", "probability", "selected")
+    return out.select(F.col("id").alias(identifier), F.col("source").alias(source), F.col("lang").alias(lang), "topic", "n_tokens", "weight", "probability", "copies", "selected")
 
 
 def sample(docs: DataFrame, identifier: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 0, **options) -> DataFrame:
-    """The drawn rows of docs, with docs' own columns; the same rows that mixed() marks as selected."""
+    """The drawn rows of docs, with docs' own columns, each as often as mixed() has copies of it."""
     held = free_name(docs, "described")
     told = docs.withColumn(held, describe(F.col(text)))
     margins = docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), describe(F.col(text)).alias("d")).select("source", "lang", "d.topic", "d.n_tokens")
     cells, few = calibrate(count_cells(margins), **options)
     own, chance = free_name(told, "cell"), free_name(told, "chance")
-    cells = cells.select(F.struct("source", "lang", "topic").alias(own), F.col("probability").alias(chance))
+    cells = cells.select(F.struct("source", "lang", "topic").alias(own), F.col("expected").alias(chance))
     cell = F.struct(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(f"{held}.topic").alias("topic"))
     joined = told.join(F.broadcast(cells) if few else cells, cell.eqNullSafe(F.col(own)))
-    drawn = (draw(F.col(identifier).cast("long"), F.xxhash64(text), seed=seed) < F.col(chance)) & (F.col(f"{held}.n_tokens") > 0)
-    return joined.where(drawn).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = drawn_copies(F.col(chance), F.col(identifier).cast("long"), F.xxhash64(text), seed=seed)
+    again = free_name(joined, "again")
+    drawn = joined.where(F.col(f"{held}.n_tokens") > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), copies)).alias(again))
+    return drawn.drop(again)

@@ -108,6 +108,34 @@ def test_drawn_tokens_follow_the_targets(spark, sf):
     assert {r["doc_id"] for r in mixing.sample(docs).collect()} == {r["doc_id"] for r in got.where("selected").collect()}
 
 
+def test_skewed_shares_are_reached(spark):
+    """A source of 0.01 % beside a hot one, and one that is to be six times its share: all three margins are met."""
+    parts = [("hot", 3000, 20)] + [(f"s{k}", 300, 20) for k in range(20)] + [("rare", 1, 20)]
+    rows = [(s, l, t, float(n * w * (1 + (k + j) % 3))) for s, n, w in parts for k, l in enumerate(["en", "fr", None]) for j, t in enumerate(["t0", "t1"])]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    for targets in (None, {"source": {"hot": 0.5, "s1": 0.3, "rare": 0.2}}):
+        for most in (1000, 2):
+            got, _ = mixing.calibrate(cells, targets=targets, most_cells=most)
+            shares = mixing.reached(got, targets=targets).collect()
+            assert len(shares) == 22 + 3 + 2 and all(r["reached"] == pytest.approx(r["target"], rel=1e-4, abs=1e-9) for r in shares)
+            assert got.agg(F.max("weight")).first()[0] > 6
+
+
+def test_copies_are_drawn_in_target_shares(spark):
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("word "), F.repeat(F.lit("another "), F.pmod(F.col("id"), F.lit(7)).cast("int"))).alias("text"),
+        F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("source"),
+        F.lit("en").alias("lang"),
+    )
+    wanted = {"source": {"rare": 0.3, "hot": 0.7}}
+    told = mixing.mixed(docs, targets=wanted)
+    sums = {r["source"]: r["n"] for r in told.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()}
+    assert sums["rare"] / sum(sums.values()) == pytest.approx(0.3, abs=0.02)
+    drawn = {r["doc_id"]: r["count"] for r in mixing.sample(docs, targets=wanted).groupBy("doc_id").count().collect()}
+    assert drawn == {r["doc_id"]: r["copies"] for r in told.where("selected").collect()} and max(drawn.values()) > 20
+
+
 def test_mixing_of_odd_rows(spark):
     got = mixing.mixed(clashing(spark)).collect()
     assert len(got) == len(DOCS) and all(r["selected"] is not None for r in got)
