@@ -33,9 +33,11 @@ DICTIONARY = (
 #: Words beside a candidate that speak for a secret, and against one (fixed values).
 KEY_WORDS = "token|secret|passw|passwd|pwd|api|apikey|key|auth|authorization|bearer|credential|private|access"
 OTHER_WORDS = "commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|version|build|isbn|phone|card|account|invoice|order|url|file|path|image"
+#: What providers put before their keys.
+PREFIX = "^(AKIA|ASIA|AIza|gh[oprsu]_|glpat-|npm_|sk_live_|xox[abp]-)"
 FEATURES = (
     "length distinct_share transition_share digit_share upper_share hex alternating covered slashes dots numeric dashes path_word "
-    "key_before other_before key_near assigned quoted words_around"
+    "key_before other_before key_near assigned quoted words_around prefix"
 ).split()
 
 
@@ -89,6 +91,7 @@ def features(found: DataFrame) -> DataFrame:
         "assigned": F.concat_ws(" ", "before1", "word").rlike("[=:]").cast("double"),
         "quoted": F.col("word").rlike("^[\"'`]|=[\"'`]").cast("double"),
         "words_around": F.regexp_count(around, F.lit("[a-z]{2,}")).cast("double"),
+        "prefix": value.rlike(PREFIX).cast("double"),
     }
     return found.select("*", *[F.coalesce(made[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
 
@@ -96,8 +99,10 @@ def features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
     """Findings with labels, made by rule from row numbers: value, path, word, before2, before1, after1, label.
 
-    Even rows are secrets (hex, base64, prefixed keys) beside words of credentials; odd rows are what
-    scanners take for secrets: commit and checksum hex, uuids, card numbers, names, paths, versions.
+    Even rows are secrets (hex, base64, prefixed keys), odd rows are what scanners take for secrets:
+    commit and checksum hex, uuids, card numbers, names, paths, placeholders. No one feature gives the
+    label: a third of the secrets have no word of credentials beside them, a half of the others have
+    one, and paths of tests and documents are likelier for what is no secret, even a keyed hex.
     """
     r = spark.range(0, rows, 1, 4)
 
@@ -135,22 +140,46 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         .otherwise(F.concat(F.lit("xxxxxxxxxxxx"), F.substring(number, 1, 4), F.lit("xxxx")))
     )
     secret = F.col("id") % 2 == 0
+
+    def dealt(salt: str, of: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(of))
+
     named = pick("k", "token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret")
-    other = pick("o", "commit", "sha256", "md5", "checksum", "the", "and", "version", "file", "uuid", "reading", "of", "order")
-    key = F.when(secret, named).otherwise(F.when((kind < 4) | (kind >= 10) & (F.col("id") % 5 == 1), other).otherwise(other))
+    other = pick("o", "commit", "sha256", "md5", "checksum", "version", "file", "uuid", "order", "sha1", "revision", "digest", "build")
+    plain = pick("n", "the", "and", "reading", "of", "value", "with", "in", "then", "from", "send")
+    holder = pick("v", "value", "session", "conn", "client", "cfg", "remote")
     sign = pick("s", "=", ":", "=", "is")
+    bare, keyed = dealt("bare", 3) == 0, dealt("keyed", 2) == 0
+    hexlike = (kind < 5) | (kind >= 9) & (kind != 10)
+    hashlike = kind < 5
+    # A secret is keyed, or bare: then its prefix or its alphabet tells, or for hex that it is assigned in quotes.
+    # What is no secret is beside credential words too: a named hash (token commit 8f3a..), or in a test's path.
+    fixture = ~secret & hashlike & keyed & (dealt("fix", 3) == 0)
+    beside = (
+        F.when(secret & bare & hexlike, F.array(holder, F.lit("=")))
+        .when(secret & bare, F.array(pick("b2", "the", "and", "of", "that", "in"), plain))
+        .when(secret & (dealt("joined", 4) == 0), F.array(plain, F.concat(named, F.lit(":"))))
+        .when(secret | fixture, F.array(named, sign))
+        .when(keyed & hashlike, F.array(named, other))
+        .when(keyed, F.array(named, sign))
+        .when(dealt("signed", 3) == 0, F.array(other, sign))
+        .otherwise(F.array(plain, F.when(hashlike | (dealt("named", 2) == 0), other).otherwise(plain)))
+    )
     value = F.when(secret, real).otherwise(false)
-    quoted = F.when(F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(10)) < F.when(secret, 7).otherwise(2), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
-    tail = pick("t", "", "", ",", ".", "###", ";")
-    spaced = F.when(secret, F.lit(True)).otherwise(kind < 5)
+    in_quotes = F.when(secret & bare & hexlike, True).otherwise(dealt("q", 10) < F.when(secret | fixture | keyed & ~hashlike, 6).otherwise(2))
+    quoted = F.when(in_quotes, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+    tail = pick("t", "", "", ",", ".", ")", ";")
+    places = ("src0", "src7", "config/prod.env", "app/settings.py", "deploy/main.yml")
+    tests = ("tests/fixtures/a.txt", "docs/example.md", "samples/mock.json")
+    tested = F.when(fixture, True).when(secret, (dealt("tp", 8) == 0) & ~hexlike).otherwise(dealt("tp", 8) < 3)
     return r.select(
         "id",
         value.alias("value"),
-        pick("p", "src0", "src7", "config/prod.env", "tests/fixtures/a.txt", "docs/example.md", "app/settings.py").alias("path"),
+        F.when(tested, pick("p", *tests)).otherwise(pick("p", *places)).alias("path"),
         F.concat(quoted, tail).alias("word"),
-        F.when(spaced, key).otherwise(pick("b2", "the", "and", "of", "that", "in")).alias("before2"),
-        F.when(spaced, sign).otherwise(key).alias("before1"),
-        pick("a1", "the", "and", "for", "enon", "").alias("after1"),
+        F.get(beside, F.lit(0)).alias("before2"),
+        F.get(beside, F.lit(1)).alias("before1"),
+        pick("a1", "the", "and", "for", "with", "").alias("after1"),
         secret.cast("double").alias("label"),
     )
 
