@@ -26,8 +26,10 @@ BATCH_BYTES = 1 << 20
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of at least COMMON_IN of about SAMPLE_TEXTS texts come last in prefixes (the MOST_COMMON of them).
-SAMPLE_TEXTS, COMMON_IN, MOST_COMMON = 50_000, 20, 100_000
-_SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "fp")], StructField("prefix", ArrayType(LongType()))])
+SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 20, 100_000, 2_000_000
+#: Bits of a set's sketch: the parity of the shingles at each place. Two sketches differ in no more bits than their sets in shingles.
+SKETCH_BITS = 1024
+_SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "fp")], *[StructField(n, ArrayType(LongType())) for n in ("prefix", "sketch")]])
 _SPACE = bytes(range(9, 14)) + b" "
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SQUEEZE = bytes(32 if b in _SPACE else _LOWER[b] for b in range(256))
@@ -291,7 +293,7 @@ def shingle_sets(text: Column, size: int) -> Column:
 
 
 def _signed(text: Column, size: int, similarity: float, common: dict[int, int]) -> Column:
-    """node (a hash of the set of shingles), size, fp and prefix of each text.
+    """node (a hash of the set of shingles), size, fp, prefix and sketch of each text.
 
     prefix has the set's first shingles in one order for all texts, rare before common: so many that
     two sets of that Jaccard similarity share one of them at least.
@@ -303,7 +305,7 @@ def _signed(text: Column, size: int, similarity: float, common: dict[int, int])
     def signed(column: pa.Array) -> pa.Array:
         import xxhash
 
-        nodes, sizes, fps, prefixes = [], [], [], []
+        nodes, sizes, fps, prefixes, sketches = [], [], [], [], []
         for x in column.cast(pa.large_binary()):
             own = shingle_set(x.as_py(), size)
             rank = np.zeros(len(own), np.int64)
@@ -315,23 +317,54 @@ def _signed(text: Column, size: int, similarity: float, common: dict[int, int])
             sizes.append(len(own))
             fps.append(_majority(own))
             prefixes.append(own[np.lexsort((own, rank))[:most]])
+            odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+            sketches.append(np.packbits(odd.astype(bool), bitorder="little").view("<u8"))
         longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, sizes, fps)]
-        return pa.StructArray.from_arrays([*longs, _lists(prefixes)], ["node", "size", "fp", "prefix"])
+        return pa.StructArray.from_arrays([*longs, _lists(prefixes), _lists(sketches)], ["node", "size", "fp", "prefix", "sketch"])
 
     return signed(text)
 
 
 def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
-    """Shingles of many texts and their counts, from a sample of bounded size; they only order the prefixes."""
+    """Shingles of many texts and about their counts, from a sample of bounded size; they only order the prefixes.
+
+    Repeats are counted within chunks of neighbouring texts, so single shingles are not shuffled.
+    """
     share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counts = some.select(F.explode(shingle_sets(F.col("text"), size)).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_IN)
-    return {r["h"] & ((1 << 64) - 1): r["count"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()}
+    some = texts.where(F.pmod(F.xxhash64("tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
+
+        def counted() -> pa.RecordBatch:
+            names, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            many = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["h", "n"])
+
+        for rows in batches:
+            for x in rows.column(0).cast(pa.large_binary()):
+                held.append(shingle_set(x.as_py(), size))
+                total += len(held[-1])
+                if total > CHUNK_SHINGLES:
+                    yield counted()
+                    held, total = [], 0
+        yield counted()
+
+    counts = some.mapInArrow(repeats, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_IN)
+    return {r["h"] & ((1 << 64) - 1): r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()}
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have at least that Jaccard similarity."""
-    pairs = written(pairs.distinct(), "pairs")
+    """The pairs (a, b) of nodes whose sets of shingles have at least that Jaccard similarity.
+
+    Pairs whose sketches differ in more bits than such sets can in shingles go first; the sets of the rest are compared.
+    """
+    x, y = ([F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")] for k in "ab")
+    told = pairs.distinct().join(nodes.select(*x), "a").join(nodes.select(*y), "b")
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    most = (F.col("size_a") + F.col("size_b")) * (1 - similarity) / (1 + similarity)
+    pairs = written(told.where(apart <= most + 1e-6).select("a", "b"), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     tags = nodes.join(asked, "node", "left_semi").select("node", "tag")
     sets = written(texts.join(tags, "tag").select("node", shingle_sets(F.col("text"), size).alias("own")), "sets")
