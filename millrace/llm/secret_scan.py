@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a run of 16 or more characters of [A-Za-z0-9+/_-] with a digit in it. Features tell of
+A candidate is a run of 16 or more characters of [A-Za-z0-9+/_-] with a digit in it, a token of three
+dotted parts, a PEM header, or, where an assignment or a credential word comes before, any value of 8
+or more characters. Features tell of
 its length, the transitions between its characters, how much of it a dictionary covers, its path (its
 own, and where the document is from) and the words beside it. A forest is trained from labelled
 findings and judges every candidate.
@@ -16,6 +18,11 @@ from pyspark.sql import functions as F
 
 LEAST = 16
 CANDIDATE = "[A-Za-z0-9+/_-]{16,}"
+DOTTED = "[A-Za-z0-9_-]{2,}[.][A-Za-z0-9_-]{6,}[.][A-Za-z0-9_-]{16,}"
+PEM = "-----BEGIN [A-Z0-9 ]+-----"
+#: An assigned value, alone or behind its name and sign: in quotes all between them, else up to the closing marks.
+ASSIGNED = "^[\"'`]?[A-Za-z0-9_.-]*[\"'`]?[=:]+([^=:/].*)$"
+SHORT = 8
 #: Labelled findings to train on: the bound of the generated ones, and of given ones (the first by hash).
 TRAINING_ROWS = 6000
 TREES, DEPTH, SEED = 24, 8, 7
@@ -50,11 +57,24 @@ def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
     listed = docs.select(*keys, where.alias("path"), words.alias("words"))
     each = listed.select(*keys, "path", "words", F.posexplode_outer("words").alias("word_no", "word"))
-    near = each.where((F.length("word") >= LEAST) & F.col("word").rlike("[0-9]") & F.col("word").rlike(CANDIDATE))
     beside = {"before2": -2, "before1": -1, "after1": 1}
-    near = near.select(*keys, "path", "word_no", "word", *[F.when(F.col("word_no") + k >= 0, F.get("words", F.col("word_no") + k)).alias(n) for n, k in beside.items()])
-    found = near.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("nth", "value"))
-    return found.where(F.col("value").rlike("[0-9]")).select(*keys, "word_no", "nth", "value", "path", "word", *beside)
+    near = each.where((F.length("word") >= SHORT)).select("*", *[F.when(F.col("word_no") + k >= 0, F.get("words", F.col("word_no") + k)).alias(n) for n, k in beside.items()])
+    key = f"(^|[^a-z])({KEY_WORDS})"
+    signed = F.col("before1").rlike("[=:]$") | F.col("before1").isin("is", "was") & F.lower("before2").rlike(key)
+    told = F.coalesce(signed | F.lower("before1").rlike(key), F.lit(False)) & ~F.col("word").contains("-----")
+    inside = F.regexp_extract("word", ASSIGNED, 1)
+    given = F.when(inside != "", inside).when(told, F.col("word")).otherwise(F.lit(""))
+    quoted = F.regexp_extract(given, "^([\"'`])(.*)\\1", 2)
+    given = F.when(quoted != "", quoted).otherwise(F.regexp_replace(given, "^[\"'`(\\[{<]+|[^A-Za-z0-9=!@$%^&*+/_-]+$", ""))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), lambda x: x.rlike("[0-9]"))
+    dotted = F.filter(F.regexp_extract_all("word", F.lit(f"({DOTTED})"), 1), lambda x: x.rlike("[0-9]"))
+    ahead = F.concat_ws(" ", *[F.get("words", F.col("word_no") + k) for k in range(5)])
+    pem = F.when(F.col("word").rlike("-----BEGIN$"), F.regexp_extract(ahead, f"({PEM})", 1)).otherwise(F.lit(""))
+    listed = F.filter(F.array_distinct(F.concat(runs, dotted, F.array(given, pem))), lambda x: F.length(x) >= SHORT)
+    near = near.select(*keys, "path", "word_no", "word", *beside, listed.alias("listed")).where(F.size("listed") > 0)
+    # A part of a longer value is no candidate of its own.
+    whole = F.filter("listed", lambda x: ~F.exists("listed", lambda y: (y != x) & F.contains(y, x)))
+    return near.select(*keys, "word_no", F.posexplode(whole).alias("nth", "value"), "path", "word", *beside).select(*keys, "word_no", "nth", "value", "path", "word", *beside)
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -91,7 +111,7 @@ def features(found: DataFrame) -> DataFrame:
         "assigned": F.concat_ws(" ", "before1", "word").rlike("[=:]").cast("double"),
         "quoted": F.col("word").rlike("^[\"'`]|=[\"'`]").cast("double"),
         "words_around": F.regexp_count(around, F.lit("[a-z]{2,}")).cast("double"),
-        "prefix": value.rlike(PREFIX).cast("double"),
+        "prefix": value.rlike(f"{PREFIX}|^eyJ|BEGIN .*PRIVATE KEY").cast("double"),
     }
     return found.select("*", *[F.coalesce(made[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
 
@@ -147,6 +167,25 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     named = pick("k", "token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret")
     other = pick("o", "commit", "sha256", "md5", "checksum", "version", "file", "uuid", "order", "sha1", "revision", "digest", "build")
     plain = pick("n", "the", "and", "reading", "of", "value", "with", "in", "then", "from", "send")
+    # Every third row is of the other shapes: short values, values without a digit or with other marks, dotted ones, PEM.
+    shape, odd_one = dealt("shape", 6), dealt("other", 3) == 0
+    letters = F.translate(b64, "0123456789+/", "qRstUvWxYzkJ")
+    shaped_real = (
+        F.when(shape == 0, F.concat(words, F.substring(F.translate(h, "abcdef", "012345"), 1, 2), pick("mark", "x", "!", "q7", "@1", "$")))
+        .when(shape == 1, F.concat(F.substring(letters, 1, 4), pick("mark", ".", "!", "@", "$", "="), F.substring(b64, 9, 5), pick("mark2", "!", "x", "7", "$")))
+        .when(shape == 2, F.substring(letters, 3, 24))
+        .when(shape == 3, F.substring(F.regexp_replace(b64, "[+/]", "5"), 5, 12))
+        .when(shape == 4, F.concat(F.lit("eyJ"), F.substring(b64, 1, 17), F.lit("."), F.lit("eyJ"), F.substring(b64, 9, 21), F.lit("."), F.substring(b64, 3, 40)))
+        .otherwise(F.concat(F.lit("-----BEGIN "), pick("pem", "RSA ", "", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----")))
+    )
+    shaped_false = (
+        F.when(shape == 0, F.rpad(F.concat(words, pick("ending", "ing", "ation", "ment", "able", "required")), 8, "s"))
+        .when(shape == 1, F.concat(words, pick("mark", ".", "-", "_"), pick("w2", *DICTIONARY[1::3]), pick("call", "", "()", ".txt", ".get")))
+        .when(shape == 2, F.concat(pick("w2", *DICTIONARY[1::3]), F.initcap(words), F.initcap(pick("w3", *DICTIONARY[2::3]))))
+        .when(shape == 3, F.concat(F.substring(number, 1, 4), pick("dash", "-", "", "/"), F.substring(number, 5, 6)))
+        .when(shape == 4, F.concat_ws(".", words, pick("w2", *DICTIONARY[1::3]), F.concat(pick("w3", *DICTIONARY[2::3]), words, F.lit("_host"), F.substring(number, 1, 2))))
+        .otherwise(F.concat(F.lit("-----BEGIN "), pick("pem", "CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY"), F.lit("-----")))
+    )
     holder = pick("v", "value", "session", "conn", "client", "cfg", "remote")
     sign = pick("s", "=", ":", "=", "is")
     bare, keyed = dealt("bare", 3) == 0, dealt("keyed", 2) == 0
@@ -154,7 +193,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     hashlike = kind < 5
     # A secret is keyed, or bare: then its prefix or its alphabet tells, or for hex that it is assigned in quotes.
     # What is no secret is beside credential words too: a named hash (token commit 8f3a..), or in a test's path.
-    fixture = ~secret & hashlike & keyed & (dealt("fix", 3) == 0)
+    fixture = ~odd_one & ~secret & hashlike & keyed & (dealt("fix", 3) == 0)
     beside = (
         F.when(secret & bare & hexlike, F.array(holder, F.lit("=")))
         .when(secret & bare, F.array(pick("b2", "the", "and", "of", "that", "in"), plain))
@@ -165,13 +204,15 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         .when(dealt("signed", 3) == 0, F.array(other, sign))
         .otherwise(F.array(plain, F.when(hashlike | (dealt("named", 2) == 0), other).otherwise(plain)))
     )
-    value = F.when(secret, real).otherwise(false)
-    in_quotes = F.when(secret & bare & hexlike, True).otherwise(dealt("q", 10) < F.when(secret | fixture | keyed & ~hashlike, 6).otherwise(2))
+    value = F.when(secret, F.when(odd_one, shaped_real).otherwise(real)).otherwise(F.when(odd_one, shaped_false).otherwise(false))
+    usual = F.when(secret, F.array(named, sign)).when(keyed, F.array(named, F.when(dealt("signs", 3) == 0, plain).otherwise(sign))).otherwise(F.array(plain, F.concat(named, F.lit(":"))))
+    beside = F.when(odd_one & (shape == 5), F.array(plain, plain)).when(odd_one, usual).otherwise(beside)
+    in_quotes = F.when(odd_one & (shape == 5), False).when(~odd_one & secret & bare & hexlike, True).when(odd_one, dealt("q", 10) < 4).otherwise(dealt("q", 10) < F.when(secret | fixture | keyed & ~hashlike, 6).otherwise(2))
     quoted = F.when(in_quotes, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
     tail = pick("t", "", "", ",", ".", ")", ";")
     places = ("src0", "src7", "config/prod.env", "app/settings.py", "deploy/main.yml")
     tests = ("tests/fixtures/a.txt", "docs/example.md", "samples/mock.json")
-    tested = F.when(fixture, True).when(secret, (dealt("tp", 8) == 0) & ~hexlike).otherwise(dealt("tp", 8) < 3)
+    tested = F.when(fixture, True).when(secret, (dealt("tp", 8) == 0) & (odd_one | ~hexlike)).otherwise(dealt("tp", 8) < 3)
     return r.select(
         "id",
         value.alias("value"),
