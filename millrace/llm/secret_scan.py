@@ -55,11 +55,20 @@ def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+")
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    listed = docs.select(*keys, where.alias("path"), words.alias("words"))
-    each = listed.select(*keys, "path", "words", F.posexplode_outer("words").alias("word_no", "word"))
-    beside = {"before2": -2, "before1": -1, "after1": 1}
-    near = each.where((F.length("word") >= SHORT)).select("*", *[F.when(F.col("word_no") + k >= 0, F.get("words", F.col("word_no") + k)).alias(n) for n, k in beside.items()])
     key = f"(^|[^a-z])({KEY_WORDS})"
+
+    def look(w: Column, i: Column) -> Column:
+        near = [F.when(i + k >= 0, F.get(F.col("words"), i + k)).alias(n) for n, k in (("before2", -2), ("before1", -1), ("after1", 1))]
+        ahead = F.when(w.endswith("-----BEGIN"), F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(5)])).alias("ahead")
+        # Only words that can hold a candidate get their neighbours: the others are null here.
+        before, earlier = F.lower(F.get(F.col("words"), F.greatest(i - 1, F.lit(0)))), F.lower(F.get(F.col("words"), F.greatest(i - 2, F.lit(0))))
+        may = (F.length(w) >= SHORT) & ((F.length(w) >= LEAST) | w.rlike("[=:]|-----BEGIN$") | before.rlike(f"[=:]$|{key}") | before.isin("is", "was") & earlier.rlike(key))
+        return F.when(may, F.struct(i.alias("word_no"), w.alias("word"), *near, ahead))
+
+    listed = docs.select(*keys, where.alias("path"), words.alias("words"))
+    few = F.filter(F.transform("words", look), lambda x: x.isNotNull())
+    near = listed.select(*keys, "path", F.explode(few).alias("w")).select(*keys, "path", "w.*")
+    beside = ("before2", "before1", "after1")
     signed = F.col("before1").rlike("[=:]$") | F.col("before1").isin("is", "was") & F.lower("before2").rlike(key)
     told = F.coalesce(signed | F.lower("before1").rlike(key), F.lit(False)) & ~F.col("word").contains("-----")
     inside = F.regexp_extract("word", ASSIGNED, 1)
@@ -68,8 +77,7 @@ def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
     given = F.when(quoted != "", quoted).otherwise(F.regexp_replace(given, "^[\"'`(\\[{<]+|[^A-Za-z0-9=!@$%^&*+/_-]+$", ""))
     runs = F.filter(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), lambda x: x.rlike("[0-9]"))
     dotted = F.filter(F.regexp_extract_all("word", F.lit(f"({DOTTED})"), 1), lambda x: x.rlike("[0-9]"))
-    ahead = F.concat_ws(" ", *[F.get("words", F.col("word_no") + k) for k in range(5)])
-    pem = F.when(F.col("word").rlike("-----BEGIN$"), F.regexp_extract(ahead, f"({PEM})", 1)).otherwise(F.lit(""))
+    pem = F.when(F.col("word").rlike("-----BEGIN$"), F.regexp_extract("ahead", f"({PEM})", 1)).otherwise(F.lit(""))
     listed = F.filter(F.array_distinct(F.concat(runs, dotted, F.array(given, pem))), lambda x: F.length(x) >= SHORT)
     near = near.select(*keys, "path", "word_no", "word", *beside, listed.alias("listed")).where(F.size("listed") > 0)
     # A part of a longer value is no candidate of its own.
