@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,20 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset (tests) is a local
-    folder made and set as the checkpoint folder.
+    Where that is unset, a folder is made in the driver's temporary one, but only in local mode, where
+    driver and executors are one process; on a cluster that would lose data, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
+    if not named:
         if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named.rstrip("/")
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        return context.getCheckpointDir().rstrip("/")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return context.getCheckpointDir().rstrip("/")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -46,6 +51,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of whole texts in an Arrow batch where an operator runs its own job: some MB, on either side of the pipe.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs started inside send at most so many rows at once to Python; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or a variant of it that no column of df has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -62,7 +84,7 @@ def words(text: str) -> "F.Column":
 
 
 # A space is no safe cut next to other white space, to U+2581 or to a text's end.
-_UNSAFE = re.compile("[\\s▁] | [\\s▁]|^ | $")
+UNSAFE_CUT = re.compile("[\\s▁] | [\\s▁]|^ | $")
 _EDGE = re.compile("[\\s▁]")
 
 
@@ -75,7 +97,7 @@ def safe_chunks(text: str) -> list[str]:
     behind another character. A text without a safe cut is one chunk.
     """
     parts = text.split(" ")
-    if len(parts) > 1 and _UNSAFE.search(text):
+    if len(parts) > 1 and UNSAFE_CUT.search(text):
         out = [parts[0]]
         for part in parts[1:]:
             last = out[-1]
@@ -116,5 +138,12 @@ def worker_memo(key: Hashable, make: Callable[[], object]):
 
 
 def give_back() -> None:
-    """Returns what Arrow has freed to the system, which its pool would keep for later batches."""
+    """Returns freed memory to the system: what Arrow's pool and the C library's heap would keep for later batches."""
     pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)

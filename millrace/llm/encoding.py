@@ -1,12 +1,10 @@
-"""Encoders of the public tokenizer files, remembered per worker by text piece."""
+"""Encoders of the public tokenizer files, with bounded memos per worker."""
 
 from __future__ import annotations
 
 import array
 import json
-import re
 from collections.abc import Callable, Iterable
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,91 +13,136 @@ import pyarrow.compute as pc
 from .common import safe_chunks, worker_memo
 
 
+#: Characters beside which a space is no safe cut (see safe_chunks): white space and U+2581.
+_EDGES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u2581"}
+#: The same for Arrow's regular expressions, on whole texts.
+_UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{2581}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}\x{2581}]|^ | $"
+
+
 class ChunkMemo:
-    """Values of chunks, each computed once per worker while it is remembered.
+    """Values of chunks, which many() computes for those not at hand.
 
-    many() turns a list of distinct chunks into their values. Chunks of at most longest characters
-    are remembered in two generations of entries / 2: when the young one is full it becomes the old
-    one, so memory is bounded and frequent chunks stay.
+    A chunk met for the first time waits among the new ones; met again in a later batch it moves to
+    the frequent ones. Either kind is two generations of a fixed number of entries: a full young one
+    becomes the old one, and what is met again moves back to the young one. So memory is bounded,
+    frequent chunks stay, and rare ones don't drive them out. Chunks of over longest characters are
+    not remembered.
     """
 
-    def __init__(self, many: Callable[[list[str]], Iterable], entries: int = 250_000, longest: int = 48):
-        self.many, self.entries, self.longest, self.known, self.old = many, entries, longest, {}, {}
+    def __init__(self, many: Callable[[list[str]], Iterable], frequent: int = 120_000, new: int = 100_000, longest: int = 48):
+        self.many, self.frequent, self.new, self.longest = many, frequent, new, longest
+        self.young, self.old, self.fresh, self.stale = {}, {}, {}, {}
 
     def values(self, chunks: list[str]) -> list:
-        found = list(map(self.known.get, chunks))
-        at = [k for k, v in enumerate(found) if v is None]
-        if at:
-            lost = dict.fromkeys([chunks[k] for k in at])
-            kept = list(map(self.old.get, lost))
-            if missing := [c for c, v in zip(lost, kept) if v is None]:
-                fresh = iter(self.many(missing))
-                kept = [next(fresh) if v is None else v for v in kept]
-            new = dict(zip(lost, kept))
-            for k in at:
-                found[k] = new[chunks[k]]
-            if len(self.known) + len(new) > self.entries // 2:
-                self.old, self.known = self.known, {}
-            if max(map(len, new)) > self.longest:
-                new = {c: v for c, v in new.items() if len(c) <= self.longest}
-            self.known.update(new)
+        """The value of each of some distinct chunks."""
+        found = list(map(self.young.get, chunks))
+        open_ = [k for k, v in enumerate(found) if v is None]
+        for place in (self.old, self.fresh, self.stale):
+            if place and open_:
+                left = []
+                for k in open_:
+                    c = chunks[k]
+                    value = place.get(c)
+                    if value is None:
+                        left.append(k)
+                    else:
+                        found[k] = self.young[c] = value
+                open_ = left
+        for k, value in zip(open_, self.many([chunks[k] for k in open_])):
+            found[k] = value
+            if len(chunks[k]) <= self.longest:
+                self.fresh[chunks[k]] = value
+        if len(self.fresh) > self.new:
+            self.stale, self.fresh = self.fresh, {}
+        if len(self.young) > self.frequent:
+            self.old, self.young = self.young, {}
         return found
 
 
-class ArrowMemo:
-    """As ChunkMemo, for Arrow strings with binary values; strings and values stay in Arrow.
+def unspaced(strings: pa.Array) -> list[str]:
+    """A list of an array of strings without spaces, by one join and one split (to_pylist() makes a scalar of each)."""
+    if not len(strings):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+
 
-    many() turns distinct strings into as many values. When over entries strings are known, those of
-    the batch at hand stay; strings of over longest bytes are not remembered.
+class HashMemo:
+    """Values of distinct strings without spaces, held in Arrow, which many() computes for those not at hand.
+
+    Entries are found by binary search over the sorted 64-bit hashes of their strings, and the strings
+    themselves are compared; nothing is hashed anew for a later batch. When over entries strings are
+    known, those met again since the last such time stay, and the newer half of the others. Strings of
+    over longest characters are not remembered.
     """
 
-    def __init__(self, many: Callable[[pa.Array], pa.Array], entries: int, longest: int = 64):
+    def __init__(self, many: Callable[[list[str]], pa.Array], entries: int = 700_000, longest: int = 48):
         self.many, self.entries, self.longest = many, entries, longest
         self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.again = np.zeros(0, bool)
+        self._index(np.zeros(0, np.uint64))
+
+    def _index(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        order = np.argsort(hashes, kind="stable")
+        self.keys, self.slots = hashes[order], order.astype(np.int32)
 
     def lookup(self, strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Values, and for each string the place of its own among them."""
-        coded = strings.dictionary_encode()
-        distinct = coded.dictionary
-        place = pc.index_in(distinct, self.known)
-        missing = distinct.filter(pc.is_null(place))
-        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
-        at[at < 0] = len(self.known) + np.arange(len(missing))
-        if len(missing):
-            self.known = pa.concat_arrays([self.known, missing])
-            self.ids = pa.concat_arrays([self.ids, self.many(missing)])
-        values, index = self.ids, at[coded.indices.to_numpy()]
-        if len(missing):
-            if len(self.known) > self.entries:
-                self.known, self.ids = self.known.take(pa.array(at)), self.ids.take(pa.array(at))
-            short = pc.less_equal(pc.binary_length(self.known), self.longest)
-            if not pc.all(short).as_py():
-                self.known, self.ids = self.known.filter(short), self.ids.filter(short)
-        return values, index
-
-
-def _joined(row: pa.Array, edges: np.ndarray) -> pa.Array:
-    """Neighbouring binary values as one each: those from edges[k] to edges[k + 1]."""
-    ends = np.frombuffer(row.buffers()[1], np.int64, len(row) + 1)[edges]
-    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), row.buffers()[2]])
-
-
-# Between a letter and ASCII punctuation or space, and between punctuation and a newline, the
-# byte-level pattern always ends one run and begins the next, whatever else stands around.
-_RUNS = re.compile(r"(?<=[^\W\d_])(?=[\x00-/:-@\[-`{-\x7f])|(?<=[!-/:-@])(?=\n)")
-
-
-#: A space that is no safe cut (see safe_chunks), for Arrow's regular expressions.
-_UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{2581}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}\x{2581}]|^ | $"
+        import xxhash
+
+        raw = unspaced(strings)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        place = np.full(len(raw), -1, np.int64)
+        if len(self.keys):
+            near = np.searchsorted(self.keys, hashes).clip(max=len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[near] == hashes)
+            at = self.slots[near[hit]]
+            same = pc.equal(self.known.take(pa.array(at)), strings.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+            place[hit[same]] = at[same]
+            self.again[at[same]] = True
+        lost = np.flatnonzero(place < 0)
+        if not len(lost):
+            return self.ids, place
+        missing = strings.take(pa.array(lost))
+        made = self.many([raw[k] for k in lost.tolist()])
+        place[lost] = len(self.known) + np.arange(len(lost))
+        values = pa.concat_arrays([self.ids, made])
+        short = np.fromiter((len(raw[k]) <= self.longest for k in lost.tolist()), bool, len(lost))
+        if short.all():
+            self.ids = values
+        else:
+            missing, made, lost = missing.filter(pa.array(short)), made.filter(pa.array(short)), lost[short]
+            self.ids = pa.concat_arrays([self.ids, made])
+        self.known = pa.concat_arrays([self.known, missing])
+        self.again = np.concatenate([self.again, np.zeros(len(lost), bool)])
+        self._index(np.concatenate([self.hashes, hashes[lost]]))
+        if len(self.known) > self.entries:
+            kept = self.again.copy()
+            rest = np.flatnonzero(~kept)
+            kept[rest[len(rest) // 2 :]] = True
+            if kept.sum() > self.entries * 3 // 4:
+                kept[: len(kept) // 2] = False
+            take = pa.array(np.flatnonzero(kept))
+            self.known, self.ids, self.again = self.known.take(take), self.ids.take(take), np.zeros(len(take), bool)
+            self._index(self.hashes[kept])
+        return values, place
+
+
+def binaries(values: Iterable[bytes]) -> pa.Array:
+    return pa.array(values if isinstance(values, list) else list(values), pa.large_binary())
 
 
 class JsonEncoder:
     """ids of texts by a .json file of the tokenizers library, little-endian, width bytes each.
 
     No special tokens are added; special strings inside texts are as the library's default has them.
-    A byte-level file encodes remembered chunks, cut where no token can span; another file whole texts.
+    A byte-level file encodes chunks, cut where no token can span, and remembers them; another file
+    whole texts. Chunks not at hand are encoded by the library many to a line: each begins with a
+    space and has no other, so the tokens that begin with a space tell where each one's ids begin.
     """
 
+    LINE, LINES = 512, 16
+
     def __init__(self, path: str):
         import tokenizers
 
@@ -107,39 +150,54 @@ class JsonEncoder:
         model.no_truncation()
         model.no_padding()
         self.width, self.code = (2, "H") if model.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.model, self.special = model, [t.content for t in model.get_added_tokens_decoder().values()]
+        self.model = model
         with open(path) as f:
             kind = json.load(f)
         own = kind.get("pre_tokenizer") or {}
-        self.cut = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and not kind.get("normalizer")
-        self.runs = ArrowMemo(self._library, 600_000)
-        self.later = ArrowMemo(lambda chunks: self._from_runs([" " + c for c in chunks.to_pylist()]), 500_000)
-
-    def _library(self, texts: pa.Array) -> pa.Array:
-        ids, ends = array.array(self.code), [0]
-        found = texts.to_pylist()
-        for at in range(0, len(found), 4096):
-            for e in self.model.encode_batch_fast(found[at : at + 4096], add_special_tokens=False):
-                ids.extend(e.ids)
-                ends.append(len(ids))
-        return pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(np.array(ends, np.int64) * self.width), pa.py_buffer(ids.tobytes())])
-
-    def _from_runs(self, chunks: list[str]) -> pa.Array:
-        line = "\0".join(chunks)
-        if any(s in line for s in self.special):
-            parts = [[c] if any(s in c for s in self.special) else _RUNS.split(c) for c in chunks]
-        else:
-            parts = list(map(_RUNS.split, chunks))
-        values, index = self.runs.lookup(pa.array(list(chain.from_iterable(parts)), pa.large_string()))
-        edges = np.fromiter(accumulate(map(len, parts), initial=0), np.int64, len(parts) + 1)
-        return _joined(values.take(pa.array(index)), edges)
-
-    def _whole(self, texts: list[str]) -> pa.Array:
-        if not self.cut:
-            return self._library(pa.array(texts, pa.large_string()))
-        parts = [safe_chunks(t) for t in texts]
-        edges = np.fromiter(accumulate(map(len, parts), initial=0), np.int64, len(parts) + 1)
-        return _joined(self._from_runs(list(chain.from_iterable(parts))), edges)
+        special = [t.content for t in model.get_added_tokens_decoder().values()]
+        self.cut = (
+            own.get("type") == "ByteLevel"
+            and own.get("use_regex", True)
+            and not own.get("add_prefix_space")
+            and not kind.get("normalizer")
+            and not any(c.isspace() for s in special for c in s)
+        )
+        vocabulary = model.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for t, k in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.later = HashMemo(lambda chunks: binaries(self._chunks(chunks)))
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes()
+
+    def _each(self, texts: list[str]) -> Iterable[bytes]:
+        for at in range(0, len(texts), 1024):
+            for e in self.model.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False):
+                yield self._bytes(e.ids)
+
+    def _chunks(self, chunks: list[str]) -> Iterable[bytes]:
+        """ids of chunks, each with the space before it that it is given without."""
+        if not chunks:
+            return []
+        odd = {k for k, c in enumerate(chunks) if " " in c or c[0] in _EDGES or c[-1] in _EDGES}
+        alone = self._each([" " + chunks[k] for k in sorted(odd)])
+        plain = self._joined([c for k, c in enumerate(chunks) if k not in odd] if odd else chunks)
+        return (next(alone if k in odd else plain) for k in range(len(chunks))) if odd else plain
+
+    def _joined(self, chunks: list[str]) -> Iterable[bytes]:
+        for at in range(0, len(chunks), self.LINE * self.LINES):
+            some = chunks[at : at + self.LINE * self.LINES]
+            lines = [some[k : k + self.LINE] for k in range(0, len(some), self.LINE)]
+            for line, e in zip(lines, self.model.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) != len(line):
+                    yield from self._each([" " + c for c in line])
+                    continue
+                raw = ids.astype(f"<u{self.width}").tobytes()
+                edges = (starts * self.width).tolist() + [len(raw)]
+                for a, b in zip(edges, edges[1:]):
+                    yield raw[a:b]
 
     def encode(self, column: pa.Array) -> tuple[memoryview, np.ndarray]:
         """All ids of a column of texts as bytes, and where each text's begin (and the last's end).
@@ -151,22 +209,36 @@ class JsonEncoder:
         whole = pc.match_substring_regex(texts, _UNSAFE) if self.cut else pa.array(np.ones(len(texts), bool))
         parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         edges = parts.offsets.to_numpy()
-        flat = parts.flatten()
-        first = np.zeros(len(flat), bool)
-        first[edges[:-1]] = True
-        values, index = self.later.lookup(flat.filter(pa.array(~first)))
-        places = np.empty(len(flat), np.int64)
-        places[~first] = index
-        places[first] = len(values) + np.arange(len(texts))
+        coded = parts.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
         odd = whole.to_numpy(zero_copy_only=False)
-        heads = flat.filter(pa.array(first)).to_pylist()
-        opened, rest = self._from_runs([h for h, o in zip(heads, odd) if not o]), self._whole(texts.filter(whole).to_pylist())
-        turn = np.where(odd, len(opened) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
-        opened = pa.concat_arrays([opened, rest]).take(pa.array(turn))
-        row = pa.concat_arrays([values, opened]).take(pa.array(places))
+        first = index[edges[:-1]]
+        # A text's first chunk has no space before it; a text that can't be cut at every space comes as its first chunk.
+        heads = list(self._each(coded.dictionary.take(pa.array(first)).to_pylist()))
+        for k, ids in zip(np.flatnonzero(odd).tolist(), self._whole(texts.filter(whole).to_pylist())):
+            heads[k] = ids
+        inner = np.ones(len(index), bool)
+        inner[edges[:-1]] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[index[inner]] = True
+        values, place = self.later.lookup(coded.dictionary.filter(pa.array(used)))
+        target = np.zeros(len(used), np.int64)
+        target[used] = place
+        index = target[index]
+        index[edges[:-1]] = len(values) + np.arange(len(heads))
+        row = pa.concat_arrays([values, binaries(heads)]).take(pa.array(index))
         ends = np.frombuffer(row.buffers()[1], np.int64, len(row) + 1)
         return memoryview(row.buffers()[2] or b""), ends[edges]
 
+    def _whole(self, texts: list[str]) -> Iterable[bytes]:
+        """ids of texts with spaces that are no safe cuts."""
+        if not self.cut:
+            yield from self._each(texts)
+            return
+        for text in texts:
+            first, *rest = safe_chunks(text)
+            yield b"".join([*self._each([first]), *self._chunks([c[1:] for c in rest])])
+
 
 def json_encoder(path: str) -> JsonEncoder:
     return worker_memo(("json", path), lambda: JsonEncoder(path))

@@ -25,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, fresh_dir, give_back, written
+from .common import byte_batches, fresh_dir, give_back, small_batches, written
 from .encoding import json_encoder
 
 BLOCK_BYTES = 64 << 10
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: A task begins a new shard when the one at hand is longer than this.
+SHARD_BYTES = 1 << 30
 BITS_PER_KEY = 10
 PROBES = 7
 MAGIC = b"MRSST001"
@@ -217,23 +220,26 @@ def _encoded(batch: pa.RecordBatch, path: str, end_id: int | None) -> Iterator[t
     encoder = json_encoder(path)
     end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
     ids, column = batch.column(0).to_pylist(), batch.column(1)
-    for a, b in byte_batches([len(x.as_buffer()) if x.is_valid else 0 for x in column.cast(pa.large_binary())], BATCH_BYTES):
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_pylist()
+    for a, b in byte_batches(sizes, BATCH_BYTES):
         data, edges = encoder.encode(column.slice(a, b - a))
         for k, i, j in zip(range(a, b), edges.tolist(), edges[1:].tolist()):
             yield ids[k], bytes(data[i:j]) + end
-    data = None
+        data = None
     give_back()
 
 
 MANIFEST = "shard long, path string, entries long, tokens long, bytes long, first_key binary, last_key binary"
+_MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
 
 
-def write_shards(df: DataFrame, path: str, directory: str, identifier: str = "doc_id", text: str = "text", end_id: int | None = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def write_shards(df: DataFrame, path: str, directory: str, identifier: str = "doc_id", text: str = "text", end_id: int | None = 0, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every whole text and writes shards under directory; gives the manifest, itself a table there.
 
     path names a .json file of the tokenizers library; end_id (None: nothing) ends each document.
-    Rows are range-partitioned and sorted by identifier, one shard a partition, so that shards in
-    their order hold all documents in ascending order. A null identifier sorts first, a null or
+    Rows are range-partitioned and sorted by identifier; a partition streams into one shard, and into the
+    next when that has shard_bytes, so that shards in their order hold all documents in ascending order.
+    An identifier must be an integer or cast to one (a text that does not stops the job). A null identifier sorts first, a null or
     empty text is the end id alone, rows that share an identifier are all kept, told apart by a
     counter, and an empty table has no shard. Other columns are not read.
 
@@ -244,27 +250,35 @@ def write_shards(df: DataFrame, path: str, directory: str, identifier: str = "do
     placed = rows.repartitionByRange(F.asc_nulls_first("id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("id"), "tie").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, name = TaskContext.get().partitionId(), ""
+        shard, name = TaskContext.get().partitionId() << 20, ""
         writer = stream = None
         last, copies = object(), 0
+
+        def finished() -> pa.RecordBatch:
+            size = writer.close()
+            stream.close()
+            line = {"shard": shard, "path": f"{directory}/{name}", "entries": writer.entries, "tokens": writer.tokens, "bytes": size, "first_key": writer.first, "last_key": writer.last}
+            return pa.RecordBatch.from_pylist([line], schema=_MANIFEST)
+
         for batch in batches:
             for key, value in _encoded(batch, path, end_id):
+                if writer is not None and writer.at > shard_bytes and key != last:
+                    yield finished()
+                    writer, shard = None, shard + 1
                 if writer is None:
                     system, base = _opened(directory)
                     system.create_dir(base, recursive=True)
-                    name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
+                    name = f"shard-{shard:012x}-{uuid.uuid4().hex}.sst"
                     stream = system.open_output_stream(f"{base}/{name}")
                     writer = ShardWriter(stream, json_encoder(path).width, block_bytes)
                 copies = copies + 1 if key == last else 0
                 last = key
                 writer.add(make_key(key, copies), value)
         if writer is not None:
-            size = writer.close()
-            stream.close()
-            line = {"shard": shard, "path": f"{directory}/{name}", "entries": writer.entries, "tokens": writer.tokens, "bytes": size, "first_key": writer.first, "last_key": writer.last}
-            yield pa.RecordBatch.from_pylist([line], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]))
+            yield finished()
 
-    return written(placed.mapInArrow(write, MANIFEST), "manifest")
+    with small_batches(df.sparkSession):
+        return written(placed.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,16 +30,14 @@ def _lengths(texts: list[str], path: str) -> list[int]:
     if not path.endswith(".model"):
         encoder = json_encoder(path)
         return (np.diff(encoder.encode(pa.array(texts, pa.large_string()))[1]) // encoder.width).tolist()
-    chunks: list[str] = []
-    ends = []
+    cut: list[list[str]] = []
     for text in texts:
+        cut.append(safe_chunks(text) if text else [])
         if text:
-            first, *rest = safe_chunks(text)
-            chunks.append(" " + first)
-            chunks += rest
-        ends.append(len(chunks))
-    counts = _piece_memo(path).values(chunks)
-    return [sum(counts[a:b]) for a, b in zip([0, *ends], ends)]
+            cut[-1][0] = " " + cut[-1][0]
+    distinct = list(set().union(*cut))
+    count = dict(zip(distinct, _piece_memo(path).values(distinct))).__getitem__
+    return [sum(map(count, chunks)) for chunks in cut]
 
 
 def count_tokens(

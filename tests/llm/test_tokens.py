@@ -4,6 +4,7 @@ import io
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import sstable
 from millrace.llm.common import byte_batches, safe_chunks
+from millrace.llm.encoding import HashMemo, json_encoder
 from millrace.llm.token_counts import _lengths, count_tokens
 
 from .fixtures import BYTE_BPE, DOCS, PIECES, clashing, corpus, empty
@@ -32,7 +34,36 @@ odd = st.lists(st.sampled_from([*"ab .,\n\t'sT1é ▁\x1c　日²_<|>", "<|endof
 def test_chunks_are_safe(text):
     assert "".join(safe_chunks(text)) == text
     assert _lengths([text], PIECES) == [len(SP.encode(text))]
-    assert _lengths([text], BYTE_BPE) == [len(bpe(text))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | odd, max_size=6))
+def test_ids_of_odd_texts(texts):
+    data, edges = json_encoder(BYTE_BPE).encode(pa.array(texts, pa.string()))
+    assert [list(struct.unpack(f"<{(b - a) // 2}H", data[a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist())] == [bpe(t) for t in texts]
+
+
+def test_memo_that_overflows_stays_exact():
+    made = []
+
+    def many(chunks):
+        made.extend(chunks)
+        return pa.array([c.upper().encode() for c in chunks], pa.large_binary())
+
+    memo = HashMemo(many, entries=40, longest=6)
+    for k in range(60):
+        some = ["often", "toolongtostay", *[f"w{j}" for j in range(k, k + 15)]]
+        values, at = memo.lookup(pa.array(some, pa.large_string()))
+        assert [values[j].as_py().decode() for j in at.tolist()] == [c.upper() for c in some]
+        assert len(memo.known) <= 40 + 17
+    assert made.count("often") < 5 and made.count("toolongtostay") == 60
+
+
+def test_long_shards_are_followed_by_new_ones(spark):
+    whole = sstable.encode_to_shards(corpus(spark), BYTE_BPE)
+    parts = sstable.encode_to_shards(corpus(spark), BYTE_BPE, block_bytes=512, shard_bytes=1024)
+    assert parts.count() > whole.count()
+    assert sorted(map(str, sstable.read_shards(parts).collect())) == sorted(map(str, sstable.read_shards(whole).collect()))
 
 
 def test_batches_are_balanced():
