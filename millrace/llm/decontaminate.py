@@ -29,6 +29,10 @@ RADIUS = 23
 BLOCKS = 8
 #: Up to so many index rows are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Windows of longer items are told apart before they are fingerprinted.
+LONG_ITEM = 4096
+#: Places that each anchor stands in where it is not broadcast.
+SALTS = 8
 
 
 def shingles(text: Column) -> Column:
@@ -44,28 +48,32 @@ def shingles(text: Column) -> Column:
     return F.coalesce(F.get(F.transform(F.array(hashed), joined), F.lit(0)), F.array().cast("array<bigint>"))
 
 
-def fingerprint(window: Column) -> Column:
-    """SimHash of an array of shingle hashes: a bit is 1 if it is set in over half of them.
-
-    Sixteen running sums count four bits each in lanes of 16 bits, so up to 65,535 shingles.
-    """
-    lanes = F.lit(0x0001000100010001)
+def _majority(window: Column, lane: int) -> Column:
+    """The bits that are set in over half of the hashes, counted in lanes of so many bits, 64 / lane to a long."""
+    per = 64 // lane
+    mask = F.lit(sum(1 << lane * k for k in range(per)))
 
     def total(k: int) -> Column:
-        return F.aggregate(window, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(lanes))
-
-    half = F.array(*map(total, range(16)))
+        return F.aggregate(window, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(mask))
 
     def bits(counts: Column) -> Column:
         out = []
-        for k in range(16):
-            for lane in range(4):
-                count = F.shiftrightunsigned(F.get(counts, F.lit(k)), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-                bit = k + 16 * lane
+        for k in range(lane):
+            for n in range(per):
+                count = F.shiftrightunsigned(F.get(counts, F.lit(k)), lane * n).bitwiseAND(F.lit((1 << lane) - 1))
+                bit = k + lane * n
                 out.append(F.when(2 * count > F.size(window), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
         return reduce(lambda a, b: a.bitwiseOR(b), out)
 
-    return F.coalesce(F.get(F.transform(F.array(half), bits), F.lit(0)), F.lit(0).cast("long"))
+    return F.get(F.transform(F.array(F.array(*map(total, range(lane)))), bits), F.lit(0))
+
+
+def fingerprint(window: Column) -> Column:
+    """SimHash of an array of shingle hashes: a bit is 1 if it is set in over half of them.
+
+    Windows of under 2^15 shingles are counted in lanes of 16 bits, longer ones in lanes of 32.
+    """
+    return F.coalesce(F.when(F.size(window) < 1 << 15, _majority(window, 16)).otherwise(_majority(window, 32)), F.lit(0).cast("long"))
 
 
 def block(fp: Column, number: int, blocks: int) -> Column:
@@ -93,19 +101,42 @@ def block_index(items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
 
 
 def _windows(docs: DataFrame, anchors: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """The windows to fingerprint: keys, size, first (shingle number) and win (its shingles)."""
-    first = F.greatest(F.lit(0), F.least(F.col("pos"), F.size("own") - F.col("size")))
+    """The windows to fingerprint: keys, size, first (shingle number) and win (its shingles).
+
+    A small list of anchors is broadcast. Otherwise documents' shingles meet it by a shuffle: a window
+    that many anchors lead to is kept once, and each anchor stands in SALTS places, so that a very
+    common shingle does not meet in one task.
+    """
+    n = F.size("own")
+    first = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("size")))
     if small:
-        found = docs.select(*keys, "own", F.posexplode_outer("own").alias("pos", "h")).join(F.broadcast(anchors), "h")
+        found = docs.select(*keys, "own", n.alias("n"), F.posexplode_outer("own").alias("pos", "h")).join(F.broadcast(anchors), "h")
         found = found.select(*keys, "own", "size", first.alias("first"))
     else:
-        hits = docs.select(*keys, F.posexplode("own").alias("pos", "h")).join(anchors, "h")
-        hits = hits.select(*[F.col(k).alias(f"hit_{i}") for i, k in enumerate(keys)], "pos", "size").distinct()
+        salted = anchors.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hits = docs.select(*keys, n.alias("n"), F.posexplode("own").alias("pos", "h")).withColumn("salt", F.col("pos") % SALTS).join(salted, ["h", "salt"])
+        hits = hits.select(*[F.col(k).alias(f"hit_{i}") for i, k in enumerate(keys)], "size", first.alias("first")).distinct()
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"hit_{i}")) for i, k in enumerate(keys)])
-        found = docs.join(hits, same).select(*keys, "own", "size", first.alias("first"))
+        found = docs.join(hits, same).select(*keys, "own", "size", "first")
     return found.select(*keys, "size", "first", F.slice("own", F.col("first") + 1, F.col("size")).alias("win"))
 
 
+def shared_weight(own: Column, win: Column) -> Column:
+    """The sum over all shingles of the lesser of its two counts, by one pass over both arrays sorted together."""
+    sides = F.concat(F.transform(own, lambda x: F.struct(x.alias("h"), F.lit(0).alias("side"))), F.transform(win, lambda x: F.struct(x.alias("h"), F.lit(1).alias("side"))))
+
+    def state(h: Column, a: Column, b: Column, m: Column) -> Column:
+        return F.struct(h.alias("h"), a.cast("int").alias("a"), b.cast("int").alias("b"), m.cast("int").alias("m"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["h"] == x["h"]
+        a, b, m = F.when(same, s["a"]).otherwise(0), F.when(same, s["b"]).otherwise(0), F.when(same, s["m"]).otherwise(s["m"] + F.least(s["a"], s["b"]))
+        return state(x["h"], a + 1 - x["side"], b + x["side"], m)
+
+    zero = state(F.lit(0).cast("long"), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(F.array_sort(sides), zero, step, lambda s: s["m"] + F.least(s["a"], s["b"]))
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -123,15 +154,19 @@ def matches(
     item's size counts, or the whole document if it is shorter. Rows that share their keys are one
     document; null keys are kept as they are. Null, empty and short texts match nothing, nor does
     an empty benchmark; equal items are each reported. Ties between windows go to the first one.
+    Other columns are not read. Items may have any length; the work for one grows with its size times
+    the number of its windows that begin with one of its shingles.
     """
     items = written(index_items(benchmark, item, item_text), "items")
     anchors = items.select("size", F.explode("own").alias("h")).distinct()
-    index = block_index(items.select("item_id", "size", "fp", "own"), radius, blocks)
-    size = items.agg(F.sum("size"), F.count("*")).first()
-    small = (size[0] or 0) <= BROADCAST_ROWS
+    index = block_index(items.select("item_id", "size", "fp"), radius, blocks)
+    total, count, longest = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    small = total <= BROADCAST_ROWS
     near = radius // blocks
     listed = docs.select(*keys, shingles(F.col(text)).alias("own"))
-    windows = _windows(listed, anchors, list(keys), small)
+    windows = _windows(listed, anchors.where(F.col("size") <= LONG_ITEM) if longest > LONG_ITEM else anchors, list(keys), small)
+    if longest > LONG_ITEM:
+        windows = windows.unionByName(_windows(listed, anchors.where(F.col("size") > LONG_ITEM), list(keys), False))
     marked = windows.select("*", fingerprint(F.col("win")).alias("wfp"))
     probes = F.array(*[F.struct(F.lit(k).alias("number"), block(F.col("wfp"), k, blocks).alias("value")) for k in range(blocks)])
     probed = marked.select("*", F.explode(probes).alias("p")).select(*keys, F.col("size").alias("wsize"), "first", "win", "wfp", F.col("p.number").alias("wnumber"), F.col("p.value").alias("wvalue"))
@@ -141,16 +176,13 @@ def matches(
         earlier &= (F.col("number") <= k) | (F.bit_count(block(F.col("fp"), k, blocks).bitwiseXOR(block(F.col("wfp"), k, blocks))) > near)
     on = (F.col("wsize") == F.col("size")) & (F.col("wnumber") == F.col("number")) & (F.col("wvalue") == F.col("value"))
     variants = blocks * sum(1 for n in range(near + 1) for _ in combinations(range(64 // blocks), n))
-    if (size[1] or 0) * variants <= BROADCAST_ROWS:
+    if count * variants <= BROADCAST_ROWS:
         index = F.broadcast(index)
     pairs = probed.join(index, on & (distance(F.col("fp"), F.col("wfp")) <= radius) & earlier)
-    # Shared weight: for each distinct shingle of the item the lesser of its two counts.
-    shared = F.aggregate(
-        F.array_distinct("own"),
-        F.lit(0),
-        lambda acc, x: acc + F.least(F.size(F.filter("own", lambda y: y == x)), F.size(F.filter("win", lambda y: y == x))),
-    )
-    judged = pairs.select(*keys, "item_id", "first", distance(F.col("fp"), F.col("wfp")).alias("distance"), shared.alias("m"), (F.size("own") + F.size("win")).alias("both"))
+    # Only what is left after the distance check gets its item's shingles.
+    texts = items.select(F.col("item_id").alias("own_id"), "own")
+    pairs = pairs.join(F.broadcast(texts) if small else texts, F.col("item_id").eqNullSafe(F.col("own_id")))
+    judged = pairs.select(*keys, "item_id", "first", distance(F.col("fp"), F.col("wfp")).alias("distance"), shared_weight(F.col("own"), F.col("win")).alias("m"), (F.size("own") + F.size("win")).alias("both"))
     judged = judged.withColumn("similarity", F.col("m") / (F.col("both") - F.col("m")))
     best = F.max(F.struct(F.col("similarity"), (-F.col("first")).alias("at"), F.col("distance")))
     return judged.groupBy(*keys, "item_id").agg(best.alias("best")).where(F.col("best.similarity") >= similarity).select(
