@@ -24,9 +24,16 @@ from .common import byte_batches, free_name, give_back, worker_memo, written
 UNKNOWN = "und"
 ROUNDS = 3
 SMOOTHING = 0.05
-#: Words of more letters than this are scored, but not learned from.
-LONGEST_LEARNED = 30
-LONGEST_SCORED = 10_000
+#: A longer word is learned from in parts of so many letters (its probability would be too small for a double),
+#: and scored whole, its lattice in blocks of BLOCK letters.
+PART = 30
+BLOCK = 4096
+#: Before a part that continues a word, where U+2581 stands before a word.
+_GOES_ON = "\u0001"
+#: The table of probabilities goes to every task, 8 bytes for each language and piece; more labels than this are an error.
+MOST_LANGUAGES = 500
+#: Longer words are not remembered.
+LONGEST_KNOWN = 30
 MEMO_CELLS = 2_000_000
 BATCH_BYTES = 4 << 20
 
@@ -77,12 +84,12 @@ def _hashed(path: str) -> tuple[np.ndarray, np.ndarray]:
 def lattice(words: list[str], path: str) -> np.ndarray:
     """ids[j, k, w]: the piece of word w that ends before letter j + 1 and has k + 1 letters, -1 if none.
 
-    All words have the same number of letters; U+2581 stands before each. Substrings are looked up
+    All words have the same number of letters, U+2581 before a word included. Substrings are looked up
     by 64-bit rolling hashes.
     """
     hashes, numbers = _hashed(path)
     most = _longest(path)
-    prefix = _prefixes(["▁" + w for w in words])
+    prefix = _prefixes(words)
     n = len(prefix) - 1
     ids = np.full((n, most, len(words)), -1, np.int32)
     power = 1
@@ -95,16 +102,20 @@ def lattice(words: list[str], path: str) -> np.ndarray:
     return ids
 
 
-def forward(probable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward(probable: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(alpha, scale) of probable[j, k, ...], the probability of the piece of k + 1 letters that ends at j.
 
     alpha[most + j] sums all segmentations of the first j letters, times exp(-scale); the rows before
-    are zeros. Small values are scaled up on the way, so long words do not underflow.
+    are zeros, or before, the last rows of the block that these letters follow. Small values are scaled
+    up on the way, so long words do not underflow.
     """
     n, most = probable.shape[:2]
     alpha = np.zeros((most + n + 1, *probable.shape[2:]))
     scale = np.zeros(probable.shape[2:])
-    alpha[most] = 1
+    if before is None:
+        alpha[most] = 1
+    else:
+        alpha[1 : most + 1] = before
     for j in range(n):
         alpha[most + j + 1] = (alpha[j + 1 : most + j + 1][::-1] * probable[j]).sum(0)
         if j % 16 == 15:
@@ -127,10 +138,27 @@ def _by_length(words: list[str]) -> Iterator[list[int]]:
             yield own[at : at + step]
 
 
+def _long_score(word: str, path: str, p: np.ndarray) -> np.ndarray:
+    """log_scores() of one word of any length: block after block, each with the piece ends of the one before."""
+    most, before, total = _longest(path), None, np.zeros(len(p))
+    for at in range(0, len(word), BLOCK):
+        back = min(at, most - 1)
+        ids = lattice([word[at - back : at + BLOCK]], path)[back:]
+        alpha, scale = forward(p.T[ids].transpose(0, 1, 3, 2)[..., 0], before)
+        before = alpha[-most:]
+        total += scale
+    return np.log(before[-1]) + total
+
+
 def log_scores(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
     """log of each word's probability in each language, as (words, languages)."""
     out = np.zeros((len(words), len(p)))
+    words = ["▁" + w for w in words]
     for some in _by_length(words):
+        if len(words[some[0]]) > BLOCK:
+            for k in some:
+                out[k] = _long_score(words[k], path, p)
+            continue
         ids = lattice([words[k] for k in some], path)
         alpha, scale = forward(p.T[ids].transpose(0, 1, 3, 2))
         out[some] = (np.log(alpha[-1]) + scale).T
@@ -138,8 +166,12 @@ def log_scores(words: list[str], path: str, p: np.ndarray) -> np.ndarray:
 
 
 def expected(words: list[str], langs: np.ndarray, weights: np.ndarray, path: str, p: np.ndarray) -> np.ndarray:
-    """Expected piece counts per language, by forward and backward sums over each word's segmentations."""
+    """Expected piece counts per language, by forward and backward sums over each word's segmentations.
+
+    Words have at most PART letters; one that begins with _GOES_ON is a later part of a longer word.
+    """
     total = np.zeros(p.size)
+    words = [w[1:] if w[0] == _GOES_ON else "▁" + w for w in words]
     for some in _by_length(words):
         ids = lattice([words[k] for k in some], path)
         n, most, _ = ids.shape
@@ -175,13 +207,17 @@ def fit(df: DataFrame, path: str, text: str = "text", label: str = "lang", round
 
     Words (runs of letters, lower-cased) are counted per language over all rows; each round of
     expectation maximisation is a job over the distinct words. What comes to the driver is a number
-    per language and piece. Without such rows the model knows no language.
+    per language and piece. Without such rows the model knows no language; repeated rows count again,
+    other columns are not read. Words of over PART letters are learned from in parts.
     """
-    word = F.explode(F.split(F.lower(F.col(text)), "[^\\p{L}]+"))
+    parted = F.regexp_replace(F.translate(F.lower(F.col(text)), _GOES_ON, " "), f"(\\p{{L}}{{{PART}}})(?=\\p{{L}})", f"$1 {_GOES_ON}")
+    word = F.explode(F.split(parted, f"[^\\p{{L}}{_GOES_ON}]+"))
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), word.alias("word"))
-    counts = rows.where(f"word <> '' and char_length(word) <= {LONGEST_LEARNED}").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = rows.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = written(counts, "words")
-    languages = tuple(sorted(r[0] for r in counts.select("lang").distinct().collect()))
+    languages = tuple(sorted(r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} labels")
     size = len(pieces(path)) + 1
     p = np.full((len(languages), size + 1), 1 / size)
     p[:, -1] = 0
@@ -210,15 +246,6 @@ def fit(df: DataFrame, path: str, text: str = "text", label: str = "lang", round
     return Model(languages, path, p)
 
 
-def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """log_scores(), with a word of over LONGEST_SCORED letters as several words."""
-    if max(map(len, words)) <= LONGEST_SCORED:
-        return log_scores(words, model.path, model.p)
-    parts = [[w[k : k + LONGEST_SCORED] for k in range(0, len(w), LONGEST_SCORED)] for w in words]
-    flat = log_scores([x for own in parts for x in own], model.path, model.p)
-    return np.add.reduceat(flat, np.cumsum([0, *map(len, parts)])[:-1])
-
-
 class _Scorer:
     """Scores of words, remembered for one worker in Arrow and NumPy; row 0 is the empty word's.
 
@@ -238,11 +265,11 @@ class _Scorer:
         at[at < 0] = len(self.known) + np.arange(len(missing))
         if len(missing):
             self.known = pa.concat_arrays([self.known, missing])
-            self.table = np.concatenate([self.table, word_scores(missing.to_pylist(), self.model)])
+            self.table = np.concatenate([self.table, log_scores(missing.to_pylist(), self.model.path, self.model.p)])
         table, index = self.table, at[coded.indices.to_numpy()]
         if self.table.size > MEMO_CELLS:
             kept = np.unique(np.r_[0, at])
-            short = pc.less_equal(pc.utf8_length(self.known), LONGEST_LEARNED).to_numpy(zero_copy_only=False)
+            short = pc.less_equal(pc.utf8_length(self.known), LONGEST_KNOWN).to_numpy(zero_copy_only=False)
             kept = kept[short[kept]]
             self.known, self.table = self.known.take(pa.array(kept)), self.table[kept]
         return table, index
