@@ -25,8 +25,11 @@ WINDOW = 13
 GROUP_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 20
 ANCHOR_BITS = 40
+#: Bytes of text for a task, and how often a row may repeat before its copies are judged as one.
+TASK_BYTES = 64 << 20
+REPEATS = 1000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_MESSAGE = "bucket long, pid long, n long, keys binary, more binary"
+_MESSAGE = "bucket long, pid long, n long, keys binary, checks binary, more binary"
 _REPLY = "pid long, bucket long, bits binary"
 
 
@@ -55,6 +58,11 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, unpack(data[8:])]), dtype=np.uint64)
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(29))
+
+
 def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -76,29 +84,33 @@ class _Group:
         self.words = [(texts[k] or b"").split() for k in order]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        digest = xxhash.xxh3_64_intdigest
-        self.hash = np.fromiter((digest(w) for doc in self.words for w in doc), np.uint64, int(self.size.sum()))
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(w) for doc in self.words for w in doc]), ">u8").reshape(-1, 2)
+        self.check, self.hash = both[:, 0].astype(np.uint64), both[:, 1].astype(np.uint64)
+        self.copies = np.array(table.column("copies").to_pylist(), np.int64)[order] if ids else np.zeros(0, np.int64)
         self.number = np.repeat(np.arange(len(self.ids)), self.size)
         known = np.array([x is not None for x in self.ids], bool)
         self.usable = known[self.number] if len(known) else np.zeros(0, bool)
 
-    def rolling(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of all runs of size words within one document that has an identifier."""
+    def starts(self, size: int) -> np.ndarray:
+        """Places of all runs of size words within one document that has an identifier."""
         n = len(self.hash)
         if n < size:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        places = np.flatnonzero((self.number[: n - size + 1] == self.number[size - 1 :]) & self.usable[: n - size + 1])
-        total = np.zeros(n - size + 1, np.uint64)
+            return np.zeros(0, np.int64)
+        return np.flatnonzero((self.number[: n - size + 1] == self.number[size - 1 :]) & self.usable[: n - size + 1])
+
+    def rolling(self, size: int, places: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the runs of size words at some places, of the words' first or other 64-bit hashes."""
+        words = self.hash if words is None else words
+        total = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for k in range(size):
-            total = total * _MUL + self.hash[k : n - size + 1 + k]
-        total = total[places]
-        total ^= total >> np.uint64(32)
-        total *= np.uint64(0xD6E8FEB86659FD93)
-        return places, total ^ (total >> np.uint64(29))
+            total = total * _MUL + words[k : len(total) + k]
+        return _mixed(total[places])
 
     def anchors(self, bits: int):
         """Of the rolling blocks: places, the distinct keys, each place's key, which keys are reference blocks."""
-        places, hashes = self.rolling(self.block)
+        places = self.starts(self.block)
+        hashes = self.rolling(self.block, places)
         keys, of = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True)
         indexed = np.zeros(len(keys), bool)
         indexed[of[(places - self.first[self.number[places]]) % self.block == 0]] = True
@@ -121,21 +133,25 @@ class _Group:
         hit = np.zeros(n + 1, np.int64)
         hit[places[live[of]] + 1] = 1
         hit = np.cumsum(hit)
-        starts, _ = np.zeros(0, np.int64), None
-        if n >= self.window:
-            starts = np.flatnonzero((self.number[: n - self.window + 1] == self.number[self.window - 1 :]) & self.usable[: n - self.window + 1])
+        starts = self.starts(self.window)
         span = self.window - self.block + 1
         flags = np.zeros(n, bool)
         flags[starts[hit[starts + span] > hit[starts]]] = True
         return flags
 
     def windows(self, flags: np.ndarray):
-        """Of the flagged windows: places, distinct hashes, each place's hash, each hash's first document."""
-        places, hashes = self.rolling(self.window)
-        chosen = flags[places]
-        places = places[chosen]
-        keys, first, of = np.unique(hashes[chosen], return_index=True, return_inverse=True)
-        return places, keys, of, self.number[places[first]]
+        """Of the flagged windows: places, distinct hashes in order, their other hashes, each place's number
+        among them, each one's first document. Windows are the same if both hashes are, 128 bits of them."""
+        places = self.starts(self.window)
+        places = places[flags[places]]
+        hashes, checks = self.rolling(self.window, places), self.rolling(self.window, places, self.check)
+        order = np.lexsort((checks, hashes))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(checks[order]) != 0)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        return places, hashes[first], checks[first], of, self.number[places[first]]
 
 
 def bucket_edges(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -144,23 +160,28 @@ def bucket_edges(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.array([min(k * width, (1 << 64) - 1) for k in range(buckets)] + [(1 << 64) - 1], np.uint64))
 
 
-def _messages(pid: int, keys: np.ndarray, more, bits: int, buckets: int) -> Iterator[dict]:
+def _messages(pid: int, keys: np.ndarray, checks: np.ndarray, more, bits: int, buckets: int) -> Iterator[dict]:
     edges = bucket_edges(keys, bits, buckets)
     for bucket in np.flatnonzero(np.diff(edges)):
         a, b = edges[bucket], edges[bucket + 1]
-        yield {"bucket": int(bucket), "pid": pid, "n": int(b - a), "keys": pack_sorted(keys[a:b]), "more": more(a, b)}
+        yield {"bucket": int(bucket), "pid": pid, "n": int(b - a), "keys": pack_sorted(keys[a:b]), "checks": checks[a:b].astype("<u8").tobytes(), "more": more(a, b)}
 
 
-_MESSAGE_SCHEMA = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+_MESSAGE_SCHEMA = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("more", pa.binary())])
 _REPLY_SCHEMA = pa.schema([("pid", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
 
 
 def _answered(table: pa.Table, decide) -> pa.Table:
-    """One reply for each message with any bit set. decide(keys sorted, message of each, run starts, messages) gives flags in that order."""
+    """One reply for each message with any bit set. decide(order of all keys, starts of runs of equal ones, messages) gives flags in that order."""
     sent = table.to_pylist()
     keys = np.concatenate([unpack_sorted(m["keys"]) for m in sent])
-    order = np.argsort(keys, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+    if sent[0]["checks"]:
+        checks = np.concatenate([np.frombuffer(m["checks"], "<u8") for m in sent])
+        order = np.lexsort((checks, keys))
+        starts = np.flatnonzero(np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)])
+    else:
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
     flags = np.zeros(len(keys), bool)
     flags[order] = decide(order, starts, sent)
     out, at = [], 0
@@ -182,20 +203,28 @@ def repeats(df: DataFrame, identifier: str = "doc_id", text: str = "text", windo
     do not remove from each other. All rows are returned, repeated ones too; an empty table gives none.
 
     Anchors are compared by ANCHOR_BITS bits of their hash, which may let more windows through to the
-    comparison but none fewer; windows are compared by 64 bits.
+    comparison but none fewer; windows are compared by two independent hashes of 64 bits each, so that
+    among 10^13 windows two different ones pass for the same with a probability of some 10^-13.
+    An identifier must be an integer or cast to one (a text that does not stops the job); other columns
+    are not read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(identifier).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    counted = rows.groupBy("id", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    total, often = (x or 0 for x in counted.agg(F.sum("bytes"), F.max("n")).first())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(least, -(-total // group_bytes))
-    buckets = max(least, -(-total // (6 * BUCKET_KEYS)))
+    tasks = max(least, -(-total // TASK_BYTES))
+    groups = max(tasks, -(-total // group_bytes))
+    buckets = max(tasks, -(-total // (6 * BUCKET_KEYS)))
     bits = ANCHOR_BITS if total < 1 << 40 else 56
-    dealt = rows.withColumn("pid", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    # Copies of one row have one result: where they are many they are judged once, or they would all meet in one group.
+    rows = rows.groupBy("id", "text").agg(F.count("*").alias("copies")) if often > REPEATS else rows.withColumn("copies", F.lit(1).cast("long"))
+    dealt = rows.withColumn("pid", F.pmod(F.xxhash64("id", "text"), F.lit(groups))).repartition(tasks, "pid")
+    none = np.zeros(0, np.uint64)
 
     def ask_anchors(key: tuple, table: pa.Table) -> pa.Table:
         _, keys, _, indexed = _Group(table, window).anchors(bits)
-        return pa.Table.from_pylist(list(_messages(key[0].as_py(), keys, lambda a, b: _bits(indexed[a:b]), bits, buckets)), schema=_MESSAGE_SCHEMA)
+        return pa.Table.from_pylist(list(_messages(key[0].as_py(), keys, none, lambda a, b: _bits(indexed[a:b]), bits, buckets)), schema=_MESSAGE_SCHEMA)
 
     def tell_anchors(table: pa.Table) -> pa.Table:
         def shared(order, starts, sent):
@@ -211,15 +240,15 @@ def repeats(df: DataFrame, identifier: str = "doc_id", text: str = "text", windo
         pid = table.column("pid")[0].as_py()
         group = _Group(table, window)
         flags = group.candidates([(r["bucket"], r["bits"]) for r in replies.to_pylist()], bits, buckets)
-        _, keys, _, first = group.windows(flags)
+        _, keys, checks, _, first = group.windows(flags)
         ids = np.array([0 if x is None else x for x in group.ids], np.int64)[first].view(np.uint64) ^ np.uint64(1 << 63)
 
         def owners(a: int, b: int) -> bytes:
             low = ids[a:b].min()
             return struct.pack("<Q", int(low)) + pack(ids[a:b] - low)
 
-        out = list(_messages(pid, keys, owners, 64, buckets))
-        out.append({"bucket": -1 - pid, "pid": pid, "n": len(flags), "keys": b"", "more": _bits(flags)})
+        out = list(_messages(pid, keys, checks, owners, 64, buckets))
+        out.append({"bucket": -1 - pid, "pid": pid, "n": len(flags), "keys": b"", "checks": b"", "more": _bits(flags)})
         return pa.Table.from_pylist(out, schema=_MESSAGE_SCHEMA)
 
     def tell_windows(table: pa.Table) -> pa.Table:
@@ -234,13 +263,13 @@ def repeats(df: DataFrame, identifier: str = "doc_id", text: str = "text", windo
         return _answered(table, later)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        schema = pa.schema([(identifier, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.string())])
+        schema = pa.schema([(identifier, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.string()), ("copies", pa.int64())])
         if not table.num_rows:
             return pa.Table.from_pylist([], schema=schema)
         group = _Group(table, window)
         answers = {r["bucket"]: r["bits"] for r in replies.to_pylist()}
         own = next(v for k, v in answers.items() if k < 0)
-        places, keys, of, first = group.windows(_flags(own, len(group.hash)))
+        places, keys, _, of, first = group.windows(_flags(own, len(group.hash)))
         late = np.zeros(len(keys), bool)
         edges = bucket_edges(keys, 64, buckets)
         for bucket, bits_ in answers.items():
@@ -264,9 +293,16 @@ def repeats(df: DataFrame, identifier: str = "doc_id", text: str = "text", windo
                 spans.append([])
             removed.append(int(mask.sum()))
             kept.append(b" ".join(words))
-        return pa.Table.from_arrays([pa.array(group.ids, pa.int64()), pa.array(group.size), pa.array(removed, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary()).cast(pa.string())], schema=schema)
+        return pa.Table.from_arrays([pa.array(group.ids, pa.int64()), pa.array(group.size), pa.array(removed, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(group.copies)], schema=schema)
+
+    def meet(messages: DataFrame, tell) -> DataFrame:
+        return messages.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tell, _REPLY)
 
-    anchors = dealt.groupBy("pid").applyInArrow(ask_anchors, _MESSAGE).groupBy("bucket").applyInArrow(tell_anchors, _REPLY)
+    anchors = meet(dealt.groupBy("pid").applyInArrow(ask_anchors, _MESSAGE), tell_anchors)
     asked = dealt.groupBy("pid").cogroup(anchors.groupBy("pid")).applyInArrow(ask_windows, _MESSAGE)
-    windows = asked.groupBy("bucket").applyInArrow(tell_windows, _REPLY)
-    return dealt.groupBy("pid").cogroup(windows.groupBy("pid")).applyInArrow(cut, f"`{identifier}` long, n_words long, n_removed long, spans array<struct<first long, last long>>, kept string")
+    windows = meet(asked, tell_windows)
+    out = dealt.groupBy("pid").cogroup(windows.groupBy("pid")).applyInArrow(cut, f"`{identifier}` long, n_words long, n_removed long, spans array<struct<first long, last long>>, kept string, copies long")
+    told = [F.col(f"`{identifier}`"), "n_words", "n_removed", "spans", "kept"]
+    if often > REPEATS:
+        out = out.select(*told, F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(*told)
