@@ -22,6 +22,12 @@ from .common import byte_batches, free_name, written
 SHINGLE = 4
 RADIUS = 4
 BATCH_BYTES = 1 << 20
+#: A bucket of more members is compared by blocks of equal bits instead of all with all.
+BUCKET = 4096
+#: Places that a key stands in where a star's centre would meet all its leaves in one task.
+SALTS = 8
+#: A fingerprint of more rows than this, and than a HOT_SHARE-th of all, is joined by broadcast: at most HOT_SHARE of them.
+HOT_ROWS, HOT_SHARE = 10_000, 50_000
 #: The pipeline's stage links texts by the Jaccard similarity of their five-word shingles.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
@@ -102,6 +108,9 @@ def _forest(members: np.ndarray, radius: int, block: int = 2048) -> Iterator[tup
     Breadth first from the smallest member not yet reached: each reached one is compared, in
     blocks, with those not reached, so no pair is compared twice and memory is a block's.
     """
+    if len(members) > BUCKET:
+        yield from _forest_by_blocks(members, radius)
+        return
     rest = np.sort(members)
     while len(rest):
         front, rest = rest[:1], rest[1:]
@@ -121,6 +130,38 @@ def _forest(members: np.ndarray, radius: int, block: int = 2048) -> Iterator[tup
             front, rest = rest[reached], rest[~reached]
 
 
+def _forest_by_blocks(members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """_forest() of a large bucket: of radius + 1 blocks of bits two members within radius have one in common.
+
+    Members of one block value are compared; what is compared so is a 2^-12th of all pairs, unless
+    members are near copies of each other, which a few steps reach.
+    """
+    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+    for a, b in zip(edges, edges[1:]):
+        value = members >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)
+        order = np.lexsort((members, value))
+        starts = np.flatnonzero(np.r_[True, np.diff(value[order]) != 0])
+        for start, end in zip(starts, np.r_[starts[1:], len(order)]):
+            rest = members[order[start:end]]
+            while len(rest) > 1:
+                # Breadth first from the least member, one reached member at a time where few are left to reach.
+                front, rest = rest[:1], rest[1:]
+                while len(front) and len(rest):
+                    centre, front = front[:1], front[1:]
+                    near = np.bitwise_count(rest ^ centre) <= radius
+                    if near.any():
+                        found, rest = rest[near], rest[~near]
+                        yield np.repeat(centre, len(found)), found
+                        front = np.concatenate([front, found])
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left joined with right, which has one row a key; a key's rows of left are dealt over SALTS places by another column."""
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span every link within radius.
 
@@ -196,9 +237,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = current.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(current.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        large = salted_join(both.where("v > u"), least, "u", "v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("m"), "lo", "hi")
+        small = salted_join(large, down, "hi", "lo").select(F.col("m"), "lo", "hi")
         step = small.select(F.col("m").alias("lo"), "hi").unionByName(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).where("lo <> hi").distinct()
         current = written(step, "stars")
         now = mark(current)
@@ -221,12 +262,19 @@ def near_duplicates(df: DataFrame, identifier: str = "doc_id", text: str = "text
     """
     name = free_name(df, "fp")
     marked = written(fingerprints(df.select(F.col(identifier).alias("id"), F.col(text).alias("text")), "text", name).select("id", F.col(name).alias("fp")), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("first"))
+    nodes = marked.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    named = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", "root"), "named")
+    linked = named.where(F.col("root").isNotNull())
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = salted_join(linked, least, "root", "fp").select("fp", "n", "component_id")
+    classes = classes.unionByName(named.where(F.col("root").isNull()).select("fp", "n", F.col("first").alias("component_id")))
+    # A fingerprint that very many rows have meets them without a shuffle.
+    total = marked.count()
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    few = F.broadcast(classes.where(hot).drop("n"))
+    told = marked.join(few, "fp").unionByName(marked.join(few.drop("component_id"), "fp", "left_anti").join(classes.where(~hot).drop("n"), "fp"))
+    return told.select(
         F.col("id").alias(identifier),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

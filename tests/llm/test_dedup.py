@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -141,6 +142,56 @@ def test_packing():
         assert substring_dedup.unpack_sorted(substring_dedup.pack_sorted(a)).tolist() == v
 
 
+def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    """Nearly all first hashes collide: only the other 64 bits tell windows apart."""
+    docs = [(k, prose(70 + k % 7, 20) + " " + prose(80 + k % 11, 20)) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+    def got():
+        return sorted(map(tuple, substring_dedup.repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()))
+
+    own = substring_dedup._Group.rolling
+    monkeypatch.setattr(substring_dedup._Group, "rolling", lambda self, size, places, words=None: own(self, size, places, words) & np.uint64((1 << 64) - 1 if words is not None else 3 << 62))
+    group = substring_dedup._Group(pa.table({"id": [k for k, _ in docs], "text": [t for _, t in docs], "copies": [1] * len(docs)}), 13)
+    _, keys, _, of, _ = group.windows(np.ones(len(group.hash), bool))
+    assert len(set(keys.tolist())) <= 4 < len(keys) == len({tuple(w[k : k + 13]) for _, t in docs for w in [t.split()] for k in range(len(w) - 12)})
+    assert got() == sorted(removed(docs, 13))
+
+
+def test_very_many_repeated_rows(spark):
+    """100,000 equal rows beside others: all come back, and none loses to its own copies."""
+    text = prose(40, 30)
+    docs = spark.createDataFrame([(1, text), (2, "so " + text), (3, prose(41, 20))], "doc_id long, text string")
+    df = docs.unionByName(spark.range(100_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit("so " + text).alias("text")))
+    got = substring_dedup.repeats(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 30, 0, 1), (2, 31, 30, 100_001), (3, 20, 0, 1)}
+
+
+def test_large_buckets_lose_no_link():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, 2).astype(np.uint64)) for _ in range(4000)]
+    members = np.unique(np.concatenate([base, base[rng.integers(0, 1500, 4000)] ^ np.array(flips, np.uint64)]))
+
+    def classes(edges):
+        root = {int(x): int(x) for x in members}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            for x, y in zip(a.tolist(), b.tolist()):
+                assert (x ^ y).bit_count() <= 4
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        return [find(int(x)) for x in members]
+
+    every = [(members[k : k + 1].repeat(int(near.sum())), members[near]) for k in range(len(members)) if (near := np.bitwise_count(members ^ members[k]) <= 4).any()]
+    assert len(members) > simhash_dedup.BUCKET and classes(simhash_dedup._forest(members, 4)) == classes(every)
+
+
 ITEMS = [(0, prose(50, 40)), (1, prose(51, 25).upper() + "!"), (2, None), (3, "four words are few"), (4, prose(50, 40)), (5, prose(52, 70))]
 
 
@@ -195,9 +246,29 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.matches(df, items).collect())) == small and small
 
 
+def test_leaks_of_very_long_items(spark):
+    """An item of 70,000 words, one of a single repeated word, and copies of them inside documents."""
+    words = [f"w{k * 7919 % 50021}" for k in range(70_000)]
+    items = spark.createDataFrame([(0, " ".join(words)), (1, "again " * 70_000), (2, prose(50, 40)), (3, "once more " * 20)], "item_id long, text string")
+    docs = [(0, " ".join(words)), (1, " ".join(words[:40_000] + ["x"] * 40 + words[40_040:])), (2, " ".join(words[:50_000])), (3, "again " * 69_000), (4, prose(50, 40)), (5, "once more " * 30), (6, prose(51, 40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(df, items).collect()}
+    n = 69_996
+    changed = 44 / n
+    assert set(got) == {(0, 0), (1, 0), (3, 1), (4, 2), (5, 3)}
+    assert got[0, 0] == got[4, 2] == got[5, 3] == 1 and got[1, 0] == pytest.approx((1 - changed) / (1 + changed)) and got[3, 1] == pytest.approx(68_996 / n)
+
+
+def test_shared_weight_and_candidates(spark):
+    rng = np.random.default_rng(9)
+    rows = [([int(x) for x in rng.integers(0, 6, n)], [int(x) for x in rng.integers(0, 6, m)]) for n, m in ((1, 1), (5, 9), (40, 40), (300, 20))]
+    got = [r[0] for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<long>, b array<long>").orderBy("k").select(decontaminate.shared_weight(F.col("a"), F.col("b"))).collect()]
+    assert got == [sum((collections.Counter(a) & collections.Counter(b)).values()) for a, b in rows]
+
+
 def test_simhash_in_sql_equals_plain_counting(spark):
     rng = np.random.default_rng(5)
-    arrays = [[int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)] for n in (1, 2, 3, 36, 700)]
+    arrays = [[int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)] for n in (1, 2, 3, 36, 700, 40_000)]
     got = spark.createDataFrame([(k, a) for k, a in enumerate(arrays)], "k int, w array<long>").select("k", decontaminate.fingerprint(F.col("w")).alias("f")).orderBy("k").collect()
     for a, r in zip(arrays, got):
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in a) > len(a))
