@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,28 +84,74 @@ def recommend(issues: list[dict], types: dict[tuple[str, str], str], medians: di
 def decide(steps: list[Step]) -> list[Step]:
     """High confidence approved, low rejected, what lies between left to a person."""
     verdict = {"high": "approved", "low": "rejected"}
-    return [Step(s.operation, s.table, s.column, s.value, s.confidence, verdict.get(s.confidence, "pending"), s.id) for s in steps]
+    return [replace(s, status=verdict.get(s.confidence, "pending")) for s in steps]
+
+
+def decided(steps: list[Step], verdicts: dict[str, str]) -> list[Step]:
+    """Steps with a person's verdict by their id: approved, rejected, or pending to take one back."""
+    if wrong := set(verdicts.values()) - {"approved", "rejected", "pending"}:
+        raise ValueError(f"unknown status {', '.join(sorted(wrong))}")
+    return [replace(s, status=verdicts.get(s.id, s.status)) for s in steps]
 
 
 def preview(tables: dict[str, DataFrame], steps: list[Step]) -> list[tuple[Step, int, int]]:
-    """Each step's metric before and after, all steps one after another on the same lazy tables; nothing is written."""
-    now, out = dict(tables), []
-    for s in steps:
-        before = s.metric(now[s.table]).first()["metric"]
-        now[s.table] = s.apply(now[s.table])
-        same = s.operation == "flag_nulls"
-        out.append((s, before, before if same else s.metric(now[s.table]).first()["metric"]))
-    return out
-
-
-def apply(spark: SparkSession, tables: dict[str, DataFrame], steps: list[Step], directory: str) -> dict[str, DataFrame]:
-    """The cleaned tables as new versions under directory; what they were read from is left as it is."""
-    out = dict(tables)
+    """Each step's metric before and after, all steps one after another on the same lazy tables; nothing is written.
+
+    All metrics are one job. If it fails, steps are tried one by one, and one that fails changes
+    nothing: its metric after is the one before (0 if that can't be had either).
+    """
+
+    def chained(some: list[Step]) -> list[tuple[int, int, DataFrame]]:
+        now, out = dict(tables), []
+        for k, s in enumerate(some):
+            out.append((k, 0, s.metric(now[s.table])))
+            now[s.table] = s.apply(now[s.table])
+            if s.operation != "flag_nulls":
+                out.append((k, 1, s.metric(now[s.table])))
+        return out
+
+    try:
+        parts = [m.select(F.lit(k).alias("k"), F.lit(at).alias("at"), "metric") for k, at, m in chained(steps)]
+        got = {(r["k"], r["at"]): r["metric"] for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+    except (PySparkException, KeyError):
+        got, good = {}, []
+        for k, s in enumerate(steps):
+            got[k, 0] = 0
+            try:
+                own = chained([*good, s])
+                for _, at, m in own[-1 if s.operation == "flag_nulls" else -2 :]:
+                    got[k, at] = m.first()["metric"]
+                good.append(s)
+            except (PySparkException, KeyError):
+                got.pop((k, 1), None)
+    return [(s, got[k, 0], got.get((k, 1), got[k, 0])) for k, s in enumerate(steps)]
+
+
+def apply(spark: SparkSession, tables: dict[str, DataFrame], steps: list[Step], directory: str) -> tuple[dict[str, DataFrame], list[tuple[Step, str]]]:
+    """The cleaned tables as new versions under directory, and each step with applied or its error.
+
+    A step that fails is left out, the others of its table are applied. What the tables were read
+    from is left as it is, and a new version is committed whole or not at all.
+    """
+    out, told = dict(tables), []
     for name in dict.fromkeys(s.table for s in steps):
-        df = tables[name]
+        df, own = tables.get(name), []
         for s in (s for s in steps if s.table == name):
-            df = s.apply(df)
+            try:
+                if df is None:
+                    raise KeyError(f"no table {name}")
+                after = s.apply(df)
+                after.schema  # an unknown column shows here
+                df, own = after, [*own, s]
+            except (PySparkException, KeyError) as e:
+                told.append((s, str(e).splitlines()[0]))
+        if not own:
+            continue
         path = f"{directory}/{name}/version={uuid4().hex}"
-        df.write.parquet(path)
-        out[name] = spark.read.parquet(path)
-    return out
+        try:
+            df.write.parquet(path)
+            out[name] = spark.read.parquet(path)
+            told += [(replace(s, status="applied"), "applied") for s in own]
+        except PySparkException as e:
+            told += [(s, str(e).splitlines()[0]) for s in own]
+    return out, told

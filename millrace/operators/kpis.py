@@ -21,11 +21,16 @@ class Measure:
     identifier: str | None = None
     filter: str | None = None
 
-    def value(self, qualify: str = "") -> Column:
-        """The aggregate as a double; ratios are null where nothing is counted."""
+    def value(self, qualify: str = "", where: Column | None = None) -> Column:
+        """The aggregate as a double, over the rows where a condition holds; ratios are null where nothing is counted."""
+
+        def of(x: Column) -> Column:
+            return x if where is None else F.when(where, x)
 
         def col(name: str) -> Column:
-            return F.col(f"{qualify}`{name}`")
+            return of(F.col(f"{qualify}`{name}`"))
+
+        rows = F.count("*") if where is None else F.count_if(where)
 
         def rounded(x: Column) -> Column:
             return F.round(x.cast(MONEY), 2).cast("double")
@@ -35,7 +40,7 @@ class Measure:
 
         match self.aggregation:
             case "COUNT":
-                return F.count("*").cast("double")
+                return rows.cast("double")
             case "SUM":
                 return rounded(F.sum(col(self.column)))
             case "AVG":
@@ -49,10 +54,10 @@ class Measure:
             case "SUM_PER_DISTINCT":
                 return per(F.sum(col(self.column)))
             case "COUNT_PER_DISTINCT":
-                return per(F.count("*"))
+                return per(rows)
             case "NULL_RATE":
-                missing = F.count_if(col(self.column).isNull()).cast("decimal(28,6)")
-                return F.round(missing / F.nullif(F.count("*"), F.lit(0)) * 100, 2).cast("double")
+                missing = (rows - F.count(col(self.column))).cast("decimal(28,6)")
+                return F.round(missing / F.nullif(rows, F.lit(0)) * 100, 2).cast("double")
         raise ValueError(f"unknown aggregation {self.aggregation}")
 
     def rows(self, df: DataFrame) -> DataFrame:
@@ -65,18 +70,9 @@ def single(df: DataFrame, measure: Measure) -> DataFrame:
 
 
 def batch(df: DataFrame, measures: dict[str, Measure]) -> DataFrame:
-    """name and value of all KPIs of one table, from one pass over it; filters become conditions of each aggregate."""
-    plain = {k: m for k, m in measures.items() if not m.filter}
-    out = None
-    if plain:
-        names = list(plain)
-        row = df.agg(*[plain[k].value().alias(f"v{i}") for i, k in enumerate(names)])
-        out = row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"v{i}").alias("value")) for i, k in enumerate(names)])))
-    for name, m in measures.items():
-        if m.filter:
-            one = single(df, m).select(F.lit(name).alias("name"), "value")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """name and value of all KPIs of one table, from one pass over it; filters are conditions of each aggregate."""
+    row = df.agg(*[m.value(where=F.expr(m.filter) if m.filter else None).alias(f"v{i}") for i, m in enumerate(measures.values())])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"v{i}").alias("value")) for i, k in enumerate(measures)])))
 
 
 def values(results: Iterable[DataFrame]) -> dict[str, float | None]:

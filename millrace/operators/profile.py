@@ -82,6 +82,37 @@ def top_values(df: DataFrame, values: DataFrame | None = None, top: int = TOP) -
     return values.where(F.col("value").isNotNull()).withColumn("place", place).where(F.col("place") <= top).select("column_name", "place", "value", "n")
 
 
+#: How far on either side of the middle the bracket reaches in which the median is looked for, and the
+#: accuracy of the percentiles that give it: their error is at most a third of that.
+AROUND, ACCURACY = 0.0003, 10_000
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name and the exact median of some numeric columns.
+
+    Approximate percentiles give a bracket around the middle. A second pass counts what lies below it
+    and each value inside, so what is sorted is a thousandth of the table and no task holds a column.
+    """
+    names = F.array(*map(F.lit, columns))
+    made = []
+    for c in columns:
+        x = known(df, c).cast("double")
+        ends = F.percentile_approx(x, [0.5 - AROUND, 0.5 + AROUND], ACCURACY)
+        made.append(F.struct(F.get(ends, F.lit(0)).alias("low"), F.get(ends, F.lit(1)).alias("high"), F.count(x).alias("total")))
+    brackets = df.agg(F.array(*made).alias("b")).select(F.posexplode("b").alias("i", "e")).select("i", "e.*").where("total > 0")
+    cells = df.select(F.posexplode(F.array(*[known(df, c).cast("double") for c in columns])).alias("i", "v")).where("v IS NOT NULL")
+    met = cells.join(F.broadcast(brackets), "i").where("v <= high")
+    counted = met.groupBy("i", "total", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto).where(F.col("v").isNotNull())
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= rank, F.col("v")))
+
+    middle = placed.groupBy("i", "total").agg(((at(F.floor((F.col("total") + 1) / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2).alias("median"))
+    return middle.select(F.get(names, F.col("i")).alias("column_name"), "median")
+
+
 def numbers(df: DataFrame) -> DataFrame | None:
     """column_name, min, max, mean, median and std_dev (0 of a single value) of numeric columns; None without one."""
     own = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -91,10 +122,11 @@ def numbers(df: DataFrame) -> DataFrame | None:
     for i, c in enumerate(own):
         x = known(df, c).cast("double")
         spread = F.when(F.count(x) == 1, F.lit(0.0)).otherwise(F.stddev_samp(x))
-        made.append(F.struct(*[F.round(v, 4).alias(k) for k, v in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), ("median", F.median(x)), ("std_dev", spread))]).alias(f"c{i}"))
+        made.append(F.struct(*[F.round(v, 4).alias(k) for k, v in (("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), ("std_dev", spread))]).alias(f"c{i}"))
     row = df.agg(*made)
     line = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("s")) for i, c in enumerate(own)])
-    return row.select(F.explode(line).alias("x")).select("x.column_name", "x.s.*")
+    told = row.select(F.explode(line).alias("x")).select("x.column_name", "x.s.*").join(F.broadcast(medians(df, own)), "column_name", "left")
+    return told.select("column_name", "min", "max", "mean", F.round("median", 4).alias("median"), "std_dev")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

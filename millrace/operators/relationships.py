@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import compatible, entity, expanded, indel_ratio, is_key_like, singular, tables_for
 from ..plans.catalog import Table
@@ -51,18 +52,33 @@ def candidates(tables: list[Table], declared: set[tuple[str, str, str, str]] = f
     return out
 
 
+def key_text(df: DataFrame, name: str) -> Column:
+    """A column's values as text under which equal numbers of all numeric types are the same: 1, 1.0 and 1.00 are 1."""
+    kind, col = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.DecimalType):
+        text = col.cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        size = F.abs(col)
+        plain = F.when(col == F.floor(col), col.cast("decimal(38,0)").cast("string")).otherwise(col.cast("decimal(38,18)").cast("string"))
+        text = F.when((size < 1e18) & ((size > 1e-12) | (size == 0)), plain).when(~F.isnan(col), col.cast("string"))
+    else:
+        return col.cast("string")
+    return F.when(text.contains(".") & ~text.contains("E"), F.regexp_replace(text, "[.]?0+$", "")).otherwise(text)
+
+
 def evidence(frames: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
     """from_table, from_column, to_table, to_column, overlap and cardinality of each pair of columns.
 
     overlap is the share of the distinct values that the target has, cardinality distinct over non-null
     values (1 without values). All columns become rows (table, column, value) that are counted once;
-    values then meet their targets by a join on the value, so no column is collected.
+    values then meet their targets by a join on the value, so no column is collected. Numbers of
+    whatever type meet where they are equal (key_text()).
     """
     spark = next(iter(frames.values())).sparkSession
 
     def distinct_values(own: set[tuple[str, str]]) -> DataFrame:
         def one(table: str) -> DataFrame:
-            cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for t, c in sorted(own) if t == table])
+            cells = F.array(*[F.struct(F.lit(c).alias("c"), key_text(frames[table], c).alias("v")) for t, c in sorted(own) if t == table])
             return frames[table].select(F.explode(cells).alias("x")).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count("*").alias("n")).select(F.lit(table).alias("t"), "c", "v", "n")
 
         return reduce(DataFrame.unionByName, [one(t) for t in sorted({t for t, _ in own})])
@@ -123,6 +139,38 @@ def infer(spark: SparkSession, tables: list[Table], frames: dict[str, DataFrame]
     return spark.createDataFrame(rows, schema)
 
 
+def decide(links: DataFrame, decisions: DataFrame | None = None, accept_from: int | None = None) -> DataFrame:
+    """links with their status after decisions (from_table, from_column, to_table, to_column, status), the last word.
+
+    accept_from accepts all that are at least so sure and still wait for a decision.
+    """
+    on = ["from_table", "from_column", "to_table", "to_column"]
+    status = F.col("status")
+    if accept_from is not None:
+        status = F.when((status == "pending") & (F.col("confidence") >= accept_from), "accepted").otherwise(status)
+    out = links.withColumn("status", status)
+    if decisions is None:
+        return out
+    told = decisions.select(*on, F.col("status").alias("decided"))
+    return out.join(F.broadcast(told), on, "left").withColumn("status", F.coalesce("decided", "status")).drop("decided").select(*links.columns)
+
+
+def listed(links: DataFrame, status: str | None = None, by: str = "confidence") -> DataFrame:
+    """The relationships of one status (all without one), the surest first or by name."""
+    named = [F.col(c) for c in ("from_table", "from_column", "to_table", "to_column")]
+    return (links.where(F.col("status") == status) if status else links).orderBy(*([F.desc("confidence")] if by == "confidence" else []), *named)
+
+
+def signals(row: dict) -> dict[str, bool | int]:
+    """What speaks for a relationship: flags, and the raw scores that they come from."""
+    return {
+        "name_match": row["name_score"] >= 60,
+        "value_overlap": row["overlap_score"] >= 60,
+        "targeted": row["targeted"],
+        **{k: row[k] for k in ("name_score", "overlap_score", "confidence")},
+    }
+
+
 def explanation(row: dict) -> list[str]:
     """Why a relationship was inferred, in words."""
     out = [f"{row['from_column']} names {row['to_table']}" if row["targeted"] else f"{row['from_column']} was compared with all keys"]

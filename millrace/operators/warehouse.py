@@ -30,6 +30,22 @@ def materialise(spark: SparkSession, frames: dict[str, DataFrame], design: Desig
     return status
 
 
+def refresh(spark: SparkSession, frames: dict[str, DataFrame], design: Design, copies: str, database: str) -> dict[str, str]:
+    """Copies the sources anew into the sandbox database and builds the warehouse from the copies, audit columns too.
+
+    Tells of each copy and warehouse table whether it was written or why not.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{copies}`")
+    status, made = {}, {}
+    for name, df in frames.items():
+        try:
+            df.write.mode("overwrite").saveAsTable(f"`{copies}`.`{name}`")
+            made[name], status[name] = spark.table(f"`{copies}`.`{name}`"), "copied"
+        except Exception as e:  # one table's failure is reported, the others go on
+            status[name] = f"error: {str(e).splitlines()[0]}"
+    return status | materialise(spark, made, design, database)
+
+
 def orphans(fact: DataFrame, column: str, dimension: DataFrame, key: str) -> DataFrame:
     """One row: orphan_count, the rows whose foreign key is not null and not in the dimension."""
     keys = dimension.select(F.col(key).alias("orphan_key"))

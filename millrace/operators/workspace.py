@@ -26,15 +26,48 @@ def plain(value):
     return float(value) if isinstance(value, Decimal) else value.isoformat() if hasattr(value, "isoformat") else str(value)
 
 
-def run(spark: SparkSession, sql: str, limit: int = 1000) -> Result:
-    """The first rows of a query, its time and its plan; an error is a result too."""
+def run(spark: SparkSession, sql: str, limit: int = 1000, database: str | None = None) -> Result:
+    """The first rows of a query, its time and its plan; an error is a result too.
+
+    database is the environment that the query's tables are looked up in: the sandbox or the warehouse.
+    """
     began = time.monotonic()
+    before = spark.catalog.currentDatabase()
     try:
+        if database:
+            spark.catalog.setCurrentDatabase(database)
         df = spark.sql(sql)
         rows = tuple({k: plain(v) for k, v in r.asDict().items()} for r in df.limit(limit).collect())
         return Result(tuple(df.columns), rows, round((time.monotonic() - began) * 1000), explain(spark, sql))
     except Exception as e:  # the user's query may be wrong in any way
         return Result((), (), round((time.monotonic() - began) * 1000), None, str(e).splitlines()[0])
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+def column_kind(result: Result, column: str) -> str:
+    """What a result's column looks like by its first value: integer, numeric, boolean, text or unknown."""
+    value = next((r[column] for r in result.rows if r[column] is not None), None)
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "integer" if float(value).is_integer() else "numeric"
+    return "unknown" if value is None else "text"
+
+
+class Demo:
+    """A read-only workspace: its named queries run, SQL text is refused."""
+
+    def __init__(self, spark: SparkSession, queries: dict[str, tuple[str, str]], limit: int = 200):
+        self.spark, self.queries, self.limit = spark, queries, limit
+
+    def titles(self) -> dict[str, str]:
+        return {k: title for k, (title, _) in self.queries.items()}
+
+    def frame(self, name: str) -> DataFrame:
+        if name not in self.queries:
+            raise PermissionError("only the demo's own queries may be run")
+        return self.spark.sql(self.queries[name][1]).limit(self.limit)
 
 
 def explain(spark: SparkSession, sql: str) -> str | None:
@@ -70,6 +103,10 @@ class Saved:
         newest = self.spark.read.parquet(self.path).groupBy("name").agg(F.max_by(F.struct("sql", "environment", "gone"), "at").alias("q"))
         return newest.where(~F.col("q.gone")).select("name", "q.sql", "q.environment")
 
+    def history(self) -> DataFrame:
+        """All that was saved or deleted, the newest first."""
+        return self.spark.read.parquet(self.path).select("at", "name", "sql", "environment", F.when(F.col("gone"), "deleted").otherwise("saved").alias("action")).orderBy(F.desc("at"), "name")
+
     def run(self, name: str) -> DataFrame:
         row = self.list().where(F.col("name") == name).first()
         if row is None:

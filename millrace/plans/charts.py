@@ -6,7 +6,9 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import title
 from ..operators import breakdowns
@@ -16,6 +18,7 @@ from .kpi_match import Match
 
 # Up to so many groups a donut, up to so many a bar chart, beyond it the first ten.
 DONUT_GROUPS, BAR_GROUPS, SHOWN, MOST_CHARTS = 6, 20, 10, 5
+QUERY_ROWS = 200
 CUSTOMER_WORDS = ("customer", "client", "user", "member", "buyer", "account")
 PLAIN_LABELS = ("name", "title", "label")
 
@@ -31,6 +34,7 @@ class Chart:
     frame: Callable[[], DataFrame]
     rows: tuple[dict, ...] = ()
     kind: str = ""
+    error: str | None = None
 
     def axes(self) -> dict[str, str]:
         y = f"{self.metric} ({self.unit.title()})" if self.unit and self.unit.lower() != "count" else self.metric
@@ -92,13 +96,105 @@ def curate(charts: list[Chart], most: int = MOST_CHARTS) -> list[Chart]:
 
 
 def dashboard(matches: list[Match], tables: list[Table], frames: dict[str, DataFrame], most: int = MOST_CHARTS, threads: int = 4) -> list[Chart]:
-    """The curated charts with their rows (at most a few dozen each); candidates run side by side."""
+    """The curated charts with their rows (at most a few dozen each); candidates run side by side.
+
+    One that fails has no rows and its error, and stands behind the others as far as there is room.
+    """
 
     def run(chart: Chart) -> Chart | None:
-        return finished(chart, [r.asDict() for r in chart.frame().collect()])
+        try:
+            return finished(chart, to_rows(chart.frame()))
+        except (PySparkException, KeyError) as e:
+            return replace(chart, kind="empty", error=str(e).splitlines()[0])
 
     with ThreadPoolExecutor(threads) as pool:
-        return curate([c for c in pool.map(run, candidates(matches, tables, frames)) if c], most)
+        made = [c for c in pool.map(run, candidates(matches, tables, frames)) if c]
+    picked = curate([c for c in made if not c.error], most)
+    return picked + [c for c in made if c.error][: most - len(picked)]
+
+
+def to_rows(df: DataFrame) -> list[dict]:
+    """A chart's rows as dictionaries; value is a float, or None where it is no number."""
+    out = []
+    for r in df.collect():
+        row = r.asDict()
+        try:
+            row["value"] = None if row.get("value") is None else float(row["value"])
+        except (TypeError, ValueError):
+            row["value"] = None
+        out.append(row)
+    return out
+
+
+# What a chart of a unit may be drawn as, and titles that nobody meant.
+CHART_KINDS = {
+    "currency": ("line", "bar", "area", "card", "table"),
+    "count": ("bar", "line", "area", "card", "table"),
+    "percentage": ("donut", "bar", "card"),
+}
+OTHER_KINDS = ("bar", "card", "table")
+PLACEHOLDERS = ("my custom title", "untitled", "chart title", "new chart", "new widget", "widget title", "custom title", "title")
+
+
+def kinds_for(unit: str | None) -> tuple[str, ...]:
+    return CHART_KINDS.get((unit or "").lower(), OTHER_KINDS)
+
+
+def meant_title(given: str | None) -> str | None:
+    """A title that someone gave; None for a blank one or a placeholder."""
+    text = (given or "").strip()
+    return None if text.lower() in (*PLACEHOLDERS, "") else text
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What was chosen for a chart by its key; None leaves it as it is."""
+
+    key: str
+    title: str | None = None
+    kind: str | None = None
+    place: int | None = None
+    hidden: bool | None = None
+
+
+def changed(settings: dict[str, Setting], key: str, **choices) -> dict[str, Setting]:
+    """settings with some choices for one chart added to the earlier ones; None changes nothing."""
+    told = {k: v for k, v in choices.items() if v is not None}
+    return settings | {key: replace(settings.get(key, Setting(key)), **told)}
+
+
+def overlaid(charts: list[Chart], settings: dict[str, Setting]) -> list[Chart]:
+    """The charts as chosen: hidden ones gone, titles and kinds replaced, those with a place first in its order."""
+    shown = [c for c in charts if not (c.key in settings and settings[c.key].hidden)]
+
+    def dressed(c: Chart) -> Chart:
+        s = settings.get(c.key, Setting(c.key))
+        return replace(c, title=meant_title(s.title) or c.title, kind=s.kind or c.kind)
+
+    def place(c: Chart) -> tuple:
+        at = settings[c.key].place if c.key in settings else None
+        return (at is None, at or 0)
+
+    return [dressed(c) for c in sorted(shown, key=place)]
+
+
+def query_chart(spark: SparkSession, sql: str, x: str, y: str, title: str, kind: str = "bar", run: Callable[[str], DataFrame] | None = None) -> Chart:
+    """A chart of a saved query: its column x as labels, y as values. Columns that it lacks are an error of the caller's.
+
+    A query that fails gives an empty chart with the error.
+    """
+    base = Chart(f"query:{title}", title, "categorical", x, "", y, lambda: None, kind=kind)
+    try:
+        df = run(sql) if run else spark.sql(sql)
+    except PySparkException as e:
+        return replace(base, kind="empty", error=str(e).splitlines()[0])
+    if lacking := [c for c in (x, y) if c not in df.columns]:
+        raise ValueError(f"the query has no column {', '.join(lacking)}")
+    frame = df.select(F.col(f"`{x}`").cast("string").alias("label"), F.col(f"`{y}`").alias("value"))
+    try:
+        return replace(base, rows=tuple(to_rows(frame.limit(QUERY_ROWS))))
+    except PySparkException as e:
+        return replace(base, kind="empty", error=str(e).splitlines()[0])
 
 
 def validity(rows: list[dict]) -> str | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from ..functions.formats import kpi_text
@@ -75,10 +76,40 @@ def match(domain: str, tables: list[Table], design: Design) -> list[Match]:
 
 
 def compute(matches: list[Match], frames: dict[str, DataFrame]) -> list[Match]:
-    """The matches with their values: one job per table."""
-    results = [aggregates.batch(frames[t], {m.kpi.name: m.measure for m in matches if m.table == t}) for t in dict.fromkeys(m.table for m in matches)]
-    values = aggregates.values(results)
-    return [replace(m, value=values[m.kpi.name]) for m in matches]
+    """The matches with their values: one job per table. A table that fails leaves its KPIs without values.
+
+    Results are told apart by place, as KPIs of several domains or columns may share a name.
+    """
+    value: dict[int, float | None] = {}
+    for t in dict.fromkeys(m.table for m in matches):
+        try:
+            found = aggregates.values([aggregates.batch(frames[t], {str(k): m.measure for k, m in enumerate(matches) if m.table == t})])
+            value |= {int(k): v for k, v in found.items()}
+        except (PySparkException, KeyError):
+            continue
+    return [replace(m, value=value.get(k)) for k, m in enumerate(matches)]
+
+
+def frames_of(mode: str, sources: dict[str, DataFrame], warehouse: dict[str, DataFrame], design: Design) -> dict[str, DataFrame]:
+    """What KPIs are computed over: in warehouse mode a source's warehouse table, where there is one."""
+    if mode not in ("source", "warehouse"):
+        raise ValueError(f"unknown mode {mode}")
+    made = {p.source: warehouse[p.name] for p in design.parts if p.name in warehouse} if mode == "warehouse" else {}
+    return sources | made
+
+
+def regenerated(old: list[Match], new: list[Match]) -> list[Match]:
+    """New recommendations beside the approved ones, which stay; skipped ones stay skipped."""
+    kept = {(m.kpi, m.table, m.measure): m for m in old if m.status in ("approved", "skipped")}
+    fresh = [m for m in new if (m.kpi, m.table, m.measure) not in kept]
+    return list(kept.values()) + fresh
+
+
+def with_status(matches: list[Match], which: set[int], status: str) -> list[Match]:
+    """Approves, skips or restores (recommended) the matches at some places."""
+    if status not in ("approved", "skipped", "recommended"):
+        raise ValueError(f"unknown status {status}")
+    return [replace(m, status=status) if k in which else m for k, m in enumerate(matches)]
 
 
 def confidence_label(points: int) -> str:

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import formats
 from .operators import breakdowns, cleaning, drift, kpis, profile, quality, relationships, warehouse, workspace
 from .operators.kpis import Measure
 from .plans import catalog, charts, graph, kpi_match
 from .plans.design import design
 from .session import TABLES, table
+from .sources import files
 from .streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,9 +299,32 @@ def profile_type_mismatch(spark, sf):
     return profile.mistyped(text_orders(spark, sf))
 
 
-@query()
+_NUMERIC = ("o_orderkey", "o_custkey", "o_totalprice")
+_STATS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(min({c}), 4) AS min, round(max({c}), 4) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std_dev FROM ({NULLS_SQL})" for c in _NUMERIC
+)
+_TOP_SQL = (
+    "SELECT column_name, string_agg(value || '=' || n, '|' ORDER BY n DESC, value) AS top_values FROM (SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS place "
+    f"FROM (SELECT column_name, value, count(*) AS n FROM ({_cells(NULLS_SQL, ORDER_COLUMNS)}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE place <= 5 GROUP BY 1"
+)
+_TYPES_SQL = "SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'varchar'), ('o_totalprice', 'double precision'), ('o_orderdate', 'timestamp'), ('o_orderpriority', 'varchar')) v(column_name, declared_type)"
+
+
+@query(
+    f"SELECT 'orders' AS table_name, c.*, false AS suspected_type_mismatch, top_values, min, max, mean, median, std_dev, declared_type FROM ({_counts_sql(_cells(NULLS_SQL, ORDER_COLUMNS))}) c "
+    f"LEFT JOIN ({_TOP_SQL}) t USING (column_name) LEFT JOIN ({_STATS_SQL}) s USING (column_name) JOIN ({_TYPES_SQL}) k USING (column_name)"
+)
 def profile_full(spark, sf):
-    return profile.profile(orders_with_nulls(spark, sf), "orders")
+    """Whole profiles, the frequent values as one text."""
+    shown = F.array_join(F.transform("top_values", lambda x: F.concat_ws("=", x["value"], x["count"].cast("string"))), "|")
+    return profile.profile(orders_with_nulls(spark, sf), "orders").withColumn("top_values", shown)
+
+
+@query("SELECT column_name, CAST(place AS INTEGER) AS place, value, n FROM (SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS place FROM (SELECT column_name, value, count(*) AS n FROM "
+       "(SELECT 'l_quantity' AS column_name, CAST(l_quantity AS VARCHAR) AS value FROM lineitem UNION ALL SELECT 'l_shipdate', CAST(l_shipdate AS VARCHAR) FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem) GROUP BY 1, 2)) WHERE place <= 5")
+def profile_top5_typed(spark, sf):
+    """The most frequent numbers and times, as text."""
+    return profile.top_values(table(spark, sf, "lineitem").select("l_quantity", "l_shipdate", "l_discount"))
 
 
 # Quality, over three derived tables
@@ -387,7 +412,11 @@ def clean_metrics(spark, sf):
     return a.unionByName(b).unionByName(c)
 
 
-@query()
+@query(
+    f"SELECT 'orders_twice' AS \"table\", NULL AS \"column\", 'drop_duplicates' AS operation, 'high' AS confidence, count(*) - count(DISTINCT x) AS before, 0 AS after FROM (SELECT t AS x FROM ({TWICE_SQL}) t) "
+    f"UNION ALL SELECT 'text_orders', 'all_numbers', 'cast_type', 'medium', count(CASE WHEN TRY_CAST(all_numbers AS DOUBLE) IS NULL THEN 1 END), 0 FROM ({TEXT_SQL}) "
+    f"UNION ALL SELECT 'text_orders', 'mostly_null', 'flag_nulls', 'low', count(*) - count(mostly_null), count(*) - count(mostly_null) FROM ({TEXT_SQL})"
+)
 def clean_preview(spark, sf):
     """Recommended steps with their metric before and after, effects adding up."""
     tabs = {"orders_twice": orders_twice(spark, sf), "text_orders": text_orders(spark, sf)}
@@ -434,12 +463,48 @@ def rel_overlap(spark, sf):
     return relationships.evidence(renamed(spark, sf), _PAIRS)
 
 
-@query()
+def _inferred_sql(names: tuple, name: float, source: tuple, targeted: str = "true") -> str:
+    """One relationship: how alike the names are is given, the overlap of values and all that follows from it is computed."""
+    a, x, b, y = source
+    return (
+        f"SELECT {', '.join(f'{v!r} AS {k}' for k, v in zip(('from_table', 'from_column', 'to_table', 'to_column'), names))}, CAST(round({name} * 100) AS INTEGER) AS name_score, CAST(round(o * 100) AS INTEGER) AS overlap_score, p AS confidence, "
+        f"CASE WHEN p >= 75 THEN 'high' ELSE 'medium' END AS tier, CASE WHEN p >= 75 THEN 'auto_accepted' ELSE 'pending' END AS status, {targeted} AS targeted FROM (SELECT o, CAST(round_even((0.55 * {name} + 0.45 * o) * 100, 0) AS INTEGER) AS p "
+        f"FROM (SELECT count(DISTINCT CASE WHEN {x} IN (SELECT {y} FROM {b}) THEN {x} END) * 1.0 / count(DISTINCT {x}) AS o FROM {a})) WHERE p >= 50"
+    )
+
+
+@query(
+    _inferred_sql(("customers", "nation_key", "nation", "key"), 1.0, ("customer", "c_nationkey", "nation", "n_nationkey"))
+    + " UNION ALL "
+    + _inferred_sql(("orders", "cust_id", "customers", "customer_id"), 22 / 31, ("orders", "o_custkey", "customer", "c_custkey"))
+)
 def rel_inferred(spark, sf):
     tabs = renamed(spark, sf)
     return relationships.infer(spark, [catalog.describe(n, d, _RENAMED_KEYS[n]) for n, d in tabs.items()], tabs)
 
 
+_TYPED = [("orders", "as_double", "customers", "as_decimal"), ("orders", "as_decimal", "customers", "key"), ("orders", "key", "customers", "as_double"), ("orders", "half", "customers", "half_decimal"), ("orders", "half", "customers", "key")]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS from_table, '{c}' AS from_column, '{u}' AS to_table, '{d}' AS to_column, round(count(DISTINCT CASE WHEN {x} IN (SELECT {y} FROM customer) THEN {x} END) * 1.0 / count(DISTINCT {x}), 6) AS overlap, "
+        f"round(count(DISTINCT {x}) * 1.0 / count({x}), 6) AS cardinality FROM orders"
+        for (t, c, u, d), (x, y) in zip(_TYPED, [("o_custkey", "c_custkey")] * 3 + [("o_custkey * 0.5", "c_custkey * 0.5"), ("o_custkey * 0.5", "c_custkey")])
+    )
+)
+def rel_overlap_typed(spark, sf):
+    """Numbers of different types meet where they are equal."""
+    t = frames(spark, sf, ("customer", "orders"))
+
+    def forms(df, key):
+        k = F.col(key)
+        half = k.cast("double") / 2
+        return df.select(k.alias("key"), k.cast("double").alias("as_double"), k.cast("decimal(20,4)").alias("as_decimal"), half.alias("half"), half.cast("decimal(20,3)").alias("half_decimal"))
+
+    return relationships.evidence({"orders": forms(t["orders"], "o_custkey"), "customers": forms(t["customer"], "c_custkey")}, _TYPED)
+
+
 # Warehouse
 
 
@@ -456,6 +521,24 @@ def wh_fact_scores(spark, sf):
     return spark.createDataFrame(rows, "source_table string, warehouse_table string, kind string, score double, measures array<string>, reasons array<string>")
 
 
+@query(
+    "WITH n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS source_table, count(*) AS n FROM {t}" for t in TABLES) + "), m AS (SELECT * FROM (VALUES ('region', 0, 0, 1), ('nation', 1, 0, 1), ('customer', 1, 0, 1), ('supplier', 1, 0, 1), ('part', 0, 1, 0), ('orders', 1, 1, 1), "
+    "('lineitem', 3, 5, 1), ('events', 0, 1, 1)) v(source_table, links, measures, dates)), s AS (SELECT source_table, least(100, CASE WHEN n >= (SELECT list_sort(list(n))[7] FROM n) THEN 30 ELSE 0 END + CASE WHEN links >= 3 THEN 30 WHEN links = 2 THEN 20 WHEN links = 1 THEN 5 ELSE 0 END "
+    "+ CASE WHEN measures >= 2 THEN 25 ELSE 15 * measures END + 15 * dates) AS p FROM n JOIN m USING (source_table)) SELECT source_table, CASE WHEN p >= 50 THEN 'fact_' ELSE 'dim_' END || source_table AS warehouse_table, CASE WHEN p >= 50 THEN 'fact' ELSE 'dimension' END AS kind, CAST(p AS DOUBLE) AS score FROM s"
+)
+def wh_classes(spark, sf):
+    """Which tables are facts, by their points for rows (upper quartile), links, measures and dates."""
+    return wh_fact_scores(spark, sf).select("source_table", "warehouse_table", "kind", "score")
+
+
+@query("SELECT c_custkey, true AS created, true AS updated FROM customer")
+def wh_dim_audit(spark, sf):
+    tabs, _, d = _design(spark, sf)
+    made = warehouse.build(tabs["customer"], next(p for p in d.parts if p.source == "customer"))
+    recent = F.expr("interval 1 hour")
+    return made.select("c_custkey", (F.col("dw_created_at") > F.current_timestamp() - recent).alias("created"), (F.col("dw_updated_at") == F.col("dw_created_at")).alias("updated"))
+
+
 @query("SELECT * FROM customer")
 def wh_dim_ctas(spark, sf):
     tabs, _, d = _design(spark, sf)
@@ -475,7 +558,29 @@ def wh_validate_orphans(spark, sf):
     return warehouse.orphans(table(spark, sf, "orders").withColumn("o_custkey", key), "o_custkey", table(spark, sf, "customer"), "c_custkey")
 
 
-@query()
+def _orphans_sql(fact: str, column: str, target: str, dimension: str, key: str) -> str:
+    return (
+        f"SELECT 'orphans', 'fact_{fact}', '{column} -> {target}.{key}', v, CASE WHEN v > 0 THEN 'error' ELSE 'passed' END "
+        f"FROM (SELECT count(*) AS v FROM {fact} f LEFT JOIN {dimension} d ON f.{column} = d.{key} WHERE f.{column} IS NOT NULL AND d.{key} IS NULL)"
+    )
+
+
+@query(
+    " UNION ALL ".join(
+        [f"SELECT 'rows' AS \"check\", '{'fact' if t in ('orders', 'lineitem') else 'dim'}_{t}' AS table_name, '' AS detail, count(*) AS value, CASE WHEN count(*) = 0 THEN 'warning' ELSE 'passed' END AS status FROM {t}" for t in TABLES]
+        + [
+            f"SELECT 'unique_key', '{'fact' if t == 'orders' else 'dim'}_{t}', '{k}', v, CASE WHEN v > 0 THEN 'error' ELSE 'passed' END FROM (SELECT count(*) AS v FROM (SELECT {k} FROM {t} GROUP BY 1 HAVING count(*) > 1))"
+            for t, keys in catalog.BENCH_KEYS.items()
+            for k in keys.primary
+        ]
+        + [
+            _orphans_sql("lineitem", "l_orderkey", "fact_orders", "orders", "o_orderkey"),
+            _orphans_sql("lineitem", "l_partkey", "dim_part", "part", "p_partkey"),
+            _orphans_sql("lineitem", "l_suppkey", "dim_supplier", "supplier", "s_suppkey"),
+            _orphans_sql("orders", "o_custkey", "dim_customer", "customer", "c_custkey"),
+        ]
+    )
+)
 def wh_validate(spark, sf):
     tabs, _, d = _design(spark, sf)
     return warehouse.validate(tabs, d)
@@ -484,7 +589,30 @@ def wh_validate(spark, sf):
 # KPIs from a catalogue
 
 
-@query()
+_SHOWN_SQL = (
+    "CASE WHEN unit = 'count' THEN format('{:,}', CAST(value AS BIGINT)) WHEN abs(value) >= 1e6 THEN '$' || format('{:.1f}', value / 1e6) || 'M' WHEN abs(value) >= 1e3 THEN '$' || format('{:.1f}', value / 1e3) || 'K' "
+    "ELSE '$' || format('{:,.2f}', value) END"
+)
+_PRICE = "CAST(round({}(l_extendedprice), 2) AS DOUBLE)"
+
+
+@query(
+    f"SELECT name, table_name, aggregation, confidence, value, {_SHOWN_SQL} AS shown FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS name, '{t}' AS table_name, '{a}' AS aggregation, {c} AS confidence, CAST({'count(*)' if a == 'COUNT' else _PRICE.format(a.lower())} AS DOUBLE) AS value, '{'count' if a == 'COUNT' else 'currency'}' AS unit FROM {t}"
+        for n, t, a, c in (
+            ("Total Transactions", "lineitem", "COUNT", 100),
+            ("Total Products", "lineitem", "COUNT", 100),
+            ("Total Customers", "customer", "COUNT", 100),
+            ("Total Revenue", "lineitem", "SUM", 70),
+            ("Average Transaction Value", "lineitem", "AVG", 70),
+            ("Maximum Transaction Value", "lineitem", "MAX", 70),
+            ("Total Shipments", "lineitem", "COUNT", 100),
+            ("Total Shipment Value", "lineitem", "SUM", 70),
+        )
+    )
+    + ")"
+)
 def kpi_recommended(spark, sf):
     tabs, metas, d = _design(spark, sf)
     found = kpi_match.compute([m for domain in ("retail", "logistics") for m in kpi_match.match(domain, metas, d)], tabs)
@@ -492,6 +620,34 @@ def kpi_recommended(spark, sf):
     return spark.createDataFrame(rows, "name string, table_name string, aggregation string, confidence int, value double, shown string")
 
 
+@query(
+    "SELECT 0 AS place, 'Total Revenue' AS name, CAST(round(sum(l_tax), 2) AS DOUBLE) AS value FROM lineitem UNION ALL SELECT 1, 'Total Revenue', CAST(round(sum(l_extendedprice), 2) AS DOUBLE) FROM lineitem "
+    "UNION ALL SELECT 2, 'Total Revenue', CAST(round(sum(o_totalprice), 2) AS DOUBLE) FROM orders UNION ALL SELECT 3, 'Total Revenue', CAST(round(sum(o_totalprice), 2) AS DOUBLE) FROM orders WHERE o_orderstatus = 'O'"
+)
+def kpi_same_name(spark, sf):
+    """KPIs of one name over several columns, tables and filters keep their own values."""
+    kpi = kpi_match.DOMAINS["retail"][0]
+    asked = (("lineitem", Measure("SUM", "l_tax")), ("lineitem", Measure("SUM", "l_extendedprice")), ("orders", Measure("SUM", "o_totalprice")), ("orders", Measure("SUM", "o_totalprice", filter="o_orderstatus = 'O'")))
+    found = kpi_match.compute([kpi_match.Match(kpi, t, m, 100) for t, m in asked], frames(spark, sf, ("lineitem", "orders")))
+    return spark.createDataFrame([(k, m.kpi.name, m.value) for k, m in enumerate(found)], "place int, name string, value double")
+
+
+_UNITS = ("currency", "inr", "percentage", "days", "count", "ratio", "points")
+
+
+@query(
+    "SELECT o_orderkey, unit, CASE unit WHEN 'currency' THEN CASE WHEN v >= 1e6 THEN '$' || format('{:.1f}', v / 1e6) || 'M' WHEN v >= 1e3 THEN '$' || format('{:.1f}', v / 1e3) || 'K' ELSE '$' || format('{:,.2f}', v) END "
+    "WHEN 'inr' THEN CASE WHEN v >= 1e7 THEN '₹' || format('{:.2f}', v / 1e7) || 'Cr' WHEN v >= 1e5 THEN '₹' || format('{:.1f}', v / 1e5) || 'L' ELSE '₹' || format('{:,.2f}', v) END "
+    "WHEN 'percentage' THEN format('{:.2f}', v) || '%' WHEN 'days' THEN format('{:.2f}', v) || ' days' WHEN 'count' THEN format('{:,.0f}', v) WHEN 'ratio' THEN format('{:.2f}', v) ELSE format('{:,.0f}', v) END AS shown "
+    "FROM (SELECT o_orderkey, unit, CAST((o_orderkey * 7919) % 4099 * 10 ** (o_orderkey % 5) + 1 AS DOUBLE) AS v FROM orders, (SELECT unnest(['currency', 'inr', 'percentage', 'days', 'count', 'ratio', 'points']) AS unit))"
+)
+def kpi_formatted(spark, sf):
+    """Values of every size by every unit, formatted by Spark."""
+    value = ((F.col("o_orderkey") * 7919) % 4099 * F.pow(F.lit(10), F.col("o_orderkey") % 5) + 1).cast("double")
+    rows = table(spark, sf, "orders").select("o_orderkey", value.alias("v"), F.explode(F.array(*map(F.lit, _UNITS))).alias("unit"))
+    return rows.select("o_orderkey", "unit", formats.kpi_column(F.col("v"), F.col("unit")).alias("shown"))
+
+
 @query()
 def chart_plan(spark, sf):
     tabs, metas, d = _design(spark, sf)
@@ -499,7 +655,12 @@ def chart_plan(spark, sf):
     return spark.createDataFrame([(c.key, c.title, c.kind, c.form, len(c.rows)) for c in picked], "key string, title string, kind string, form string, points int")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT * FROM (VALUES ('nation', 'region'), ('customer', 'nation'), ('supplier', 'nation'), ('orders', 'customer'), ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier')) v(a, b)), "
+    "l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), w AS (SELECT a AS base, b AS dimension, 1 AS hops FROM l UNION SELECT w.base, l.b, w.hops + 1 FROM w JOIN l ON w.dimension = l.a WHERE w.hops < 4) "
+    "SELECT base, dimension, min(hops) AS hops, label, true AS named FROM w JOIN (VALUES ('region', 'r_name'), ('nation', 'n_name'), ('customer', 'c_name'), ('supplier', 's_name'), ('part', 'p_name'), ('orders', 'o_orderstatus'), ('lineitem', 'l_returnflag')) n(t, label) ON t = dimension "
+    "WHERE base <> dimension GROUP BY base, dimension, label"
+)
 def graph_paths(spark, sf):
     metas = [catalog.describe(n, x, catalog.BENCH_KEYS[n]) for n, x in frames(spark, sf).items()]
     rows = [(base, p.table, len(p.edges), " ".join(p.label), p.named) for base in TABLES for p in graph.dimension_paths(metas, base)]
@@ -571,6 +732,52 @@ def curated_balances(spark, sf):
     return spark.sql("SELECT n_name, count(*) AS n, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS balance FROM ws_customer JOIN ws_nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")
 
 
+CURATED = {
+    "curated_monthly_orders": ("Monthly orders", "SELECT date_trunc('month', o_orderdate) AS month, count(*) AS order_count FROM {orders} GROUP BY 1 ORDER BY 1 LIMIT 200"),
+    "curated_top_parts": ("Top 10 parts by sold lines", "SELECT p_partkey, p_name, count(*) AS line_count FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10"),
+    "curated_revenue_by_segment": ("Revenue by segment", "SELECT c_mktsegment AS segment, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS revenue FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1 ORDER BY 2 DESC LIMIT 200"),
+    "curated_customer_activity": ("Customers by orders", "SELECT order_count, count(*) AS customer_count FROM (SELECT c_custkey, count(o_orderkey) AS order_count FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1 ORDER BY 1 LIMIT 200"),
+}
+
+
+def _curated(name: str):
+    def run(spark, sf):
+        for n in ("customer", "orders", "lineitem", "part"):
+            table(spark, sf, n).createOrReplaceTempView(f"ws_{n}")
+        own = {k: (title, sql.format(**{t: f"ws_{t}" for t in TABLES})) for k, (title, sql) in CURATED.items()}
+        return workspace.Demo(spark, own).frame(name)
+
+    run.__name__ = name
+    return query(CURATED[name][1].format(**{t: t for t in TABLES}))(run)
+
+
+for _name in CURATED:
+    _curated(_name)
+
+
+@query(
+    "SELECT o_orderkey, CAST(last_day(o_orderdate) AS DATE) AS month_end, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS due, "
+    "upper(substr(o_orderpriority, 3, 1)) || lower(substr(o_orderpriority, 4)) AS priority FROM orders"
+)
+def calendar_and_names(spark, sf):
+    """Month ends, parts of dates, intervals and capitalised names."""
+    day, name = F.col("o_orderdate"), F.col("o_orderpriority")
+    told = F.concat(F.upper(F.substr(name, F.lit(3), F.lit(1))), F.lower(F.substr(name, F.lit(4))))
+    return table(spark, sf, "orders").select("o_orderkey", F.last_day(day).alias("month_end"), F.year(day).alias("year"), F.month(day).alias("month"), (day + F.expr("interval 1 month")).cast("date").alias("due"), told.alias("priority"))
+
+
+@query("SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS o_orderkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).d AS o_orderdate FROM orders GROUP BY 1")
+def latest_orders(spark, sf):
+    """The newest row of each group, as the newest of stored versions is found."""
+    newest = F.max_by(F.struct("o_orderdate", "o_orderkey"), F.struct("o_orderdate", "o_orderkey"))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(newest.alias("x")).select("o_custkey", "x.o_orderkey", "x.o_orderdate")
+
+
+@query("SELECT c_acctbal FROM customer WHERE c_acctbal IS NOT NULL ORDER BY c_acctbal LIMIT 100")
+def source_sample_values(spark, sf):
+    return files.sample_values(table(spark, sf, "customer"), "c_acctbal")
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_hourly(spark, sf):
     """The windowed counts of the streaming addition, on the whole table."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.names import is_partition_child
 from ..plans.catalog import Keys
 
 
@@ -15,8 +17,15 @@ def parse_dsn(dsn: str) -> dict:
     return {"host": parts.hostname, "port": parts.port, "database": parts.path.lstrip("/") or None, "user": unquote(parts.username or "") or None, "options": dict(parse_qsl(parts.query))}
 
 
-def read(spark: SparkSession, url: str, table: str, schema: str | None = None, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
-    """One table. partition (column, lower, upper, parts) splits the scan into that many reads."""
+def read(spark: SparkSession, url: str, table: str, schema: str | None = None, partition: tuple[str, int, int, int] | None = None, search_path: str | None = None, **options: str) -> DataFrame:
+    """One table. partition (column, lower, upper, parts) splits the scan into that many reads.
+
+    search_path, a schema's name, is set for every session of the database that reads.
+    """
+    if search_path is not None:
+        if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", search_path):
+            raise ValueError(f"no schema name: {search_path}")
+        options = {"sessionInitStatement": f'SET search_path TO "{search_path}"'} | options
     r = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.{table}" if schema else table).option("loginTimeout", "5").options(**options)
     if partition:
         column, low, high, parts = partition
@@ -32,7 +41,7 @@ def declared_keys(spark: SparkSession, url: str, schema: str | None = None) -> d
         names = []
         found = meta.getTables(None, schema, "%", None)
         while found.next():
-            if found.getString("TABLE_TYPE") == "TABLE":
+            if found.getString("TABLE_TYPE") == "TABLE" and not is_partition_child(found.getString("TABLE_NAME")):
                 names.append(found.getString("TABLE_NAME"))
         out = {}
         for name in names:
@@ -48,3 +57,28 @@ def declared_keys(spark: SparkSession, url: str, schema: str | None = None) -> d
         return out
     finally:
         connection.close()
+
+
+def schemas(spark: SparkSession, url: str, hidden: tuple[str, ...] = ()) -> list[str]:
+    """The database's schemas but for those of its system and the hidden ones."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        found, out = connection.getMetaData().getSchemas(), []
+        while found.next():
+            out.append(found.getString("TABLE_SCHEM"))
+        return sorted(n for n in out if n not in hidden and not n.lower().startswith(("pg_", "sys", "information_schema", "nullid", "sqlj")))
+    finally:
+        connection.close()
+
+
+def indexes(spark: SparkSession, url: str, table: str, schema: str | None = None) -> dict[str, tuple[bool, tuple[str, ...]]]:
+    """A table's indexes by name: whether each is unique, and its columns in their order."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        found, out = connection.getMetaData().getIndexInfo(None, schema, table, False, True), {}
+        while found.next():
+            if name := found.getString("INDEX_NAME"):
+                out.setdefault(name, (not found.getBoolean("NON_UNIQUE"), []))[1].append((found.getInt("ORDINAL_POSITION"), found.getString("COLUMN_NAME")))
+        return {name: (unique, tuple(c for _, c in sorted(columns))) for name, (unique, columns) in out.items()}
+    finally:
+        connection.close()

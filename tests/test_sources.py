@@ -63,7 +63,11 @@ def test_cleaning_keeps_the_source(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (1, None), (2, 4.0), (3, 6.0)], "id int, x double")
     steps = [cleaning.Step("drop_duplicates", "t"), cleaning.Step("impute_median", "t", "x", 5.0)]
     assert [(b, a) for _, b, a in cleaning.preview({"t": df}, steps)] == [(1, 0), (1, 0)]
-    out = cleaning.apply(spark, {"t": df}, steps, str(tmp_path))["t"]
+    made, told = cleaning.apply(spark, {"t": df}, [*steps, cleaning.Step("cast_type", "t", "lacking")], str(tmp_path))
+    out = made["t"]
+    assert [s.status for s, _ in told] == ["pending", "applied", "applied"] and "lacking" in told[0][1]
+    failing = cleaning.preview({"t": df}, [cleaning.Step("impute_median", "t", "lacking", 1.0), *steps])
+    assert [(b, a) for _, b, a in failing] == [(0, 0), (1, 0), (1, 0)]
     assert sorted(map(tuple, out.collect())) == [(1, 5.0), (2, 4.0), (3, 6.0)] and df.count() == 4
     kinds = [i["issue_type"] for i in map(lambda r: r.asDict(), quality.issues(*profile.profile_all({"t": df})).collect())]
     assert sorted(kinds) == ["duplicate_rows", "high_null_rate"]
