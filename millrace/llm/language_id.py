@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_batches, free_name, give_back, worker_memo, written
+from .encoding import HashMemo
 
 UNKNOWN = "und"
 ROUNDS = 3
@@ -246,43 +247,31 @@ def fit(df: DataFrame, path: str, text: str = "text", label: str = "lang", round
     return Model(languages, path, p)
 
 
-class _Scorer:
-    """Scores of words, remembered for one worker in Arrow and NumPy; row 0 is the empty word's.
+def _remembered(model: Model) -> HashMemo:
+    """Scores of words as their bytes, remembered for one worker; the empty word's are 0."""
 
-    When over MEMO_CELLS numbers are held, the words of the batch at hand stay.
-    """
+    def many(words: list[str]) -> pa.Array:
+        own = np.zeros((len(words), len(model.languages)))
+        some = [k for k, w in enumerate(words) if w]
+        own[some] = log_scores([words[k] for k in some], model.path, model.p)
+        width = 8 * len(model.languages)
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.arange(len(words) + 1, dtype=np.int64) * width), pa.py_buffer(own.tobytes())])
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, pa.array([""], pa.large_string())
-        self.table = np.zeros((1, len(model.languages)))
-
-    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, for each word the place of its own among them)."""
-        coded = words.dictionary_encode()
-        place = pc.index_in(coded.dictionary, self.known)
-        missing = coded.dictionary.filter(pc.is_null(place))
-        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
-        at[at < 0] = len(self.known) + np.arange(len(missing))
-        if len(missing):
-            self.known = pa.concat_arrays([self.known, missing])
-            self.table = np.concatenate([self.table, log_scores(missing.to_pylist(), self.model.path, self.model.p)])
-        table, index = self.table, at[coded.indices.to_numpy()]
-        if self.table.size > MEMO_CELLS:
-            kept = np.unique(np.r_[0, at])
-            short = pc.less_equal(pc.utf8_length(self.known), LONGEST_KNOWN).to_numpy(zero_copy_only=False)
-            kept = kept[short[kept]]
-            self.known, self.table = self.known.take(pa.array(kept)), self.table[kept]
-        return table, index
+    return HashMemo(many, MEMO_CELLS // len(model.languages), LONGEST_KNOWN)
 
 
 def _judged(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(place of the best language or -1, its share) of each text of a batch."""
-    scorer = worker_memo(("words", model.name), lambda: _Scorer(model))
+    memo = worker_memo(("words", model.name), lambda: _remembered(model))
     parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), r"\P{L}+")
     edges = parts.offsets.to_numpy()[:-1]
-    table, index = scorer.lookup(parts.flatten())
-    total = np.add.reduceat(table[index], edges)
-    some = np.add.reduceat((index > 0).astype(np.int64), edges) > 0
+    coded = parts.flatten().dictionary_encode()
+    values, place = memo.lookup(coded.dictionary)
+    table = np.frombuffer(values.buffers()[2], np.float64, len(values) * len(model.languages)).reshape(len(values), -1)
+    index = coded.indices.to_numpy()
+    total = np.add.reduceat(table[place[index]], edges)
+    letters = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
+    some = np.add.reduceat(letters[index].astype(np.int64), edges) > 0
     best = total.argmax(1)
     share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
     return np.where(some, best, -1), np.where(some, share, 0.0)

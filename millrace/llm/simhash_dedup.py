@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import byte_batches, free_name, written
+from .common import byte_batches, free_name, small_batches, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -400,7 +400,8 @@ def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
         yield counted()
 
     counts = some.mapInArrow(repeats, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_IN)
-    return {r["h"] & ((1 << 64) - 1): r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()}
+    with small_batches(texts.sparkSession):
+        return {r["h"] & ((1 << 64) - 1): r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()}
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
