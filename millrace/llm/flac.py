@@ -26,6 +26,11 @@ RATE = 8000
 #: A batch is held in some 25 arrays of 8 bytes a sample.
 BATCH_BYTES = 1 << 20
 SEEK_FRAMES = 16
+#: The encoder's linear predictors: coefficients, bits of each, and the bits that tell of them in a frame.
+LINEAR, PRECISION = 4, 8
+HEAD = 9 + LINEAR * PRECISION
+#: Samples of a PCM block.
+PCM_SAMPLES = 1 << 16
 #: Block sizes by their code in a frame header (fixed values of the format).
 SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 #: Bits a sample by their code (fixed values of the format); 0 refers to the stream's header.
@@ -105,11 +110,33 @@ def _frame_head(size: int, number: int) -> bytes:
     return head + bytes((crc8(head),))
 
 
+def linear_predictors(x: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (LINEAR, frames) of PRECISION bits and their shifts, by autocorrelation of each frame."""
+    r = [np.add.reduceat(x * x, first).astype(float)]
+    for lag in range(1, LINEAR + 1):
+        both = np.zeros(len(x), np.int64)
+        both[lag:] = x[lag:] * x[:-lag]
+        both[place < lag] = 0
+        r.append(np.add.reduceat(both, first).astype(float))
+    error = r[0] + 1.0
+    a = np.zeros((LINEAR, len(first)))
+    for i in range(LINEAR):
+        k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / error
+        before = a[:i].copy()
+        a[i] = k
+        a[:i] = before - k * before[::-1]
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    limit = (1 << PRECISION - 1) - 1
+    shift = np.clip(np.floor(np.log2(limit / np.maximum(np.abs(a).max(0), 1e-9))), 0, 14).astype(np.int64)
+    return np.clip(np.rint(a * 2.0**shift), -limit - 1, limit).astype(np.int64), shift
+
+
 def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     """A FLAC stream of each payload, whose bytes are samples of 8 bits (less 128).
 
     Payloads have 16 bytes or more, and no last frame of under 16. Each frame takes the best of
-    fixed predictors of order 0 to 2 with one Rice parameter, a constant or the plain samples.
+    fixed predictors of order 0 to 2 and a linear one of order LINEAR, with one Rice parameter, a
+    constant or the plain samples.
     """
     if not payloads:
         return []
@@ -134,7 +161,17 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     order = costs.argmin(0)
     constant = np.add.reduceat(np.abs(residuals[1]), first) == 0
     order[constant] = 0
-    r = np.choose(order[of], residuals)
+    # A linear predictor costs its coefficients, so it has to be that much better.
+    weights, shift = linear_predictors(x, first, place)
+    guess = np.zeros(len(x), np.int64)
+    for j in range(LINEAR):
+        guess[j + 1 :] += weights[j][of[j + 1 :]] * x[: -j - 1]
+    guess = x - (guess >> shift[of])
+    guess[place < LINEAR] = 0
+    linear = ~constant & (n >= 64) & (np.add.reduceat(np.abs(guess), first) < 0.95 * costs.min(0))
+    order[linear] = 3
+    r = np.choose(order[of], [*residuals, guess])
+    order[linear] = LINEAR
     u = (r << 1) ^ (r >> 63)
     mean = np.add.reduceat(np.where(place >= order[of], u, 0), first) / np.maximum(1, n - order)
     k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
@@ -145,6 +182,7 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     length[warm] = 8
     plain = np.add.reduceat(length, first) + 10 >= 8 * n
     plain &= ~constant
+    linear &= ~plain
     order[plain] = 0
     flat = (plain | constant)[of]
     width = np.where(warm | flat, 8, kk + 1)
@@ -154,6 +192,7 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     length[cut] = width[cut] = value[cut] = 0
     rice = ~(plain | constant)
     length[(first + order)[rice]] += 10
+    length[(first + order)[linear]] += HEAD
 
     heads = [_frame_head(a, b) for a, b in zip(n.tolist(), number.tolist())]
     head = np.array([len(h) for h in heads])
@@ -168,12 +207,19 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     base = (start + head) * 8
     done = np.cumsum(length)
     end = done - np.repeat(done[first] - length[first], n) + base[of] + 8
-    kinds = np.where(constant, 0, np.where(plain, 1, 8 + order)) << 1
-    at = np.concatenate([end - width, base, (end - length)[(first + order)[rice]]])
-    wide = np.concatenate([width, np.full(len(n), 8), np.full(int(rice.sum()), 10)])
-    what = np.concatenate([value, kinds, k[rice]])
-    word, shift = at >> 5, 64 - (at & 31) - wide
-    window = what.astype(np.uint64) << np.where(wide > 0, shift, 0).astype(np.uint64)
+    kinds = np.where(constant, 0, np.where(plain, 1, np.where(linear, 31 + LINEAR, 8 + order))) << 1
+    open_ = end - length  # where a sample's bits begin, and at the first residual what tells of the predictor
+    told = open_[(first + order)[linear]]
+    at = [end - width, base, open_[(first + order)[rice]] + HEAD * linear[rice], told]
+    wide = [width, np.full(len(n), 8), np.full(int(rice.sum()), 10), np.full(len(told), 9)]
+    what = [value, kinds, k[rice], PRECISION - 1 << 5 | shift[linear]]
+    for j in range(LINEAR):
+        at.append(told + 9 + PRECISION * j)
+        wide.append(np.full(len(told), PRECISION))
+        what.append(weights[j][linear] & (1 << PRECISION) - 1)
+    at, wide, what = np.concatenate(at), np.concatenate(wide), np.concatenate(what)
+    word, up = at >> 5, 64 - (at & 31) - wide
+    window = what.astype(np.uint64) << np.where(wide > 0, up, 0).astype(np.uint64)
     words = np.bincount(word, (window >> np.uint64(32)).astype(float), whole // 4 + 3)
     words[1:] += np.bincount(word, (window & np.uint64(0xFFFFFFFF)).astype(float), whole // 4 + 3)[:-1]
     out = words.astype(np.uint32).astype(">u4").view(np.uint8)[: whole].copy()
@@ -473,14 +519,14 @@ def _sizes(column: pa.Array) -> list[int]:
 
 @F.arrow_udf(BinaryType())
 def text_to_flac(column: pa.Array) -> pa.Array:
-    """UTF-8 of each whole text (null: empty), zero bytes up to a positive multiple of 64, as FLAC."""
+    """UTF-8 of each whole text (null: empty), zero bytes up to a positive multiple of 64, as FLAC. Equal texts give equal streams."""
     out: list[bytes] = []
     for a, b in byte_batches(_sizes(column), BATCH_BYTES):
         out += encode([padded(x or b"") for x in column.slice(a, b - a).cast(pa.large_binary()).to_pylist()])
     return pa.array(out, pa.binary())
 
 
-FEATURES = "struct<payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string>"
+FEATURES = "struct<pcm_blocks bigint, frames bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string>"
 
 
 def feature(samples: np.ndarray) -> str:
@@ -490,8 +536,18 @@ def feature(samples: np.ndarray) -> str:
     return f"peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};step={int(steps.sum())}"
 
 
+def pcm_pieces(samples: np.ndarray, depth: int, size: int = PCM_SAMPLES) -> list[tuple[int, int, bytes]]:
+    """(sample offset, samples, PCM) of each block of size samples, signed little-endian; the block of a sample is its number by size."""
+    kind = f"<i{(depth + 7) // 8}"
+    return [(at, len(some := samples[at : at + size]), some.astype(kind).tobytes()) for at in range(0, len(samples), size)]
+
+
 def media_features(media: Column) -> Column:
-    """What a column of 8-bit FLAC streams holds, decoded and verified: FEATURES; null for null."""
+    """What a column of 8-bit FLAC streams holds, decoded and verified: FEATURES; null for null.
+
+    The payload is that of the stream's PCM blocks. A damaged stream, or one of another depth, stops the
+    job; equal streams give equal values, and an empty table none.
+    """
 
     @F.arrow_udf(FEATURES)
     def read(column: pa.Array) -> pa.Array:
@@ -503,17 +559,20 @@ def media_features(media: Column) -> Column:
                 if stream is None:
                     out.append(None)
                     continue
-                samples, _, _ = next(decoded)
-                payload = (samples + 128).astype(np.uint8).tobytes()
-                out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": feature(samples)})
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                samples, frames, info = next(decoded)
+                if info["depth"] != 8:
+                    raise ValueError(f"a stream of {info['depth']} bits a sample, not of 8")
+                pieces = pcm_pieces(samples, 8)
+                payload = b"".join(pcm for _, _, pcm in pieces).translate(_SIGNED)
+                out.append({"pcm_blocks": len(pieces), "frames": len(frames), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": feature(samples)})
+        names = ["pcm_blocks", "frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.array(out, pa.struct(list(zip(names, kinds))))
 
     return read(media)
 
 
-def pcm_blocks(df: DataFrame, identifier: str, media: str, samples: int = 1 << 16) -> DataFrame:
+def pcm_blocks(df: DataFrame, identifier: str, media: str, samples: int = PCM_SAMPLES) -> DataFrame:
     """PCM blocks of each stream: identifier, block, sample_offset, n_samples, rate, depth and pcm.
 
     pcm has at most samples samples, signed little-endian; sample_offset counts from 0, so the block of
@@ -528,10 +587,8 @@ def pcm_blocks(df: DataFrame, identifier: str, media: str, samples: int = 1 << 1
                 streams = [(k, x) for k, x in zip(keys.slice(a, b - a), column.slice(a, b - a).to_pylist()) if x is not None]
                 lines = []
                 for (key, _), (x, _, info) in zip(streams, decode([x for _, x in streams])):
-                    kind = f"<i{(info['depth'] + 7) // 8}"
-                    for number, at in enumerate(range(0, len(x), samples)):
-                        some = x[at : at + samples]
-                        lines.append((key.as_py(), number, at, len(some), info["rate"], info["depth"], some.astype(kind).tobytes()))
+                    for number, (at, n, pcm) in enumerate(pcm_pieces(x, info["depth"], samples)):
+                        lines.append((key.as_py(), number, at, n, info["rate"], info["depth"], pcm))
                 if lines:
                     kinds = [keys.type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), kinds)], [batch.schema.names[0], "block", "sample_offset", "n_samples", "rate", "depth", "pcm"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, flac, language_id, mixing, secret_scan, simhash_dedup, sstable, substring_dedup, token_counts
-from .common import table
+from .common import table, written
 
 
 def tokenizer(name: str) -> str:
@@ -28,7 +28,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    stored = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), flac.text_to_flac(text).alias("media"))
+    stored = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), flac.text_to_flac(text).alias("media")), "media")
     return stored.select("doc_id", "n_bytes", flac.media_features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import flac
 
-from .fixtures import DOCS, corpus, empty
+from .fixtures import DOCS, clashing, corpus, empty
 
 
 class Writer:
@@ -92,6 +92,36 @@ def test_round_trip(texts):
     assert [(x + 128).astype(np.uint8).tobytes() for x, _, _ in flac.decode(flac.encode(payloads))] == payloads
 
 
+def test_linear_predictors_are_written_and_read():
+    rng = np.random.default_rng(1)
+    wave = np.clip(128 + 60 * np.sin(np.arange(4992) / 9) + rng.normal(0, 3, 4992), 0, 255).astype(np.uint8).tobytes()
+    payloads = [wave, flac.padded(b"plain words " * 400), bytes(64), wave[:64]]
+    streams = flac.encode(payloads)
+    assert [(x + 128).astype(np.uint8).tobytes() for x, _, _ in flac.decode(streams)] == payloads
+    kinds = [{d[f[0] + f[2]] >> 1 for f in flac._frames(d)[1]} for d in streams]
+    assert kinds[0] == {31 + flac.LINEAR} and kinds[2] == {0} and len(streams[0]) < 0.7 * len(wave)
+
+
+def plain_feature(payload):
+    x = [b - 128 for b in payload]
+    steps = [abs(b - a) for a, b in zip(x, x[1:])]
+    return f"peak={max(map(abs, x))};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};step={sum(steps)}"
+
+
+def test_features_clashing_names_and_depths(spark):
+    df = clashing(spark).select("*", F.lit("mine").alias("media_bytes"), flac.text_to_flac(F.col("text")).alias("media"), F.lit("mine").alias("pcm"))
+    for r in df.select("text", "media_bytes", flac.media_features(F.col("media")).alias("f")).collect():
+        payload = flac.padded((r["text"] or "").encode())
+        assert r["f"]["feature"] == plain_feature(payload) and r["media_bytes"] == "mine"
+        assert (r["f"]["frames"], r["f"]["pcm_blocks"]) == (-(-len(payload) // flac.BLOCK), -(-len(payload) // flac.PCM_SAMPLES))
+    assert flac.pcm_blocks(df, "doc_id", "media").count() == df.count() + sum(-(-len(flac.padded((t or "").encode())) // flac.PCM_SAMPLES) - 1 for _, t, *_ in DOCS)
+    deep = bytearray(flac.encode([bytes(64)])[0])
+    deep[20:22] = struct.pack(">H", int.from_bytes(deep[20:22], "big") & 0xFE0F | 15 << 4)
+    bad = spark.createDataFrame([(bytes(deep),)], "media binary").select(flac.media_features(F.col("media")))
+    with pytest.raises(Exception, match="bits a sample|MD5|crc"):
+        bad.collect()
+
+
 def test_damage_is_found():
     stream, = flac.encode([flac.padded(b"some text " * 500)])
     for at in (len(stream) - 1, len(stream) - 900, 30):
