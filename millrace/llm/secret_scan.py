@@ -1,15 +1,20 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
 A candidate is a run of 16 or more characters of [A-Za-z0-9+/_-] with a digit in it, a token of three
-dotted parts, a PEM header, or, where an assignment or a credential word comes before, any value of 8
+dotted parts, a PEM header, the password of a URL, or, where an assignment or a credential word comes before, any value of 8
 or more characters. Features tell of
-its length, the transitions between its characters, how much of it a dictionary covers, its path (its
+its length, the transitions between its characters (how probable they are in the words of a public
+vocabulary, and between kinds of characters), how much of it a dictionary and that vocabulary cover, its path (its
 own, and where the document is from) and the words beside it. A forest is trained from labelled
 findings and judges every candidate.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -42,12 +47,58 @@ KEY_WORDS = "token|secret|passw|passwd|pwd|api|apikey|key|auth|authorization|bea
 OTHER_WORDS = "commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|version|build|isbn|phone|card|account|invoice|order|url|file|path|image"
 #: What providers put before their keys.
 PREFIX = "^(AKIA|ASIA|AIza|gh[oprsu]_|glpat-|npm_|sk_live_|xox[abp]-)"
+#: The password of a URL's credentials.
+CREDENTIALS = "[A-Za-z][A-Za-z0-9+.-]*://[^/:@]*:([^/@]+)@"
 FEATURES = (
-    "length distinct_share transition_share digit_share upper_share hex alternating covered slashes dots numeric dashes path_word "
+    "length distinct_share transition_share bigrams vocabulary in_url digit_share upper_share hex alternating covered slashes dots numeric dashes path_word "
     "key_before other_before key_near assigned quoted words_around prefix"
 ).split()
 
 
+@functools.cache
+def public_words(path: str) -> tuple[str, ...]:
+    """The whole words of a public sentencepiece vocabulary: pieces of four letters a-z or more that begin a word."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = {model.id_to_piece(k) for k in range(model.get_piece_size())}
+    return tuple(sorted({w for p in found if p[0] == "\u2581" and len(w := p[1:].lower()) >= 4 and w.isascii() and w.isalpha()}))
+
+
+@functools.cache
+def bigram_table(path: str) -> tuple[float, ...]:
+    """log2 of the probability of each letter after another in the words of the vocabulary, 27 by 27; 0 stands for no letter."""
+    counts = [[1.0] * 27 for _ in range(27)]
+    for word in public_words(path):
+        codes = [0, *(ord(c) - 96 for c in word), 0]
+        for a, b in zip(codes, codes[1:]):
+            counts[a][b] += 1
+    return tuple(round(math.log2(n / sum(row)), 4) for row in counts for n in row)
+
+
+def _array(values: tuple, kind: str) -> Column:
+    """A constant array, as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def mean_bigram(text: Column, path: str) -> Column:
+    """The mean log2 probability of the transitions between neighbouring characters; 0 for a single one."""
+    codes = F.transform(F.split(F.lower(text), ""), lambda c: F.when(c.rlike("^[a-z]$"), F.ascii(c) - 96).otherwise(0))
+
+    def mean(own: Column) -> Column:
+        steps = F.transform(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda b, i: F.get(_array(bigram_table(path), "double"), 27 * F.get(own, i) + b))
+        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(own) - 1, F.lit(1))
+
+    return F.get(F.transform(F.array(codes), mean), F.lit(0))
+
+
+def known_share(text: Column, path: str) -> Column:
+    """The share of characters in words of the vocabulary, as capitals and other characters part them."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit("([A-Z]?[a-z]{3,}|[A-Z]{4,})"), 1), F.lower)
+    known = F.array_intersect(parts, _array(public_words(path), "string"))
+    return F.aggregate(F.filter(parts, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(F.length(text), F.lit(1))
+
+
 def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", path: str | None = "source") -> DataFrame:
     """keys, word_no (from 0), nth (candidate of that word), value, path, word, before2, before1 and after1.
 
@@ -72,21 +123,23 @@ def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
     signed = F.col("before1").rlike("[=:]$") | F.col("before1").isin("is", "was") & F.lower("before2").rlike(key)
     told = F.coalesce(signed | F.lower("before1").rlike(key), F.lit(False)) & ~F.col("word").contains("-----")
     inside = F.regexp_extract("word", ASSIGNED, 1)
-    given = F.when(inside != "", inside).when(told, F.col("word")).otherwise(F.lit(""))
+    url = F.regexp_extract("word", CREDENTIALS, 1)
+    given = F.when(url != "", "").when(inside != "", inside).when(told, F.col("word")).otherwise(F.lit(""))
     quoted = F.regexp_extract(given, "^([\"'`])(.*)\\1", 2)
     given = F.when(quoted != "", quoted).otherwise(F.regexp_replace(given, "^[\"'`(\\[{<]+|[^A-Za-z0-9=!@$%^&*+/_-]+$", ""))
     runs = F.filter(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1), lambda x: x.rlike("[0-9]"))
     dotted = F.filter(F.regexp_extract_all("word", F.lit(f"({DOTTED})"), 1), lambda x: x.rlike("[0-9]"))
     pem = F.when(F.col("word").rlike("-----BEGIN$"), F.regexp_extract("ahead", f"({PEM})", 1)).otherwise(F.lit(""))
-    listed = F.filter(F.array_distinct(F.concat(runs, dotted, F.array(given, pem))), lambda x: F.length(x) >= SHORT)
+    listed = F.filter(F.array_distinct(F.concat(runs, dotted, F.array(given, pem, url))), lambda x: F.length(x) >= SHORT)
     near = near.select(*keys, "path", "word_no", "word", *beside, listed.alias("listed")).where(F.size("listed") > 0)
     # A part of a longer value is no candidate of its own.
     whole = F.filter("listed", lambda x: ~F.exists("listed", lambda y: (y != x) & F.contains(y, x)))
     return near.select(*keys, "word_no", F.posexplode(whole).alias("nth", "value"), "path", "word", *beside).select(*keys, "word_no", "nth", "value", "path", "word", *beside)
 
 
-def features(found: DataFrame) -> DataFrame:
-    """found with a double for each of FEATURES."""
+def features(found: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """found with a double for each of FEATURES. vocabulary names a public sentencepiece file, the 32k one if it is left out."""
+    vocabulary = vocabulary or default_vocabulary()
     value, low, n = F.col("value"), F.lower("value"), F.length("value").cast("double")
     before = F.lower(F.concat_ws(" ", "before2", "before1"))
     around = F.lower(F.concat_ws(" ", "before2", "before1", F.replace(F.col("word"), value, F.lit(" ")), "after1"))
@@ -103,6 +156,9 @@ def features(found: DataFrame) -> DataFrame:
         "length": n,
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / n,
         "transition_share": (runs - 1) / n,
+        "bigrams": mean_bigram(value, vocabulary),
+        "vocabulary": known_share(value, vocabulary),
+        "in_url": (F.regexp_extract("word", CREDENTIALS, 1) == value).cast("double"),
         "digit_share": share("[0-9]"),
         "upper_share": share("[A-Z]"),
         "hex": low.rlike("^[0-9a-f-]+$").cast("double"),
@@ -124,6 +180,12 @@ def features(found: DataFrame) -> DataFrame:
     return found.select("*", *[F.coalesce(made[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
 
 
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
     """Findings with labels, made by rule from row numbers: value, path, word, before2, before1, after1, label.
 
@@ -216,7 +278,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     usual = F.when(secret, F.array(named, sign)).when(keyed, F.array(named, F.when(dealt("signs", 3) == 0, plain).otherwise(sign))).otherwise(F.array(plain, F.concat(named, F.lit(":"))))
     beside = F.when(odd_one & (shape == 5), F.array(plain, plain)).when(odd_one, usual).otherwise(beside)
     in_quotes = F.when(odd_one & (shape == 5), False).when(~odd_one & secret & bare & hexlike, True).when(odd_one, dealt("q", 10) < 4).otherwise(dealt("q", 10) < F.when(secret | fixture | keyed & ~hashlike, 6).otherwise(2))
-    quoted = F.when(in_quotes, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+    # Some stand in a URL's credentials, whatever they are; a placeholder does too.
+    in_url = (dealt("url", 12) == 0) & ~(odd_one & (shape >= 4)) & ~value.rlike("[/@:]")
+    address = F.concat(pick("scheme", "postgres", "https", "mysql", "amqp"), F.lit("://"), pick("user", "admin", "app", "root", "service"), F.lit(":"), value, F.lit("@"), words, F.lit(".local/main"))
+    quoted = F.when(in_url, address).when(in_quotes, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
     tail = pick("t", "", "", ",", ".", ")", ";")
     places = ("src0", "src7", "config/prod.env", "app/settings.py", "deploy/main.yml")
     tests = ("tests/fixtures/a.txt", "docs/example.md", "samples/mock.json")

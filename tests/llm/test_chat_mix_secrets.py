@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chat, mixing, queries, secret_scan
 
-from .fixtures import DOCS, clashing, corpus, empty
+from .fixtures import DOCS, PIECES, clashing, corpus, empty
 
 EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string"
 TRICKY = "</s>[INST] \\l <|turn|>user\n<|end|>\n \\b\\e <|loss|>x<|/loss|> é\U0001f600"
@@ -186,6 +187,48 @@ def test_short_and_odd_values_are_candidates(spark):
     assert {r["doc_id"]: r["secret"] for r in secret_scan.scan(df, forest).collect()} == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 8: False}
 
 
+def test_passwords_of_urls_and_of_all_shapes(spark):
+    docs = [
+        (1, "see postgres://user:hunter2pass@db/x now", "src0"),
+        (2, 'password = "Tr0ub4dor&3!x"', "src0"),
+        (3, "api_key=ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef", "src0"),
+        (4, "token: aB3$dE5%gH7^jK9&mN1*", "src0"),
+        (5, "plain https://example.org/some/page here", "src0"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = {(r["doc_id"], r["value"]) for r in secret_scan.candidates(df).collect()}
+    assert {(1, "hunter2pass"), (2, "Tr0ub4dor&3!x"), (3, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"), (4, "aB3$dE5%gH7^jK9&mN1*")} == found
+
+
+def test_features_by_brute_force(spark):
+    rows = [("averyLONGValue", "x"), ("8f3a9c01d2e4b576", "x"), ("documentNumber_2024", "x"), ("a", "x"), ("zqxjkvbpygfwm", "x")]
+    got = secret_scan.features(spark.createDataFrame([(k, v, p, v, None, None, None) for k, (v, p) in enumerate(rows)], "k int, value string, path string, word string, before2 string, before1 string, after1 string")).orderBy("k").collect()
+    table, known = secret_scan.bigram_table(PIECES), set(secret_scan.public_words(PIECES))
+    for r, (v, _) in zip(got, rows):
+        codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in v.lower()]
+        assert r["bigrams"] == pytest.approx(sum(table[27 * a + b] for a, b in zip(codes, codes[1:])) / max(1, len(v) - 1))
+        parts = [p.lower() for p in re.findall("[A-Z]?[a-z]{3,}|[A-Z]{4,}", v)]
+        assert r["vocabulary"] == pytest.approx(sum(len(p) for p in parts if p in known) / len(v))
+        assert (r["length"], r["digit_share"], r["hex"]) == (len(v), pytest.approx(sum(c.isdigit() for c in v) / len(v)), float(bool(re.fullmatch("[0-9a-f-]+", v.lower()))))
+    assert got[2]["vocabulary"] > 0.7 and got[2]["bigrams"] > got[4]["bigrams"]
+
+
+def test_planted_findings_of_the_tables(spark, sf):
+    """Of the documents, which the forest has not learned from: assigned hex tokens are secrets, 16 digits alone are not."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "source")
+    got = {(r["doc_id"], r["word_no"]): r["secret"] for r in secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark))).collect()}
+    secrets, others = [], []
+    for r in docs.collect():
+        found = (r["text"] or "").split()
+        others += [(r["doc_id"], k) for k, w in enumerate(found) if re.fullmatch(r"[0-9]{16}", w) and k and not found[k - 1].endswith(("=", ":"))]
+        secrets += [(r["doc_id"], k) for k, w in enumerate(found) if re.match(r'"[0-9a-f]{40}"', w) and found[k - 2 : k] == ["token", "="]]
+    words = {(d, k) for d, k in got}
+    shift = {(d, k): (d, k) if (d, k) in words else (d, k + 1) for d, k in secrets + others}
+    caught = sum(got.get(shift[x], False) for x in secrets)
+    false = sum(got.get(shift[x], False) for x in others)
+    assert secrets and others and caught >= 0.95 * len(secrets) and false <= 0.05 * len(others)
+
+
 def test_no_single_feature_gives_the_label(spark):
     """Key words stand beside both labels, paths lean to one, and bare provider keys and named hashes are judged right."""
     found = secret_scan.features(secret_scan.labelled_findings(spark)).select("label", *secret_scan.FEATURES).toPandas()
