@@ -295,3 +295,49 @@ def test_the_rest_imports_without_this(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'kpi_sum' in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=False).returncode == 0
     assert importlib.import_module("__spark_entry__").queries().keys() > {"pipeline", "op1_token_shards"}
+
+
+def test_topics_cells_and_draws_by_brute_force(spark, sf):
+    """Every row's topic, tokens, cell, factor and copies against plain counting, and what is drawn against the targets."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == docs.count()
+    cells, numbers = defaultdict(int), Counter()
+    for r in rows:
+        words = texts[r["doc_id"]].lower().split()
+        long = Counter(w for w in words if len(w) >= mixing.TOPIC_LETTERS)
+        topic = f"t{zlib.crc32(min(long, key=lambda w: (-long[w], w)).encode()) % mixing.TOPICS}" if long else "none"
+        assert (r["topic"], r["n_tokens"]) == (topic, len(words))
+        cells[r["source"], r["lang"], topic] += len(words)
+        numbers[r["source"], r["lang"], topic] += 1
+    keys = sorted((k for k in cells if cells[k]), key=str)
+    tokens = np.array([cells[k] for k in keys], float)
+    # Plain raking, one value of one margin at a time.
+    goals = [{v: sum(t for k, t in zip(keys, tokens) if k[m] == v) ** mixing.TEMPER for v in {k[m] for k in keys}} for m in range(3)]
+    weight = tokens.copy()
+    for _ in range(3000):
+        for m, goal in enumerate(goals):
+            for v, g in goal.items():
+                own = np.array([k[m] == v for k in keys])
+                weight[own] *= tokens.sum() * g / sum(goal.values()) / weight[own].sum()
+    factor = dict(zip(keys, weight / tokens))
+    scale = {r["expected"] / r["weight"] for r in mixing.calibrate(mixing.count_cells(mixing.mixed(docs)))[0].collect()}
+    assert max(scale) - min(scale) < 1e-9
+    drawn = [Counter(), Counter(), Counter()]
+    for r in rows:
+        cell = (r["source"], r["lang"], r["topic"])
+        if not r["n_tokens"]:
+            assert not r["selected"] and r["copies"] == 0
+            continue
+        assert r["weight"] == pytest.approx(factor[cell], rel=1e-4)
+        expected = r["weight"] * max(scale)
+        assert int(expected - 1e-6) <= r["copies"] <= int(expected) + 1 and r["selected"] == (r["copies"] > 0)
+        for m in range(3):
+            drawn[m][cell[m]] += r["copies"] * r["n_tokens"]
+    for got, goal in zip(drawn, goals):
+        apart = sum(abs(got[v] / got.total() - g / sum(goal.values())) for v, g in goal.items()) / 2
+        assert apart < 0.1
