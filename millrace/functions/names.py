@@ -95,11 +95,10 @@ def is_key_like(column: str) -> bool:
 
 def entity(column: str) -> str | None:
     """What a key-like column refers to: customer_id and CustomerId give customer."""
-    for form in (snake(column), column.lower()):
-        for suffix in KEY_SUFFIXES:
-            if form.endswith(suffix) and len(form) > len(suffix):
-                return form[: -len(suffix)].rstrip("_") or None
-    return None
+    ending = "|".join(map(re.escape, KEY_SUFFIXES))
+    found = (re.fullmatch(f"(.+?)(?:{ending})", form) for form in (snake(column), column.lower()))
+    meant = next((m[1] for m in found if m), "")
+    return meant.rstrip("_") or None
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -131,14 +130,10 @@ def tables_for(token: str, tables: list[str], least: float = 0.75) -> list[str]:
 def keyword_score(name: str | None, keywords: list[str] | tuple[str, ...]) -> int:
     """100 for the keyword itself, 85 at either end behind an underscore, 70 inside; the first keyword that matches decides."""
     low = (name or "").lower()
-    for k in keywords if low else ():
-        if low == k:
-            return 100
-        if low.endswith("_" + k) or low.startswith(k + "_"):
-            return 85
-        if k in low:
-            return 70
-    return 0
+    first = next((k for k in keywords if low and k in low), None)
+    if first is None:
+        return 0
+    return 100 if low == first else 85 if f"_{low}_".startswith(f"_{first}_") or f"_{low}_".endswith(f"_{first}_") else 70
 
 
 def table_score(name: str | None, keywords: list[str] | tuple[str, ...]) -> int:

@@ -10,10 +10,16 @@ from .catalog import Table
 
 # Words and types by which columns are told apart.
 MEASURE_WORDS = (
-    "amount price cost revenue sales quantity qty total sum value balance fee rate salary income expense profit loss discount tax weight volume count number score rating"
-).split()
-DATE_WORDS = "date time at on created updated modified timestamp datetime day month year period".split()
-DESCRIPTIVE_WORDS = "name description type status category code label title address city country region email phone gender flag indicator".split()
+    "amount", "price", "cost", "revenue", "sales", "quantity", "qty", "total", "sum", "value", "balance", "fee", "rate", "salary", "income",
+    "expense", "profit", "loss", "discount", "tax", "weight", "volume", "count", "number", "score", "rating",
+)
+DATE_WORDS = (
+    "date", "time", "at", "on", "created", "updated", "modified", "timestamp", "datetime", "day", "month", "year", "period",
+)
+DESCRIPTIVE_WORDS = (
+    "name", "description", "type", "status", "category", "code", "label", "title", "address", "city", "country", "region", "email", "phone", "gender",
+    "flag", "indicator",
+)
 NUMERIC = {"integer", "bigint", "smallint", "int", "int4", "int8", "numeric", "decimal", "real", "double precision", "float"}
 DATES = {"timestamp", "date", "time", "timestamptz", "timestamp with time zone", "timestamp without time zone"}
 TEXTS = {"varchar", "text", "char", "character varying", "string"}
