@@ -138,6 +138,13 @@ def worker_memo(key: Hashable, make: Callable[[], object]):
     return _memo[key]
 
 
+def forget() -> None:
+    """Drops what this worker remembers for another operator; for those that remember nothing themselves."""
+    if _memo:
+        _memo.clear()
+    give_back()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: what Arrow's pool and the C library's heap would keep for later batches."""
     pa.default_memory_pool().release_unused()

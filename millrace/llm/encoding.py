@@ -115,7 +115,12 @@ class HashMemo:
             self.ids = pa.concat_arrays([self.ids, made])
         self.known = pa.concat_arrays([self.known, missing])
         self.again = np.concatenate([self.again, np.zeros(len(lost), bool)])
-        self._index(np.concatenate([self.hashes, hashes[lost]]))
+        new = hashes[lost]
+        order = np.argsort(new, kind="stable")
+        at = np.searchsorted(self.keys, new[order])
+        self.slots = np.insert(self.slots, at, (len(self.hashes) + order).astype(np.int32))
+        self.keys = np.insert(self.keys, at, new[order])
+        self.hashes = np.concatenate([self.hashes, new])
         if len(self.known) > self.entries:
             kept = self.again.copy()
             rest = np.flatnonzero(~kept)

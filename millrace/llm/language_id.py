@@ -35,8 +35,8 @@ _GOES_ON = "\u0001"
 MOST_LANGUAGES = 500
 #: Longer words are not remembered.
 LONGEST_KNOWN = 30
-MEMO_CELLS = 2_000_000
-BATCH_BYTES = 4 << 20
+MEMO_CELLS = 1_000_000
+BATCH_BYTES = 1 << 20
 
 
 @functools.cache

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import free_name, written
+from .common import forget, free_name, written
 
 MARGINS = ("source", "lang", "topic")
 #: Without targets, a share is proportional to the tokens' count to this power.
@@ -36,6 +36,7 @@ _TOPIC = StructType([StructField("topic", StringType()), StructField("n_tokens",
 
 @F.arrow_udf(_TOPIC)
 def _describe(column: pa.Array) -> pa.Array:
+    forget()
     topics, tokens = [], []
     for text in column:
         found = (text.as_py() or "").lower().split()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import byte_batches, free_name, small_batches, written
+from .common import byte_batches, forget, free_name, small_batches, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -32,7 +32,7 @@ HOT_ROWS, HOT_SHARE = 10_000, 50_000
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of at least COMMON_IN of about SAMPLE_TEXTS texts come last in prefixes (the MOST_COMMON of them).
-SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 20, 100_000, 2_000_000
+SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 20, 100_000, 500_000
 #: Bits of a set's sketch: the parity of the shingles at each place. Two sketches differ in no more bits than their sets in shingles.
 SKETCH_BITS = 1024
 _SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "fp")], *[StructField(n, ArrayType(LongType())) for n in ("prefix", "sketch")]])
@@ -68,6 +68,7 @@ def fingerprint_of(text: bytes | None, size: int = SHINGLE) -> int:
 
 @F.arrow_udf(LongType())
 def _fingerprints(column: pa.Array) -> pa.Array:
+    forget()
     sizes = pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_pylist()
     out: list[int] = []
     for a, b in byte_batches(sizes, BATCH_BYTES):
@@ -187,6 +188,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
+        forget()
         for rows in batches:
             fps = rows.column(0).to_numpy().view(np.uint64)
             keys = rows.column(1).to_numpy()
@@ -335,6 +337,7 @@ def shingle_sets(text: Column, size: int) -> Column:
 
     @F.arrow_udf(ArrayType(LongType()))
     def sets(column: pa.Array) -> pa.Array:
+        forget()
         return _lists([shingle_set(x.as_py(), size) for x in column.cast(pa.large_binary())])
 
     return sets(text)
@@ -353,6 +356,8 @@ def _signed(text: Column, size: int, similarity: float, common: dict[int, int])
     def signed(column: pa.Array) -> pa.Array:
         import xxhash
 
+        forget()
+
         nodes, sizes, fps, prefixes, sketches = [], [], [], [], []
         for x in column.cast(pa.large_binary()):
             own = shingle_set(x.as_py(), size)
@@ -390,6 +395,7 @@ def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
             many = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["h", "n"])
 
+        forget()
         for rows in batches:
             for x in rows.column(0).cast(pa.large_binary()):
                 held.append(shingle_set(x.as_py(), size))
