@@ -42,13 +42,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table written once in the shared folder and read back: lineage is cut there."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a table written once in the shared folder and read back: lineage is cut there. options are the writer's."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     schema = df.schema
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    stored = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), flac.text_to_flac(text).alias("media")), "media")
+    stored = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), flac.text_to_flac(text).alias("media")), "media", **flac.STORED)
     return stored.select("doc_id", "n_bytes", flac.media_features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")
 
 
