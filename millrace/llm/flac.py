@@ -30,7 +30,7 @@ SEEK_FRAMES = 16
 LINEAR, PRECISION = 4, 8
 HEAD = 9 + LINEAR * PRECISION
 #: How a table of media is written: headers and repeated frames shrink by zstd over large pages.
-STORED = {"compression": "zstd", "parquet.page.size": str(8 << 20)}
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: Samples of a PCM block.
 PCM_SAMPLES = 1 << 16
 #: Block sizes by their code in a frame header (fixed values of the format).
