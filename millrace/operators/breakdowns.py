@@ -65,3 +65,14 @@ def with_share(df: DataFrame) -> DataFrame:
     """label, value and share of the total, for results that are already short."""
     total = F.sum("value").over(Window.partitionBy())
     return df.select("label", "value", F.round(F.col("value") / F.nullif(total, F.lit(0.0)), 4).alias("share"))
+
+
+def over_periods(series: DataFrame) -> DataFrame:
+    """A series (period, value) with value_before, change_percentage (null after zero or nothing) and so_far, the total.
+
+    A series has a row a month and is short, so one task orders it.
+    """
+    order = Window.partitionBy().orderBy(F.asc_nulls_last("period"))
+    before = F.lag("value").over(order)
+    change = F.round((F.col("value") / F.nullif(before, F.lit(0.0)) - 1) * 100, 4)
+    return series.select("period", "value", before.alias("value_before"), change.alias("change_percentage"), F.round(F.sum("value").over(order), 2).alias("so_far"))

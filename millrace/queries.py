@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formats
-from .operators import breakdowns, cleaning, drift, kpis, profile, quality, relationships, warehouse, workspace
+from .operators import asof, breakdowns, cleaning, drift, kpis, ordered, profile, quality, ranges, relationships, warehouse, workspace
 from .operators.kpis import Measure
 from .plans import catalog, charts, graph, kpi_match
 from .plans.design import design
-from .session import TABLES, table
+from .session import TABLES, fresh_dir, table
 from .sources import files
+from .sources.versioned import VersionedTable
 from .streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -787,3 +789,147 @@ def events_hourly(spark, sf):
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return joined_revenue_by_nation(spark, sf)
+
+
+# Joins by time and by range, windows over groups of any size
+
+
+@query(
+    "WITH placed AS (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS placed_at, o_totalprice FROM orders), best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY o_custkey, placed_at ORDER BY o_orderkey DESC) = 1) "
+    "SELECT e.event_id, e.user_id, b.o_orderkey, b.o_totalprice FROM (SELECT * FROM events) e ASOF LEFT JOIN best b ON e.user_id = b.o_custkey AND CAST(e.ts AS TIMESTAMP) >= b.placed_at"
+)
+def asof_events_orders(spark, sf):
+    """To each event the user's last order at or before it (order dates moved into the events' month), the greater key of two at one time."""
+    orders = table(spark, sf, "orders").select("o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 9000 DAYS")).alias("at"), "o_orderkey", "o_totalprice")
+    found = asof.asof_join(table(spark, sf, "events").select("event_id", "user_id", "ts"), orders, "ts", "at", {"user_id": "o_custkey"})
+    return found.select("event_id", "user_id", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "WITH b AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view') SELECT e.event_id, v.event_id AS view_id, p.event_id AS next_view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e "
+    "ASOF LEFT JOIN b v ON e.user_id = v.user_id AND e.ts > v.ts ASOF LEFT JOIN b p ON e.user_id = p.user_id AND e.ts <= p.ts"
+)
+def asof_views_of_purchases(spark, sf):
+    """To each purchase the user's last view before it and the next one at or after it."""
+    events = table(spark, sf, "events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    back = asof.asof_join(bought, views, "ts", "ts", {"user_id": "user_id"}, strict=True).select("event_id", "user_id", "ts", "view_id")
+    return asof.asof_join(back, views.withColumnRenamed("view_id", "next_view_id"), "ts", "ts", {"user_id": "user_id"}, "forward").select("event_id", "view_id", "next_view_id")
+
+
+@query(
+    "SELECT p_partkey, count(*) AS orders_in_band, round(sum(o_totalprice), 2) AS amount FROM part JOIN orders ON o_totalprice >= (p_retailprice - 900) * 2500 AND o_totalprice < (p_retailprice - 900) * 2500 + p_size * 20 GROUP BY 1"
+)
+def range_orders_in_bands(spark, sf):
+    """Orders by the price bands of parts: bands overlap, some are long."""
+    low = (F.col("p_retailprice") - 900) * 2500
+    bands = table(spark, sf, "part").select("p_partkey", low.alias("low"), (low + F.col("p_size") * 20).alias("high"))
+    met = ranges.range_join(table(spark, sf, "orders").select("o_totalprice"), bands, "o_totalprice", "low", "high", closed="low")
+    return met.groupBy("p_partkey").agg(F.count("*").alias("orders_in_band"), F.round(F.sum(F.col("o_totalprice").cast("decimal(20,4)")), 2).cast("double").alias("amount"))
+
+
+_SPANS = "SELECT l_orderkey, l_suppkey, l_linenumber, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + l_linenumber AS b FROM lineitem WHERE l_returnflag ="
+
+
+@query(
+    f"SELECT x.l_suppkey, count(*) AS pairs, CAST(sum(x.l_orderkey + y.l_orderkey) AS BIGINT) AS key_sum FROM ({_SPANS} 'R') x JOIN ({_SPANS} 'A') y ON x.l_suppkey = y.l_suppkey AND x.a <= y.b AND y.a <= x.b GROUP BY 1"
+)
+def range_overlapping_shipments(spark, sf):
+    """Pairs of shipments of a supplier that are under way at one time, one returned and one accepted."""
+    lines = table(spark, sf, "lineitem")
+    sent = F.col("l_shipdate").cast("date")
+    spans = [lines.where(F.col("l_returnflag") == flag).select("l_suppkey", "l_orderkey", sent.alias("a"), F.date_add(sent, F.col("l_linenumber")).alias("b")) for flag in "RA"]
+    met = ranges.overlap_join(spans[0], spans[1], "a", "b", "a", "b", {"l_suppkey": "l_suppkey"})
+    return met.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(F.col("l_orderkey") + F.col("l_orderkey_right")).alias("key_sum"))
+
+
+@query(
+    "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS so_far, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders"
+)
+def run_global_total(spark, sf):
+    """The running total of all orders by date: one group that lies over all tasks."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    told = ordered.running_totals(orders, [], [F.asc("o_orderdate"), F.asc("o_orderkey")], so_far=("sum", F.col("price")), place=("count", F.lit(1)))
+    return told.select("o_orderkey", F.col("so_far").cast("double").alias("so_far"), "place")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) AS rank, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) AS dense_rank FROM lineitem"
+)
+def run_ranks(spark, sf):
+    """Lines ranked by quantity within their flag: few large groups, many ties."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    return ordered.ranked(lines, ["l_returnflag"], [F.desc("l_quantity")], ["l_quantity"]).drop("place", "l_returnflag", "l_quantity")
+
+
+@query(
+    "SELECT event_id, round(avg(value) OVER w, 6) AS moving_average, max(value) OVER w AS moving_max, lag(event_id) OVER o AS before, lead(event_id, 2) OVER o AS second_after FROM events "
+    "WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id), w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+)
+def run_moving(spark, sf):
+    """Moving averages and neighbours of events within their type: frames that reach over tasks."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    told = ordered.framed(
+        events, ["event_type"], [F.asc("ts"), F.asc("event_id")], 6, 2,
+        moving_average=lambda w: F.round(F.avg("value").over(w.rowsBetween(-6, 0)), 6),
+        moving_max=lambda w: F.max("value").over(w.rowsBetween(-6, 0)),
+        before=lambda w: F.lag("event_id").over(w),
+        second_after=lambda w: F.lead("event_id", 2).over(w),
+    )
+    return told.drop("event_type", "ts", "value")
+
+
+@query(
+    "SELECT period, value, lag(value) OVER (ORDER BY period) AS value_before, round((value / nullif(lag(value) OVER (ORDER BY period), 0) - 1) * 100, 4) AS change_percentage, round(sum(value) OVER (ORDER BY period), 2) AS so_far "
+    "FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1)"
+)
+def run_period_over_period(spark, sf):
+    """A monthly series with the month before, the change and the total so far."""
+    return breakdowns.over_periods(breakdowns.by_month(table(spark, sf, "orders"), Measure("SUM", "o_totalprice"), "o_orderdate"))
+
+
+# Tables with transactions
+
+
+_UPDATES = (
+    "SELECT * FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 15 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 "
+    "UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 7 = 0)"
+)
+
+
+def _merged(spark, sf) -> VersionedTable:
+    """orders, then a merge of changed, deleted and new rows, then an update and a delete."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    changed = orders.where(key % 3 == 0).select("o_orderkey", "o_custkey", F.when(key % 15 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"))
+    new = orders.where(key % 7 == 0).select((key + 1_000_000_000).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    held = VersionedTable(spark, fresh_dir(spark, "orders"))
+    held.create(orders, ["o_orderkey"], 8)
+    held.merge(changed.unionByName(new), delete=F.col("s.o_orderstatus") == "X")
+    held.update({"o_orderstatus": F.lit("C")}, (F.col("o_orderstatus") == "N") & (F.col("o_totalprice") > 250_000))
+    held.delete(F.col("o_custkey") == 7)
+    return held
+
+
+_MERGED = (
+    f"WITH s AS ({_UPDATES}), m AS (SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(s.o_custkey, t.o_custkey) AS o_custkey, coalesce(s.o_orderstatus, t.o_orderstatus) AS o_orderstatus, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice "
+    "FROM orders t FULL JOIN s ON t.o_orderkey = s.o_orderkey WHERE s.o_orderstatus IS DISTINCT FROM 'X'), u AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'N' AND o_totalprice > 250000 THEN 'C' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM m) "
+)
+
+
+@query(_MERGED + "SELECT * FROM u WHERE o_custkey <> 7")
+def wh_merge_orders(spark, sf):
+    """A table after a merge, an update and a delete."""
+    return _merged(spark, sf).read()
+
+
+@query(
+    _MERGED + "SELECT 1 AS version, 'create' AS operation, count(*) AS row_count, round(sum(o_totalprice), 2) AS total FROM orders UNION ALL SELECT 2, 'merge', count(*), round(sum(o_totalprice), 2) FROM m "
+    "UNION ALL SELECT 3, 'update', count(*), round(sum(o_totalprice), 2) FROM u UNION ALL SELECT 4, 'delete', count(*), round(sum(o_totalprice), 2) FROM u WHERE o_custkey <> 7"
+)
+def wh_merge_history(spark, sf):
+    """Every version of that table as it is read back."""
+    held = _merged(spark, sf)
+    sums = [held.read(n).agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(20,4)")), 2).cast("double").alias("total")).select(F.lit(n).alias("version"), "total") for n in held.numbers()]
+    return held.history().drop("changed_buckets").join(F.broadcast(reduce(DataFrame.unionByName, sums)), "version")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,31 @@ def local_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one of a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the shared folder and read back, so that what it was made from is not run again."""
+    path, schema = fresh_dir(df.sparkSession, label), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def free_name(wish: str, *frames: DataFrame) -> str:
+    """wish, or a variant of it that no column of the frames has (names compare without case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return wish if wish.lower() not in taken else next(n for k in itertools.count(1) if (n := f"{wish}_{k}").lower() not in taken)
