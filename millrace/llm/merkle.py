@@ -1,9 +1,10 @@
 """A Merkle manifest of a dataset, checked by a climb from every leaf.
 
 Rows are leaves, in one tree a source; the roots of these trees are the leaves of a last one. Levels
-are built one by one and stored as node rows, each linked to its parent and holding the digests that
-stand before and after it in its run. A recursive query climbs from every leaf along the links, adds
-a row of siblings at each step and folds the leaf that was found into the root that follows from it.
+are built STEP at a time and stored as node rows, each linked to its ancestor so many levels above and
+holding, level by level, the digests that stand before and after the way there. A recursive query
+climbs from every leaf along the links, adds a row of siblings at each step and folds the leaf that was
+found into the root that follows from it.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from .simhash_dedup import salted_join
 
 #: Consecutive nodes that become one.
 RUN = 3
+#: Levels from a stored node to the one that it is linked to: each step of the climb moves all leaves once.
+STEP = 3
 #: The number of the tree over the sources' roots; sources are numbered from 0.
 TOP = -1
 #: So many sources are joined by broadcast.
 MOST_SOURCES = 100_000
-_LINK = "before binary, after binary, up_tree long, up_level int, up_place long"
+BESIDE = "array<struct<before:binary,after:binary>>"
+_LINK = f"beside {BESIDE}, up_tree long, up_level int, up_place long"
 NODES = f"tree long, level int, place long, {_LINK}"
-LEAVES = f"serial long, tree long, doc_id {{}}, leaf binary, other binary, alone boolean, {_LINK}"
+LEAVES = f"serial long, tree long, doc_id {{}}, leaf binary, other binary, {_LINK}"
 
 
 def digest(*parts: Column) -> Column:
@@ -58,43 +62,60 @@ def in_order(df: DataFrame, group: str, *order: str) -> DataFrame:
     return dealt.join(own, on).withColumn("place", F.col("before") + F.col("serial") - F.col("from")).drop("task", "of_task", "of_group", "from", "before")
 
 
+def _up(level: Column) -> Column:
+    """The digests of the level above some consecutive nodes' digests, which begin with a run."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / RUN).cast("int")), lambda k: digest(F.array_join(F.transform(F.slice(level, k * RUN + 1, RUN), as_text), "")))
+
+
+def _with_levels(runs: DataFrame) -> DataFrame:
+    """runs with level_0 to level_STEP: the digests of the members, of the level above, and so on; above a tree's root there is nothing new."""
+    out = runs.withColumn("level_0", F.transform("run", lambda x: x["hash"]))
+    for k in range(STEP):
+        out = out.withColumn(f"level_{k + 1}", F.when(F.col("n") > RUN**k, _up(F.col(f"level_{k}"))).otherwise(F.col(f"level_{k}")))
+    return out
+
+
 def _levels(leaves: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The levels above leaves (tree, place, n, hash, and more) and, of each tree, the root.
+    """Every STEP-th level above leaves (tree, place, n, hash, and more) and, of each tree, the root.
 
-    n is how many nodes the tree has at the level. A level is a table of runs, (tree, place, n, run): run has the nodes
-    that become the node at place of the next level, in order. Both lists hold one table a level; most is the largest n.
+    n is how many nodes the tree has at the level. A level is a table of runs, (tree, place, n, run): run has the nodes, RUN to
+    the power of STEP at most, below the node at place STEP levels above, in order. Both lists hold one table a
+    level; most is the largest n.
     """
+    width = RUN**STEP
     runs, roots, level = [], [], leaves
     while True:
         roots.append(level.where("n = 1").select("tree", "hash"))
         if most <= 1:
             return runs, roots
         members = F.struct("place", *[c for c in level.columns if c not in ("tree", "place", "n")])
-        up = F.floor(F.col("place") / RUN).alias("place")
+        up = F.floor(F.col("place") / width).alias("place")
         grouped = level.where("n > 1").groupBy("tree", "n", up).agg(F.array_sort(F.collect_list(members)).alias("run"))
-        runs.append(written(grouped.select("tree", "place", F.ceil(F.col("n") / RUN).alias("n"), "run"), "runs"))
-        level = runs[-1].select("tree", "place", "n", digest(F.array_join(F.transform("run", lambda x: as_text(x["hash"])), "")).alias("hash"))
-        most = -(-most // RUN)
+        runs.append(written(grouped, "runs"))
+        level = _with_levels(runs[-1]).select("tree", "place", F.ceil(F.col("n") / width).alias("n"), F.get(f"level_{STEP}", F.lit(0)).alias("hash"))
+        most = -(-most // width)
 
 
 def _linked(runs: DataFrame, level: int) -> DataFrame:
-    """The nodes of a level's runs: before and after have the digests beside a node, up_tree, up_level and up_place name its parent.
+    """The nodes of a level's runs: beside has the digests before and after the way up, and up_tree, up_level and up_place name where it ends.
 
     A source's root is named as a leaf of the last tree.
     """
 
-    def beside(k: Column, from_: int | Column, count: Column) -> Column:
-        found = F.transform(F.slice("run", from_, count), lambda x: as_text(x["hash"]))
-        return F.unhex(F.array_join(found, ""))
+    def beside(k: int) -> Column:
+        """Of the k-th level on the way; null where the tree ends below."""
+        at = F.floor(F.col("k") / RUN**k).cast("int")
+        row, first = F.col(f"level_{k}"), at - at % RUN
+        cut = lambda start, count: F.unhex(F.array_join(F.transform(F.slice(row, start, count), as_text), ""))
+        return F.when(F.col("n") > RUN**k, F.struct(cut(first + 1, at % RUN).alias("before"), cut(at + 2, RUN - 1 - at % RUN).alias("after")))
 
-    each = runs.select("tree", "place", "n", "run", F.posexplode("run").alias("k", "node"))
-    done = (F.col("tree") != TOP) & (F.col("n") == 1)
+    each = _with_levels(runs).select("*", F.posexplode("run").alias("k", "node"))
+    done = (F.col("tree") != TOP) & (F.col("n") <= RUN**STEP)
     return each.select(
         "tree",
         F.lit(level).alias("level"),
         "node",
-        beside(F.col("k"), 1, F.col("k")).alias("before"),
-        beside(F.col("k"), F.col("k") + 2, F.size("run") - F.col("k") - 1).alias("after"),
+        F.array_compact(F.array(*[beside(k) for k in range(STEP)])).alias("beside"),
         *_parent(F.when(done, TOP).otherwise(F.col("tree")), F.when(done, 0).otherwise(level + 1), F.when(done, F.col("tree")).otherwise(F.col("place"))),
     )
 
@@ -131,12 +152,11 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bytes
     top_runs, top_roots = _levels(top, total[0])
     root = bytes(top_roots[-1].first()["hash"])
 
-    up = ["before", "after", "up_tree", "up_level", "up_place"]
-    nothing = F.lit(b"").cast("binary")
-    bottom = first.where("n = 1").select("serial", "tree", "doc_id", F.col("hash").alias("leaf"), "other", F.lit(True).alias("alone"), nothing.alias("before"), nothing.alias("after"), *_parent(F.lit(TOP), F.lit(0), F.col("tree")))
+    up = ["beside", "up_tree", "up_level", "up_place"]
+    bottom = first.where("n = 1").select("serial", "tree", "doc_id", F.col("hash").alias("leaf"), "other", F.array().cast(BESIDE).alias("beside"), *_parent(F.lit(TOP), F.lit(0), F.col("tree")))
     if runs:
         linked = _linked(runs[0], 0)
-        bottom = linked.select("node.serial", "tree", "node.doc_id", F.col("node.hash").alias("leaf"), "node.other", F.lit(False).alias("alone"), *up).unionByName(bottom)
+        bottom = linked.select("node.serial", "tree", "node.doc_id", F.col("node.hash").alias("leaf"), "node.other", *up).unionByName(bottom)
     above = [_linked(r, k) for k, r in enumerate(runs) if k] + [_linked(r, k) for k, r in enumerate(top_runs)]
     nodes = spark.createDataFrame([], NODES)
     for level in above:
@@ -152,15 +172,15 @@ def _dealt(placed: DataFrame, named: DataFrame) -> DataFrame:
 
 
 CLIMB = """
-WITH RECURSIVE climb (serial, step, before, after, found, tree, level, place) AS (
-  SELECT serial, 0, before, after, {first}, up_tree, up_level, up_place FROM {leaves}
+WITH RECURSIVE climb (serial, step, beside, found, tree, level, place) AS (
+  SELECT serial, 0, beside, {first}, up_tree, up_level, up_place FROM {leaves}
   UNION ALL
-  SELECT c.serial, c.step + 1, n.before, n.after, {fold}, n.up_tree, n.up_level, n.up_place
+  SELECT c.serial, c.step + 1, n.beside, {next}, n.up_tree, n.up_level, n.up_place
   FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.place = n.place
 )
-SELECT serial, step, before, after, found FROM climb
+SELECT serial, step, beside, found FROM climb
 """
-_FOLD = "unhex(sha2(concat(lower(hex({s}before)), lower(hex({found})), lower(hex({s}after))), 256))"
+_FOLD = "aggregate({beside}, {found}, (x, b) -> unhex(sha2(concat(lower(hex(b.before)), lower(hex(x)), lower(hex(b.after))), 256)))"
 
 
 def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -170,16 +190,14 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     run and its result written here, without Spark's limit on the rows of a recursion, which is put back.
     """
     spark = leaves.sparkSession
-    own = "coalesce(other, leaf)"
-    # A leaf that is alone in its source is the source's root: nothing is folded there.
-    first = f"CASE WHEN alone THEN {own} ELSE {_FOLD.format(s='', found=own)} END"
-    query = CLIMB.format(first=first, fold=_FOLD.format(s="n.", found="c.found"), leaves="{leaves}", nodes="{nodes}")
+    query = CLIMB.format(first=_FOLD.format(beside="beside", found="coalesce(other, leaf)"), next=_FOLD.format(beside="n.beside", found="c.found"), leaves="{leaves}", nodes="{nodes}")
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit, None)
     spark.conf.set(limit, "-1")
     try:
         rows = spark.sql(query, leaves=leaves, nodes=nodes)
-        steps = F.array_sort(F.collect_list(F.struct("step", F.concat(as_text(F.col("before")), as_text(F.col("after"))).alias("beside"))))
+        digests = F.flatten(F.transform("beside", lambda b: F.array(b["before"], b["after"])))
+        steps = F.array_sort(F.collect_list(F.struct("step", F.array_join(F.transform(digests, as_text), "").alias("beside"))))
         folded = rows.groupBy("serial").agg(steps.alias("steps"), F.max_by("found", "step").alias("found"))
         return written(folded.select("serial", F.array_join(F.col("steps.beside"), "").alias("siblings"), "found"), "climbed")
     finally:
