@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .profile import as_text, is_numeric
+from .profile import as_text, is_numeric, medians
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,15 @@ def recommend(issues: list[dict], types: dict[tuple[str, str], str], medians: di
     return steps
 
 
+def medians_for(issues: list[dict], types: dict[tuple[str, str], str], tables: dict[str, DataFrame]) -> dict[tuple[str, str], float]:
+    """The medians of the numeric columns with many nulls, which recommend() proposes to fill in; one job a table."""
+    wanted: dict[str, list[str]] = {}
+    for i in issues:
+        if i["issue_type"] == "high_null_rate" and is_numeric(types.get((i["table"], i["column"]), "")):
+            wanted.setdefault(i["table"], []).append(i["column"])
+    return {(t, r["column_name"]): r["median"] for t, columns in wanted.items() for r in medians(tables[t], columns).collect()}
+
+
 def decide(steps: list[Step]) -> list[Step]:
     """High confidence approved, low rejected, what lies between left to a person."""
     verdict = {"high": "approved", "low": "rejected"}

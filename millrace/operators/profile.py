@@ -6,9 +6,11 @@ table does not become one Expand per column; statistics of numbers come from one
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,6 +158,30 @@ def profile(df: DataFrame, name: str) -> DataFrame:
     return out.select(F.lit(name).alias("table_name"), "*", F.try_element_at(types, F.col("column_name")).alias("declared_type"))
 
 
+COLUMN_FACTS = "table_name string, column_name string, total_count long, null_count long, null_percentage double, distinct_count long, uniqueness_ratio double, suspected_type_mismatch boolean"
+TABLE_FACTS = "table_name string, total_count long, duplicate_count long, duplicate_percentage double, error string"
+
+
+def profile_each(spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], threads: int = 4) -> tuple[DataFrame, DataFrame]:
+    """profile_all() with each table's jobs run at once, a few tables side by side; a table that fails stops no other.
+
+    It is a row of zeros with its error, and has no columns. A table may be given as a function that
+    reads it. What comes back is a row a column and a row a table.
+    """
+
+    def run(name: str) -> tuple[list, tuple]:
+        try:
+            df = tables[name]() if callable(tables[name]) else tables[name]
+            whole = duplicate_rows(df).first()
+            return [(name, *r) for r in facts(df).select(*[c.split()[0] for c in COLUMN_FACTS.split(", ")[1:]]).collect()], (name, *whole, None)
+        except Exception as e:  # whatever a source fails with is told of its table
+            return [], (name, 0, 0, 0.0, str(e).splitlines()[0])
+
+    with ThreadPoolExecutor(threads) as pool:
+        found = list(pool.map(run, tables))
+    return spark.createDataFrame([r for rows, _ in found for r in rows], COLUMN_FACTS), spark.createDataFrame([whole for _, whole in found], TABLE_FACTS)
+
+
 def profile_all(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(column profiles without statistics, table profiles) of several tables: the input of quality."""
     columns, rows = [], []

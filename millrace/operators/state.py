@@ -22,7 +22,9 @@ def versions(spark: SparkSession, directory: str, kind: str) -> DataFrame | None
     """version, stored_at and rows of each version; None if there is none."""
     try:
         df = spark.read.parquet(f"{directory}/{kind}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # damaged or unreadable: not the same as nothing stored
         return None
     return df.groupBy("version", "stored_at").agg(F.count("*").alias("rows"))
 

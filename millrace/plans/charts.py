@@ -14,12 +14,12 @@ from ..functions.names import title
 from ..operators import breakdowns
 from .catalog import Table
 from .graph import dimension_paths, own_dimensions
-from .kpi_match import Match
+from .kpi_match import Match, compute
 
 # Up to so many groups a donut, up to so many a bar chart, beyond it the first ten.
 DONUT_GROUPS, BAR_GROUPS, SHOWN, MOST_CHARTS = 6, 20, 10, 5
 QUERY_ROWS = 200
-CUSTOMER_WORDS = ("customer", "client", "user", "member", "buyer", "account")
+CUSTOMER_WORDS = ("customer", "user", "client", "member", "subscriber")
 PLAIN_LABELS = ("name", "title", "label")
 
 
@@ -113,6 +113,16 @@ def dashboard(matches: list[Match], tables: list[Table], frames: dict[str, DataF
     return picked + [c for c in made if c.error][: most - len(picked)]
 
 
+def refreshed(matches: list[Match], tables: list[Table], frames: dict[str, DataFrame], settings: dict[str, "Setting"] | None = None, queries: list[Chart] = (), most: int = MOST_CHARTS) -> tuple[list[Match], list[Chart]]:
+    """The approved KPIs computed anew and the charts that follow, as chosen, with those of saved queries behind. Without an approved KPI there is nothing to refresh, which is an error."""
+    approved = [m for m in matches if m.status == "approved"]
+    if not approved:
+        raise ValueError("no approved KPIs to refresh")
+    new = dict(zip((id(m) for m in approved), compute(approved, frames)))
+    shown = dashboard(list(new.values()), tables, frames, most) + list(queries)
+    return [new.get(id(m), m) for m in matches], overlaid(shown, settings or {})
+
+
 def to_rows(df: DataFrame) -> list[dict]:
     """A chart's rows as dictionaries; value is a float, or None where it is no number."""
     out = []

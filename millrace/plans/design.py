@@ -31,7 +31,7 @@ def _has(name: str, words) -> bool:
 
 
 def is_measure(c) -> bool:
-    return base_type(c.type) in NUMERIC and not c.primary and c.foreign is None and _has(c.name, MEASURE_WORDS)
+    return base_type(c.type) in NUMERIC and not c.primary and not c.linked and _has(c.name, MEASURE_WORDS)
 
 
 def is_date(c) -> bool:
@@ -51,7 +51,7 @@ def _ranked(tables: list[Table], share: float) -> int | None:
 def fact_score(table: Table, tables: list[Table]) -> float:
     """0 to 100 points for many rows, foreign keys, measures and a date."""
     many = _ranked(tables, 0.75)
-    links = sum(c.foreign is not None for c in table.columns)
+    links = len(table.links)
     measures = sum(map(is_measure, table.columns))
     points = 30 * (many is not None and table.rows >= many)
     points += 30 if links >= 3 else {2: 20, 1: 5}.get(links, 0)
@@ -70,7 +70,7 @@ class Part:
     key: tuple[str, ...]
     measures: tuple[str, ...]
     attributes: tuple[str, ...]
-    links: tuple[tuple[str, str, str], ...]  # column, warehouse table, its column
+    links: tuple[tuple, ...]  # column, warehouse table, its column; of a composite key all columns as tuples
     reasons: tuple[str, ...]
 
 
@@ -93,7 +93,7 @@ def aggregations(column: str) -> list[str]:
 def reasons(table: Table, tables: list[Table], fact: bool) -> tuple[str, ...]:
     out = []
     many, middle = _ranked(tables, 0.75), _ranked(tables, 0.5)
-    links = sum(c.foreign is not None for c in table.columns)
+    links = len(table.links)
     measures = [c.name for c in table.columns if is_measure(c)]
     if fact:
         dates = [c.name for c in table.columns if is_date(c)]
@@ -121,8 +121,8 @@ def design(tables: list[Table], overrides: Mapping[str, str] | None = None) -> D
 
     def part(t: Table) -> Part:
         measures = tuple(c.name for c in t.columns if is_measure(c))
-        attributes = tuple(c.name for c in t.columns if not c.primary and c.foreign is None and not is_measure(c))
-        links = tuple((c.name, named[c.foreign.table], c.foreign.column) for c in t.columns if c.foreign and c.foreign.table in named)
+        attributes = tuple(c.name for c in t.columns if not c.primary and not c.linked and not is_measure(c))
+        links = tuple((k.columns, named[k.table], k.targets) if len(k.columns) > 1 else (k.columns[0], named[k.table], k.targets[0]) for k in t.links if k.table in named)
         return Part(t.name, named[t.name], kind[t.name], score[t.name], t.rows, tuple(t.primary_key), measures, attributes, links, reasons(t, tables, kind[t.name] == "fact"))
 
     parts = [part(t) for t in order]
@@ -133,6 +133,59 @@ def design(tables: list[Table], overrides: Mapping[str, str] | None = None) -> D
     return Design("snowflake" if snow else "star", facts, dims)
 
 
+def reclassified(tables: list[Table], overrides: Mapping[str, str], table: str, kind: str) -> tuple[Design, dict[str, str]]:
+    """The design after a person calls a table fact or dimension, and all such decisions so far. It is a new design, so it waits for approval again."""
+    if kind not in ("fact", "dimension"):
+        raise ValueError("a table is a fact or a dimension")
+    if table not in {t.name for t in tables}:
+        raise ValueError(f"no table {table}")
+    told = {**overrides, table: kind}
+    return design(tables, told), told
+
+
+#: What a dialect calls the types of the catalogue where it does not know them by that name.
+DIALECTS = {"spark": {"varchar": "string", "double precision": "double"}, "postgres": {}, "duckdb": {"double precision": "double"}}
+
+
+def tables_script(d: Design, tables: list[Table], schema: str, source: str, dialect: str) -> str:
+    """CREATE TABLE AS statements from the tables of source, dimensions first, with audit columns, in one of DIALECTS."""
+    if dialect not in DIALECTS:
+        raise ValueError(f"dialect must be one of {', '.join(DIALECTS)}")
+    by, quote = {t.name: t for t in tables}, "`" if dialect == "spark" else '"'
+    q = lambda *names: ".".join(f"{quote}{n}{quote}" for n in names)
+    now = "current_timestamp()" if dialect == "spark" else "CURRENT_TIMESTAMP"
+    out = [f"-- {d.kind} schema", f"CREATE SCHEMA IF NOT EXISTS {q(schema)};"]
+    for p in d.parts:
+        columns = [q(c.name) for c in by[p.source].columns] + [f"{now} AS dw_created_at"] + [f"{now} AS dw_updated_at"] * (p.kind == "dimension")
+        out += [f"DROP TABLE IF EXISTS {q(schema, p.name)};", f"CREATE TABLE {q(schema, p.name)} AS\nSELECT {', '.join(columns)}\nFROM {q(source, p.source)};"]
+    return "\n".join(out)
+
+
+def keys_script(d: Design, tables: list[Table], schema: str, dialect: str) -> str:
+    """What keeps keys and finds rows in a database: primary keys (duckdb: unique indexes of dimensions), indexes of facts' foreign keys and, for postgres, of a fact's first date.
+
+    Spark has neither; see warehouse.materialise() for what stands in their place.
+    """
+    if dialect not in ("postgres", "duckdb"):
+        raise ValueError("only postgres and duckdb have keys and indexes")
+    by, out = {t.name: t for t in tables}, []
+    q = lambda *names: ".".join(f'"{n}"' for n in names)
+
+    def index(p: Part, columns: tuple[str, ...], unique: str = "", suffix: str = "") -> str:
+        return f"CREATE {unique}INDEX {q('_'.join(['idx', p.name, suffix or '_'.join(columns)]))} ON {q(schema, p.name)} ({', '.join(map(q, columns))});"
+
+    for p in d.parts:
+        if p.key and dialect == "postgres":
+            out.append(f"ALTER TABLE {q(schema, p.name)} ADD PRIMARY KEY ({', '.join(map(q, p.key))});")
+        elif p.key and p.kind == "dimension":
+            out.append(index(p, p.key, "UNIQUE ", "pk"))
+        if p.kind == "fact":
+            out += [index(p, k.columns) for k in by[p.source].links]
+            dates = [c.name for c in by[p.source].columns if is_date(c) and not c.primary]
+            out += [index(p, (c,)) for c in dates[: dialect == "postgres"]]
+    return "\n".join(out)
+
+
 def create_script(d: Design, tables: list[Table], database: str) -> str:
     """CREATE TABLE AS statements for Spark SQL, dimensions first."""
     by = {t.name: t for t in tables}

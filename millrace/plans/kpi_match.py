@@ -40,7 +40,7 @@ def _best(table: Table, words: list[str], allowed: Callable[[Column], bool] = la
 
 
 def _is_measure(c: Column) -> bool:
-    return base_type(c.type) in NUMERIC and not c.primary and c.foreign is None
+    return base_type(c.type) in NUMERIC and not c.primary and not c.linked
 
 
 def match(domain: str, tables: list[Table], design: Design) -> list[Match]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +34,8 @@ class Project:
     kpis: tuple[kpi_match.Match, ...] = ()
     queries: int = 0
     widgets: int = 0
+    made: tuple[tuple[str, str], ...] = ()  # warehouse tables and how writing them went
+    checks: tuple[tuple, ...] = ()  # check, table, detail, value, status
     events: tuple[tuple[str, str], ...] = field(default=())  # (time, what happened)
 
 
@@ -125,25 +127,37 @@ def warehouse_preview(frames: Mapping[str, DataFrame], tables: list[catalog.Tabl
     return {"script": create_script(d, tables, database), "checks": checks, "status": next((s for s in ("error", "warning") if s in found), "passed")}
 
 
-def run_all(spark: SparkSession, name: str, frames: dict[str, DataFrame], keys: Mapping[str, catalog.Keys], directory: str, domain: str = "retail") -> tuple[Project, list[charts.Chart]]:
+def run_all(spark: SparkSession, name: str, frames: dict[str, DataFrame], keys: Mapping[str, catalog.Keys], directory: str, domain: str = "retail", database: str | None = None, buckets: int | None = None, accept: tuple[str, ...] = ()) -> tuple[Project, list[charts.Chart]]:
     """A project from its sources to its dashboard, in the order of the stages, sure proposals accepted.
 
-    Snapshot, profile and cleaned tables are stored under directory; sources are only read.
+    Of the cleaning steps that wait for a person, those of the operations in accept are accepted too. Snapshot, profile
+    and cleaned tables are stored under directory, the warehouse in database (by default called by the
+    project), laid out as buckets says; sources are only read. KPIs and charts are computed over the warehouse,
+    which is approved if all its tables could be written.
     """
     tables = catalog.discover(frames, keys)
     state.refresh_catalogue(catalog.as_frame(spark, tables), directory)
     links = [r.asDict() for r in relationships.infer(spark, tables, frames).collect()]
     tables = catalog.accepted(tables, [(r["from_table"], r["from_column"], r["to_table"], r["to_column"]) for r in links if r["status"] == "auto_accepted"])
-    columns, whole = profile.profile_all(frames)
+    columns, whole = profile.profile_each(spark, frames)
     state.store(columns, directory, "profiles")
     state.store(whole, directory, "table_profiles")
     columns, whole = state.newest(spark, directory, "profiles"), state.newest(spark, directory, "table_profiles")
     score = quality.scores(columns, whole).first()["overall"]
     types = {(t.name, c.name): c.type for t in tables for c in t.columns}
-    steps = cleaning.decide(cleaning.recommend([r.asDict() for r in quality.issues(columns, whole).collect()], types, {}))
+    issues = [r.asDict() for r in quality.issues(columns, whole).collect()]
+    steps = cleaning.decide(cleaning.recommend(issues, types, cleaning.medians_for(issues, types, frames)))
+    steps = [replace(s, status="approved") if s.status == "pending" and s.operation in accept else s for s in steps]
     frames, told = cleaning.apply(spark, frames, [s for s in steps if s.status == "approved"], f"{directory}/cleaned")
-    d = design(tables)
-    kpis = kpi_match.approve_sure(kpi_match.compute(kpi_match.match(domain, tables, d), frames))
-    shown = charts.dashboard([m for m in kpis if m.status == "approved"], tables, frames)
+    cleaned = catalog.recounted(tables, frames)
+    d = design(cleaned)
+    stored = database or f"{name}_warehouse"
+    made = warehouse.materialise(spark, frames, d, stored, buckets)
+    held = {n: spark.table(f"`{stored}`.`{n}`") for n, status in made.items() if status == "created"}
+    frames = kpi_match.frames_of("warehouse", frames, held, d)
+    checks = tuple(tuple(r) for r in warehouse.validate(frames, d).select("check", "table_name", "detail", "value", "status").collect())
+    kpis = kpi_match.approve_sure(kpi_match.compute(kpi_match.match(domain, cleaned, d), frames))
+    shown = charts.dashboard([m for m in kpis if m.status == "approved"], cleaned, frames)
     statuses = tuple(s.status for s in steps if s.status != "approved") + tuple(s.status for s, _ in told)
-    return Project(name, domain, True, tuple(tables), tuple(r["status"] for r in links), score, statuses, True, True, tuple(kpis), 0, len(shown)), shown
+    approved = bool(made) and len(held) == len(made)
+    return Project(name, domain, True, tuple(cleaned), tuple(r["status"] for r in links), score, statuses, True, approved, tuple(kpis), 0, len(shown), tuple(made.items()), checks), shown

@@ -933,3 +933,82 @@ def wh_merge_history(spark, sf):
     held = _merged(spark, sf)
     sums = [held.read(n).agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(20,4)")), 2).cast("double").alias("total")).select(F.lit(n).alias("version"), "total") for n in held.numbers()]
     return held.history().drop("changed_buckets").join(F.broadcast(reduce(DataFrame.unionByName, sums)), "version")
+
+
+# Keys of several columns: what a supplier offers, from the lines that are not new
+
+
+_OFFERS = "SELECT l_partkey AS part_no, l_suppkey AS supplier_no, max(l_discount) AS best FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2"
+
+
+def with_offers(spark, sf) -> tuple[dict[str, DataFrame], list[catalog.Table]]:
+    """lines, which refer to offers by part and supplier together, and what offers refer to."""
+    lines = table(spark, sf, "lineitem")
+    offers = lines.where("l_returnflag <> 'N'").groupBy(F.col("l_partkey").alias("part_no"), F.col("l_suppkey").alias("supplier_no")).agg(F.max("l_discount").alias("best"))
+    tabs = {"lines": lines.drop("l_shipdate"), "offers": offers, "part": table(spark, sf, "part"), "supplier": table(spark, sf, "supplier")}
+    keys = {
+        "lines": catalog.Keys((), composite=(catalog.Link(("l_partkey", "l_suppkey"), "offers", ("part_no", "supplier_no")),)),
+        "offers": catalog.Keys(("part_no", "supplier_no"), {"part_no": ("part", "p_partkey"), "supplier_no": ("supplier", "s_suppkey")}),
+        "part": catalog.Keys(("p_partkey",)),
+        "supplier": catalog.Keys(("s_suppkey",)),
+    }
+    return tabs, [catalog.describe(n, d, keys[n]) for n, d in tabs.items()]
+
+
+@query(
+    f"SELECT 'l_partkey, l_suppkey' AS key_columns, count(*) AS orphan_count FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM ({_OFFERS}) WHERE part_no = l_partkey AND supplier_no = l_suppkey) "
+    f"UNION ALL SELECT 'l_partkey', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM ({_OFFERS}) WHERE part_no = l_partkey)"
+)
+def composite_orphans(spark, sf):
+    """Lines without an offer, by the whole key and, for comparison, by its first column alone."""
+    tabs, metas = with_offers(spark, sf)
+    link = metas[0].links[0]
+    made = [warehouse.orphans(tabs["lines"], link.columns[:k], tabs[link.table], link.targets[:k]).select(F.lit(", ".join(link.columns[:k])).alias("key_columns"), "orphan_count") for k in (2, 1)]
+    return made[0].unionByName(made[1])
+
+
+@query(
+    f"SELECT s_name AS label, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN ({_OFFERS}) ON part_no = l_partkey AND supplier_no = l_suppkey JOIN supplier ON s_suppkey = supplier_no GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"
+)
+def composite_joined(spark, sf):
+    """Revenue by supplier on the path that the catalogue finds: over the two-column key to offers, then on."""
+    tabs, metas = with_offers(spark, sf)
+    path = next(p for p in graph.dimension_paths(metas, "lines") if p.table == "supplier")
+    return breakdowns.by_path(tabs, "lines", Measure("SUM", "l_extendedprice"), path, 15)
+
+
+@query(
+    f"SELECT 'rows' AS \"check\", 'fact_lines' AS table_name, '' AS detail, (SELECT count(*) FROM lineitem) AS value, 'passed' AS status UNION ALL SELECT 'rows', 'dim_offers', '', count(*), 'passed' FROM ({_OFFERS}) "
+    "UNION ALL SELECT 'rows', 'dim_part', '', count(*), 'passed' FROM part UNION ALL SELECT 'rows', 'dim_supplier', '', count(*), 'passed' FROM supplier "
+    f"UNION ALL SELECT 'unique_key', 'dim_offers', 'part_no,supplier_no', count(*) - count(DISTINCT (part_no, supplier_no)), 'passed' FROM ({_OFFERS}) UNION ALL SELECT 'unique_key', 'dim_part', 'p_partkey', 0, 'passed' UNION ALL SELECT 'unique_key', 'dim_supplier', 's_suppkey', 0, 'passed' "
+    f"UNION ALL SELECT 'orphans', 'fact_lines', '(l_partkey, l_suppkey) -> dim_offers.(part_no, supplier_no)', count(*), CASE WHEN count(*) > 0 THEN 'error' ELSE 'passed' END FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM ({_OFFERS}) WHERE part_no = l_partkey AND supplier_no = l_suppkey)"
+)
+def composite_validation(spark, sf):
+    """The checks of a warehouse with a two-column key."""
+    tabs, metas = with_offers(spark, sf)
+    return warehouse.validate(tabs, design(metas, {"lines": "fact", "offers": "dimension", "part": "dimension", "supplier": "dimension"}))
+
+
+# All breakdowns of a fact from one pass
+
+
+def _dash_sql() -> str:
+    joined = "orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
+    measures = {"orders": "CAST(count(*) AS DOUBLE)", "revenue": "round(sum(o_totalprice), 2)", "customers": "CAST(count(DISTINCT o_custkey) AS DOUBLE)", "open": "round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2)"}
+    labels = {"customer": "c_name", "nation": "n_name", "region": "r_name", "o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority"}
+    parts = []
+    for m, value in measures.items():
+        where = "WHERE o_orderstatus = 'O'" if m == "open" else ""
+        parts += [f"(SELECT '{m}' AS measure, '{d}' AS dimension, row_number() OVER (ORDER BY value DESC, label) AS place, NULL::DATE AS period, label, value FROM (SELECT {c} AS label, {value} AS value FROM {joined} {where} GROUP BY 1) QUALIFY place <= 10)" for d, c in labels.items()]
+        parts.append(f"(SELECT '{m}', 'o_orderdate', row_number() OVER (ORDER BY period), period, NULL, value FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, {value} AS value FROM orders {where} GROUP BY 1))")
+    return " UNION ALL ".join(parts)
+
+
+@query(_dash_sql())
+def dash_one_pass(spark, sf):
+    """Four KPIs of orders over three dimensions that are joined, two columns and time: one scan of orders."""
+    tabs = frames(spark, sf)
+    metas = [catalog.describe(n, d, catalog.BENCH_KEYS[n]) for n, d in tabs.items()]
+    paths = tuple(p for p in graph.dimension_paths(metas, "orders") if p.table in ("customer", "nation", "region"))
+    asked = {"orders": Measure("COUNT"), "revenue": Measure("SUM", "o_totalprice"), "customers": Measure("COUNT_DISTINCT", identifier="o_custkey"), "open": Measure("SUM", "o_totalprice", filter="o_orderstatus = 'O'")}
+    return breakdowns.by_all(tabs, "orders", asked, ("o_orderdate",), ("o_orderstatus", "o_orderpriority"), paths)

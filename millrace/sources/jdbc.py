@@ -8,7 +8,7 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.names import is_partition_child
-from ..plans.catalog import Keys
+from ..plans.catalog import Keys, Link
 
 
 def parse_dsn(dsn: str) -> dict:
@@ -34,7 +34,7 @@ def read(spark: SparkSession, url: str, table: str, schema: str | None = None, p
 
 
 def declared_keys(spark: SparkSession, url: str, schema: str | None = None) -> dict[str, Keys]:
-    """Tables with their primary and foreign keys, by the driver's metadata; of a composite foreign key the first column."""
+    """Tables with their primary and foreign keys, those of several columns too, by the driver's metadata."""
     connection = spark._jvm.java.sql.DriverManager.getConnection(url)
     try:
         meta = connection.getMetaData()
@@ -45,15 +45,20 @@ def declared_keys(spark: SparkSession, url: str, schema: str | None = None) -> d
                 names.append(found.getString("TABLE_NAME"))
         out = {}
         for name in names:
-            primary, foreign = [], {}
+            primary, foreign = [], []
             keys = meta.getPrimaryKeys(None, schema, name)
             while keys.next():
                 primary.append((keys.getInt("KEY_SEQ"), keys.getString("COLUMN_NAME")))
             links = meta.getImportedKeys(None, schema, name)
             while links.next():
-                if links.getInt("KEY_SEQ") == 1:
-                    foreign[links.getString("FKCOLUMN_NAME")] = (links.getString("PKTABLE_NAME"), links.getString("PKCOLUMN_NAME"))
-            out[name] = Keys(tuple(c for _, c in sorted(primary)), foreign)
+                # Rows come by referenced table and place in the key, so two keys to one table come mixed; the name tells them apart.
+                foreign.append((links.getString("PKTABLE_NAME"), links.getString("FK_NAME") or "", links.getInt("KEY_SEQ"), links.getString("FKCOLUMN_NAME"), links.getString("PKCOLUMN_NAME")))
+            held: dict[tuple, list] = {}
+            for target, key, _, column, referenced in sorted(foreign):
+                held.setdefault((target, key), []).append((column, referenced))
+            single = {own[0][0]: (target, own[0][1]) for (target, _), own in held.items() if len(own) == 1}
+            several = [Link(tuple(a for a, _ in own), target, tuple(b for _, b in own)) for (target, _), own in held.items() if len(own) > 1]
+            out[name] = Keys(tuple(c for _, c in sorted(primary)), single, tuple(several))
         return out
     finally:
         connection.close()
@@ -82,3 +87,23 @@ def indexes(spark: SparkSession, url: str, table: str, schema: str | None = None
         return {name: (unique, tuple(c for _, c in sorted(columns))) for name, (unique, columns) in out.items()}
     finally:
         connection.close()
+
+
+def constraints(spark: SparkSession, url: str, table: str, schema: str | None = None) -> list[tuple[str, str, tuple[str, ...], str | None, tuple[str, ...]]]:
+    """A table's constraints: (kind, name, columns, referenced table, its columns) of its primary key, its foreign keys and its unique columns, in order of name within a kind."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        meta, keys, links = connection.getMetaData(), {}, {}
+        found = meta.getPrimaryKeys(None, schema, table)
+        while found.next():
+            keys.setdefault(found.getString("PK_NAME") or "", []).append((found.getInt("KEY_SEQ"), found.getString("COLUMN_NAME")))
+        found = meta.getImportedKeys(None, schema, table)
+        while found.next():
+            links.setdefault((found.getString("FK_NAME") or "", found.getString("PKTABLE_NAME")), []).append((found.getInt("KEY_SEQ"), found.getString("FKCOLUMN_NAME"), found.getString("PKCOLUMN_NAME")))
+    finally:
+        connection.close()
+    primary = [("primary key", name, tuple(c for _, c in sorted(own)), None, ()) for name, own in sorted(keys.items())]
+    foreign = [("foreign key", name, tuple(c for _, c, _ in sorted(own)), target, tuple(d for *_, d in sorted(own))) for (name, target), own in sorted(links.items())]
+    # A foreign key is backed by an index of its own columns, a unique one only if the columns are unique too.
+    unique = [("unique", name, columns, None, ()) for name, (only, columns) in sorted(indexes(spark, url, table, schema).items()) if only and columns not in {p[2] for p in primary}]
+    return primary + foreign + unique

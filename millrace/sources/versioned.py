@@ -39,6 +39,7 @@ class Version:
     buckets: int
     held: Mapping[int, tuple[str, int]]  # bucket -> folder, below the table's, and rows
     changed: tuple[int, ...]
+    note: str = ""  # what the writer says beside, committed with the rows
 
     @property
     def rows(self) -> int:
@@ -118,7 +119,7 @@ class VersionedTable:
             last = self.version()
             others = [self.version(k) for k in range((base.number if base else 0) + 1, last.number + 1)]
             touched = {b for o in others for b in o.changed}
-            if base is None or touched & set(new.changed) or any(o.schema != base.schema for o in others):
+            if base is None or touched & set(new.changed) or any((o.schema, o.note) != (base.schema, base.note) for o in others):
                 raise Conflict(f"versions up to {last.number} have changed what this write has read")
             theirs = {b: x for b, x in last.held.items() if b not in new.changed}
             own = {b: x for b, x in new.held.items() if b in new.changed}
@@ -160,20 +161,20 @@ class VersionedTable:
     def _any(self, folder: str) -> bool:
         return any(s.isDirectory() and "=" in s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")))
 
-    def create(self, df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> Version:
+    def create(self, df: DataFrame, keys: list[str], buckets: int = BUCKETS, note: str = "") -> Version:
         """The first version. Rows must not share a key (a null key is no key: such rows are kept and match nothing)."""
         if self.numbers():
             raise ValueError(f"there is a table at {self.path} already")
         self._one_row_a_key(df, keys)
         held = self._store(df, tuple(keys), buckets)
-        return self._commit(None, Version(1, "create", df.schema.json(), tuple(keys), buckets, held, tuple(sorted(held))))
+        return self._commit(None, Version(1, "create", df.schema.json(), tuple(keys), buckets, held, tuple(sorted(held)), note))
 
-    def overwrite(self, df: DataFrame) -> Version:
+    def overwrite(self, df: DataFrame, note: str | None = None) -> Version:
         """All rows anew, with df's columns; conflicts with any other write."""
         base = self._base()
         self._one_row_a_key(df, base.keys)
         held = self._store(df, base.keys, base.buckets)
-        return self._commit(base, Version(base.number + 1, "overwrite", df.schema.json(), base.keys, base.buckets, held, tuple(range(base.buckets))))
+        return self._commit(base, Version(base.number + 1, "overwrite", df.schema.json(), base.keys, base.buckets, held, tuple(range(base.buckets)), base.note if note is None else note))
 
     def restore(self, number: int) -> Version:
         """A new version that is an old one again."""
@@ -191,16 +192,16 @@ class VersionedTable:
         if twice := df.where(known).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n")).where("n > 1").first():
             raise ValueError(f"several rows have the key {tuple(twice)[:-1]}")
 
-    def _rewrite(self, base: Version, operation: str, affected: DataFrame, made: Callable[[DataFrame], DataFrame]) -> Version:
+    def _rewrite(self, base: Version, operation: str, affected: DataFrame, made: Callable[[DataFrame], DataFrame], note: str | None = None) -> Version:
         """The next version, with the buckets of the affected keys made anew from what they hold."""
         changed = {r[0] for r in affected.select(self._bucket(base.keys, base.buckets).alias("b")).distinct().collect()}
-        if not changed:
+        if not changed and note in (None, base.note):
             return base
         held = self._store(made(self._read(base, changed)), base.keys, base.buckets)
         kept = {b: x for b, x in base.held.items() if b not in changed}
-        return self._commit(base, replace(base, number=base.number + 1, operation=operation, held=kept | held, changed=tuple(sorted(changed))))
+        return self._commit(base, replace(base, number=base.number + 1, operation=operation, held=kept | held, changed=tuple(sorted(changed)), note=base.note if note is None else note))
 
-    def merge(self, source: DataFrame, update: Mapping[str, Column] | bool = True, insert: bool = True, delete: Column | None = None, newest: str | None = None) -> Version:
+    def merge(self, source: DataFrame, update: Mapping[str, Column] | bool = True, insert: bool = True, delete: Column | None = None, newest: str | None = None, note: str | None = None) -> Version:
         """The next version: rows of source whose key the table has update the table's row, others are inserted.
 
         update names new values by column (True: all columns of the source that the table has; False: rows stay
@@ -208,7 +209,7 @@ class VersionedTable:
         table's row as t and the source's as s. Columns that the source lacks are null in inserted rows.
         Of several rows of source with one key the one with the greatest newest counts; without
         newest, or if they tie, that is an error. A null key matches nothing, so such a row is inserted. A source without rows
-        makes no version. Keys can't be updated.
+        makes no version, unless note, which is committed with the rows, is new. Keys can't be updated.
         """
         base = self._base()
         columns = [f.name for f in StructType.fromJson(json.loads(base.schema)).fields]
@@ -243,7 +244,7 @@ class VersionedTable:
                 out.append(F.when(old, changed).otherwise(given).cast(kinds[c]).alias(c))
             return both.where(~gone & (old | F.lit(insert))).select(*out)
 
-        return self._rewrite(base, "merge", source, made)
+        return self._rewrite(base, "merge", source, made, note)
 
     def delete(self, condition: Column) -> Version:
         """The next version, without the rows for which condition holds; no version if there are none."""
