@@ -18,6 +18,15 @@ from .fixtures import BYTE_BPE, DOCS, SCHEMA, clashing, corpus, empty
 BPE = tokenizers.Tokenizer.from_file(BYTE_BPE)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_tasks(spark):
+    """Small partitions are not put together, so that sources and lengths lie over several tasks."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 def best_fit(lengths, capacity):
     """Remaining capacities after best-fit decreasing, piece by piece."""
     open_ = []
