@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, mixing, simhash_dedup, sstable
-from millrace.llm.common import BATCH_ROWS, free_name, table, written
+from millrace.llm.common import BATCH_ROWS, discard, free_name, table, written
 from millrace.llm.queries import language_model, tokenizer
 
 #: A document whose language is less probable than this among the learned ones is rejected.
@@ -83,7 +83,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each one's result written to the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made  # the shards are read back from, so what they were made from may be there still
+        before, docs = docs, written(made, f"stage{k}")
+        if k:
+            discard(before)

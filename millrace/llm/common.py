@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
@@ -49,7 +51,27 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     schema = df.schema
     with small_batches(spark):
         df.write.options(**options).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+#: Where written() has put a table.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more, and the shuffle files of what they were made from.
+
+    A table goes when what follows from it has been written, so a job that loses executors still finds all that it reads. The
+    driver's JVM is told to collect its garbage: Spark removes the shuffle files of plans that are gone.
+    """
+    for df in tables:
+        path = _folders.pop(df)
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 #: Rows of whole texts in an Arrow batch where an operator runs its own job: some MB, on either side of the pipe.

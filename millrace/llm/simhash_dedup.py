@@ -8,6 +8,7 @@ Fingerprints meet by equality on (segment, wildcard, other bits) and the distanc
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import byte_batches, forget, free_name, small_batches, written
+from .common import byte_batches, discard, forget, free_name, small_batches, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -35,6 +36,10 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 20, 100_000, 500_000
 #: Bits of a set's sketch: the parity of the shingles at each place. Two sketches differ in no more bits than their sets in shingles.
 SKETCH_BITS = 1024
+#: Members of a key that meet in one task; more are dealt into parts.
+RUN = 100_000
+#: What tells a row of documents: its identifier (null: after all others) and two hashes of its text.
+_ROW = ["row_id", "text_hash", "text_hash_2"]
 _SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "fp")], *[StructField(n, ArrayType(LongType())) for n in ("prefix", "sketch")]])
 _SPACE = bytes(range(9, 14)) + b" "
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -223,6 +228,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.mapInArrow(edges, "a long, b long").distinct()
 
 
+def roots_table(roots: DataFrame) -> DataFrame:
+    """The table that what components() gave is read from."""
+    return _stars[roots]
+
+
+_stars: weakref.WeakKeyDictionary[DataFrame, DataFrame] = weakref.WeakKeyDictionary()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the least node of its component.
 
@@ -243,12 +256,15 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = salted_join(large, down, "hi", "lo").select(F.col("m"), "lo", "hi")
         step = small.select(F.col("m").alias("lo"), "hi").unionByName(small.select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).where("lo <> hi").distinct()
-        current = written(step, "stars")
+        before, current = current, written(step, "stars")
         now = mark(current)
+        discard(before)
         if now == seen:
             break
         seen = now
-    return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(current.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    out = current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(current.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    _stars[out] = current
+    return out
 
 
 def near_duplicates(df: DataFrame, identifier: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -301,6 +317,13 @@ def keep_first(df: DataFrame, identifier: str = "doc_id", text: str = "text", ra
     return tagged.join(kept, tag, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _row(identifier: str, text: str, names: list[str] = _ROW) -> list[Column]:
+    """The columns of _ROW, under some names; a null text is told from an empty one by its hash."""
+    held = F.col(f"`{text}`")
+    values = (F.coalesce(F.col(f"`{identifier}`").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(held), F.xxhash64(F.lit(1), held))
+    return [v.alias(n) for v, n in zip(values, names)]
+
+
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of one text (UTF-8), words as in fingerprint_of(); none without a word."""
     import xxhash
@@ -384,7 +407,7 @@ def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
     Repeats are counted within chunks of neighbouring texts, so single shingles are not shuffled.
     """
     share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("tag"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+    some = texts.where(F.pmod(F.xxhash64(*_ROW), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -410,8 +433,8 @@ def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
         return {r["h"] & ((1 << 64) - 1): r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()}
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have at least that Jaccard similarity.
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float, repeated: bool) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have at least that Jaccard similarity, a table.
 
     Pairs whose sketches differ in more bits than such sets can in shingles go first; the sets of the rest are compared.
     """
@@ -419,16 +442,90 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, si
     told = pairs.distinct().join(nodes.select(*x), "a").join(nodes.select(*y), "b")
     apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
     most = (F.col("size_a") + F.col("size_b")) * (1 - similarity) / (1 + similarity)
-    pairs = written(told.where(apart <= most + 1e-6).select("a", "b"), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    tags = nodes.join(asked, "node", "left_semi").select("node", "tag")
-    sets = written(texts.join(tags, "tag").select("node", shingle_sets(F.col("text"), size).alias("own")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    near = written(told.where(apart <= most + 1e-6).select("a", "b"), "pairs")
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", *_ROW)
+    sets = texts.join(wanted, _ROW).select("node", shingle_sets(F.col("text"), size).alias("own"))
+    # Repeated rows, where there are any, give a node's set several times.
+    sets = written(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    found = written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "similar")
+    discard(near, sets)
+    return found
+
+
+def _most_partner(size: np.ndarray, pos: np.ndarray, similarity: float) -> np.ndarray:
+    """The largest set that can be so similar to one of this size, if the first shingle that they share is this one's pos-th."""
+    return (size - pos) * ((1 + similarity) / similarity) - size + 1e-6
+
+
+def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, similarity: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one key that are of different roots and parts and can be so similar.
+
+    Sizes rise. Members of the root with the most members only meet those of other roots, so what is
+    looked at is a root's members times the others', within the sizes that may be similar, most at once.
+    """
+    cap = _most_partner(size, pos, similarity)
+    low, high = np.searchsorted(size, similarity * size - 1e-6), np.searchsorted(size, cap, "right")
+    names, own, counts = np.unique(root, return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable")[own]
+    looks = np.flatnonzero((rank < len(names) - 1) & (high > low))
+    width = high[looks] - low[looks]
+    edges = np.searchsorted(np.cumsum(width), np.arange(most, width.sum() + most, most))
+    for some in np.split(looks, np.unique(np.minimum(edges + 1, len(looks)))[:-1] if len(edges) else []):
+        x = np.repeat(some, high[some] - low[some])
+        first = np.repeat(np.cumsum(high[some] - low[some]) - (high[some] - low[some]), high[some] - low[some])
+        y = np.arange(len(x)) - first + low[x]
+        kept = (rank[x] < rank[y]) & (cap[y] >= size[x]) & ((part[x] != part[y]) | (part[x] < 0))
+        if kept.any():
+            a, b = node[x[kept]], node[y[kept]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of members (key, root, node, size, pos) that share a key.
+
+    Keys come as sorted runs of a stream. A key of over RUN members is dealt into parts, and each two parts meet in a
+    task of their own, so that a task holds 2 * RUN members at most.
+    """
+    hot = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RUN).select("key", F.ceil(F.col("n") / RUN).cast("int").alias("parts"))
+    placed = members.join(F.broadcast(hot), "key", "left")
+    part = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cell = lambda j: F.greatest(F.col("part"), j) * F.lit(1 << 20) + F.least(F.col("part"), j)
+    cells = F.when(F.col("part") < 0, F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell))
+    sent = placed.withColumn("part", part).withColumn("cell", F.explode(cells.cast("array<long>")))
+    # Within a cell of one part alone all members meet.
+    sent = sent.withColumn("part", F.when(F.col("cell") % (1 << 20) == F.floor(F.col("cell") / (1 << 20)), -1).otherwise(F.col("part")))
+    ordered = sent.select("key", "cell", "size", "node", "root", "pos", F.col("part").cast("int").alias("part")).repartition("key", "cell").sortWithinPartitions("key", "cell", "size", "node")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held: list[np.ndarray] = []
+
+        def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                _, _, size, node, root, pos, part = rows.T
+                for a, b in run_pairs(node, root, size, pos, part, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns], 1)
+            if not len(rows):
+                continue
+            edges = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
+            for k, run in enumerate(np.split(rows, edges)):
+                if held and (k or (held[-1][-1, :2] != run[0, :2]).any()):
+                    yield from closed(np.concatenate(held))
+                    held = []
+                held.append(run)
+        if held:
+            yield from closed(np.concatenate(held))
 
+    return ordered.mapInArrow(pairs, "a long, b long")
 
-def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+
+def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: float, radius: int = RADIUS, repeated: bool = True) -> DataFrame:
     """Links (a, b) between nodes that connect all that are linked by at least that similarity; each is verified.
 
     The first candidates are those of the deletion variants and, of each shared prefix shingle, its
@@ -439,25 +536,22 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     near = links(firsts.select("fp"), radius)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    own = Window.partitionBy("key")
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.select("*", F.count("*").over(own).alias("n"), F.min(F.struct("node", "size", "pos")).over(own).alias("lead"))
-    shared = written(rows.where("n > 1"), "shared")
-
-    def possible(x: str, y: str) -> Column:
-        """Whether two sets, of which this is the first shingle that they share, can be so similar."""
-        left = F.least(*[F.col(f"{v}.size") - F.col(f"{v}.pos") for v in (x, y)])
-        return left * (1 + similarity) >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
+    leads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"), F.min_by("pos", "node").alias("lead_pos")).where("n > 1")
+    shared = written(rows.join(leads, "key"), "shared")
 
-    led = shared.select("lead", F.struct("node", "size", "pos").alias("m")).where("m.node <> lead.node").where(possible("lead", "m"))
-    first = written(_similar(near.unionByName(led.select(F.col("lead.node").alias("a"), F.col("m.node").alias("b"))), nodes, texts, size, similarity), "similar")
+    left = F.least(F.col("lead_size") - F.col("lead_pos"), F.col("size") - F.col("pos"))
+    possible = left * (1 + similarity) >= similarity * (F.col("lead_size") + F.col("size")) - 1e-6
+    led = shared.where((F.col("node") != F.col("lead")) & possible).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    first = _similar(near.unionByName(led), nodes, texts, size, similarity, repeated)
     roots = components(first)
-    named = shared.where("n > 2").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), F.struct("node", "size", "pos").alias("m"))
-    groups = written(named.groupBy("key", "root").agg(F.collect_list("m").alias("ms")), "groups")
-    pairs = groups.select("key", F.col("root").alias("r"), F.col("ms").alias("xs")).join(groups, "key").where("r < root")
-    pairs = pairs.select(F.explode("xs").alias("x"), "ms").select("x", F.explode("ms").alias("y")).where(possible("x", "y"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return first.unionByName(_similar(pairs, nodes, texts, size, similarity))
+    named = written(shared.where("n > 2").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos"), "named")
+    discard(shared, roots_table(roots))
+    last = _similar(_pairs_between_roots(named, similarity), nodes, texts, size, similarity, repeated)
+    discard(named)
+    out = written(first.unionByName(last), "links")
+    discard(first, last)
+    return out
 
 
 def keep_first_similar(df: DataFrame, identifier: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -467,14 +561,27 @@ def keep_first_similar(df: DataFrame, identifier: str = "doc_id", text: str = "t
     similarity; a text of fewer words is one shingle, and texts without a word are alike. No linked
     pair is lost: deletion variants of fingerprints find close copies, prefixes of the sets all others.
     """
-    tag = free_name(df, "row_tag")
-    tagged = written(df.withColumn(tag, F.monotonically_increasing_id()), "tagged")
-    texts = tagged.select(F.col(tag).alias("tag"), F.col(identifier).alias("id"), F.col(text).alias("text"))
-    signed = texts.select("tag", "id", _signed(F.col("text"), size, similarity, _common_shingles(texts, size)).alias("d"))
-    signed = written(signed.select("tag", "id", "d.*"), "signed")
-    firsts = written(signed.groupBy("node").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "tag")).alias("first")), "firsts")
-    nodes = written(signed.drop("id").join(firsts.select(F.col("first.tag").alias("tag")), "tag", "left_semi"), "nodes")
-    roots = components(similar_links(nodes, texts.drop("id"), size, similarity))
+    texts = df.select(*_row(identifier, text), F.col(text).alias("text"))
+    signed = written(texts.select(*_ROW, _signed(F.col("text"), size, similarity, _common_shingles(texts, size)).alias("d")).select(*_ROW, "d.*"), "signed")
+    rows = signed.groupBy("node", *_ROW).agg(F.count("*").alias("n"))
+    firsts = written(rows.groupBy("node").agg(F.min(F.struct(*_ROW, "n")).alias("first")), "firsts")
+    # Rows of one identifier and text have one set; one of them stands for the node.
+    once = firsts.select("node", *[F.col(f"first.{c}").alias(c) for c in _ROW])
+    repeated = not firsts.where("first.n > 1").isEmpty()
+    nodes = signed.join(once, ["node", *_ROW], "left_semi")
+    nodes = written(nodes.dropDuplicates(["node"]) if repeated else nodes, "nodes")
+    discard(signed)
+    edges = similar_links(nodes, texts, size, similarity, repeated=repeated)
+    roots = components(edges)
+    discard(nodes, edges)
     named = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tag").alias(tag))
-    return tagged.join(kept, tag, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = written(named.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept")
+    discard(firsts, roots_table(roots))
+    names = [free_name(df, c) for c in _ROW]
+    told = df.select(*[F.col(f"`{c}`") for c in df.columns], *_row(identifier, text, names))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    renamed = kept.select(*[F.col(c).alias(n) for c, n in zip(_ROW, names)], "n")
+    out = told.join(renamed.where("n = 1").drop("n"), names, "left_semi")
+    if repeated:
+        out = out.unionByName(told.join(renamed.where("n > 1").drop("n"), names, "left_semi").dropDuplicates(names))
+    return out.select(*own)

@@ -310,3 +310,39 @@ def test_similar_texts_against_brute_force(spark):
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     kept = {r["doc_id"] for r in simhash_dedup.keep_first_similar(df).collect()}
     assert far > 20 and kept == {k for k in root if find(k) == k}
+
+
+def test_documents_that_share_one_passage_give_no_candidates(spark):
+    """Pairs of a hot shingle whose sets can't be similar are never made, so candidates grow with the documents, not with their pairs."""
+    found = []
+    for n in (2000, 4000):
+        passage = [f"p{x}" for x in range(40)]
+        texts = [(k, " ".join([*passage, *(f"q{k}_{x}" for x in range(8))])) for k in range(n)]
+        sets = [simhash_dedup.shingle_set(t.encode(), 5) for _, t in texts[:50]]
+        both = len(np.intersect1d(sets[0], sets[1]))
+        assert both / (len(sets[0]) + len(sets[1]) - both) < 0.8
+        # One key that all have, as the last rare place of their prefixes.
+        size = np.full(n, len(sets[0]))
+        pairs = list(simhash_dedup.run_pairs(np.arange(n), np.arange(n), size, np.full(n, 8), np.full(n, -1), 0.8))
+        found.append(sum(len(a) for a, _ in pairs))
+    assert found == [0, 0]
+
+
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_candidates_of_a_run(most):
+    """All pairs of other roots and parts that can be so similar, each once, whatever is looked at at once."""
+    rng = np.random.default_rng(5)
+    n = 60
+    size = np.sort(rng.integers(5, 40, n))
+    pos = (size * rng.random(n) * 0.25).astype(int)
+    node, root, part = rng.permutation(n), rng.integers(0, 6, n), rng.integers(0, 3, n)
+    for parts in (part, np.full(n, -1)):
+        got = [(int(x), int(y)) for a, b in simhash_dedup.run_pairs(node, root, size, pos, parts, 0.8, most) for x, y in zip(a, b)]
+        left = lambda i, j: min(size[i] - pos[i], size[j] - pos[j])
+        want = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(n) for j in range(i) if root[i] != root[j] and (parts[i] != parts[j] or parts[i] < 0) and left(i, j) * 1.8 >= 0.8 * (size[i] + size[j]) - 1e-7}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_texts_with_split_runs(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "RUN", 3)
+    test_similar_texts_against_brute_force(spark)
