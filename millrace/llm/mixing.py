@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import forget, free_name, written
+from .common import discard, forget, free_name, written
 
 MARGINS = ("source", "lang", "topic")
 #: Without targets, a share is proportional to the tokens' count to this power.
 TEMPER = 0.5
 TOPICS = 8
 TOPIC_LETTERS = 6
-#: Most rounds of raking in an array, and as a table; fewer where no weight moves by over TOLERANCE of all tokens.
-ROUNDS, TABLE_ROUNDS = 5000, 100
+#: Most rounds of raking, in an array and as a table alike; fewer where no weight moves by over TOLERANCE of all tokens.
+ROUNDS = 5000
 TOLERANCE = 1e-9
 #: So many cells are raked in one array and joined by broadcast; more are raked as a table.
 MOST_CELLS = 100_000
@@ -97,11 +97,11 @@ def rake_array(keys: list[tuple], tokens: np.ndarray, targets: dict[int, dict] |
     return weight
 
 
-def rake_table(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, rounds: int = TABLE_ROUNDS, most_factor: float | None = None) -> DataFrame:
-    """cells with weight, raked by one aggregation and one join a margin; each round is written to the shared folder."""
+def rake_table(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, rounds: int = ROUNDS, most_factor: float | None = None) -> DataFrame:
+    """cells with weight, raked by one aggregation and one join a margin, as rake_array() does; a round is written to the shared folder and the one before deleted."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0]
-    current = written(cells.withColumn("weight", F.col("tokens")), "cells")
+    current = held = written(cells.withColumn("weight", F.col("tokens")), "cells")
     goals = {}
     for m in margins:
         sums = cells.groupBy(m).agg(F.sum("tokens").alias("t"))
@@ -121,7 +121,8 @@ def rake_table(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, di
             step = step.withColumn("weight", F.least("weight", F.col("tokens") * most_factor))
         step = written(step, "raked")
         moved = step.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
-        current = step.drop("before")
+        discard(held)
+        held, current = step, step.drop("before")
         if moved is None or moved <= TOLERANCE * total:
             break
     return current

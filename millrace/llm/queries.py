@@ -16,16 +16,19 @@ def tokenizer(name: str) -> str:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text; null and empty texts have none, repeated rows each have their own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), limit=4096).drop("text")
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in token shards, read back; null and empty texts are the end id alone."""
     docs = table(spark, sf_dir, "documents")
     return sstable.read_shards(sstable.encode_to_shards(docs, tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as FLAC media, stored, read back and decoded; null texts are empty ones, of 64 zero bytes, and equal texts give equal rows."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     stored = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), flac.text_to_flac(text).alias("media")), "media", **flac.STORED)
@@ -38,34 +41,41 @@ def language_model(docs: DataFrame) -> language_id.Model:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text by a model of the documents that are not held out; texts without letters are und with score 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage like a benchmark item, with the item and the similarity; null and empty texts hold none."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates for secrets in all texts, with the forest's score and verdict; null and empty texts have none."""
     forest = secret_scan.train(secret_scan.labelled_findings(spark))
     return secret_scan.scan(table(spark, sf_dir, "documents"), forest)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that windows of 13 words of earlier documents cover; null texts have no words."""
     found = substring_dedup.repeats(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the component that it is linked into; texts without a word have fingerprint zero."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and copies of every document, by source, language and topic; documents without tokens get none."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a probe, formatted and read back; null texts are empty ones."""
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),

@@ -36,11 +36,15 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 20, 100_000, 500_000
 #: Bits of a set's sketch: the parity of the shingles at each place. Two sketches differ in no more bits than their sets in shingles.
 SKETCH_BITS = 1024
+#: Places that a common shingle's rows are dealt over.
+COMMON_SALTS = 64
 #: Members of a key that meet in one task; more are dealt into parts.
 RUN = 100_000
 #: What tells a row of documents: its identifier (null: after all others) and two hashes of its text.
 _ROW = ["row_id", "text_hash", "text_hash_2"]
-_SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "fp")], *[StructField(n, ArrayType(LongType())) for n in ("prefix", "sketch")]])
+#: A set of more shingles than SKETCH_BITS has a wide sketch too, of a bit a shingle or up to twice that, at most WIDE_BITS.
+WIDE_BITS = 1 << 17
+_SIGNED = StructType([*[StructField(n, LongType()) for n in ("node", "size", "rare", "fp")], *[StructField(n, ArrayType(LongType())) for n in ("prefix", "sketch", "wide")]])
 _SPACE = bytes(range(9, 14)) + b" "
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SQUEEZE = bytes(32 if b in _SPACE else _LOWER[b] for b in range(256))
@@ -366,11 +370,35 @@ def shingle_sets(text: Column, size: int) -> Column:
     return sets(text)
 
 
+def _sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of a set's hashes at each of so many places, a power of two; half of it folded onto the other is the next smaller one's."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def sketches_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two sketches differ, the wider one folded; two sets differ in as many shingles at least."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+@F.arrow_udf(LongType())
+def _wide_apart(one: pa.Array, other: pa.Array) -> pa.Array:
+    """sketches_apart() of each row's two; 0 where one is null."""
+    forget()
+    out = np.zeros(len(one), np.int64)
+    for k in np.flatnonzero(pc.and_(one.is_valid(), other.is_valid()).to_numpy(zero_copy_only=False)).tolist():
+        out[k] = sketches_apart(*(x[k].values.to_numpy().view(np.uint64) for x in (one, other)))
+    return pa.array(out)
+
+
 def _signed(text: Column, size: int, similarity: float, common: dict[int, int]) -> Column:
-    """node (a hash of the set of shingles), size, fp, prefix and sketch of each text.
+    """node (a hash of the set of shingles), size, rare, fp, prefix, sketch and wide of each text.
 
-    prefix has the set's first shingles in one order for all texts, rare before common: so many that
-    two sets of that Jaccard similarity share one of them at least.
+    prefix has the set's first shingles in one order for all texts, rare (so many) before common ones: as many that
+    two sets of that Jaccard similarity share one of them at least. wide is null for a small set.
     """
     names = np.array(sorted(common), np.uint64)
     ranks = np.array([common[k] for k in sorted(common)], np.int64)
@@ -381,7 +409,7 @@ def _signed(text: Column, size: int, similarity: float, common: dict[int, int])
 
         forget()
 
-        nodes, sizes, fps, prefixes, sketches = [], [], [], [], []
+        nodes, sizes, rares, fps, prefixes, sketches, wides = [], [], [], [], [], [], []
         for x in column.cast(pa.large_binary()):
             own = shingle_set(x.as_py(), size)
             rank = np.zeros(len(own), np.int64)
@@ -393,10 +421,11 @@ def _signed(text: Column, size: int, similarity: float, common: dict[int, int])
             sizes.append(len(own))
             fps.append(_majority(own))
             prefixes.append(own[np.lexsort((own, rank))[:most]])
-            odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-            sketches.append(np.packbits(odd.astype(bool), bitorder="little").view("<u8"))
-        longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, sizes, fps)]
-        return pa.StructArray.from_arrays([*longs, _lists(prefixes), _lists(sketches)], ["node", "size", "fp", "prefix", "sketch"])
+            rares.append(int((rank == 0).sum()))
+            sketches.append(_sketch(own, SKETCH_BITS))
+            wides.append(_sketch(own, min(WIDE_BITS, 1 << (len(own) - 1).bit_length())).view(np.int64).tolist() if len(own) > SKETCH_BITS else None)
+        longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, sizes, rares, fps)]
+        return pa.StructArray.from_arrays([*longs, _lists(prefixes), _lists(sketches), pa.array(wides, pa.list_(pa.int64()))], _SIGNED.names)
 
     return signed(text)
 
@@ -436,13 +465,18 @@ def _common_shingles(texts: DataFrame, size: int) -> dict[int, int]:
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float, repeated: bool) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have at least that Jaccard similarity, a table.
 
-    Pairs whose sketches differ in more bits than such sets can in shingles go first; the sets of the rest are compared.
+    Pairs whose sketches differ in more bits than such sets can in shingles go first, by small sketches and
+    then by those that are as wide as large sets need; the sets of the rest are compared.
     """
     x, y = ([F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")] for k in "ab")
     told = pairs.distinct().join(nodes.select(*x), "a").join(nodes.select(*y), "b")
     apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
     most = (F.col("size_a") + F.col("size_b")) * (1 - similarity) / (1 + similarity)
-    near = written(told.where(apart <= most + 1e-6).select("a", "b"), "pairs")
+    first = written(told.where(apart <= most + 1e-6).select("a", "b", most.alias("most")), "first")
+    x, y = ([F.col("node").alias(k), F.col("wide").alias(f"wide_{k}")] for k in "ab")
+    wide = first.join(nodes.select(*x), "a").join(nodes.select(*y), "b").withColumn("apart", _wide_apart(F.col("wide_a"), F.col("wide_b")))
+    near = written(wide.where("apart <= most + 1e-6").select("a", "b"), "pairs")
+    discard(first)
     asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(asked, "node", "left_semi").select("node", *_ROW)
     sets = texts.join(wanted, _ROW).select("node", shingle_sets(F.col("text"), size).alias("own"))
@@ -536,16 +570,24 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     near = links(firsts.select("fp"), radius)
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    leads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"), F.min_by("pos", "node").alias("lead_pos")).where("n > 1")
-    shared = written(rows.join(leads, "key"), "shared")
-
-    left = F.least(F.col("lead_size") - F.col("lead_pos"), F.col("size") - F.col("pos"))
-    possible = left * (1 + similarity) >= similarity * (F.col("lead_size") + F.col("size")) - 1e-6
-    led = shared.where((F.col("node") != F.col("lead")) & possible).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    # A common shingle's rows are dealt over several places, each with a lead of its own, and the leads meet the least of them.
+    rows = nodes.select("node", "size", "rare", F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.select("node", "size", "pos", "key", F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(COMMON_SALTS)) + 1).otherwise(0).cast("int").alias("salt"))
+    own = Window.partitionBy("key", "salt")
+    rows = rows.select("*", F.count("*").over(own).alias("n"), F.min(F.struct("node", "size", "pos")).over(own).alias("lead"))
+    shared = written(rows.where("n > 1 OR salt > 0"), "shared")
+
+    def possible(x: str, y: str) -> Column:
+        left = F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos"))
+        return left * (1 + similarity) >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
+
+    members = shared.select("lead", F.struct("node", "size", "pos").alias("m"))
+    leads = shared.where("salt > 0").select("key", "lead").distinct()
+    leads = leads.join(leads.groupBy("key").agg(F.min("lead").alias("least")), "key").select(F.col("least").alias("lead"), F.col("lead").alias("m"))
+    led = members.unionByName(leads).where((F.col("lead.node") != F.col("m.node")) & possible("lead", "m")).select(F.col("lead.node").alias("a"), F.col("m.node").alias("b"))
     first = _similar(near.unionByName(led), nodes, texts, size, similarity, repeated)
     roots = components(first)
-    named = written(shared.where("n > 2").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos"), "named")
+    named = written(shared.where("n > 2 OR salt > 0").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos"), "named")
     discard(shared, roots_table(roots))
     last = _similar(_pairs_between_roots(named, similarity), nodes, texts, size, similarity, repeated)
     discard(named)

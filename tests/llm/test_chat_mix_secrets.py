@@ -341,3 +341,17 @@ def test_topics_cells_and_draws_by_brute_force(spark, sf):
     for got, goal in zip(drawn, goals):
         apart = sum(abs(got[v] / got.total() - g / sum(goal.values())) for v, g in goal.items()) / 2
         assert apart < 0.1
+
+
+def test_array_and_table_rake_alike_where_it_is_slow(spark):
+    """The same rounds and the same stop, so that the number of cells does not change the weights."""
+    import inspect
+
+    assert len({inspect.signature(f).parameters["rounds"].default for f in (mixing.rake_array, mixing.rake_table)}) == 1
+    rows = [("a", "x", 90.0), ("a", "y", 10.0), ("b", "y", 100.0)]
+    halves = [{"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}]
+    want = mixing.rake_array([r[:2] for r in rows], np.array([r[2] for r in rows]), dict(enumerate(halves)), rounds=12)
+    assert 0.002 < want[1] / want.sum() < 0.1  # far from its limit, zero
+    cells = spark.createDataFrame(rows, "m string, n string, tokens double")
+    got = {(r["m"], r["n"]): r["weight"] for r in mixing.rake_table(cells, ("m", "n"), {"m": halves[0], "n": halves[1]}, rounds=12).collect()}
+    assert [got[r[:2]] for r in rows] == pytest.approx(want.tolist(), rel=1e-9)

@@ -346,3 +346,15 @@ def test_candidates_of_a_run(most):
 def test_similar_texts_with_split_runs(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "RUN", 3)
     test_similar_texts_against_brute_force(spark)
+
+
+def test_wide_sketches_fold_and_never_exceed_the_sets_difference():
+    rng = np.random.default_rng(8)
+    for n, m, both in ((3000, 2500, 1000), (1500, 6000, 1400), (40, 40, 0)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[:both], rng.integers(0, 1 << 63, m - both).astype(np.uint64)])
+        wide = [simhash_dedup._sketch(x, min(simhash_dedup.WIDE_BITS, 1 << (len(x) - 1).bit_length())) for x in (a, b)]
+        small = simhash_dedup._sketch(a, 64 * min(map(len, wide)))
+        assert simhash_dedup.sketches_apart(wide[0], small) == 0
+        apart = simhash_dedup.sketches_apart(*wide)
+        assert apart <= len(np.setxor1d(a, b)) and apart > 0.2 * (n + m - 2 * both)
