@@ -39,13 +39,18 @@ def by_path(tables: dict[str, DataFrame], base: str, measure: Measure, path: Pat
     """label and value over an inner-join chain along path from base.
 
     A step from parent to child repeats the base's rows, once for each child, and measures count
-    them as often. Measures are the base's columns, whatever names the other tables have.
+    them as often. Measures are the base's columns, whatever names the other tables have. What can be
+    added up is summed by the first step's foreign key before anything is joined: all rows of a key meet the same rows.
     """
-    joined = measure.rows(tables[base]).alias(base)
+    rows, parts = measure.rows(tables[base]), measure.in_parts()
+    if parts:
+        rows = rows.groupBy(*dict.fromkeys(x for x, _ in path.edges[0].pairs)).agg(*[v.alias(n) for n, v in parts[0].items()])
+    joined = rows.alias(base)
     for e in path.edges:
         on = reduce(lambda a, b: a & b, (F.col(f"{e.table}.{x}") == F.col(f"{e.target}.{y}") for x, y in e.pairs))
         joined = joined.join(tables[e.target].alias(e.target), on, "inner")
-    return _top(joined.groupBy(path_label(path).alias("label")).agg(measure.value(f"{base}.").alias("value")), limit)
+    value = parts[1] if parts else measure.value(f"{base}.")
+    return _top(joined.groupBy(path_label(path).alias("label")).agg(value.alias("value")), limit)
 
 
 def path_label(path: Path, alias: str | None = None) -> Column:

@@ -70,3 +70,45 @@ def advice(severities: list[str]) -> str:
     if "warning" in severities:
         return "Check changed columns; results may still be valid."
     return "No action needed." if severities else "No changes."
+
+
+def dependants(edges: DataFrame, changed: DataFrame, most_steps: int = 50) -> DataFrame:
+    """object, steps (fewest) and cause of all that depends on changed objects, over any number of steps.
+
+    edges has object and needs (what it is made from), changed has object; both are names, rows that repeat count once.
+    An object is not a dependant of itself, also where dependences form a ring; a recursive query follows them, at most most_steps far.
+    """
+    spark = edges.sparkSession
+    found = spark.sql(
+        """
+        WITH RECURSIVE reach (object, cause, steps) AS (
+          SELECT DISTINCT object, object AS cause, 0 FROM {changed} WHERE object IS NOT NULL
+          UNION ALL
+          SELECT e.object, r.cause, r.steps + 1 FROM reach r JOIN {edges} e ON e.needs = r.object WHERE r.steps < {most} AND e.object <> r.cause
+        )
+        SELECT object, cause, min(steps) AS steps FROM reach WHERE steps > 0 GROUP BY object, cause
+        """,
+        changed=changed,
+        edges=edges.select("object", "needs").distinct(),
+        most=most_steps,
+    )
+    return found
+
+
+def lineage(spark, tables, design, matches, charts=()) -> DataFrame:
+    """object and needs: columns of source tables, the warehouse tables over them, KPIs and charts, as names like table.column.
+
+    A warehouse table needs the columns that it copies, a KPI the columns of its measure (and through them
+    the table), a chart its KPI.
+    """
+    by = {t.name: t for t in tables}
+    made = {p.source: p.name for p in design.parts}
+    rows = [(f"{t.name}.{c.name}", t.name) for t in tables for c in t.columns]
+    rows += [(f"{p.name}.{c.name}", f"{p.source}.{c.name}") for p in design.parts for c in by[p.source].columns]
+    rows += [(p.name, f"{p.name}.{c.name}") for p in design.parts for c in by[p.source].columns]
+    for m in matches:
+        home = made.get(m.table, m.table)
+        used = [c for c in (m.measure.column, m.measure.identifier) if c]
+        rows += [(f"KPI {m.kpi.name}", f"{home}.{c}") for c in used] or [(f"KPI {m.kpi.name}", f"{home}.{by[m.table].columns[0].name}")]
+    rows += [(f"chart {c.title}", f"KPI {c.metric}") for c in charts]
+    return spark.createDataFrame(sorted(set(rows)), "object string, needs string")

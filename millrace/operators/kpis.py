@@ -60,6 +60,27 @@ class Measure:
                 return F.round(missing / F.nullif(rows, F.lit(0)) * 100, 2).cast("double")
         raise ValueError(f"unknown aggregation {self.aggregation}")
 
+    def in_parts(self) -> tuple[dict[str, Column], Column] | None:
+        """Aggregates of parts of the rows by name, and value() from the parts' aggregates; None where distinct values are counted."""
+        c = F.col(f"`{self.column}`")
+        whole = lambda name: F.sum(f"part_{name}")
+        rounded = lambda x: F.round(x.cast(MONEY), 2).cast("double")
+        match self.aggregation:
+            case "COUNT":
+                return {"part_n": F.count("*")}, whole("n").cast("double")
+            case "SUM":
+                return {"part_s": F.sum(c)}, rounded(whole("s"))
+            case "AVG":
+                return {"part_s": F.sum(c), "part_k": F.count(c)}, rounded(whole("s") / F.nullif(whole("k"), F.lit(0)))
+            case "MAX":
+                return {"part_x": F.max(c)}, rounded(F.max("part_x"))
+            case "MIN":
+                return {"part_x": F.min(c)}, rounded(F.min("part_x"))
+            case "NULL_RATE":
+                missing = (whole("n") - whole("k")).cast("decimal(28,6)")
+                return {"part_n": F.count("*"), "part_k": F.count(c)}, F.round(missing / F.nullif(whole("n"), F.lit(0)) * 100, 2).cast("double")
+        return None
+
     def rows(self, df: DataFrame) -> DataFrame:
         return df.where(self.filter) if self.filter else df
 

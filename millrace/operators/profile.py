@@ -87,13 +87,15 @@ def top_values(df: DataFrame, values: DataFrame | None = None, top: int = TOP) -
 #: How far on either side of the middle the bracket reaches in which the median is looked for, and the
 #: accuracy of the percentiles that give it: their error is at most a third of that.
 AROUND, ACCURACY = 0.0003, 10_000
+SLOTS = 1000
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name and the exact median of some numeric columns.
 
     Approximate percentiles give a bracket around the middle. A second pass counts what lies below it
-    and each value inside, so what is sorted is a thousandth of the table and no task holds a column.
+    and each value inside, a thousandth of the table; of these only the slots that hold the middle, a thousandth again, are sorted,
+    each by one task.
     """
     names = F.array(*map(F.lit, columns))
     made = []
@@ -105,14 +107,25 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = df.select(F.posexplode(F.array(*[known(df, c).cast("double") for c in columns])).alias("i", "v")).where("v IS NOT NULL")
     met = cells.join(F.broadcast(brackets), "i").where("v <= high")
     counted = met.groupBy("i", "total", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("upto", upto).where(F.col("v").isNotNull())
+    # The values inside lie in SLOTS slots of about as many values each; sums over slots tell which ones hold the middle.
+    shares = [k / SLOTS for k in range(1, SLOTS)]
+    edges = counted.where("v IS NOT NULL").groupBy(F.col("i").alias("of_i")).agg(F.percentile_approx("v", shares, ACCURACY).alias("edges"))
+    dealt = counted.join(F.broadcast(edges), F.col("i") == F.col("of_i")).select("i", "total", "v", "n", F.when(F.col("v").isNull(), -1).otherwise(_slot(F.col("v"), F.col("edges"))).alias("slot"))
+    ordered = Window.partitionBy("i").orderBy("slot")
+    slots = dealt.groupBy("i", "total", "slot").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(ordered))
+    ranks = F.explode(F.array(F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1)).alias("rank")
+    wanted = slots.select("i", "slot", (F.col("upto") - F.col("n")).alias("before"), "upto", ranks).where("rank > before AND rank <= upto").select(F.col("i").alias("of_i"), F.col("slot").alias("of_slot"), "before", "rank").distinct()
+    inside = dealt.join(F.broadcast(wanted), (F.col("i") == F.col("of_i")) & (F.col("slot") == F.col("of_slot")))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("i", "rank").orderBy("v"))
+    found = inside.withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy("i", "rank").agg(F.min("v").alias("v"))
+    middle = found.groupBy("i").agg(F.avg("v").alias("median"))
+    return middle.select(F.get(names, F.col("i")).alias("column_name"), "median")
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= rank, F.col("v")))
 
-    middle = placed.groupBy("i", "total").agg(((at(F.floor((F.col("total") + 1) / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2).alias("median"))
-    return middle.select(F.get(names, F.col("i")).alias("column_name"), "median")
+def _slot(value: Column, edges: Column) -> Column:
+    """How many of some rising edges are below value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(SLOTS.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, width: F.when(F.try_element_at(edges, at + width) < value, at + width).otherwise(at))
 
 
 def numbers(df: DataFrame) -> DataFrame | None:

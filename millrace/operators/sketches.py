@@ -84,7 +84,7 @@ def shown(states: DataFrame) -> DataFrame:
         F.coalesce(F.col("high"), F.col("most").cast("string")).alias("max"),
         F.round("mean", 4).alias("mean"),
         median.alias("median"),
-        F.round(F.when(n == 1, F.when(F.col("squares").isNotNull(), 0.0)).otherwise(F.sqrt(F.greatest(F.col("squares"), F.lit(0.0)) / (n - 1))), 4).alias("std_dev"),
+        F.round(F.when(F.col("squares").isNotNull(), F.when(n == 1, 0.0).otherwise(F.sqrt(F.greatest(F.col("squares"), F.lit(0.0)) / (n - 1)))), 4).alias("std_dev"),
     )
 
 

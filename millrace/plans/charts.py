@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import title
 from ..operators import breakdowns
+from ..operators.kpis import Measure
 from .catalog import Table
-from .graph import dimension_paths, own_dimensions
+from .graph import Path, dimension_paths, own_dimensions, to_parents
 from .kpi_match import Match, compute
 
 # Up to so many groups a donut, up to so many a bar chart, beyond it the first ten.
@@ -23,6 +24,21 @@ CUSTOMER_WORDS = ("customer", "user", "client", "member", "subscriber")
 PLAIN_LABELS = ("name", "title", "label")
 
 
+@dataclass(frozen=True)
+class Cut:
+    """A breakdown that breakdowns.by_all() can give: a date, a column or a path (of) of a table, by a measure."""
+
+    table: str
+    measure: Measure
+    kind: str  # date, column or path
+    of: str | Path
+    shown: str | None = None
+
+    @property
+    def dimension(self) -> str:
+        return self.of if isinstance(self.of, str) else self.of.table
+
+
 @dataclass(frozen=True)
 class Chart:
     key: str
@@ -35,6 +51,7 @@ class Chart:
     rows: tuple[dict, ...] = ()
     kind: str = ""
     error: str | None = None
+    cut: Cut | None = None  # where its rows are in the one pass over its table
 
     def axes(self) -> dict[str, str]:
         y = f"{self.metric} ({self.unit.title()})" if self.unit and self.unit.lower() != "count" else self.metric
@@ -54,7 +71,7 @@ def candidates(matches: list[Match], tables: list[Table], frames: dict[str, Data
         dates, groups = own_dimensions(by[m.table])
         df, name, unit = frames[m.table], m.kpi.name, m.kpi.unit
         if dates:
-            out.append(Chart(f"kpi{k}_timeseries", f"{name} Over Time", "time_series", "Trend", unit, name, lambda df=df, m=m, d=dates[0]: breakdowns.by_month(df, m.measure, d)))
+            out.append(Chart(f"kpi{k}_timeseries", f"{name} Over Time", "time_series", "Trend", unit, name, lambda df=df, m=m, d=dates[0]: breakdowns.by_month(df, m.measure, d), cut=Cut(m.table, m.measure, "date", dates[0])))
         buyer = next((g for g in groups if any(w in g.lower() for w in CUSTOMER_WORDS)), None)
         if buyer:
             out.append(Chart(f"kpi{k}_segments", "Customer Activity Distribution", "segmentation", "Customers", "count", "Customers", lambda df=df, g=buyer: breakdowns.by_activity(df, g)))
@@ -64,10 +81,10 @@ def candidates(matches: list[Match], tables: list[Table], frames: dict[str, Data
                 continue
             used.add(p.table)
             label = dimension_title("name" if len(p.label) > 1 else p.label[0], p.table)
-            out.append(Chart(f"kpi{k}_by_{p.table}", f"{name} by {label}", "categorical", label, unit, name, lambda m=m, p=p: breakdowns.by_path(frames, m.table, m.measure, p, BAR_GROUPS + 1)))
+            out.append(Chart(f"kpi{k}_by_{p.table}", f"{name} by {label}", "categorical", label, unit, name, lambda m=m, p=p: breakdowns.by_path(frames, m.table, m.measure, p, BAR_GROUPS + 1), cut=Cut(m.table, m.measure, "path", p) if to_parents(tables, p) else None))
         if groups and not paths:
             label = dimension_title(groups[0])
-            out.append(Chart(f"kpi{k}_by_{groups[0]}", f"{name} by {label}", "categorical", label, unit, name, lambda df=df, m=m, g=groups[0], n=label: breakdowns.by_column(df, m.measure, g, BAR_GROUPS + 1, n)))
+            out.append(Chart(f"kpi{k}_by_{groups[0]}", f"{name} by {label}", "categorical", label, unit, name, lambda df=df, m=m, g=groups[0], n=label: breakdowns.by_column(df, m.measure, g, BAR_GROUPS + 1, n), cut=Cut(m.table, m.measure, "column", groups[0], label)))
     return out
 
 
@@ -95,20 +112,56 @@ def curate(charts: list[Chart], most: int = MOST_CHARTS) -> list[Chart]:
     return picked + [c for c in charts if c not in picked][: most - len(picked)]
 
 
+def one_pass(charts: list[Chart], frames: dict[str, DataFrame]) -> dict[str, list[dict]]:
+    """The rows by key of those charts of one table that breakdowns.by_all() gives together, from one scan of the table.
+
+    Charts whose dimensions share a name are left to themselves.
+    """
+    cuts = {c.key: c.cut for c in charts if c.cut}
+    seen: dict[str, set] = {}
+    for cut in cuts.values():
+        seen.setdefault(cut.dimension, set()).add((cut.kind, cut.of))
+    cuts = {k: cut for k, cut in cuts.items() if len(seen[cut.dimension]) == 1}
+    if len(cuts) < 2:
+        return {}
+    measures = list(dict.fromkeys(cut.measure for cut in cuts.values()))
+    of = {kind: tuple(dict.fromkeys(cut.of for cut in cuts.values() if cut.kind == kind)) for kind in ("date", "column", "path")}
+    base = next(iter(cuts.values())).table
+    titles = {cut.of: cut.shown for cut in cuts.values() if cut.kind == "column"}
+    made = breakdowns.by_all(frames, base, {str(k): m for k, m in enumerate(measures)}, of["date"], of["column"], of["path"], BAR_GROUPS + 1, titles)
+    found: dict[tuple, list] = {}
+    for r in made.collect():
+        found.setdefault((int(r["measure"]), r["dimension"]), []).append(r)
+    out = {}
+    for key, cut in cuts.items():
+        rows = sorted(found.get((measures.index(cut.measure), cut.dimension), []), key=lambda r: r["place"])
+        x = "period" if cut.kind == "date" else "label"
+        out[key] = [{x: r[x], "value": r["value"]} for r in rows]
+    return out
+
+
 def dashboard(matches: list[Match], tables: list[Table], frames: dict[str, DataFrame], most: int = MOST_CHARTS, threads: int = 4) -> list[Chart]:
     """The curated charts with their rows (at most a few dozen each); candidates run side by side.
 
-    One that fails has no rows and its error, and stands behind the others as far as there is room.
+    Those that one pass over their table gives are cut from it; if that fails, each runs by itself. One that fails has no rows and its error, and stands behind the others as far as there is room.
     """
 
+    asked = candidates(matches, tables, frames)
+    cut: dict[str, list[dict]] = {}
+    for table in dict.fromkeys(c.cut.table for c in asked if c.cut):
+        try:
+            cut |= one_pass([c for c in asked if c.cut and c.cut.table == table], frames)
+        except (PySparkException, KeyError):
+            continue
+
     def run(chart: Chart) -> Chart | None:
         try:
-            return finished(chart, to_rows(chart.frame()))
+            return finished(chart, cut[chart.key] if chart.key in cut else to_rows(chart.frame()))
         except (PySparkException, KeyError) as e:
             return replace(chart, kind="empty", error=str(e).splitlines()[0])
 
     with ThreadPoolExecutor(threads) as pool:
-        made = [c for c in pool.map(run, candidates(matches, tables, frames)) if c]
+        made = [c for c in pool.map(run, asked) if c]
     picked = curate([c for c in made if not c.error], most)
     return picked + [c for c in made if c.error][: most - len(picked)]
 

@@ -36,6 +36,7 @@ class Project:
     widgets: int = 0
     made: tuple[tuple[str, str], ...] = ()  # warehouse tables and how writing them went
     checks: tuple[tuple, ...] = ()  # check, table, detail, value, status
+    applied: tuple[cleaning.Step, ...] = ()
     events: tuple[tuple[str, str], ...] = field(default=())  # (time, what happened)
 
 
@@ -160,4 +161,4 @@ def run_all(spark: SparkSession, name: str, frames: dict[str, DataFrame], keys:
     shown = charts.dashboard([m for m in kpis if m.status == "approved"], cleaned, frames)
     statuses = tuple(s.status for s in steps if s.status != "approved") + tuple(s.status for s, _ in told)
     approved = bool(made) and len(held) == len(made)
-    return Project(name, domain, True, tuple(cleaned), tuple(r["status"] for r in links), score, statuses, True, approved, tuple(kpis), 0, len(shown), tuple(made.items()), checks), shown
+    return Project(name, domain, True, tuple(cleaned), tuple(r["status"] for r in links), score, statuses, True, approved, tuple(kpis), 0, len(shown), tuple(made.items()), checks, tuple(s for s, status in told if status == "applied")), shown

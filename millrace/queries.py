@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formats
-from .operators import asof, breakdowns, cleaning, drift, kpis, ordered, profile, quality, ranges, relationships, warehouse, workspace
+from .operators import asof, breakdowns, cleaning, drift, kpis, ordered, profile, quality, ranges, relationships, sketches, state, warehouse, workspace
+from .operators.views import MaterialisedView
 from .operators.kpis import Measure
-from .plans import catalog, charts, graph, kpi_match
+from .plans import catalog, charts, graph, kpi_match, project
 from .plans.design import design
 from .session import TABLES, fresh_dir, table
-from .sources import files
+from .sources import dump, files
 from .sources.versioned import VersionedTable
-from .streaming import refresh
+from .streaming import refresh, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -687,35 +688,81 @@ def catalog_search(spark, sf):
     return catalog.search(catalog.as_frame(spark, catalog.discover(frames(spark, sf))), "NATION").select("table_name", "column_name")
 
 
-SNAPSHOTS = (
-    [("orders", "id", "integer", False), ("orders", "amount", "numeric", True), ("orders", "legacy_code", "varchar", True), ("old", "id", "integer", False)],
-    [("orders", "id", "integer", False), ("orders", "amount", "varchar", True), ("orders", "note", "text", True), ("customers", "id", "integer", False)],
+def _snapshots(spark, sf) -> DataFrame:
+    """The changes between two stored snapshots of the tables: as they are, and with orders altered, region gone and returns new."""
+    tabs = frames(spark, sf)
+    orders = tabs["orders"].drop("o_orderpriority").withColumn("o_totalprice", F.col("o_totalprice").cast("string")).withColumn("o_note", F.lit("x"))
+    later = {n: d for n, d in tabs.items() if n != "region"} | {"orders": orders, "returns": tabs["lineitem"].select("l_orderkey", "l_quantity")}
+    directory = fresh_dir(spark, "snapshots")
+    for some in (tabs, later):
+        seen = catalog.as_frame(spark, [catalog.describe(n, d) for n, d in some.items()]).select("table_name", "column_name", "type", F.lit(True).alias("nullable"))
+        changes, _, _ = state.refresh_catalogue(seen, directory)
+    return changes
+
+
+_KINDS_SQL = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'double precision' WHEN 'VARCHAR' THEN 'varchar' ELSE 'timestamp' END"
+_CHANGES_SQL = (
+    f"WITH RECURSIVE was AS (SELECT DISTINCT table_name, column_name, {_KINDS_SQL} AS type FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))})), "
+    "now AS (SELECT table_name, column_name, CASE WHEN column_name = 'o_totalprice' THEN 'varchar' ELSE type END AS type FROM was WHERE table_name <> 'region' AND column_name <> 'o_orderpriority' "
+    "UNION ALL SELECT 'orders', 'o_note', 'varchar' UNION ALL SELECT 'returns', column_name, type FROM was WHERE column_name IN ('l_orderkey', 'l_quantity')), "
+    "changes AS (SELECT DISTINCT 'table_added' AS change, table_name, CAST(NULL AS VARCHAR) AS column_name, CAST(NULL AS VARCHAR) AS old_type, CAST(NULL AS VARCHAR) AS new_type, 'info' AS severity FROM now WHERE table_name NOT IN (SELECT table_name FROM was) "
+    "UNION ALL SELECT DISTINCT 'table_deleted', table_name, NULL, NULL, NULL, 'critical' FROM was WHERE table_name NOT IN (SELECT table_name FROM now) "
+    "UNION ALL SELECT CASE WHEN w.type IS NULL THEN 'column_added' WHEN n.type IS NULL THEN 'column_deleted' ELSE 'column_modified' END, coalesce(w.table_name, n.table_name), coalesce(w.column_name, n.column_name), w.type, n.type, "
+    "CASE WHEN w.type IS NULL THEN 'info' WHEN n.type IS NULL THEN 'critical' ELSE 'warning' END FROM was w FULL JOIN now n ON w.table_name = n.table_name AND w.column_name = n.column_name WHERE w.type IS DISTINCT FROM n.type "
+    "AND coalesce(w.table_name, n.table_name) IN (SELECT table_name FROM was) AND coalesce(w.table_name, n.table_name) IN (SELECT table_name FROM now)) "
 )
 
 
-def _changes(spark) -> DataFrame:
-    a, b = (spark.createDataFrame(x, "table_name string, column_name string, type string, nullable boolean") for x in SNAPSHOTS)
-    return drift.compare(a, b)
+@query(_CHANGES_SQL + "SELECT * FROM changes")
+def drift_columns(spark, sf):
+    """What changed between two stored snapshots of the tables."""
+    return _snapshots(spark, sf)
 
 
-@query(
-    "SELECT * FROM (VALUES ('table_added', 'customers', NULL, NULL, NULL, 'info'), ('table_deleted', 'old', NULL, NULL, NULL, 'critical'), ('column_modified', 'orders', 'amount', 'numeric', 'varchar', 'warning'), "
-    "('column_deleted', 'orders', 'legacy_code', 'varchar', NULL, 'critical'), ('column_added', 'orders', 'note', NULL, 'text', 'info')) v(change, table_name, column_name, old_type, new_type, severity)"
-)
-def drift_columns(spark, sf):
-    return _changes(spark)
+def _designed(spark, sf, **overrides: str):
+    tabs = frames(spark, sf, ("region", "nation", "customer", "orders"))
+    metas = catalog.discover(tabs, catalog.BENCH_KEYS)
+    d = design(metas, {"orders": "fact", "region": "dimension", "nation": "dimension", "customer": "dimension"} | overrides)
+    return tabs, metas, d, kpi_match.match("retail", metas, d)
 
 
-@query("SELECT * FROM (VALUES ('Legacy', 'column_deleted', 'orders', 'legacy_code', 'critical'), ('Old rows', 'table_deleted', 'old', NULL, 'critical'), ('Revenue', 'column_modified', 'orders', 'amount', 'warning')) v(kpi_name, change, table_name, column_name, severity)")
+@query(
+    _CHANGES_SQL + ", kpis(kpi_name, table_name, columns) AS (VALUES ('Total Transactions', 'orders', []), ('Total Customers', 'customer', []), ('Total Revenue', 'orders', ['o_totalprice']), "
+    "('Average Transaction Value', 'orders', ['o_totalprice']), ('Maximum Transaction Value', 'orders', ['o_totalprice'])) "
+    "SELECT kpi_name, change, c.table_name, column_name, severity FROM kpis k JOIN changes c ON c.table_name = k.table_name AND change IN ('table_deleted', 'column_deleted', 'column_modified') AND (column_name IS NULL OR list_contains(columns, column_name))"
+)
 def drift_impact(spark, sf):
-    used = [("Revenue", "orders", ["amount"]), ("Legacy", "orders", ["legacy_code"]), ("Old rows", "old", []), ("Orders", "orders", [])]
-    return drift.affected_kpis(_changes(spark), spark.createDataFrame(used, "kpi_name string, table_name string, columns array<string>"))
+    """KPIs, as matched to the tables, that the changes touch."""
+    _, _, _, matches = _designed(spark, sf)
+    used = [(m.kpi.name, m.table, [c for c in (m.measure.column, m.measure.identifier) if c]) for m in matches]
+    return drift.affected_kpis(_snapshots(spark, sf), spark.createDataFrame(used, "kpi_name string, table_name string, columns array<string>"))
 
 
-@query("SELECT * FROM (VALUES ('fact_orders', 'orders', 'Column ''legacy_code'' used in source table ''orders'' was deleted', 'critical'), ('dim_old', 'old', 'Source table ''old'' was deleted', 'critical')) v(warehouse_table, source_table, reason, severity)")
+@query(
+    _CHANGES_SQL + ", made(source_table, warehouse_table) AS (SELECT DISTINCT table_name, CASE WHEN table_name = 'orders' THEN 'fact_' ELSE 'dim_' END || table_name FROM was WHERE table_name IN ('region', 'nation', 'customer', 'orders')) "
+    "SELECT warehouse_table, source_table, CASE WHEN change = 'table_deleted' THEN 'Source table ''' || source_table || ''' was deleted' ELSE 'Column ''' || column_name || ''' used in source table ''' || source_table || ''' was deleted' END AS reason, "
+    "'critical' AS severity FROM made JOIN changes ON table_name = source_table WHERE change IN ('table_deleted', 'column_deleted')"
+)
 def drift_warehouse(spark, sf):
-    made = spark.createDataFrame([("orders", "fact_orders"), ("old", "dim_old"), ("customers", "dim_customers")], "source_table string, warehouse_table string")
-    return drift.affected_warehouse(_changes(spark), made)
+    """Warehouse tables that the changes break."""
+    _, _, d, _ = _designed(spark, sf)
+    made = spark.createDataFrame([(p.source, p.name) for p in d.parts], "source_table string, warehouse_table string")
+    return drift.affected_warehouse(_snapshots(spark, sf), made)
+
+
+@query(
+    _CHANGES_SQL + ", held AS (SELECT * FROM was WHERE table_name IN ('region', 'nation', 'customer', 'orders')), named AS (SELECT *, CASE WHEN table_name = 'orders' THEN 'fact_' ELSE 'dim_' END || table_name AS made FROM held), "
+    "edges AS (SELECT table_name || '.' || column_name AS object, table_name AS needs FROM named UNION SELECT made || '.' || column_name, table_name || '.' || column_name FROM named UNION SELECT made, made || '.' || column_name FROM named "
+    "UNION SELECT 'KPI ' || k, 'fact_orders.o_totalprice' FROM (VALUES ('Total Revenue'), ('Average Transaction Value'), ('Maximum Transaction Value')) v(k) UNION SELECT 'KPI Total Transactions', 'fact_orders.o_orderkey' UNION SELECT 'KPI Total Customers', 'dim_customer.c_custkey'), "
+    "lost AS (SELECT CASE WHEN column_name IS NULL THEN table_name ELSE table_name || '.' || column_name END AS object FROM changes WHERE severity <> 'info'), "
+    "reach AS (SELECT object, object AS cause, 0 AS steps FROM lost UNION ALL SELECT e.object, r.cause, r.steps + 1 FROM reach r JOIN edges e ON e.needs = r.object) "
+    "SELECT object, cause, min(steps) AS steps FROM reach WHERE steps > 0 GROUP BY 1, 2"
+)
+def drift_closure(spark, sf):
+    """All that depends on what was changed, over any number of steps: columns, warehouse tables, KPIs."""
+    _, metas, d, matches = _designed(spark, sf)
+    lost = _snapshots(spark, sf).where("severity <> 'info'").select(F.concat_ws(".", "table_name", "column_name").alias("object"))
+    return drift.dependants(drift.lineage(spark, metas, d, matches), lost)
 
 
 # Workspace
@@ -1012,3 +1059,111 @@ def dash_one_pass(spark, sf):
     paths = tuple(p for p in graph.dimension_paths(metas, "orders") if p.table in ("customer", "nation", "region"))
     asked = {"orders": Measure("COUNT"), "revenue": Measure("SUM", "o_totalprice"), "customers": Measure("COUNT_DISTINCT", identifier="o_custkey"), "open": Measure("SUM", "o_totalprice", filter="o_orderstatus = 'O'")}
     return breakdowns.by_all(tabs, "orders", asked, ("o_orderdate",), ("o_orderstatus", "o_orderpriority"), paths)
+
+
+# A whole run, a warehouse as it lies, profiles and views that grow, sessions
+
+
+_DIRTY_ORDERS = f"SELECT * FROM ({NULLS_SQL}) UNION ALL SELECT * FROM ({NULLS_SQL}) WHERE o_orderkey % 10 = 0"
+
+
+@query(
+    f"WITH dirty AS ({_DIRTY_ORDERS}), filled AS (SELECT DISTINCT o_orderkey, o_custkey, coalesce(o_totalprice, (SELECT round(median(o_totalprice), 4) FROM dirty)) AS price FROM dirty) "
+    "SELECT 'step' AS kind, 'impute_median o_totalprice' AS name, (SELECT round(median(o_totalprice), 4) FROM dirty) AS value UNION ALL SELECT 'step', 'drop_duplicates', NULL "
+    "UNION ALL SELECT 'kpi', 'Total Transactions', CAST(count(*) AS DOUBLE) FROM filled UNION ALL SELECT 'kpi', 'Total Customers', CAST(count(*) AS DOUBLE) FROM customer "
+    "UNION ALL SELECT 'kpi', 'Total Revenue', round(sum(price), 2) FROM filled UNION ALL SELECT 'kpi', 'Average Transaction Value', round(avg(price), 2) FROM filled UNION ALL SELECT 'kpi', 'Maximum Transaction Value', round(max(price), 2) FROM filled "
+    "UNION ALL SELECT 'rows passed', 'fact_orders', CAST(count(*) AS DOUBLE) FROM filled UNION ALL SELECT 'rows passed', 'dim_customer', CAST(count(*) AS DOUBLE) FROM customer UNION ALL SELECT 'rows passed', 'dim_nation', CAST(count(*) AS DOUBLE) FROM nation UNION ALL SELECT 'rows passed', 'dim_region', CAST(count(*) AS DOUBLE) FROM region "
+    "UNION ALL SELECT 'unique_key passed', t, 0 FROM (VALUES ('fact_orders'), ('dim_customer'), ('dim_nation'), ('dim_region')) v(t) "
+    "UNION ALL SELECT 'orphans passed', 'fact_orders', CAST(count(*) AS DOUBLE) FROM filled WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"
+)
+def run_summary(spark, sf):
+    """From dirty sources to KPIs over a warehouse: the cleaning that was applied, the warehouse's checks and the KPIs."""
+    tabs = frames(spark, sf, ("region", "nation", "customer")) | {"orders": orders_with_nulls(spark, sf).unionByName(orders_with_nulls(spark, sf).where("o_orderkey % 10 = 0"))}
+    directory = fresh_dir(spark, "run")
+    database = "run_" + directory.rpartition("-")[2]
+    try:
+        done, _ = project.run_all(spark, "summary", tabs, catalog.BENCH_KEYS, directory, database=database, buckets=4, accept=("impute_median",))
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+    rows = [("step", " ".join(x for x in (s.operation, s.column) if x), s.value) for s in done.applied]
+    rows += [(f"{check} {status}", name, float(value)) for check, name, _, value, status in done.checks] + [("kpi", m.kpi.name, m.value) for m in done.kpis]
+    return spark.createDataFrame(rows, "kind string, name string, value double")
+
+
+@query(
+    "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-07-01' GROUP BY 1"
+)
+def wh_layout_join(spark, sf):
+    """Half a year of a fact with its dimension, from tables bucketed by key and partitioned by month: no shuffle but the sums', and six months read."""
+    tabs, metas, d, _ = _designed(spark, sf)
+    database = "layout_" + fresh_dir(spark, "layout").rpartition("-")[2]
+    held = {p.name: f"`{database}`.`{p.name}`" for p in d.parts}
+    warehouse.materialise(spark, tabs, d, database, buckets=4)
+    fact = spark.table(held["fact_orders"]).where(F.col(warehouse.MONTH).between("1996-01-01", "1996-06-01"))
+    joined = fact.join(spark.table(held["dim_customer"]), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(F.col("o_totalprice").cast("decimal(20,4)")), 2).cast("double").alias("amount"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_percentage, "
+        + (f"round(CAST(avg({c}) AS DOUBLE), 4) AS mean, round(stddev_samp({c}), 4) AS std_dev, true" if c in _NUMERIC else "NULL AS mean, NULL AS std_dev, NULL")
+        + f" AS median_close, true AS distinct_close FROM ({NULLS_SQL})"
+        for c in ORDER_COLUMNS
+    )
+)
+def profile_incremental(spark, sf):
+    """A profile of old and new rows, merged without reading the old ones again; estimates are told to be close or not (2 per cent, and 1 per cent of the ranks)."""
+    df, directory = orders_with_nulls(spark, sf), fresh_dir(spark, "profile")
+    sketches.add(df.where("o_orderkey % 5 <> 0"), directory, "orders")
+    told = sketches.add(df.where("o_orderkey % 5 = 0"), directory, "orders")
+    exact = profile.counts(df).select("column_name", F.col("distinct_count").alias("exact"))
+    guess = {r["column_name"]: r["median"] for r in told.collect()}
+    ranks = df.agg(*[(F.count_if(F.col(c) <= guess[c]) / F.count(c)).alias(c) for c in _NUMERIC])
+    ranks = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("rank")) for c in _NUMERIC])))
+    out = told.join(exact, "column_name").join(F.broadcast(ranks), "column_name", "left")
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.02)
+    return out.select("column_name", "total_count", "null_count", "null_percentage", "mean", "std_dev", (F.abs(F.col("rank") - 0.5) < 0.01).alias("median_close"), close.alias("distinct_close"))
+
+
+@query("SELECT p_brand, l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS amount, max(l_shipdate) AS latest, min(l_quantity) AS least FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def mv_refresh(spark, sf):
+    """A materialised star join after two appends: each refresh has read the new files alone."""
+    lines, part, where = table(spark, sf, "lineitem"), table(spark, sf, "part"), fresh_dir(spark, "lines")
+    measures = {"n": ("count", F.lit(1)), "amount": ("sum", F.col("l_extendedprice").cast("decimal(20,4)")), "latest": ("max", F.col("l_shipdate")), "least": ("min", F.col("l_quantity"))}
+    lines.where("l_orderkey % 10 < 5").write.parquet(where)
+    view = MaterialisedView(spark, fresh_dir(spark, "view"), where, {"p_brand": F.col("p_brand"), "l_returnflag": F.col("l_returnflag")}, measures, lambda df: df.join(part, F.col("p_partkey") == F.col("l_partkey")))
+    view.create(with_data=False)
+    view.refresh()
+    for low in (5, 8):
+        lines.where((F.col("l_orderkey") % 10).between(low, low + 2 if low == 5 else 9)).write.mode("append").parquet(where)
+        view.refresh()
+    return view.read().withColumn("amount", F.round("amount", 2).cast("double"))
+
+
+@query(
+    "WITH marked AS (SELECT user_id, ts, value, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "numbered AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked) "
+    "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS events, round(sum(value), 2) AS total FROM numbered GROUP BY user_id, k"
+)
+def events_sessions(spark, sf):
+    """Sessions of users, at most six hours between events."""
+    found = sessions.sessions(table(spark, sf, "events"), "ts", "user_id", "6 hours", "value")
+    return found.withColumns({"total": F.round("total", 2), **{c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}})
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def dump_tables(spark, sf):
+    """Two tables read back from one dump of four, some of their columns."""
+    names, where = ("region", "nation", "customer", "part"), fresh_dir(spark, "dump")
+    lines = []
+    for k, n in enumerate(names):
+        df = table(spark, sf, n)
+        head = spark.createDataFrame([(k, 0, f"COPY public.{n} ({', '.join(df.columns)}) FROM stdin;"), (k, 2, "\\."), (k, 3, "")], "section int, part int, value string")
+        lines += [head, dump.as_lines(df).select(F.lit(k).alias("section"), F.lit(1).alias("part"), "value")]
+    reduce(DataFrame.unionByName, lines).coalesce(1).sortWithinPartitions("section", "part").select("value").write.text(where)
+    path = next(f for f in spark.read.text(where).inputFiles())
+    index = dump.sections(spark, path, 10_000)
+    customer = dump.read_table(spark, path, "customer", "c_custkey long, c_name string, c_nationkey int, c_acctbal double", 10_000, index)
+    nation = dump.read_table(spark, path, "nation", "n_nationkey int, n_name string", 10_000, index)
+    return customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_name", "c_acctbal", "n_name")

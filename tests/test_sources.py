@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from millrace.operators import cleaning, profile, quality, relationships, warehouse, workspace
 from millrace.plans.catalog import Keys, as_frame, discover, from_frame
 from millrace.plans.design import design
-from millrace.sources import files, jdbc, sandbox
+from millrace.sources import dump, files, jdbc, sandbox
 from millrace.streaming import refresh
 
 
@@ -103,3 +103,27 @@ def test_streaming_counts_equal_batch_counts(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "copy")).count() == events.count()
     refresh.counts(stream, "ts", "event_type").writeStream.format("memory").queryName("hourly").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, refresh.counts(events, "ts", "event_type").collect()))
+
+
+ODD = [(1, "tab\there", 1.5, True), (2, "line\nend\\", None, False), (3, "\\N", 0.0, None), (4, "", -1.0, True), (5, None, 2.0, True), (6, "COPY t (k) FROM stdin;", 3.0, True), (7, "é\u3042\r", 4.0, False)]
+
+
+@pytest.mark.parametrize("split", [1, 7, 50, 1 << 20])
+def test_dump_cut_at_any_byte(spark, tmp_path, split):
+    df = spark.createDataFrame(ODD, "k int, t string, x double, b boolean")
+    lines = [r["value"] for r in dump.as_lines(df).orderBy("value").collect()]
+    more = [r["value"] for r in dump.as_lines(spark.range(3)).collect()]
+    text = ["-- a dump", "SET x = 1;", "", "COPY public.odd (k, t, x, b) FROM stdin;", *lines, "\\.", "", 'COPY "Other" (id) FROM stdin;', *more, "\\.", "COPY public.none (a) FROM stdin;", "\\.", "SELECT 1;", "COPY public.odd (b, k) FROM stdin;", "t\t99", "\\."]
+    path = tmp_path / "dump.sql"
+    path.write_bytes("\n".join(text).encode())
+    index = dump.sections(spark, str(path), split)
+    assert [r["table_name"] for r in index.collect()] == ["odd", "Other", "none", "odd"]
+    got = dump.read_table(spark, str(path), "odd", "k int, b boolean", split, index)
+    assert got.columns == ["k", "b"] and sorted(map(tuple, got.collect())) == sorted([(k, b) for k, _, _, b in ODD] + [(99, True)])
+    first = index.where("first < 200")
+    whole = dump.read_table(spark, str(path), "odd", "k int, t string, x double, b boolean", split, first)
+    assert sorted(map(tuple, whole.collect())) == sorted(ODD)
+    assert dump.read_table(spark, str(path), "none", "a int", split, index).count() == 0
+    assert [r[0] for r in dump.read_table(spark, str(path), "Other", "id long", split, index).orderBy("id").collect()] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        dump.read_table(spark, str(path), "lacking", "a int", split, index)
