@@ -95,8 +95,9 @@ def mean_bigram(text: Column, path: str) -> Column:
 def known_share(text: Column, path: str) -> Column:
     """The share of characters in words of the vocabulary, as capitals and other characters part them."""
     parts = F.transform(F.regexp_extract_all(text, F.lit("([A-Z]?[a-z]{3,}|[A-Z]{4,})"), 1), F.lower)
-    known = F.array_intersect(parts, _array(public_words(path), "string"))
-    return F.aggregate(F.filter(parts, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(F.length(text), F.lit(1))
+    # A list of constants is one hash set for all rows.
+    known = F.filter(parts, lambda w: w.isin(list(public_words(path))))
+    return F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(F.length(text), F.lit(1))
 
 
 def candidates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", path: str | None = "source") -> DataFrame:

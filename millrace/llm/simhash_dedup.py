@@ -33,7 +33,7 @@ HOT_ROWS, HOT_SHARE = 10_000, 50_000
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles of at least COMMON_IN of about SAMPLE_TEXTS texts come last in prefixes (the MOST_COMMON of them).
-SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 20, 100_000, 500_000
+SAMPLE_TEXTS, COMMON_IN, MOST_COMMON, CHUNK_SHINGLES = 50_000, 4, 200_000, 500_000
 #: Bits of a set's sketch: the parity of the shingles at each place. Two sketches differ in no more bits than their sets in shingles.
 SKETCH_BITS = 1024
 #: Places that a common shingle's rows are dealt over.
@@ -494,8 +494,8 @@ def _most_partner(size: np.ndarray, pos: np.ndarray, similarity: float) -> np.nd
     return (size - pos) * ((1 + similarity) / similarity) - size + 1e-6
 
 
-def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, similarity: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one key that are of different roots and parts and can be so similar.
+def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, similarity: float, most: int = 1 << 18, sketch: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one key that are of different roots and parts and can be so similar, by size, place and sketch (a row a node).
 
     Sizes rise. Members of the root with the most members only meet those of other roots, so what is
     looked at is a root's members times the others', within the sizes that may be similar, most at once.
@@ -511,14 +511,19 @@ def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndar
         x = np.repeat(some, high[some] - low[some])
         first = np.repeat(np.cumsum(high[some] - low[some]) - (high[some] - low[some]), high[some] - low[some])
         y = np.arange(len(x)) - first + low[x]
-        kept = (rank[x] < rank[y]) & (cap[y] >= size[x]) & ((part[x] != part[y]) | (part[x] < 0))
-        if kept.any():
-            a, b = node[x[kept]], node[y[kept]]
+        kept = np.flatnonzero((rank[x] < rank[y]) & (cap[y] >= size[x]) & ((part[x] != part[y]) | (part[x] < 0)))
+        x, y = x[kept], y[kept]
+        if sketch is not None:
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+            kept = apart <= (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-6
+            x, y = x[kept], y[kept]
+        if len(x):
+            a, b = node[x], node[y]
             yield np.minimum(a, b), np.maximum(a, b)
 
 
 def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of members (key, root, node, size, pos) that share a key.
+    """Candidate pairs (a, b) of members (key, root, node, size, pos, half: a sketch) that share a key.
 
     Keys come as sorted runs of a stream. A key of over RUN members is dealt into parts, and each two parts meet in a
     task of their own, so that a task holds 2 * RUN members at most.
@@ -531,7 +536,7 @@ def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
     sent = placed.withColumn("part", part).withColumn("cell", F.explode(cells.cast("array<long>")))
     # Within a cell of one part alone all members meet.
     sent = sent.withColumn("part", F.when(F.col("cell") % (1 << 20) == F.floor(F.col("cell") / (1 << 20)), -1).otherwise(F.col("part")))
-    ordered = sent.select("key", "cell", "size", "node", "root", "pos", F.col("part").cast("int").alias("part")).repartition("key", "cell").sortWithinPartitions("key", "cell", "size", "node")
+    ordered = sent.select("key", "cell", "size", "node", "root", "pos", F.col("part").cast("int").alias("part"), "half").repartition("key", "cell").sortWithinPartitions("key", "cell", "size", "node")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -539,14 +544,15 @@ def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
 
         def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                _, _, size, node, root, pos, part = rows.T
-                for a, b in run_pairs(node, root, size, pos, part, similarity):
+                _, _, size, node, root, pos, part = rows[:, :7].T
+                for a, b in run_pairs(node, root, size, pos, part, similarity, sketch=np.ascontiguousarray(rows[:, 7:]).view(np.uint64)):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns], 1)
-            if not len(rows):
+            if not len(batch):
                 continue
+            half = pc.list_flatten(batch.column(7)).to_numpy().reshape(len(batch), -1)
+            rows = np.concatenate([np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns[:7]], 1), half], 1)
             edges = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
             for k, run in enumerate(np.split(rows, edges)):
                 if held and (k or (held[-1][-1, :2] != run[0, :2]).any()):
@@ -587,7 +593,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     led = members.unionByName(leads).where((F.col("lead.node") != F.col("m.node")) & possible("lead", "m")).select(F.col("lead.node").alias("a"), F.col("m.node").alias("b"))
     first = _similar(near.unionByName(led), nodes, texts, size, similarity, repeated)
     roots = components(first)
-    named = written(shared.where("n > 2 OR salt > 0").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos"), "named")
+    # Pairs are told apart where they are made, by sketches of half the width, so that a hot key gives few.
+    half = SKETCH_BITS // 128
+    folded = F.zip_with(F.slice("sketch", 1, half), F.slice("sketch", half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    named = shared.where("n > 2 OR salt > 0").join(roots, "node", "left").join(nodes.select("node", folded.alias("half")), "node")
+    named = written(named.select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos", "half"), "named")
     discard(shared, roots_table(roots))
     last = _similar(_pairs_between_roots(named, similarity), nodes, texts, size, similarity, repeated)
     discard(named)

@@ -328,6 +328,18 @@ def test_documents_that_share_one_passage_give_no_candidates(spark):
     assert found == [0, 0]
 
 
+def test_sketches_of_a_run_lose_no_similar_pair():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in range(0, 120, 4)] + [rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(20)]
+    sketch = np.stack([simhash_dedup._sketch(x, 512) for x in sets])
+    n, size = len(sets), np.full(len(sets), 400)
+    got = {(int(x), int(y)) for a, b in simhash_dedup.run_pairs(np.arange(n), np.arange(n), size, np.zeros(n), np.full(n, -1), 0.8, sketch=sketch) for x, y in zip(a, b)}
+    shared = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(n) for i in range(j)}
+    alike = {p for p, k in shared.items() if k >= 0.8 * (800 - k)}
+    assert alike <= got and len(got) < len(alike) * 1.5 and not any(i >= 30 or j >= 30 for i, j in got)
+
+
 @pytest.mark.parametrize("most", [7, 1 << 20])
 def test_candidates_of_a_run(most):
     """All pairs of other roots and parts that can be so similar, each once, whatever is looked at at once."""
