@@ -843,17 +843,17 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "WITH placed AS (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS placed_at, o_totalprice FROM orders), best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY o_custkey, placed_at ORDER BY o_orderkey DESC) = 1) "
-    "SELECT e.event_id, e.user_id, b.o_orderkey, b.o_totalprice FROM (SELECT * FROM events) e ASOF LEFT JOIN best b ON e.user_id = b.o_custkey AND CAST(e.ts AS TIMESTAMP) >= b.placed_at"
+    "SELECT e.event_id, e.user_id, coalesce(b.o_orderkey, -1) AS o_orderkey, b.o_totalprice FROM (SELECT * FROM events) e ASOF LEFT JOIN best b ON e.user_id = b.o_custkey AND CAST(e.ts AS TIMESTAMP) >= b.placed_at"
 )
 def asof_events_orders(spark, sf):
     """To each event the user's last order at or before it (order dates moved into the events' month), the greater key of two at one time."""
     orders = table(spark, sf, "orders").select("o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 9000 DAYS")).alias("at"), "o_orderkey", "o_totalprice")
     found = asof.asof_join(table(spark, sf, "events").select("event_id", "user_id", "ts"), orders, "ts", "at", {"user_id": "o_custkey"})
-    return found.select("event_id", "user_id", "o_orderkey", "o_totalprice")
+    return found.select("event_id", "user_id", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"), "o_totalprice")
 
 
 @query(
-    "WITH b AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view') SELECT e.event_id, v.event_id AS view_id, p.event_id AS next_view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e "
+    "WITH b AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view') SELECT e.event_id, coalesce(v.event_id, -1) AS view_id, coalesce(p.event_id, -1) AS next_view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e "
     "ASOF LEFT JOIN b v ON e.user_id = v.user_id AND e.ts > v.ts ASOF LEFT JOIN b p ON e.user_id = p.user_id AND e.ts <= p.ts"
 )
 def asof_views_of_purchases(spark, sf):
@@ -862,7 +862,8 @@ def asof_views_of_purchases(spark, sf):
     views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     back = asof.asof_join(bought, views, "ts", "ts", {"user_id": "user_id"}, strict=True).select("event_id", "user_id", "ts", "view_id")
-    return asof.asof_join(back, views.withColumnRenamed("view_id", "next_view_id"), "ts", "ts", {"user_id": "user_id"}, "forward").select("event_id", "view_id", "next_view_id")
+    both = asof.asof_join(back, views.withColumnRenamed("view_id", "next_view_id"), "ts", "ts", {"user_id": "user_id"}, "forward")
+    return both.select("event_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("view_id", "next_view_id")])
 
 
 @query(
@@ -911,7 +912,7 @@ def run_ranks(spark, sf):
 
 
 @query(
-    "SELECT event_id, round(avg(value) OVER w, 6) AS moving_average, max(value) OVER w AS moving_max, lag(event_id) OVER o AS before, lead(event_id, 2) OVER o AS second_after FROM events "
+    "SELECT event_id, round(avg(value) OVER w, 6) AS moving_average, max(value) OVER w AS moving_max, coalesce(lag(event_id) OVER o, -1) AS before, coalesce(lead(event_id, 2) OVER o, -1) AS second_after FROM events "
     "WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id), w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 )
 def run_moving(spark, sf):
@@ -921,8 +922,8 @@ def run_moving(spark, sf):
         events, ["event_type"], [F.asc("ts"), F.asc("event_id")], 6, 2,
         moving_average=lambda w: F.round(F.avg("value").over(w.rowsBetween(-6, 0)), 6),
         moving_max=lambda w: F.max("value").over(w.rowsBetween(-6, 0)),
-        before=lambda w: F.lag("event_id").over(w),
-        second_after=lambda w: F.lead("event_id", 2).over(w),
+        before=lambda w: F.coalesce(F.lag("event_id").over(w), F.lit(-1)),
+        second_after=lambda w: F.coalesce(F.lead("event_id", 2).over(w), F.lit(-1)),
     )
     return told.drop("event_type", "ts", "value")
 
@@ -1046,8 +1047,8 @@ def _dash_sql() -> str:
     parts = []
     for m, value in measures.items():
         where = "WHERE o_orderstatus = 'O'" if m == "open" else ""
-        parts += [f"(SELECT '{m}' AS measure, '{d}' AS dimension, row_number() OVER (ORDER BY value DESC, label) AS place, NULL::DATE AS period, label, value FROM (SELECT {c} AS label, {value} AS value FROM {joined} {where} GROUP BY 1) QUALIFY place <= 10)" for d, c in labels.items()]
-        parts.append(f"(SELECT '{m}', 'o_orderdate', row_number() OVER (ORDER BY period), period, NULL, value FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, {value} AS value FROM orders {where} GROUP BY 1))")
+        parts += [f"(SELECT '{m}' AS measure, '{d}' AS dimension, row_number() OVER (ORDER BY value DESC, label) AS place, NULL::VARCHAR AS period, label, value FROM (SELECT {c} AS label, {value} AS value FROM {joined} {where} GROUP BY 1) QUALIFY place <= 10)" for d, c in labels.items()]
+        parts.append(f"(SELECT '{m}', 'o_orderdate', row_number() OVER (ORDER BY period), CAST(period AS VARCHAR), NULL, value FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, {value} AS value FROM orders {where} GROUP BY 1))")
     return " UNION ALL ".join(parts)
 
 
@@ -1058,7 +1059,7 @@ def dash_one_pass(spark, sf):
     metas = [catalog.describe(n, d, catalog.BENCH_KEYS[n]) for n, d in tabs.items()]
     paths = tuple(p for p in graph.dimension_paths(metas, "orders") if p.table in ("customer", "nation", "region"))
     asked = {"orders": Measure("COUNT"), "revenue": Measure("SUM", "o_totalprice"), "customers": Measure("COUNT_DISTINCT", identifier="o_custkey"), "open": Measure("SUM", "o_totalprice", filter="o_orderstatus = 'O'")}
-    return breakdowns.by_all(tabs, "orders", asked, ("o_orderdate",), ("o_orderstatus", "o_orderpriority"), paths)
+    return breakdowns.by_all(tabs, "orders", asked, ("o_orderdate",), ("o_orderstatus", "o_orderpriority"), paths).withColumn("period", F.col("period").cast("string"))
 
 
 # A whole run, a warehouse as it lies, profiles and views that grow, sessions
@@ -1107,8 +1108,8 @@ def wh_layout_join(spark, sf):
 @query(
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_percentage, "
-        + (f"round(CAST(avg({c}) AS DOUBLE), 4) AS mean, round(stddev_samp({c}), 4) AS std_dev, true" if c in _NUMERIC else "NULL AS mean, NULL AS std_dev, NULL")
-        + f" AS median_close, true AS distinct_close FROM ({NULLS_SQL})"
+        + (f"round(CAST(avg({c}) AS DOUBLE), 4) AS mean, round(stddev_samp({c}), 4) AS std_dev" if c in _NUMERIC else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std_dev")
+        + f", true AS median_close, true AS distinct_close FROM ({NULLS_SQL})"
         for c in ORDER_COLUMNS
     )
 )
@@ -1123,7 +1124,7 @@ def profile_incremental(spark, sf):
     ranks = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("rank")) for c in _NUMERIC])))
     out = told.join(exact, "column_name").join(F.broadcast(ranks), "column_name", "left")
     close = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.02)
-    return out.select("column_name", "total_count", "null_count", "null_percentage", "mean", "std_dev", (F.abs(F.col("rank") - 0.5) < 0.01).alias("median_close"), close.alias("distinct_close"))
+    return out.select("column_name", "total_count", "null_count", "null_percentage", "mean", "std_dev", F.coalesce(F.abs(F.col("rank") - 0.5) < 0.01, F.col("median").isNull()).alias("median_close"), close.alias("distinct_close"))
 
 
 @query("SELECT p_brand, l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS amount, max(l_shipdate) AS latest, min(l_quantity) AS least FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
