@@ -1082,6 +1082,7 @@ def run_summary(spark, sf):
     tabs = frames(spark, sf, ("region", "nation", "customer")) | {"orders": orders_with_nulls(spark, sf).unionByName(orders_with_nulls(spark, sf).where("o_orderkey % 10 = 0"))}
     directory = fresh_dir(spark, "run")
     database = "run_" + directory.rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE `{database}` LOCATION '{directory}/warehouse'")
     try:
         done, _ = project.run_all(spark, "summary", tabs, catalog.BENCH_KEYS, directory, database=database, buckets=4, accept=("impute_median",))
     finally:
@@ -1097,7 +1098,9 @@ def run_summary(spark, sf):
 def wh_layout_join(spark, sf):
     """Half a year of a fact with its dimension, from tables bucketed by key and partitioned by month: no shuffle but the sums', and six months read."""
     tabs, metas, d, _ = _designed(spark, sf)
-    database = "layout_" + fresh_dir(spark, "layout").rpartition("-")[2]
+    where = fresh_dir(spark, "layout")
+    database = "layout_" + where.rpartition("-")[2]
+    spark.sql(f"CREATE DATABASE `{database}` LOCATION '{where}'")
     held = {p.name: f"`{database}`.`{p.name}`" for p in d.parts}
     warehouse.materialise(spark, tabs, d, database, buckets=4)
     fact = spark.table(held["fact_orders"]).where(F.col(warehouse.MONTH).between("1996-01-01", "1996-06-01"))
