@@ -40,6 +40,8 @@ SKETCH_BITS = 1024
 COMMON_SALTS = 64
 #: Members of a key that meet in one task; more are dealt into parts.
 RUN = 100_000
+#: Pairs that a task gathers before it gives them on, each once.
+PAIRS = 1 << 20
 #: What tells a row of documents: its identifier (null: after all others) and two hashes of its text.
 _ROW = ["row_id", "text_hash", "text_hash_2"]
 #: A set of more shingles than SKETCH_BITS has a wide sketch too, of a bit a shingle or up to twice that, at most WIDE_BITS.
@@ -541,12 +543,21 @@ def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         held: list[np.ndarray] = []
+        out: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            """What has been found so far, a pair of several keys once."""
+            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
         def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 _, _, size, node, root, pos, part = rows[:, :7].T
                 for a, b in run_pairs(node, root, size, pos, part, similarity, sketch=np.ascontiguousarray(rows[:, 7:]).view(np.uint64)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    out.append(np.stack([a, b], 1))
+                    if sum(map(len, out)) > PAIRS:
+                        yield told()
 
         for batch in batches:
             if not len(batch):
@@ -561,6 +572,7 @@ def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
                 held.append(run)
         if held:
             yield from closed(np.concatenate(held))
+        yield told()
 
     return ordered.mapInArrow(pairs, "a long, b long")
 
