@@ -5,6 +5,10 @@ that meets many is sent to groups of bins, and those are in turn grouped, so tha
 over 2 * FAN places. A value looks in its own bin and in the groups above it of which there are
 intervals. So a pair meets in one place, by equality, and is verified there. Places that are met by too many
 rows are split: their values into some parts and their intervals into others, each part meeting each.
+
+Where only counts and sums of what meets an interval are wanted, range_totals() and overlap_totals() give
+them without making a pair: ends and values are put in one order, and a total over an interval is
+the difference of two running totals. Their work grows with the rows, not with the pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import free_name, written
+from .ordered import dealt, running
 
 BINS, FAN = 1024, 16
 #: A place is split into parts of about so many values and so many intervals.
@@ -132,3 +137,78 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, other_l
     told = dict(zip(left.columns, first))
     within = range_join(right_ok, renamed, other_low, told[low], told[high], {v: told[k] for k, v in by.items()}, **options)
     return later.unionByName(within.select(*first, *[F.col(f"`{c}`") for c in right.columns]).toDF(*names))
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A column to put in order; of numbers with two zeros the negative one becomes the other."""
+    held = F.col(f"`{name}`")
+    return held + F.lit(0.0) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else held
+
+
+def _within(df: DataFrame, first: Column, last: Column, intervals: DataFrame, low: str, high: str) -> DataFrame:
+    """The rows of df that begin (first) and end (last) where they may meet an interval: not below all of them nor above."""
+    least, most = free_name("least", df), free_name("most", df)
+    ends = intervals.where(F.col(f"`{low}`") <= F.col(f"`{high}`")).agg(F.min(f"`{low}`").alias(least), F.max(f"`{high}`").alias(most))
+    return df.join(F.broadcast(ends), (first <= F.col(most)) & (last >= F.col(least)) & (first <= last)).drop(least, most)
+
+
+def _totals(events: DataFrame, intervals: DataFrame, low: str, high: str, by: list[str], closed: str, count: str, sums: list[str]) -> DataFrame:
+    """intervals that meet something, with the count of, and sums over, what begins up to their high but does not end before their low.
+
+    events has the keys (key_0 and so on), v, begins and ends (whether something begins or ends there), and the columns
+    sum_0 and so on.
+    """
+    keys = [f"key_{k}" for k in range(len(by))]
+    q = intervals.select(F.struct("*").alias("q"), *[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], _number(intervals, low).alias("low"), _number(intervals, high).alias("high"))
+    q = q.where("low <= high" if closed == "both" else "low < high")
+    for k in keys:
+        q, events = q.where(F.col(k).isNotNull()), events.where(F.col(k).isNotNull())
+    events = events.select(*keys, "v", F.lit(1).alias("turn"), "begins", "ends", *sums)
+    # An end stands before or after the equal values, as it does not or does take them in.
+    turn_low, turn_high = (0 if closed in ("both", "low") else 2), (2 if closed in ("both", "high") else 0)
+    ends = F.array(F.struct(F.col("low").alias("v"), F.lit(turn_low).alias("turn"), F.lit(False).alias("is_high")), F.struct(F.col("high").alias("v"), F.lit(turn_high).alias("turn"), F.lit(True).alias("is_high")))
+    cut = q.withColumn("number", F.monotonically_increasing_id()).select(*keys, "number", "q", F.explode(ends).alias("e"))
+    cut = cut.select(*keys, "e.v", "e.turn", "e.is_high", "number", F.when(F.col("e.is_high"), F.col("q")).alias("q"))
+    d = dealt(events.unionByName(cut, allowMissingColumns=True), keys, [F.asc("v"), F.asc("turn")])
+    of = {}
+    for k, x in enumerate([F.lit(1).cast("long"), *[F.col(x) for x in sums]]):
+        of |= {f"begun_{k}": ("sum", F.when(F.col("begins"), x)), f"ended_{k}": ("sum", F.when(F.col("ends"), x))}
+    told = running(d, d.df, keys, **of).where(F.col("number").isNotNull())
+    change = [F.sum(F.when(F.col("is_high"), F.coalesce(F.col(f"begun_{k}"), F.lit(0))).otherwise(-F.coalesce(F.col(f"ended_{k}"), F.lit(0)))) for k in range(len(sums) + 1)]
+    out = told.groupBy("number").agg(F.first("q", ignorenulls=True).alias("q"), change[0].alias("n"), *[c.alias(x) for x, c in zip(sums, change[1:])])
+    return out.where("n > 0").select("q.*", F.col("n").alias(count), *sums)
+
+
+def range_totals(points: DataFrame, intervals: DataFrame, value: str, low: str, high: str, by: dict[str, str] | None = None, closed: str = "both", count: str = "n", **sums: Column) -> DataFrame:
+    """Each row of intervals that a value of points lies in, with how many do (count) and the sums of some columns of points over them.
+
+    What range_join() would give, grouped by the row of intervals, without its pairs: keys, nulls, ends and repeats
+    are as there. Sums must be of an exact kind (integers, decimals) as they are differences; nulls add nothing, and a sum
+    of nulls alone is 0.
+    """
+    if closed not in ("both", "low", "high", "none"):
+        raise ValueError("closed must be both, low, high or none")
+    by = by or {}
+    names = [f"sum_{k}" for k in range(len(sums))]
+    held = [F.col(f"`{c}`").alias(f"key_{k}") for k, c in enumerate(by)]
+    # What is summed is made of what may be in an interval only: a value beyond them need not fit a decimal.
+    near = _within(points, F.col(f"`{value}`"), F.col(f"`{value}`"), intervals, low, high)
+    events = near.select(*held, _number(points, value).alias("v"), F.lit(True).alias("begins"), F.lit(True).alias("ends"), *[c.alias(n) for c, n in zip(sums.values(), names)])
+    out = _totals(events, intervals, low, high, list(by.values()), closed, count, names)
+    return out.withColumnsRenamed(dict(zip(names, sums)))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, low: str, high: str, other_low: str, other_high: str, by: dict[str, str] | None = None, count: str = "n", **sums: Column) -> DataFrame:
+    """Each row of left whose interval has a point in common with one of right, with how many have (count) and sums over those rows of right.
+
+    What overlap_join() would give, grouped by the row of left, without its pairs; sums are range_totals()'s.
+    """
+    by = by or {}
+    names = [f"sum_{k}" for k in range(len(sums))]
+    held = [F.col(f"`{c}`").alias(f"key_{k}") for k, c in enumerate(by.values())]
+    near = _within(right, F.col(f"`{other_low}`"), F.col(f"`{other_high}`"), left, low, high)
+    spans = near.select(*held, _number(right, other_low).alias("a"), _number(right, other_high).alias("b"), *[c.alias(n) for c, n in zip(sums.values(), names)])
+    sides = F.array(F.struct(F.col("a").alias("v"), F.lit(True).alias("begins")), F.struct(F.col("b").alias("v"), F.lit(False).alias("begins")))
+    events = spans.withColumn("e", F.explode(sides)).select(*[f"key_{k}" for k in range(len(by))], "e.v", "e.begins", (~F.col("e.begins")).alias("ends"), *names)
+    out = _totals(events, left, low, high, list(by), "both", count, names)
+    return out.withColumnsRenamed(dict(zip(names, sums)))

@@ -873,8 +873,9 @@ def range_orders_in_bands(spark, sf):
     """Orders by the price bands of parts: bands overlap, some are long."""
     low = (F.col("p_retailprice") - 900) * 2500
     bands = table(spark, sf, "part").select("p_partkey", low.alias("low"), (low + F.col("p_size") * 20).alias("high"))
-    met = ranges.range_join(table(spark, sf, "orders").select("o_totalprice"), bands, "o_totalprice", "low", "high", closed="low")
-    return met.groupBy("p_partkey").agg(F.count("*").alias("orders_in_band"), F.round(F.sum(F.col("o_totalprice").cast("decimal(20,4)")), 2).cast("double").alias("amount"))
+    prices = table(spark, sf, "orders").select("o_totalprice")
+    met = ranges.range_totals(prices, bands, "o_totalprice", "low", "high", closed="low", amount=F.col("o_totalprice").cast("decimal(20,4)"))
+    return met.groupBy("p_partkey").agg(F.sum("n").alias("orders_in_band"), F.round(F.sum("amount"), 2).cast("double").alias("amount"))
 
 
 _SPANS = "SELECT l_orderkey, l_suppkey, l_linenumber, CAST(l_shipdate AS DATE) AS a, CAST(l_shipdate AS DATE) + l_linenumber AS b FROM lineitem WHERE l_returnflag ="
@@ -888,8 +889,11 @@ def range_overlapping_shipments(spark, sf):
     lines = table(spark, sf, "lineitem")
     sent = F.col("l_shipdate").cast("date")
     spans = [lines.where(F.col("l_returnflag") == flag).select("l_suppkey", "l_orderkey", sent.alias("a"), F.date_add(sent, F.col("l_linenumber")).alias("b")) for flag in "RA"]
-    met = ranges.overlap_join(spans[0], spans[1], "a", "b", "a", "b", {"l_suppkey": "l_suppkey"})
-    return met.groupBy("l_suppkey").agg(F.count("*").alias("pairs"), F.sum(F.col("l_orderkey") + F.col("l_orderkey_right")).alias("key_sum"))
+    key = F.col("l_orderkey").cast("decimal(20,0)")
+    met = ranges.overlap_totals(spans[0], spans[1], "a", "b", "a", "b", {"l_suppkey": "l_suppkey"}, others=key, known=key.isNotNull().cast("long"))
+    # A pair with a null key has no sum.
+    both = F.when(F.col("known") > 0, key * F.col("known") + F.col("others"))
+    return met.groupBy("l_suppkey").agg(F.sum("n").alias("pairs"), F.sum(both).cast("long").alias("key_sum"))
 
 
 @query(

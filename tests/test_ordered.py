@@ -144,3 +144,49 @@ def test_no_nested_loop_in_the_plan(spark, sf):
     bands = spark.range(100).select((F.col("id") * 5000).alias("a"), (F.col("id") * 5000 + 7000).alias("b"))
     plan = ranges.range_join(orders, bands, "o_totalprice", "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def totals_by_hand(pairs, width):
+    """Of each row of intervals that is in a pair: the row, how many pairs, and the sum of the other row's last column."""
+    told = {}
+    for row, other in pairs:
+        n, total = told.get(row, (0, 0))
+        told[row] = (n + 1, total + (other[-1] or 0))
+    return Counter((*row[:width], n, total) for row, (n, total) in told.items())
+
+
+@pytest.mark.parametrize("closed", ["both", "low", "high", "none"])
+def test_range_totals_by_hand(spark, closed):
+    points = [(k % 2 if k % 11 else None, float(k * k % 97) if k % 7 else None, k if k % 5 else None) for k in range(150)] + [(1, 50.0, 900 + k) for k in range(100)] + [(0, -0.0, 1), (0, 0.0, 2), (0, 1e300, 3), (0, float("nan"), 4)]
+    spans = [(k % 2, float(k % 90), float(k % 90 + (k % 5) ** 3), k) for k in range(120)] + [(1, 50.0, 50.0, 200 + k) for k in range(60)] + [(0, -0.0, 3.0, 300), (0, None, 5.0, 301), (0, 9.0, 3.0, 302), (None, 0.0, 100.0, 303)]
+    low = (lambda v, a: v >= a) if closed in ("both", "low") else (lambda v, a: v > a)
+    high = (lambda v, b: v <= b) if closed in ("both", "high") else (lambda v, b: v < b)
+    want = totals_by_hand([(s, p) for p in points for s in spans if p[0] is not None and p[0] == s[0] and None not in (p[1], s[1], s[2]) and s[1] <= s[2] and low(p[1], s[1]) and high(p[1], s[2])], 4)
+    p, s = spark.createDataFrame(points, "g int, v double, id long").repartition(4), spark.createDataFrame(spans, "g int, a double, b double, id long")
+    assert bag(ranges.range_totals(p, s, "v", "a", "b", {"g": "g"}, closed, total=F.col("id"))) == want
+    # A value beyond all intervals need not fit the sum's kind.
+    priced = ranges.range_totals(p, s, "v", "a", "b", {"g": "g"}, closed, prices=F.col("v").cast("decimal(20,4)"))
+    assert priced.agg(F.sum("n")).first()[0] == sum(row[-2] * n for row, n in want.items())
+    assert ranges.range_totals(p.where("false"), s, "v", "a", "b").count() == 0 == ranges.range_totals(p, s.where("false"), "v", "a", "b").count()
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(-2, 25)), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 60), st.integers(-2, 25)), max_size=40))
+def test_overlap_totals_by_hand(spark, one, other):
+    a, b = ([(k % 2, x, x + n, k) for k, (x, n) in enumerate(rows)] for rows in (one, other))
+    got = ranges.overlap_totals(*(spark.createDataFrame(x, "g int, a int, b int, id int") for x in (a, b)), "a", "b", "a", "b", {"g": "g"}, total=F.col("id").cast("long"))
+    assert bag(got) == totals_by_hand([(x, y) for x in a for y in b if x[0] == y[0] and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and y[1] <= x[2]], 4)
+
+
+def test_totals_make_no_pairs(spark, tmp_path):
+    """50,000 prices in each of 20,000 bands, 10 to the power of 9 pairs, and as many pairs of shipments: only their totals are made."""
+    from millrace import queries
+
+    spark.range(50_000).select(F.lit(1000.0).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit(900.0).alias("p_retailprice"), F.lit(51).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    line = spark.range(60_000).select(F.col("id").alias("l_orderkey"), F.lit(7).cast("long").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.when(F.col("id") % 2 == 0, "R").otherwise("A").alias("l_returnflag"), F.lit("1995-01-01").cast("timestamp_ntz").alias("l_shipdate"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.range_orders_in_bands(spark, str(tmp_path)).groupBy("orders_in_band", "amount").count().collect()
+    assert list(map(tuple, got)) == [(50_000, 50_000_000.0, 20_000)]
+    got = queries.range_overlapping_shipments(spark, str(tmp_path)).collect()
+    assert list(map(tuple, got)) == [(7, 30_000**2, 30_000 * sum(range(60_000)))]
