@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import weakref
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ COMMON_SALTS = 64
 RUN = 100_000
 #: Pairs that a task gathers before it gives them on, each once.
 PAIRS = 1 << 20
+#: Members of a key of more than CROWD are first compared with the nearest of another root alone, as long as a WORTH-th of these pairs are links.
+CROWD, WORTH = 64, 10
 #: What tells a row of documents: its identifier (null: after all others) and two hashes of its text.
 _ROW = ["row_id", "text_hash", "text_hash_2"]
 #: A set of more shingles than SKETCH_BITS has a wide sketch too, of a bit a shingle or up to twice that, at most WIDE_BITS.
@@ -496,11 +499,12 @@ def _most_partner(size: np.ndarray, pos: np.ndarray, similarity: float) -> np.nd
     return (size - pos) * ((1 + similarity) / similarity) - size + 1e-6
 
 
-def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, similarity: float, most: int = 1 << 18, sketch: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndarray, part: np.ndarray, similarity: float, most: int = 1 << 18, sketch: np.ndarray | None = None, nearest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes of one key that are of different roots and parts and can be so similar, by size, place and sketch (a row a node).
 
     Sizes rise. Members of the root with the most members only meet those of other roots, so what is
     looked at is a root's members times the others', within the sizes that may be similar, most at once.
+    With nearest, of each member's pairs with larger roots only that of the least distance by sketch is given.
     """
     cap = _most_partner(size, pos, similarity)
     low, high = np.searchsorted(size, similarity * size - 1e-6), np.searchsorted(size, cap, "right")
@@ -519,13 +523,18 @@ def run_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, pos: np.ndar
             apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
             kept = apart <= (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-6
             x, y = x[kept], y[kept]
+            if nearest:
+                order = np.lexsort((apart[kept], x))
+                x, y = x[order], y[order]
+                one = np.r_[True, np.diff(x) != 0][: len(x)]
+                x, y = x[one], y[one]
         if len(x):
             a, b = node[x], node[y]
             yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of members (key, root, node, size, pos, half: a sketch) that share a key.
+def _pairs_between_roots(members: DataFrame, similarity: float, nearest: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of members (key, root, node, size, pos, half: a sketch) that share a key; with nearest, one a member at most.
 
     Keys come as sorted runs of a stream. A key of over RUN members is dealt into parts, and each two parts meet in a
     task of their own, so that a task holds 2 * RUN members at most.
@@ -554,7 +563,7 @@ def _pairs_between_roots(members: DataFrame, similarity: float) -> DataFrame:
         def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 _, _, size, node, root, pos, part = rows[:, :7].T
-                for a, b in run_pairs(node, root, size, pos, part, similarity, sketch=np.ascontiguousarray(rows[:, 7:]).view(np.uint64)):
+                for a, b in run_pairs(node, root, size, pos, part, similarity, sketch=np.ascontiguousarray(rows[:, 7:]).view(np.uint64), nearest=nearest):
                     out.append(np.stack([a, b], 1))
                     if sum(map(len, out)) > PAIRS:
                         yield told()
@@ -581,8 +590,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     """Links (a, b) between nodes that connect all that are linked by at least that similarity; each is verified.
 
     The first candidates are those of the deletion variants and, of each shared prefix shingle, its
-    least node with every other. Groups of near copies are components then, and only nodes of
-    different components that share a prefix shingle are left to compare.
+    least node with every other. A large group of near copies falls into many components then, if they are not all like
+    that one node; so of a crowded shingle's nodes each meets the nearest of another component, again and again
+    (_merge_crowds()), which gives links in number like the nodes. At last all nodes of different components
+    that share a prefix shingle are compared.
     """
     firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     near = links(firsts.select("fp"), radius)
@@ -611,13 +622,44 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     named = shared.where("n > 2 OR salt > 0").join(roots, "node", "left").join(nodes.select("node", folded.alias("half")), "node")
     named = written(named.select("key", F.coalesce("root", "node").alias("root"), "node", "size", "pos", "half"), "named")
     discard(shared, roots_table(roots))
+    named, more = _merge_crowds(named, nodes, texts, size, similarity, repeated)
     last = _similar(_pairs_between_roots(named, similarity), nodes, texts, size, similarity, repeated)
     discard(named)
-    out = written(first.unionByName(last), "links")
-    discard(first, last)
+    parts = [first, *more, last]
+    out = written(reduce(DataFrame.unionByName, parts), "links")
+    discard(*parts)
     return out
 
 
+def _merge_crowds(named: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float, repeated: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """named (members of _pairs_between_roots(), a table) with the roots after links of near pairs in crowded keys, and tables of these links.
+
+    Each round joins roots, as pairs lie between two; it ends when few pairs are links, and what is left is for all pairs to find.
+    Links are among a round's roots, so components are made of roots, not of nodes.
+    """
+    found = []
+    while True:
+        crowds = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other")).where((F.col("n") > CROWD) & (F.col("one") != F.col("other"))).select("key")
+        tried = written(_pairs_between_roots(named.join(crowds, "key", "left_semi"), similarity, nearest=True).distinct(), "near")
+        asked = tried.count()
+        links = _similar(tried, nodes, texts, size, similarity, repeated) if asked else None
+        discard(tried)
+        if links is None:
+            return named, found
+        found.append(links)
+        kept = links.count()
+        if not kept:
+            return named, found
+        own = named.select("node", "root").distinct()
+        between = links.join(own.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        told = merged.select(F.col("node").alias("root"), F.col("root").alias("into"))
+        before, named = named, written(named.join(told, "root", "left").select("key", F.coalesce("into", "root").alias("root"), "node", "size", "pos", "half"), "named")
+        discard(before, roots_table(merged))
+        if kept * WORTH < asked:
+            return named, found
+
+
 def keep_first_similar(df: DataFrame, identifier: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """df without near-duplicates by similarity: of each component the row that keep_first() would keep stays.
 

@@ -370,3 +370,56 @@ def test_wide_sketches_fold_and_never_exceed_the_sets_difference():
         assert simhash_dedup.sketches_apart(wide[0], small) == 0
         apart = simhash_dedup.sketches_apart(*wide)
         assert apart <= len(np.setxor1d(a, b)) and apart > 0.2 * (n + m - 2 * both)
+
+
+def test_nearest_of_a_run_is_one_pair_a_member_at_most():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in rng.integers(0, 30, 80).tolist()]
+    sketch, n, size = np.stack([simhash_dedup._sketch(x, 512) for x in sets]), len(sets), np.full(len(sets), 200)
+    root = rng.integers(0, 20, n)
+    runs = [[(int(x), int(y)) for a, b in simhash_dedup.run_pairs(np.arange(n), root, size, np.zeros(n), np.full(n, -1), 0.8, 50, sketch, nearest) for x, y in zip(a, b)] for nearest in (False, True)]
+    apart = lambda p: simhash_dedup.sketches_apart(sketch[p[0]], sketch[p[1]])
+    larger = np.argsort(np.argsort(np.bincount(root, minlength=20)[np.unique(root)], kind="stable"), kind="stable")[np.unique(root, return_inverse=True)[1]]
+    want = {}
+    for x, y in runs[0]:
+        small = x if larger[x] < larger[y] else y
+        want[small] = min(want.get(small, 999), apart((x, y)))
+    assert set(runs[1]) <= set(runs[0]) and sorted(map(apart, runs[1])) == sorted(want.values()) and len(runs[0]) > 5 * n
+
+
+def test_a_crowd_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """400 copies, half of the pairs similar: without rounds of nearest ones the pairs grow with the square; components are those of all pairs."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in range(150)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(1, 5))):
+            copy[at] = f"x{k}_{at}"
+        texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(146)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    made, pairs = [], simhash_dedup._pairs_between_roots
+
+    def counted(*args, **options):
+        out = pairs(*args, **options)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "_pairs_between_roots", counted)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_dedup.keep_first_similar(df).collect()}
+    assert kept == {find(k) for k in range(len(texts))}
+    assert sum(made) < 10 * len(texts), made
