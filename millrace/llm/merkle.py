@@ -3,8 +3,8 @@
 Rows are leaves, in one tree a source; the roots of these trees are the leaves of a last one. Levels
 are built STEP at a time and stored as node rows, each linked to its ancestor so many levels above and
 holding, level by level, the digests that stand before and after the way there. A recursive query
-climbs from every leaf along the links, adds a row of siblings at each step and folds the leaf that was
-found into the root that follows from it.
+climbs along the links from every run of leaves, which have one way from there, and adds a row of siblings at
+each step; every leaf is folded through its siblings into the root that follows from it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, shared_dir, written
+from .common import discard, written
 from .simhash_dedup import salted_join
 
 #: Consecutive nodes that become one.
 RUN = 3
-#: Levels from a stored node to the one that it is linked to: each step of the climb moves all leaves once.
+#: Levels from a stored node to the one that it is linked to: the climb's rows are a leaf in RUN to the power of this.
 STEP = 3
 #: The number of the tree over the sources' roots; sources are numbered from 0.
 TOP = -1
@@ -161,7 +161,9 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bytes
     nodes = spark.createDataFrame([], NODES)
     for level in above:
         nodes = nodes.unionByName(level.select("tree", "level", F.col("node.place").alias("place"), *up))
-    return written(bottom, "bottom"), written(nodes, "nodes"), subroots, root
+    out = written(bottom, "bottom"), written(nodes, "nodes"), subroots, root
+    discard(first, *runs, *top_runs)
+    return out
 
 
 def _dealt(placed: DataFrame, named: DataFrame) -> DataFrame:
@@ -171,40 +173,45 @@ def _dealt(placed: DataFrame, named: DataFrame) -> DataFrame:
     return salted_join(placed.withColumn("key", key), right, "key", "serial").drop("key")
 
 
-CLIMB = """
-WITH RECURSIVE climb (serial, step, beside, found, tree, level, place) AS (
-  SELECT serial, 0, beside, {first}, up_tree, up_level, up_place FROM {leaves}
+CLIMB = f"""
+WITH RECURSIVE climb (way_tree, way_level, way_place, step, beside, tree, level, place) AS (
+  SELECT up_tree, up_level, up_place, 0, CAST(NULL AS {BESIDE}), up_tree, up_level, up_place FROM {{ways}}
   UNION ALL
-  SELECT c.serial, c.step + 1, n.beside, {next}, n.up_tree, n.up_level, n.up_place
-  FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.place = n.place
+  SELECT c.way_tree, c.way_level, c.way_place, c.step + 1, n.beside, n.up_tree, n.up_level, n.up_place
+  FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.level = n.level AND c.place = n.place
 )
-SELECT serial, step, beside, found FROM climb
+SELECT way_tree, way_level, way_place, step, beside FROM climb
 """
-_FOLD = "aggregate({beside}, {found}, (x, b) -> unhex(sha2(concat(lower(hex(b.before)), lower(hex(x)), lower(hex(b.after))), 256)))"
+_FOLD = "aggregate(way, coalesce(other, leaf), (x, b) -> unhex(sha2(concat(lower(hex(b.before)), lower(hex(x)), lower(hex(b.after))), 256)))"
 
 
 def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """serial, siblings (all digests beside the way to the root, as text) and found (the digest that the leaf, or other, folds into).
+    """serial, tree, doc_id, leaf, proof (sha256 of all digests beside the way to the root) and found (the digest that the leaf, or other, folds into).
 
-    The recursive query gives a row a leaf and step: the siblings of that step, and the digest folded so far. It is
-    run and its result written here, without Spark's limit on the rows of a recursion, which is put back.
+    Leaves of one run have one way above it, so the recursive query climbs once a run and gives a row a run and step: the
+    siblings of that step. It is run and its result written here, without Spark's limit on the rows of a recursion, which
+    is put back. Each leaf is folded through its own siblings and its run's where the two meet.
     """
     spark = leaves.sparkSession
-    query = CLIMB.format(first=_FOLD.format(beside="beside", found="coalesce(other, leaf)"), next=_FOLD.format(beside="n.beside", found="c.found"), leaves="{leaves}", nodes="{nodes}")
+    up = ["up_tree", "up_level", "up_place"]
+    ways = written(leaves.select(*up).distinct(), "ways")
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit, None)
     spark.conf.set(limit, "-1")
     try:
-        rows = spark.sql(query, leaves=leaves, nodes=nodes)
-        digests = F.flatten(F.transform("beside", lambda b: F.array(b["before"], b["after"])))
-        steps = F.array_sort(F.collect_list(F.struct("step", F.array_join(F.transform(digests, as_text), "").alias("beside"))))
-        folded = rows.groupBy("serial").agg(steps.alias("steps"), F.max_by("found", "step").alias("found"))
-        return written(folded.select("serial", F.array_join(F.col("steps.beside"), "").alias("siblings"), "found"), "climbed")
+        rows = spark.sql(CLIMB, ways=ways, nodes=nodes)
+        steps = F.array_sort(F.collect_list(F.struct("step", F.coalesce("beside", F.array().cast(BESIDE)).alias("beside"))))
+        above = rows.groupBy(*[F.col(f"way_{c[3:]}").alias(c) for c in up]).agg(steps.alias("steps"))
+        above = written(above.select(*up, F.flatten("steps.beside").alias("above")), "climbed")
     finally:
         if before is None:
             spark.conf.unset(limit)
         else:
             spark.conf.set(limit, before)
+    whole = leaves.join(above, up).withColumn("way", F.concat("beside", "above"))
+    digests = F.flatten(F.transform("way", lambda b: F.array(b["before"], b["after"])))
+    proof = F.sha2(F.array_join(F.transform(digests, as_text), ""), 256)
+    return whole.select("serial", "tree", "doc_id", "leaf", proof.alias("proof"), F.expr(_FOLD).alias("found"))
 
 
 def verify(df: DataFrame, identifier: str = "doc_id", source: str = "source", leaf: Column | None = None, other: Column | None = None) -> DataFrame:
@@ -217,9 +224,8 @@ def verify(df: DataFrame, identifier: str = "doc_id", source: str = "source", le
     """
     own = df.select(F.col(identifier).alias("doc_id"), F.col(source).alias("source"), leaf.alias("leaf"), (F.lit(None).cast("binary") if other is None else other).alias("other"))
     leaves, nodes, subroots, root = manifest(own)
-    climbed = climb(leaves, nodes)
+    named = climb(leaves, nodes)
     few = subroots.count() <= MOST_SOURCES
-    named = leaves.select("serial", "tree", "doc_id", "leaf").join(climbed, "serial")
     named = named.join(F.broadcast(subroots), "tree") if few else salted_join(named, subroots, "tree", "serial")
     top = F.lit(root.hex() if root else None).cast("string")
     return named.select(
@@ -227,7 +233,7 @@ def verify(df: DataFrame, identifier: str = "doc_id", source: str = "source", le
         as_text(F.col("leaf")).alias("leaf"),
         as_text(F.col("subroot")).alias("subroot"),
         top.alias("root"),
-        F.sha2("siblings", 256).alias("proof_sha256"),
+        F.col("proof").alias("proof_sha256"),
         as_text(F.col("found")).alias("folded_root"),
         (as_text(F.col("found")) == top).alias("verified"),
     )

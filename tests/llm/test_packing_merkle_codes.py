@@ -259,3 +259,18 @@ def test_labels_beyond_broadcast_and_decoding(spark, monkeypatch):
     chunks, books = vector_codes.train(vectors)
     for r in vector_codes.assigned(chunks, books).select("id", vector_codes.decoded(F.col("code"), books).alias("x")).collect():
         assert np.abs(np.array(r["x"]) - (r["id"] % 4 + 0.125)).max() < 1 / 4096
+
+
+def test_the_climb_has_a_row_a_run_of_leaves(spark, monkeypatch):
+    """What a leaf's step moved grew with leaves times levels; a run of leaves has one way above it."""
+    rows, write = {}, merkle.written
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(merkle, "written", counted)
+    docs = [(k, f"text\n{k}", "en", "ab"[k % 2], k) for k in range(1600)]
+    assert verified(spark.createDataFrame(docs, SCHEMA)) == manifest_by_hand(docs)
+    assert rows["bottom"] == 1600 and rows["climbed"] == 2 * -(-800 // 27)
