@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import json
+import os
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -71,11 +72,11 @@ class HashMemo:
 
     Entries are found by binary search over the sorted 64-bit hashes of their strings, and the strings
     themselves are compared; nothing is hashed anew for a later batch. When over entries strings are
-    known, those met again since the last such time stay, and the newer half of the others. Strings of
-    over longest characters are not remembered.
+    known as a batch begins, those met again since the last such time stay, and the newer half of the
+    others. Strings of over longest characters are not remembered.
     """
 
-    def __init__(self, many: Callable[[list[str]], pa.Array], entries: int = 700_000, longest: int = 48):
+    def __init__(self, many: Callable[[list[str]], pa.Array], entries: int = 500_000, longest: int = 48):
         self.many, self.entries, self.longest = many, entries, longest
         self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.again = np.zeros(0, bool)
@@ -90,6 +91,8 @@ class HashMemo:
         """Values, and for each string the place of its own among them."""
         import xxhash
 
+        if len(self.known) > self.entries:  # now, when no caller holds the values any more
+            self._thin()
         raw = unspaced(strings)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
         place = np.full(len(raw), -1, np.int64)
@@ -121,17 +124,21 @@ class HashMemo:
         self.slots = np.insert(self.slots, at, (len(self.hashes) + order).astype(np.int32))
         self.keys = np.insert(self.keys, at, new[order])
         self.hashes = np.concatenate([self.hashes, new])
-        if len(self.known) > self.entries:
-            kept = self.again.copy()
-            rest = np.flatnonzero(~kept)
-            kept[rest[len(rest) // 2 :]] = True
-            if kept.sum() > self.entries * 3 // 4:
-                kept[: len(kept) // 2] = False
-            take = pa.array(np.flatnonzero(kept))
-            self.known, self.ids, self.again = self.known.take(take), self.ids.take(take), np.zeros(len(take), bool)
-            self._index(self.hashes[kept])
         return values, place
 
+    def _thin(self) -> None:
+        """Leaves what was met again and the newer half of the rest; array after array, so that little is there twice."""
+        kept = self.again
+        rest = np.flatnonzero(~kept)
+        kept[rest[len(rest) // 2 :]] = True
+        if kept.sum() > self.entries * 3 // 4:
+            kept[: len(kept) // 2] = False
+        take = pa.array(np.flatnonzero(kept))
+        self.known = self.known.take(take)
+        self.ids = self.ids.take(take)
+        self.again = np.zeros(len(take), bool)
+        self._index(self.hashes[kept])
+
 
 def binaries(values: Iterable[bytes]) -> pa.Array:
     return pa.array(values if isinstance(values, list) else list(values), pa.large_binary())
@@ -149,6 +156,8 @@ class JsonEncoder:
     LINE, LINES = 512, 16
 
     def __init__(self, path: str):
+        # Spark's tasks are the threads; the library's own would each keep memory, and take more CPU together.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
         model = tokenizers.Tokenizer.from_file(path)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, free_name, give_back, worker_memo, written
+from .common import byte_batches, forget, free_name, give_back, worker_memo, written
 from .encoding import HashMemo
 
 UNKNOWN = "und"
@@ -226,6 +226,7 @@ def fit(df: DataFrame, path: str, text: str = "text", label: str = "lang", round
 
     def job(table: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             total = np.zeros((len(languages), size + 1))
             for batch in batches:
                 langs = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import discard, forget, free_name, written
@@ -47,6 +48,11 @@ def _describe(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(topics), pa.array(tokens, pa.int64())], ["topic", "n_tokens"])
 
 
+#: Told to be nondeterministic, so that Spark makes each row's value once and does not put a copy into every filter and
+#: join key that reads it; each copy would be another Python worker beside the first, with the memory of one.
+_once = _describe.asNondeterministic()
+
+
 def describe(text: Column) -> Column:
     """topic and n_tokens of each whole text.
 
@@ -54,7 +60,7 @@ def describe(text: Column) -> Column:
     by the hash of the most frequent word of TOPIC_LETTERS letters or more (of equally frequent ones
     the first in order); "none" without such a word.
     """
-    return _describe(text)
+    return _once(text)
 
 
 def count_cells(df: DataFrame, margins: tuple[str, ...] = MARGINS, tokens: str = "n_tokens") -> DataFrame:
@@ -148,8 +154,10 @@ def calibrate(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dic
         tokens = np.array([r["tokens"] for r in some])
         by = {k: targets[m] for k, m in enumerate(margins) if targets and m in targets}
         weight = rake_array(keys, tokens, by, most_factor=most_factor) if keys else tokens
-        rows = [(*k, r["docs"], float(t), float(w)) for k, r, t, w in zip(keys, some, tokens, weight)]
-        raked = spark.createDataFrame(rows, f"{kinds}, docs double, tokens double, weight double")
+        # As an Arrow table: rows of Python objects would pass through Python workers of another kind, which stay beside those at hand.
+        given = [pa.array([k[m] for k in keys], to_arrow_type(cells.schema[name].dataType)) for m, name in enumerate(margins)]
+        given += [pa.array(v, pa.float64()) for v in ([r["docs"] for r in some], tokens, weight)]
+        raked = spark.createDataFrame(pa.Table.from_arrays(given, [*margins, "docs", "tokens", "weight"]), f"{kinds}, docs double, tokens double, weight double")
     else:
         raked = rake_table(cells, margins, targets, most_factor=most_factor)
     factor = F.col("weight") / F.col("tokens")

@@ -355,3 +355,12 @@ def test_array_and_table_rake_alike_where_it_is_slow(spark):
     cells = spark.createDataFrame(rows, "m string, n string, tokens double")
     got = {(r["m"], r["n"]): r["weight"] for r in mixing.rake_table(cells, ("m", "n"), {"m": halves[0], "n": halves[1]}, rounds=12).collect()}
     assert [got[r[:2]] for r in rows] == pytest.approx(want.tolist(), rel=1e-9)
+
+
+def test_a_task_of_mixing_has_one_python_worker(spark):
+    """A text is described once a row, and the cells come without Python."""
+    docs = corpus(spark)
+    plan = mixing.sample(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    cells, few = mixing.calibrate(mixing.count_cells(docs.select("source", "lang", mixing.describe(docs["text"]).alias("d")).select("source", "lang", "d.*")))
+    assert few and "LogicalRDD" not in cells._jdf.queryExecution().logical().toString()

@@ -118,3 +118,11 @@ def test_shard_file():
     damaged[3] ^= 1
     with pytest.raises(ValueError):
         list(sstable.ShardReader(io.BytesIO(bytes(damaged)), size).block(0))
+
+
+def test_memo_is_thinned_before_a_batch():
+    """Not while a caller holds the values, when everything would be there twice."""
+    memo = HashMemo(lambda chunks: pa.array([c.encode() for c in chunks], pa.large_binary()), entries=10)
+    for k in range(0, 60, 12):
+        values, at = memo.lookup(pa.array([f"w{j}" for j in range(k, k + 12)], pa.large_string()))
+        assert values is memo.ids and at.max() < len(memo.known)
